@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspark.llm.pieces import MARK, decode_pieces, encode_pieces
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import secret_digest, secret_spans
+from quillspark.llm.token_store import read_store, write_store
+from quillspark.session import new_table_path
+
+#: Folder of the public tokenizers' files; None: where the package public_tokenizers is installed.
+TOKENIZERS: str | None = None
+
+
+def _tokenizer(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +34,23 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(_documents(spark, sf_dir)))
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op6_secret_scan": op6_secret_scan}
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, tokenizer = new_table_path(spark, "token_store"), _tokenizer("word_bpe_49k.json")
+    write_store(_documents(spark, sf_dir), path, tokenizer)
+    return read_store(spark, path, tokenizer).withColumnRenamed("id", "doc_id")
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every text, decoded again; round_trip says that the decoded text is the text, markers as spaces."""
+    docs, model = _documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model")
+    decoded = decode_pieces(encode_pieces(docs, model, keep=F.md5(F.translate("text", MARK, " ")).alias("said")), model, keep="said")
+    return decoded.select("doc_id", "n_pieces", "ids_crc32", (F.md5("text") == F.col("said")).alias("round_trip"))
+
+
+QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_token_store": op8_token_store,
+    "op10_pieces": op10_pieces,
+}
 ORACLE_SQL: dict[str, str] = {}
