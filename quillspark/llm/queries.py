@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspark.llm.decontaminate import contaminations
 from quillspark.llm.pieces import MARK, decode_pieces, encode_pieces
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import secret_digest, secret_spans
+from quillspark.llm.shuffle_shards import read_shards, shard_digest, write_shards
 from quillspark.llm.token_store import read_store, write_store
 from quillspark.session import new_table_path
 
@@ -26,6 +28,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table_path(spark, "shards")
+    write_shards(_documents(spark, sf_dir), path)
+    return shard_digest(read_shards(spark, path))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
@@ -48,6 +60,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
+    "op4_external_shuffle": op4_external_shuffle,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
     "op8_token_store": op8_token_store,
