@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspark.llm.decontaminate import contaminations
+from quillspark.llm.language import fit_languages, identify_language
 from quillspark.llm.pieces import MARK, decode_pieces, encode_pieces
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import secret_digest, secret_spans
 from quillspark.llm.shuffle_shards import read_shards, shard_digest, write_shards
 from quillspark.llm.token_store import read_store, write_store
+from quillspark.llm.toxicity import fit_toxicity, score_toxicity
 from quillspark.session import new_table_path
 
 #: Folder of the public tokenizers' files; None: where the package public_tokenizers is installed.
@@ -28,6 +30,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(column: str, n: int) -> Column:
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_languages(docs, learn=_remainder("id", 3) != 1)
+    found = identify_language(docs, model)
+    return found.select("doc_id", F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -52,6 +65,18 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path, tokenizer).withColumnRenamed("id", "doc_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=_remainder("id", 5) != 0)
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("offending").cast("long").alias("n_offending"),
+    )
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text, decoded again; round_trip says that the decoded text is the text, markers as spaces."""
     docs, model = _documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model")
@@ -60,11 +85,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_external_shuffle": op4_external_shuffle,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
     "op8_token_store": op8_token_store,
+    "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
 }
 ORACLE_SQL: dict[str, str] = {}

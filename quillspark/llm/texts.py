@@ -57,13 +57,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
 
 
-def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes, of one row at least."""
+def slices(offsets: np.ndarray, limit: int = SLICE_BYTES, most_rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes and at most ``most_rows`` rows, of one row at least."""
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
-        yield row, min(end, rows)
-        row = min(end, rows)
+        end = min(end, rows, row + most_rows)
+        yield row, end
+        row = end
 
 
 class Pieces:
@@ -84,8 +85,9 @@ class Slice:
         self.data = data[offsets[begin] : offsets[end]]
         self._prefix: np.ndarray | None = None
 
-    def words(self) -> Pieces:
-        inside = ~IS_SPACE[self.data]
+    def words(self, apart: np.ndarray = IS_SPACE) -> Pieces:
+        """Runs of bytes that ``apart`` doesn't hold."""
+        inside = ~apart[self.data]
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.bounds] = True
         first, last = inside.copy(), inside.copy()
