@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspark.llm.decontaminate import contaminations
+from quillspark.llm.jaccard_join import jaccard_classes
 from quillspark.llm.language import fit_languages, identify_language
 from quillspark.llm.pieces import MARK, decode_pieces, encode_pieces
 from quillspark.llm.quality import quality_rules
@@ -34,6 +35,10 @@ def _remainder(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = fit_languages(docs, learn=_remainder("id", 3) != 1)
@@ -85,6 +90,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_external_shuffle": op4_external_shuffle,
@@ -94,4 +100,24 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Words as the operator takes them: texts without one have no shingle, shorter ones than five words have one.
+_JACCARD_SQL = r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+  FROM words WHERE len(w) > 0),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pairs AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE c::DOUBLE / (p.n + q.n - c) >= 0.8),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT d.doc_id, d.class_id, coalesce(n.n_links, 0) AS n_links
+FROM (SELECT id AS doc_id, min(other) AS class_id FROM reach GROUP BY 1) d
+LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY 1) n USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": _JACCARD_SQL}
