@@ -216,6 +216,14 @@ def _matched(index: Index) -> Callable:
     return run
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, rate: float, block_chars: int) -> Iterator[Index]:
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    n = 1 + (items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars
+    for k in range(n):
+        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t")
+        yield Index([(r.i, r.t) for r in block.collect()], rate)
+
+
 def contaminations(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS,
@@ -223,11 +231,32 @@ def contaminations(
     """A row for each row of df and benchmark item found in it: id, item_id, start, stop, edits, budget."""
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, item_id long, start long, stop long, edits long, budget long"
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    blocks = 1 + (items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars
     out = df.sparkSession.createDataFrame([], schema)
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t")
-        out = out.union(rows.mapInArrow(_matched(Index([(r.i, r.t) for r in block.collect()], rate)), schema))
+    for index in _blocks(benchmark, item_col, item_text, rate, block_chars):
+        out = out.union(rows.mapInArrow(_matched(index), schema))
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_uncontaminated(
+    df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The rows of df, whole, in which no benchmark item is found. Nothing is shuffled."""
+    at = df.columns.index(text_col)
+
+    def without(index: Index) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = utf8(batch.column(at))
+                keep = np.ones(batch.num_rows, bool)
+                for a, b in slices(offsets):
+                    texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(a, b)]
+                    keep[[a + m[0] for m in index.matches(texts)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for index in _blocks(benchmark, item_col, item_text, rate, block_chars):
+        df = df.mapInArrow(without(index), df.schema)
+    return df

@@ -316,6 +316,8 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of df, whole, without those of a class that has a lesser id; repeated ids keep one row. Null ids stay."""
     found = jaccard_classes(df, id_col, text_col, threshold)
     losers = found.where(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("_loser")).distinct()
+    losers = materialize(losers, "losers")
+    losers = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
     kept = df.join(losers, df[id_col] == losers["_loser"], "left_anti")
     repeated = df.groupBy(id_col).agg(F.count("*").alias("_n")).where(f"_n > 1 and `{id_col}` is not null").select(F.col(id_col).alias("_twice"))
     if not repeated.limit(1).count():

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from quillspark.llm.decontaminate import contaminations
+from quillspark.llm.files import tokenizer_file
 from quillspark.llm.jaccard_join import jaccard_classes
 from quillspark.llm.language import fit_languages, identify_language
 from quillspark.llm.pieces import MARK, decode_pieces, encode_pieces
+from quillspark.llm.pii import fit_pii, pii_digest, pii_spans
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import secret_digest, secret_spans
 from quillspark.llm.shuffle_shards import read_shards, shard_digest, write_shards
@@ -15,18 +18,6 @@ from quillspark.llm.token_store import read_store, write_store
 from quillspark.llm.toxicity import fit_toxicity, score_toxicity
 from quillspark.session import new_table_path
 
-#: Folder of the public tokenizers' files; None: where the package public_tokenizers is installed.
-TOKENIZERS: str | None = None
-
-
-def _tokenizer(name: str) -> str:
-    if TOKENIZERS:
-        return f"{TOKENIZERS}/{name}"
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -64,8 +55,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(_documents(spark, sf_dir)))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return pii_digest(pii_spans(docs, fit_pii(docs)))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, tokenizer = new_table_path(spark, "token_store"), _tokenizer("word_bpe_49k.json")
+    path, tokenizer = new_table_path(spark, "token_store"), tokenizer_file("word_bpe_49k.json")
     write_store(_documents(spark, sf_dir), path, tokenizer)
     return read_store(spark, path, tokenizer).withColumnRenamed("id", "doc_id")
 
@@ -84,7 +80,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text, decoded again; round_trip says that the decoded text is the text, markers as spaces."""
-    docs, model = _documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model")
+    docs, model = _documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model")
     decoded = decode_pieces(encode_pieces(docs, model, keep=F.md5(F.translate("text", MARK, " ")).alias("said")), model, keep="said")
     return decoded.select("doc_id", "n_pieces", "ids_crc32", (F.md5("text") == F.col("said")).alias("round_trip"))
 
@@ -96,9 +92,11 @@ QUERIES = {
     "op4_external_shuffle": op4_external_shuffle,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op7_pii": op7_pii,
     "op8_token_store": op8_token_store,
     "op9_toxicity": op9_toxicity,
     "op10_pieces": op10_pieces,
+    "pipeline": corpus_pipeline.run,
 }
 #: Words as the operator takes them: texts without one have no shingle, shorter ones than five words have one.
 _JACCARD_SQL = r"""

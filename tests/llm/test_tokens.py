@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quillspark.llm import pieces, token_store
-from quillspark.llm.queries import _tokenizer
+from quillspark.llm.files import tokenizer_file as _tokenizer
 from quillspark.session import new_table_path
 
 LONG = "abc déf 日本 " * 3000
