@@ -1,4 +1,4 @@
 """Every registered query of the library's own operators, with the SQL it must agree with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillspark.plans import search_queries  # noqa: F401
+from quillspark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
