@@ -267,7 +267,7 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         got = self.stretches(text)
-        self.cache.learn(got)
+        self.cache.learn([got])
         return np.frombuffer(b"".join(map(self.cache.__getitem__, got)), f"<u{self.width}").tolist()
 
     def decode(self, ids) -> str:
@@ -284,7 +284,7 @@ def _encoded(model: PieceModel) -> Callable:
             for a, b in slices(offsets):
                 texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(a, b)]
                 rows = [model.stretches(t) for t in texts]
-                model.cache.learn(s for row in rows for s in row)
+                model.cache.learn(rows)
                 packed = [b"".join(map(model.cache.__getitem__, row)) for row in rows]
                 ids = np.frombuffer(b"".join(packed), kind).astype(np.int32)
                 ends = np.concatenate([[0], np.cumsum([len(p) // model.width for p in packed])]).astype(np.int32)

@@ -25,18 +25,26 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm.texts import slices, utf8
+from quillspark.llm.texts import Pieces, Slice, slices, utf8
 from quillspark.llm.wordcache import WordCache
 from quillspark.session import drop_path
 
 #: A cut needs WINDOW ids before it; a chunk has 2**CUT_BITS more on average, and MOST_IDS at most.
-WINDOW, CUT_BITS, MOST_IDS = 16, 7, 2048
+WINDOW, CUT_BITS, MOST_IDS = 16, 8, 4096
 KEY_BYTES = 16
+#: Words whose ids a worker remembers, of about 200 bytes each.
+MOST_WORDS = 800_000
+#: New words that the tokenizer gets as one input, and in one call.
+LINE_WORDS, BLOCK_WORDS = 100, 4_000
+#: Bytes of text whose distinct words are looked up together.
+SLICE_BYTES = 2 << 20
 #: Documents under one inner node of a part's Merkle tree.
 FANOUT = 1024
 _U = np.uint64
@@ -49,16 +57,50 @@ def _encoder(path: str) -> tuple[WordCache, int]:
     The normalizer turns white space into spaces and the pre-tokenizer drops them, so a text's ids are its words' ids.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+    kind = np.dtype(f"<u{array(code).itemsize}")
+    plain = lambda w: tokenizer.encode(w, add_special_tokens=False).ids
+    bar = plain("|")
+    # Words of small letters in normal form need no normalizer, and are one piece for the pre-tokenizer, whose last token
+    # alone has the end mark; so many go in as one line. Only where the tokenizer's own answers agree.
+    letters = Tokenizer.from_file(path)
+    letters.normalizer = None
+    letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    is_end = np.zeros(1 << 8 * kind.itemsize if kind.itemsize == 2 else tokenizer.get_vocab_size(), bool)
+    is_end[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    trial = ["hello", "straße", "élan", "a", "antidisestablishmentarianism", "日本語"]
+    own = [letters.encode(w, add_special_tokens=False).ids for w in trial]
+    agree = own == list(map(plain, trial)) and all(is_end[ids].sum() == 1 and is_end[ids[-1]] for ids in own)
+
+    def lines(using: Tokenizer, words: list[str], between: str, after: str) -> np.ndarray:
+        joined = [between.join(words[i : i + LINE_WORDS]) + after for i in range(0, len(words), LINE_WORDS)]
+        return np.concatenate([np.empty(0, kind), *(np.array(x.ids, kind) for x in using.encode_batch_fast(joined, add_special_tokens=False))])
+
+    def parts(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> Iterator[bytes]:
+        if len(ends) != n:
+            raise ValueError("the tokenizer didn't keep the words of a line apart")
+        packed, width = flat.tobytes(), kind.itemsize
+        return (packed[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist()))
 
     def encode(words: list[bytes]) -> Iterator[bytes]:
-        got = tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return (array(code, x.ids).tobytes() for x in got)
-
-    return WordCache(encode), array(code).itemsize
+        """Words go in lines, kept apart by their end marks or by bars: an input's cost is then paid once a line."""
+        for at in range(0, len(words), BLOCK_WORDS):
+            block = [w.decode() for w in words[at : at + BLOCK_WORDS]]
+            simple = [agree and w.isalpha() and w == w.lower() and is_normalized("NFC", w) for w in block]
+            easy, hard = [w for w, x in zip(block, simple) if x], [w for w, x in zip(block, simple) if not x and "|" not in w]
+            flat = lines(letters, easy, " ", "")
+            ends = np.flatnonzero(is_end[flat]) + 1
+            of_easy = parts(flat, np.append(0, ends[:-1]), ends, len(easy))
+            flat = lines(tokenizer, hard, " | ", " |")
+            ends = np.flatnonzero(flat == bar[0]) if len(bar) == 1 else np.empty(0, np.int64)
+            of_hard = parts(flat, np.append(0, ends[:-1] + 1), ends, len(hard))
+            for w, x in zip(block, simple):
+                yield next(of_easy) if x else array(code, plain(w)).tobytes() if "|" in w else next(of_hard)
+
+    return WordCache(encode, MOST_WORDS), kind.itemsize
 
 
 @lru_cache(1)
@@ -66,17 +108,21 @@ def _gear() -> np.ndarray:
     return np.random.default_rng(20240501).integers(0, 1 << 63, 1 << 16, dtype=_U)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where one document's chunks end. Depends on the ids alone, so equal passages meet in equal chunks."""
-    n = len(ids)
-    if n <= WINDOW:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind WINDOW ids whose rolling hash says so."""
+    if len(ids) < WINDOW:
+        return np.empty(0, np.int64)
     h = _gear()[ids & 0xFFFF]
     for width in (1, 2, 4, 8):  # doubling: h[i] covers ids i .. i + 2 * width - 1
         h = h[:-width] * _U(pow(0x9E3779B97F4A7C15, width, 1 << 64)) + h[width:]
-    marks = np.flatnonzero(h >> _U(64 - CUT_BITS) == 0) + WINDOW
+    return np.flatnonzero(h >> _U(64 - CUT_BITS) == 0) + WINDOW
+
+
+def cuts(n: int, marked: list[int]) -> list[int]:
+    """Where the chunks of a document of n ids end, marked being its marks. A mark fewer than WINDOW ids into the document, which
+    looks at ids of another one, is never taken; so chunks depend on the document's ids alone."""
     out, last = [], 0
-    for at in marks.tolist():
+    for at in marked:
         while at - last > MOST_IDS:
             last += MOST_IDS
             out.append(last)
@@ -104,25 +150,62 @@ def _key(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=KEY_BYTES).digest()
 
 
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+
+
+def _words(s: Slice) -> Pieces:
+    """Words, a comma or full stop after a letter at the end being a word of its own: the pre-tokenizer cuts there too."""
+    w = s.words()
+    tail = s.data[w.ends - 1]
+    cut = np.flatnonzero(((tail == 44) | (tail == 46)) & _LETTER[s.data[np.maximum(w.ends - 2, w.starts)]])
+    return Pieces(np.insert(w.starts, cut + 1, w.ends[cut] - 1), np.insert(w.ends, cut, w.ends[cut] - 1), s.bounds)
+
+
+def encode_rows(data: np.ndarray, offsets: np.ndarray, begin: int, end: int, cache: WordCache, kind: np.dtype, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows, each with the end id, and where the rows begin and end. Each distinct word of the slice is looked up once; numpy puts the ids in place."""
+    raw = data[offsets[begin] : offsets[end]]
+    if b"<|" not in raw.tobytes():  # special tokens are told by their case, all else is lowered by the tokenizer anyway
+        raw = _LOWER[raw]
+    s = Slice(raw, offsets[begin : end + 1] - offsets[begin], 0, end - begin)
+    w = _words(s)
+    hashes = s.hashes(w)
+    order = np.argsort(hashes)
+    new = np.append(True, np.diff(hashes[order]) != 0)[: len(order)]
+    first, inverse = order[new], np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    text = raw.tobytes()
+    words = [text[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
+    packed = cache.of(words)
+    flat = np.frombuffer(b"".join(packed), kind)
+    sizes = np.array(list(map(len, packed)), np.int64) // kind.itemsize
+    n = sizes[inverse]
+    after = np.cumsum(n)
+    total = int(after[-1]) if len(n) else 0
+    place = np.int32 if total < 1 << 31 else np.int64
+    ids = flat[np.repeat(((np.cumsum(sizes) - sizes)[inverse] - (after - n)).astype(place), n) + np.arange(total, dtype=place)]
+    row_ends = np.concatenate([[0], after])[w.first[1:]]
+    return np.insert(ids, row_ends, end_id), np.concatenate([[0], row_ends + np.arange(1, len(row_ends) + 1)])
+
+
 def _encoded(tokenizer: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, width = _encoder(tokenizer)
         kind = np.dtype(f"<u{width}")
-        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets):
-                words = [data[offsets[i] : offsets[i + 1]].tobytes().split() for i in range(a, b)]
-                cache.learn(w for row in words for w in row)
+            for a, b in slices(offsets, SLICE_BYTES):
                 counts, roots, keys, chunks, ends = [], [], [], [], [0]
-                for row in words:
-                    packed = b"".join(map(cache.__getitem__, row)) + end
-                    at, own = 0, []
-                    for cut in cuts(np.frombuffer(packed, kind)):
-                        chunks.append(packed[at * width : cut * width])
+                ids, bounds = encode_rows(data, offsets, a, b, cache, kind, end_id)
+                packed, marked = ids.tobytes(), marks(ids)
+                firsts = np.searchsorted(marked, bounds, "right").tolist()
+                for row, (begin, end) in enumerate(pairwise(bounds.tolist())):
+                    at, own = begin, []
+                    for cut in cuts(end - begin, (marked[firsts[row] : firsts[row + 1]] - begin).tolist()):
+                        chunks.append(packed[at * width : (begin + cut) * width])
                         own.append(_key(chunks[-1]))
-                        at = cut
-                    counts.append(at)
+                        at = begin + cut
+                    counts.append(end - begin)
                     roots.append(merkle(own))
                     keys += own
                     ends.append(len(keys))
@@ -133,7 +216,7 @@ def _encoded(tokenizer: str, end_id: int) -> Callable:
                         pa.ListArray.from_arrays(ends, pa.array(keys, pa.binary())), pa.ListArray.from_arrays(ends, pa.array(chunks, pa.binary())),
                     ],
                     names=["id", "n_tokens", "root", "keys", "chunks"],
-                )
+                )
 
     return run
 
@@ -166,7 +249,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
     schema = f"id {kind}, n_tokens long, root binary, keys array<binary>, chunks array<binary>"
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     staged = f"{path}/staged"
-    rows.mapInArrow(_encoded(tokenizer, end_id), schema).write.option("compression", "zstd").parquet(staged)
+    rows.mapInArrow(_encoded(tokenizer, end_id), schema).write.parquet(staged)
     encoded = spark.read.schema(schema).parquet(staged)
     pairs = encoded.select(F.explode(F.arrays_zip("keys", "chunks")).alias("c")).select(F.col("c.keys").alias("key"), F.col("c.chunks").alias("ids"))
     pairs.groupBy("key").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")

@@ -15,11 +15,23 @@ class WordCache(dict):
         super().__init__()
         self.encode, self.most = encode, most
 
-    def learn(self, words: Iterable) -> None:
-        """Make every one of these words present."""
-        words = set(words)
-        new = [w for w in words if w not in self]
+    def learn(self, rows: Iterable[list]) -> None:
+        """Make every word of these rows present."""
+        words = set().union(*rows)
+        new = list(words.difference(self))
         if len(self) + len(new) > self.most:
             self.clear()
             new = list(words)
         self.update(zip(new, self.encode(new)))
+
+    def of(self, words: list) -> list[bytes]:
+        """The packed ids of distinct words, in their order."""
+        packed = list(map(self.get, words))
+        new = [w for w, p in zip(words, packed) if p is None]
+        if new:
+            ids = iter(list(self.encode(new)))
+            packed = [next(ids) if p is None else p for p in packed]
+            if len(self) + len(new) > self.most:
+                self.clear()
+            self.update(zip(words, packed))
+        return packed

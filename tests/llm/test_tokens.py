@@ -35,12 +35,41 @@ def test_store_round_trip(spark, docs):
     assert spark.read.parquet(f"{path}/chunks").count() < sum(r.n_chunks for r in got.values())
 
 
+def test_chunks_follow_the_content():
+    ids = np.random.default_rng(1).integers(0, 49_000, 5000).astype("<u2")
+    whole = token_store.cuts(len(ids), token_store.marks(ids).tolist())
+    assert whole[-1] == 5000 and all(b - a <= token_store.MOST_IDS for a, b in zip([0, *whole], whole)) and 8 < len(whole) < 40
+    later = token_store.marks(np.concatenate([ids[:77], ids])) - 77
+    assert token_store.cuts(len(ids), [m for m in later.tolist() if m > 0]) == whole
+    assert token_store.cuts(3, []) == [3] and token_store.cuts(5000, []) == [4096, 5000]
+
+
 def test_store_of_an_empty_table(spark, docs):
     path = new_table_path(spark, "test")
     token_store.write_store(docs.limit(0), path, _tokenizer("word_bpe_49k.json"))
     assert token_store.read_store(spark, path, _tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_words_give_the_tokenizers_ids():
+    import pyarrow as pa
+    from hypothesis import given, settings, strategies as st
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.texts import utf8
+
+    file = _tokenizer("word_bpe_49k.json")
+    whole, (cache, width) = Tokenizer.from_file(file), token_store._encoder(file)
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.text(alphabet="aBcé 'sT.,<|>1\n\u0301ΣSK", max_size=30), min_size=1, max_size=4))
+    def check(texts):
+        data, offsets = utf8(pa.array(texts))
+        ids, bounds = token_store.encode_rows(data, offsets, 0, len(texts), cache, np.dtype(f"<u{width}"), 2)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+    check()
+
+
 def best_score(model, text):
     score = {p: s for p, s, kind in pieces.read_pieces(_tokenizer("piece_bpe_32k.model")) if kind in (1, 4)}
     text = "▁" + text.replace(" ", "▁")
