@@ -305,7 +305,7 @@ def union_locales(t: Tables) -> DataFrame:
 
 @query("id_except", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def id_except(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey").exceptAll(t.customer.select("c_custkey").limit(0)).join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").distinct()
+    return t.customer.select("c_custkey").subtract(t.orders.select("o_custkey"))
 
 
 @query("resource_listing", "SELECT 'folder' AS kind, n_nationkey::BIGINT AS id, n_name AS name, NULL::DOUBLE AS size FROM nation UNION ALL SELECT 'file', s_suppkey, s_name, s_acctbal FROM supplier")
