@@ -36,3 +36,16 @@ def test_whole_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "decontamination", "pii", "pieces"]
     assert got.columns == ["doc_id", "pieces", "n_pieces"] and 100 < got.count() < 200
+
+
+def test_stages_on_empty_and_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, _loser long, score double"
+    odd = [(1, None, None, None, None, None, None, None), (None, "null id " * 9, None, "s", 5, "x", 1, 0.5), (2, "", "en", "s", 0, "x", 1, 0.5)]
+    odd += [(3, "mail a.b@c.org now " * 3, "en", "s", 57, "x", 3, 0.1)] * 2 + [(4, "mail a.b@c.org now " * 3, "en", "s", 57, "x", 3, 0.1), (5, "y" * 200_000, "en", "s", 1, None, 1, 0.0)]
+    for rows, left in (([], []), (odd, [None, 1, 2, 3, 5])):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            docs = stage(spark, docs, SF)
+            assert name == "pieces" or docs.columns == columns
+        assert sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is not None, i)) == left
