@@ -11,7 +11,7 @@ from quillspark.llm.jaccard_join import jaccard_classes
 from quillspark.llm.language import fit_languages, identify_language
 from quillspark.llm.pieces import MARK, decode_pieces, encode_pieces
 from quillspark.llm.pii import fit_pii, pii_digest, pii_spans
-from quillspark.llm.quality import quality_rules
+from quillspark.llm.quality import LINE_LIMIT, MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW, WINDOW_LIMITS, quality_rules
 from quillspark.llm.secrets import secret_digest, secret_spans
 from quillspark.llm.shuffle_shards import read_shards, shard_digest, write_shards
 from quillspark.llm.token_store import read_store, write_store
@@ -118,4 +118,29 @@ FROM (SELECT id AS doc_id, min(other) AS class_id FROM reach GROUP BY 1) d
 LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY 1) n USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": _JACCARD_SQL}
+_SHARES = ", ".join(f"coalesce(max(covered) FILTER (WHERE n = {n}), 0) / greatest(any_value(chars), 1)::DOUBLE AS dup_{n}gram_share" for n in WINDOW_LIMITS)
+_FINE = " AND ".join(f"dup_{n}gram_share <= {limit}::DOUBLE" for n, limit in WINDOW_LIMITS.items())
+_QUALITY_SQL = rf"""
+WITH words AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+windows AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM places, (SELECT unnest([{', '.join(map(str, WINDOW_LIMITS))}]) AS n) WHERE i + n - 1 <= len(w)),
+twice AS (SELECT doc_id, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, g) AS c FROM windows) WHERE c > 1),
+inside AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS i FROM twice),
+cover AS (SELECT doc_id, n, count(*) AS positions, sum(length(w[i])) AS covered FROM inside JOIN words USING (doc_id) GROUP BY 1, 2),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+filled AS (SELECT doc_id, line, count(*) AS c FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
+repeats AS (SELECT doc_id, sum(c - 1) AS n_dup_lines, sum((c - 1) * length(line)) AS dup_chars, sum(c * length(line)) AS line_chars FROM filled GROUP BY 1),
+base AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM words),
+all_rows AS (
+  SELECT doc_id, any_value(n_words) AS n_words, any_value(chars) AS word_chars, any_value(n_symbols) AS n_symbols, coalesce(any_value(n_dup_lines), 0)::BIGINT AS n_dup_lines,
+    coalesce(max(positions) FILTER (WHERE n = {REPEAT_WINDOW}), 0) AS n_repeat_words, {_SHARES},
+    coalesce(any_value(dup_chars), 0) / greatest(coalesce(any_value(line_chars), 1), 1)::DOUBLE AS dup_line_share
+  FROM base LEFT JOIN cover USING (doc_id) LEFT JOIN repeats USING (doc_id) GROUP BY doc_id)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AND dup_line_share <= {LINE_LIMIT}::DOUBLE AND {_FINE} AS kept
+FROM all_rows
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": _JACCARD_SQL, "op5_quality_rules": _QUALITY_SQL}
