@@ -39,7 +39,7 @@ BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 CHECK, TOLERANCE = 20, 1e-4
 #: Classes of a bucket or group that one task holds; a pair of blocks has twice as many.
-BLOCK = 256
+BLOCK = 128
 #: Pairs whose values are compared at a time, and cells of the matrix of classes by shingles.
 MOST_PAIRS, MOST_CELLS = 100_000, 1 << 22
 #: Rows that may be broadcast: of some 60 bytes each.

@@ -49,7 +49,7 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("block", [256, 8])
+@pytest.mark.parametrize("block", [128, 8])
 def test_classes_match_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = corpus(block) + [(None, "one"), (None, None), (20, corpus(block)[20][1])]
