@@ -8,21 +8,46 @@ from pyspark.sql import Column, functions as F
 
 MOST_CHARS, MOST_SEGMENTS = 512, 64
 # What a snapshot leaves out and takes in.
-EXCLUDED_DIRECTORIES = ("node_modules", "target", "dist", "build", "vendor", ".git")
-LOCK_FILES = ("Cargo.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml")
-BINARY_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp", "pdf", "zip", "gz", "exe", "so", "woff", "woff2")
-SECRET_EXTENSIONS = ("pem", "key", "p12", "pfx")
-TEXT_EXTENSIONS = ("rs", "ts", "tsx", "sql", "md", "txt")
-DEFAULT_NAMES = ("Cargo.toml", "package.json")
+EXCLUDED_DIRECTORIES = ".git .hg .svn node_modules target dist build out .next .nuxt .svelte-kit coverage .venv venv __pycache__ .pytest_cache .mypy_cache .tox .gradle".split()
+BINARY_EXTENSIONS = """7z a avi bin bmp class dll dmg doc docx eot exe flac gif gz ico jar jpeg jpg m4a mkv mov mp3 mp4 o obj ogg otf pdf png pyc so sqlite
+sqlite3 tar tif tiff ttf wav webm webp woff woff2 xls xlsx xz zip zst""".split()
+LOCK_FILES = """bun.lock bun.lockb cargo.lock composer.lock deno.lock flake.lock gemfile.lock go.sum mix.lock package-lock.json pnpm-lock.yaml podfile.lock
+poetry.lock yarn.lock""".split()
+SECRET_NAMES = ".env .netrc .npmrc .pgpass .pypirc credentials credentials.json id_dsa id_ecdsa id_ed25519 id_rsa".split()
+SECRET_EXTENSIONS = "csr der jks key keystore p12 pem pfx".split()
+TEXT_EXTENSIONS = "rs ts tsx js jsx sql md mdx rst txt".split()
+DEFAULT_NAMES = "cargo.toml package.json".split()
+# Languages by whole file name (in lower case), then by extension.
+LANGUAGE_NAMES = {
+    "dockerfile": "dockerfile containerfile", "makefile": "makefile gnumakefile justfile kbuild", "cmake": "cmakelists.txt", "groovy": "jenkinsfile",
+    "ruby": "rakefile gemfile podfile cartfile fastfile brewfile vagrantfile berksfile guardfile capfile thorfile appfile snapfile",
+    "gitconfig": ".gitignore .gitattributes .gitmodules", "editorconfig": ".editorconfig", "dotenv": ".env",
+}
+LANGUAGE_EXTENSIONS = {
+    "rust": "rs", "toml": "toml", "python": "py pyi", "ruby": "rb", "javascript": "js mjs cjs", "jsx": "jsx", "typescript": "ts mts cts", "tsx": "tsx",
+    "vue": "vue", "svelte": "svelte", "go": "go", "java": "java", "kotlin": "kt kts", "scala": "scala sc", "swift": "swift", "c": "c h",
+    "cpp": "cc cpp cxx hpp hxx", "csharp": "cs", "objc": "m", "objcpp": "mm", "php": "php", "perl": "pl pm", "lua": "lua", "r": "r R", "dart": "dart",
+    "elixir": "ex exs", "erlang": "erl hrl", "haskell": "hs", "ocaml": "ml mli", "fsharp": "fs fsx", "clojure": "clj cljs cljc", "groovy": "groovy",
+    "zig": "zig", "nim": "nim", "crystal": "cr", "solidity": "sol", "elm": "elm", "purescript": "purs", "reason": "re res", "gdscript": "gd", "sql": "sql",
+    "graphql": "graphql gql", "protobuf": "proto", "prisma": "prisma", "terraform": "tf tfvars tftpl", "hcl": "hcl", "nix": "nix", "yaml": "yaml yml",
+    "json": "json jsonc json5", "ini": "ini cfg conf properties", "xml": "xml xsd xsl", "html": "html htm", "css": "css", "scss": "scss sass", "less": "less",
+    "markdown": "md mdx", "restructuredtext": "rst", "text": "txt", "gettext": "po pot", "svg": "svg", "jupyter": "ipynb", "shell": "sh bash zsh ksh",
+    "fish": "fish", "powershell": "ps1 psm1", "batch": "bat cmd", "assembly": "asm s", "fortran": "f90 f95 f03", "pascal": "pas", "verilog": "v sv svh",
+    "vhdl": "vhd vhdl", "latex": "tex", "diff": "diff patch", "dotenv": "env", "makefile": "mk",
+}
 
 
 def glob_regex(pattern: str) -> str:
-    """Anchored regular expression of a glob: * and ? stay in a segment, ** crosses; without a slash any segment may match."""
-    if len(pattern) > MOST_CHARS or pattern.count("/") >= MOST_SEGMENTS:
-        raise ValueError("pattern too long")
+    """Anchored regular expression of a glob: * and ? stay in a segment, ** crosses any number of them; without a slash any segment may
+    match. Empty and overlong patterns match nothing."""
+    pattern = pattern.lstrip("/")
+    if not pattern or len(pattern) > MOST_CHARS or pattern.count("/") >= MOST_SEGMENTS:
+        return "(?!)"
     out, i = "", 0
     while i < len(pattern):
-        if pattern.startswith("**/", i):
+        if pattern[i:] == "/**":
+            out, i = out + "(?:/.*)?", i + 3
+        elif pattern.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
         elif pattern.startswith("**", i):
             out, i = out + ".*", i + 2
@@ -34,18 +59,28 @@ def glob_regex(pattern: str) -> str:
 
 def selection(path: Column, size: Column, excludes: tuple[str, ...] = (), includes: tuple[str, ...] = (), most_bytes: int = 8 << 20) -> Column:
     """Decision for a file, the first rule that applies."""
-    name, parts = F.element_at(F.split(path, "/"), -1), F.split(path, "/")
-    extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    name, parts = F.lower(F.element_at(F.split(path, "/"), -1)), F.split(path, "/")
+    extension = F.regexp_extract(name, r"\.([^.]*)$", 1)
     matches = lambda patterns: F.lit(False) if not patterns else path.rlike("|".join(f"(?:{glob_regex(p)})" for p in patterns))
-    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     return (
-        F.when(F.arrays_overlap(folders, F.array(*map(F.lit, EXCLUDED_DIRECTORIES))), "excluded_directory")
-        .when(name.rlike(r"^\.env") | extension.isin(*SECRET_EXTENSIONS), "secret")
+        F.when(F.arrays_overlap(parts, F.array(*map(F.lit, EXCLUDED_DIRECTORIES))), "excluded_directory")
+        .when(name.isin(*SECRET_NAMES) | name.startswith(".env."), "secret")
         .when(name.isin(*LOCK_FILES), "lockfile")
         .when(name.contains(".min."), "minified")
-        .when(extension.isin("map", *BINARY_EXTENSIONS), "binary")
+        .when(extension == "map", "source_map")
+        .when(extension == "lock", "lockfile")
+        .when(extension.isin(*SECRET_EXTENSIONS), "secret")
+        .when(extension.isin(*BINARY_EXTENSIONS), "binary")
         .when(size > most_bytes, "too_large")
-        .when(matches(excludes), "excluded")
+        .when(matches(excludes), "excluded_by_user")
         .when(extension.isin(*TEXT_EXTENSIONS) | name.isin(*DEFAULT_NAMES) | matches(includes), "eligible")
         .otherwise("not_included")
     )
+
+
+def language_of(path: Column) -> Column:
+    """Language by file name, else by extension (a leading dot begins none), else unknown."""
+    table = lambda t: F.create_map(*[F.lit(x) for language, keys in t.items() for k in keys.split() for x in (k, language)])
+    name = F.element_at(F.split(path, "/"), -1)
+    extension = F.regexp_extract(name, r"^.+\.([^.]*)$", 1)
+    return F.coalesce(F.try_element_at(table(LANGUAGE_NAMES), F.lower(name)), F.try_element_at(table(LANGUAGE_EXTENSIONS), extension), F.lit("unknown"))

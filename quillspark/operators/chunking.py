@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -17,11 +19,12 @@ REQUEST_ITEMS, REQUEST_BYTES = 32, 1 << 20
 
 @dataclass(frozen=True)
 class ChunkBudget:
-    """Characters (or tokens) of a chunk, and how many it repeats of the one before."""
+    """Characters (or tokens, by a tokenizer's name) of a chunk, and how many it repeats of the one before."""
 
     most: int = 1200
     overlap: int = 200
     unit: str = "chars"
+    tokenizer: str = "words"
 
     @property
     def clamped(self) -> tuple[int, int]:
@@ -30,7 +33,16 @@ class ChunkBudget:
 
     @property
     def identity(self) -> str:
-        return f"{self.unit}:{self.most}:{self.overlap}"
+        """What chunks made with this budget are pinned to."""
+        return ":".join([self.unit, *[self.tokenizer] * (self.unit != "chars"), str(self.most), str(self.overlap)])
+
+    @classmethod
+    def parse(cls, identity: str) -> ChunkBudget:
+        """The budget of an identity; anything else is an error."""
+        m = re.fullmatch(r"(?:(chars)|(tokens|tokens_v2):([\w./-]+)):([1-9][0-9]*):([0-9]+)", identity)
+        if not m or int(m[5]) >= int(m[4]):
+            raise ValueError(f"not a chunk budget: {identity!r}")
+        return cls(int(m[4]), int(m[5]), m[1] or m[2], m[3] or "words")
 
 
 def char_chunks(text: str, budget: ChunkBudget = ChunkBudget()) -> list[str]:
@@ -78,18 +90,47 @@ def token_chunks(text: str, encode: Callable[[str], list[tuple[int, int]]], budg
     return out
 
 
+def bounded_chunks(text: str, encode: Callable[[str], list[tuple[int, int]]], budget: ChunkBudget) -> list[str]:
+    """Chunks of the first of ``most``, 3/4, 1/2, 1/4 of it or 1 tokens whose text, encoded alone, has at most ``most``."""
+    most, overlap = budget.clamped
+    spans, out, at = encode(text), [], 0
+    while at < len(spans):
+        for take in (most, most * 3 // 4, most // 2, most // 4, 1):
+            end = min(len(spans), at + max(1, take))
+            piece = text[spans[at][0] : spans[end - 1][1]]
+            if len(encode(piece)) <= most:
+                break
+        out.append(piece)
+        if end == len(spans):
+            break
+        at = end - min(overlap, end - at - 1)
+    return out
+
+
+@lru_cache(4)
+def file_tokens(path: str) -> Callable[[str], list[tuple[int, int]]]:
+    """The tokenizer of a JSON file of the tokenizers library; the file must be at that path on every executor."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).offsets
+
+
 def word_tokens(text: str) -> list[tuple[int, int]]:
     """A plain tokenizer: words and single other characters."""
-    import re
-
     return [m.span() for m in re.finditer(r"\w+|[^\w\s]", text)]
 
 
+def lines_of(text: str) -> list[str]:
+    """Lines with their newlines; no other character ends a line."""
+    return re.findall(r"[^\n]*\n|[^\n]+", text)
+
+
 def line_chunks(text: str, most_bytes: int = MOST_CODE_BYTES, most_lines: int = MOST_CODE_LINES) -> list[tuple[int, int, str]]:
     """(first line, last line, text), 1-based; the texts join to the source. A longer line is cut between characters."""
     out: list[tuple[int, int, str]] = []
     held, size, first = [], 0, 1
-    for number, line in enumerate(text.splitlines(keepends=True), 1):
+    for number, line in enumerate(lines_of(text), 1):
         n = len(line.encode())
         if held and (size + n > most_bytes or len(held) == most_lines):
             out.append((first, number - 1, "".join(held)))
@@ -113,11 +154,92 @@ def line_chunks(text: str, most_bytes: int = MOST_CODE_BYTES, most_lines: int =
     return out
 
 
+_STRUCTURE = r"""(?P<comment>//[^\n]*|/\*.*?\*/|\A\#!(?!\[)[^\n]*)|(?P<string>%s"(?:[^"\\]|\\.)*"|%s)
+|(?P<mark>\#!?(?=\[)|@[\w.$]+)|(?P<word>\w+)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<other>[^\s])"""
+_SYNTAX = {
+    "rust": re.compile(_STRUCTURE % (r"""b?r(?P<bars>\#*)".*?"(?P=bars)|""", r"""b?'(?:\\[^'\n]+|[^'\\\n])'"""), re.S | re.X),
+    "typescript": re.compile(_STRUCTURE % ("", r"""'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"""), re.S | re.X),
+}
+_SYNTAX["tsx"] = _SYNTAX["typescript"]
+_PAIRS = {")": "(", "]": "[", "}": "{"}
+#: Words of a head that make the item end with its braces; other items end with a semicolon, in TypeScript also before a line that
+#: begins with one of these or of _HEADS.
+_BODIED = frozenset("fn struct enum union trait impl mod macro_rules function class interface namespace".split())
+_HEADS = _BODIED | frozenset("import export const let var type declare abstract async".split())
+
+
+def item_starts(text: str, language: str) -> list[int] | None:
+    """Where the lines of top-level items begin, the comments, attributes and decorators before an item included; the first is 0. None
+    if brackets don't pair or there are too many items. A scan of brackets, not a parse."""
+    starts, stack = [0], []
+    lead: int | None = None  # where comments and attributes that belong to the next item begin
+    inside = mark = bodied = head = False
+    seen, last = 0, ""
+    for m in _SYNTAX[language].finditer(text):
+        kind, token = m.lastgroup if m.lastgroup != "bars" else "string", m[0]
+        first_of_line = not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
+        if inside and not stack and language != "rust" and first_of_line and (token in _HEADS or kind == "mark") and last not in (",", "=", ":", "|", "&", "(", "."):
+            inside = False
+        if kind == "comment":
+            if not stack and lead is None and (not inside or first_of_line):
+                lead = m.start()
+            continue
+        if not inside and not mark:
+            if kind == "mark":
+                lead, mark = m.start() if lead is None else lead, True
+                last = token
+                continue
+            begin = text.rfind("\n", 0, m.start() if lead is None else lead) + 1
+            if seen and begin > starts[-1]:
+                starts.append(begin)
+            seen, inside, bodied, head, lead = seen + 1, True, False, True, None
+        elif mark and not stack and kind not in ("open", "close"):  # a decorator without arguments
+            mark = False
+            begin = text.rfind("\n", 0, lead) + 1
+            if seen and begin > starts[-1]:
+                starts.append(begin)
+            seen, inside, bodied, head, lead = seen + 1, True, False, True, None
+        elif inside:
+            lead = None
+        if head and not stack:
+            bodied = bodied or token in _BODIED or (language == "rust" and token == "!")
+            head = token not in ("{", "=", ";")
+        if kind == "open":
+            stack.append(token)
+        elif kind == "close":
+            if not stack or stack.pop() != _PAIRS[token]:
+                return None
+            if not stack and mark:
+                mark = False
+            elif not stack and token == "}" and bodied:
+                inside = False
+        elif token == ";" and not stack:
+            inside = False
+        last = token
+    return starts if not stack and len(starts) <= MOST_CODE_CHUNKS else None
+
+
+def structural_chunks(text: str, language: str, most_bytes: int = MOST_CODE_BYTES, most_lines: int = MOST_CODE_LINES) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of each top-level item, larger ones cut like line_chunks; other languages and texts whose brackets
+    don't pair are cut by lines."""
+    starts = item_starts(text, language) if text and language in _SYNTAX else None
+    if starts is None:
+        return line_chunks(text, most_bytes, most_lines)
+    out, line = [], 1
+    for a, b in zip(starts, [*starts[1:], len(text)]):
+        own = text[a:b]
+        n = len(lines_of(own))
+        whole = n <= most_lines and len(own.encode()) <= most_bytes
+        out += [(line, line + n - 1, own)] if whole else [(line + s - 1, line + e - 1, c) for s, e, c in line_chunks(own, most_bytes, most_lines)]
+        line += n
+    return out
+
+
 def segments(body: str) -> list[tuple[str, str, str, bool]]:
     """(id, text, suffix, translatable): paragraphs are translatable; blank lines and fenced code aren't. text + suffix join to the body."""
     blocks: list[tuple[str, bool]] = []
     fenced = False
-    for line in body.splitlines(keepends=True):
+    for line in lines_of(body):
         fence = line.lstrip().startswith("```")
         translatable = not (fenced or fence) and bool(line.strip())
         fenced = fenced != fence
@@ -160,7 +282,14 @@ def _per_row(df: DataFrame, id_col: str, text_col: str, schema: str, rows: Calla
 
 
 def chunk_text(df: DataFrame, id_col: str, text_col: str, budget: ChunkBudget = ChunkBudget()) -> DataFrame:
-    cut = (lambda t: token_chunks(t, word_tokens, budget)) if budget.unit == "tokens" else (lambda t: char_chunks(t, budget))
+    """Chunks by characters, tokens (tokens_v2: by the bounded cut), of the words or of a tokenizer file. A null text has none."""
+
+    def cut(text: str) -> list[str]:
+        if budget.unit == "chars":
+            return char_chunks(text, budget)
+        encode = word_tokens if budget.tokenizer == "words" else file_tokens(budget.tokenizer)
+        return (bounded_chunks if budget.unit == "tokens_v2" else token_chunks)(text, encode, budget)
+
     return _per_row(df, id_col, text_col, "chunk_text string", lambda t: [(c,) for c in cut(t)])
 
 
@@ -168,6 +297,10 @@ def chunk_code(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _per_row(df, id_col, text_col, "start_line int, end_line int, chunk_text string", line_chunks)
 
 
+def chunk_structure(df: DataFrame, id_col: str, text_col: str, language: str) -> DataFrame:
+    return _per_row(df, id_col, text_col, "start_line int, end_line int, chunk_text string", lambda t: structural_chunks(t, language))
+
+
 def segment(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _per_row(df, id_col, text_col, "segment_id string, segment_text string, suffix string, translatable boolean", segments)
 

@@ -79,6 +79,14 @@ def fuse(vector: DataFrame, keyword: DataFrame, phrase: str, weights: FusionWeig
     return merged.withColumn("score", F.round(base + F.least(tier * weights.boost, 1 - base), 6)).withColumn("match_reason", reason)
 
 
+def overlap_scores(hits: DataFrame, phrase: str) -> DataFrame:
+    """A rerank score where no model is at hand: the share of the phrase's distinct terms among the words of chunk_text."""
+    terms = sorted(set(query_terms(phrase)))
+    words = F.split(F.lower("chunk_text"), r"[\s\p{Punct}]+")
+    shared = F.size(F.array_intersect(F.array(*map(F.lit, terms)), words)) if terms else F.lit(0)
+    return hits.select("document_id", "chunk_index", F.round(shared / max(1, len(terms)), 6).alias("rerank_score"))
+
+
 def apply_rerank(hits: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
     """Scored hits first, by rerank score; the rest in local order."""
     joined = hits.join(scores, ["document_id", "chunk_index"], "left")

@@ -553,3 +553,14 @@ def order_by_group_min(t: Tables) -> DataFrame:
 @query("doc_point_ids", "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS points FROM lineitem GROUP BY 1")
 def doc_point_ids(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("l_linenumber")).cast("array<string>"), ",").alias("points"))
+
+
+@query("file_counts_window", """WITH f AS (SELECT l_orderkey, min(l_partkey) AS file_id FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT file_id, count(*) AS n FROM lineitem LEFT JOIN f USING (l_orderkey)
+WHERE (l_orderkey > 100 OR (l_orderkey = 100 AND l_linenumber > 2)) AND (l_orderkey < 3000 OR (l_orderkey = 3000 AND l_linenumber <= 3)) GROUP BY 1""")
+def file_counts_window(t: Tables) -> DataFrame:
+    after = F.expr("l_orderkey > 100 or (l_orderkey = 100 and l_linenumber > 2)")
+    upto = F.expr("l_orderkey < 3000 or (l_orderkey = 3000 and l_linenumber <= 3)")
+    page = t.lineitem.where(F.col("l_orderkey").between(100, 3000) & after & upto).select("l_orderkey")
+    files = t.lineitem.where("l_orderkey between 100 and 3000 and l_returnflag = 'R'").groupBy("l_orderkey").agg(F.min("l_partkey").alias("file_id"))
+    return page.join(files, "l_orderkey", "left").groupBy("file_id").agg(F.count("*").alias("n"))

@@ -193,6 +193,17 @@ def rerank_apply(t: Tables) -> DataFrame:
     return S.apply_rerank(hits, scores, 12).select("document_id", "chunk_index", "score", "rerank_score")
 
 
+_TERMS_SQL = "[" + ", ".join(f"'{x}'" for x in sorted(set(X.query_terms(PHRASE)))) + "]"
+
+
+@query("rerank_overlap", _HYBRID_SQL + rf""", s AS (SELECT document_id, chunk_index, round(len(list_filter({_TERMS_SQL}, lambda x: list_contains(string_split_regex(lower(chunk_text), '[\s[:punct:]]+'), x))) / len({_TERMS_SQL})::DOUBLE, 6) AS rerank_score
+FROM final JOIN chunks USING (document_id, chunk_index)) SELECT document_id, chunk_index, score, rerank_score FROM final JOIN s USING (document_id, chunk_index) ORDER BY rerank_score DESC, score DESC, document_id, chunk_index LIMIT 40""")
+def rerank_overlap(t: Tables) -> DataFrame:
+    hits = _hybrid(t)
+    scores = S.overlap_scores(hits, PHRASE)
+    return S.apply_rerank(hits, scores, 40).select("document_id", "chunk_index", "score", "rerank_score")
+
+
 @query("rrf_fusion", f"""WITH {CHUNKS_SQL}, {_SCORE_SQL},
 kw AS (SELECT document_id AS id, row_number() OVER (ORDER BY max(keyword_score) DESC, document_id) AS rank FROM hits GROUP BY document_id ORDER BY rank LIMIT 50),
 v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COSINE_SQL.removesuffix(' AS vector_score')} DESC, vec_id) AS rank FROM embeddings ORDER BY rank LIMIT 50)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.functions.paths import selection
+from quillspark.functions.locale import COMMON_WORDS, LEAST_CONFIDENCE, detect_locale as locale_of
+from quillspark.functions.paths import language_of, selection
 from quillspark.functions.text import normalize_body
 from quillspark.operators import chunking as C
 from quillspark.plans.registry import Tables, query
@@ -25,6 +26,21 @@ def chunk_lines(t: Tables) -> DataFrame:
     return C.chunk_code(t.documents, "doc_id", "text")
 
 
+@query("chunk_tokens_v2")
+def chunk_tokens_v2(t: Tables) -> DataFrame:
+    return C.chunk_text(t.documents, "doc_id", "text", C.ChunkBudget.parse("tokens_v2:words:1024:128"))
+
+
+@query("chunk_structural", """SELECT n_regionkey, (row_number() OVER w - 1)::INT AS chunk_index, (row_number() OVER w * 5 - 4)::INT AS start_line,
+(row_number() OVER w * 5)::INT AS end_line, concat('/// ', n_name, chr(10), '#[inline]', chr(10), 'pub fn n', n_nationkey, '() -> i32 {', chr(10), '    ', n_nationkey, chr(10), '}', chr(10)) AS chunk_text
+FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)""")
+def chunk_structural(t: Tables) -> DataFrame:
+    key = F.col("n_nationkey").cast("string")
+    item = F.concat(F.lit("/// "), "n_name", F.lit("\n#[inline]\npub fn n"), key, F.lit("() -> i32 {\n    "), key, F.lit("\n}\n"))
+    source = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("item")))), lambda x: x["item"]), "")
+    return C.chunk_structure(t.nation.groupBy("n_regionkey").agg(source.alias("source")), "n_regionkey", "source", "rust")
+
+
 @query("segment_body")
 def segment_body(t: Tables) -> DataFrame:
     return C.segment(t.documents, "doc_id", "text")
@@ -40,17 +56,17 @@ def embed_batch_plan(t: Tables) -> DataFrame:
     return C.plan_batches(t.conversations, ["conv_id"], ["turn"], "text", requests=True)
 
 
-_PATH_SQL = "SELECT doc_id, concat(source, '/', CASE WHEN doc_id % 11 = 0 THEN 'vendor/' ELSE '' END, doc_id, CASE doc_id % 5 WHEN 0 THEN '.rs' WHEN 1 THEN '.min.js' WHEN 2 THEN '.png' WHEN 3 THEN '.md' ELSE '.yml' END) AS path, n_chars AS size FROM documents"
+_PATH_SQL = "SELECT doc_id, concat(source, '/', CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' ELSE '' END, doc_id, CASE doc_id % 5 WHEN 0 THEN '.rs' WHEN 1 THEN '.min.js' WHEN 2 THEN '.png' WHEN 3 THEN '.md' ELSE '.yml' END) AS path, n_chars AS size FROM documents"
 
 
 def _paths(t: Tables) -> DataFrame:
     suffix = F.element_at(F.array(*map(F.lit, (".rs", ".min.js", ".png", ".md", ".yml"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    folder = F.when(F.col("doc_id") % 11 == 0, "vendor/").otherwise("")
+    folder = F.when(F.col("doc_id") % 11 == 0, "node_modules/").otherwise("")
     return t.documents.select("doc_id", F.concat("source", F.lit("/"), folder, F.col("doc_id").cast("string"), suffix).alias("path"), F.col("n_chars").alias("size"))
 
 
-_DECISION_SQL = f"""p AS ({_PATH_SQL}), s AS (SELECT doc_id, CASE WHEN path LIKE '%/vendor/%' THEN 'excluded_directory' WHEN path LIKE '%.min.%' THEN 'minified'
-  WHEN path LIKE '%.png' THEN 'binary' WHEN size > 5000 THEN 'too_large' WHEN starts_with(path, 'src3/') THEN 'excluded' WHEN path LIKE '%.rs' OR path LIKE '%.md' THEN 'eligible' ELSE 'not_included' END AS decision FROM p)"""
+_DECISION_SQL = f"""p AS ({_PATH_SQL}), s AS (SELECT doc_id, CASE WHEN path LIKE '%/node_modules/%' THEN 'excluded_directory' WHEN path LIKE '%.min.%' THEN 'minified'
+  WHEN path LIKE '%.png' THEN 'binary' WHEN size > 5000 THEN 'too_large' WHEN starts_with(path, 'src3/') THEN 'excluded_by_user' WHEN path LIKE '%.rs' OR path LIKE '%.md' THEN 'eligible' ELSE 'not_included' END AS decision FROM p)"""
 
 
 @query("file_selection", f"WITH {_DECISION_SQL} SELECT doc_id, decision FROM s")
@@ -69,12 +85,9 @@ def file_kind(t: Tables) -> DataFrame:
     return _paths(t).select("doc_id", kind.alias("kind"))
 
 
-@query("lang_from_path", f"WITH p AS ({_PATH_SQL}) SELECT doc_id, CASE WHEN path LIKE '%.rs' THEN 'rust' WHEN path LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.yml' THEN 'yaml' END AS language FROM p")
+@query("lang_from_path", f"WITH p AS ({_PATH_SQL}) SELECT doc_id, CASE WHEN path LIKE '%.rs' THEN 'rust' WHEN path LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.yml' THEN 'yaml' ELSE 'unknown' END AS language FROM p")
 def lang_from_path(t: Tables) -> DataFrame:
-    # Languages by extension.
-    names = {"rs": "rust", "ts": "typescript", "tsx": "tsx", "js": "javascript", "py": "python", "go": "go", "sql": "sql", "md": "markdown", "yml": "yaml", "yaml": "yaml", "json": "json", "toml": "toml"}
-    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    return _paths(t).select("doc_id", F.try_element_at(table, F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).alias("language"))
+    return _paths(t).select("doc_id", language_of(F.col("path")).alias("language"))
 
 
 @query("safe_path", f"WITH p AS ({_PATH_SQL}) SELECT doc_id, len(string_split(path, '/')) <= 32 AND NOT regexp_matches(path, '(^|/)\\.\\.?(/|$)') AND NOT starts_with(path, '/') AS safe FROM p")
@@ -92,3 +105,14 @@ def code_text_valid(t: Tables) -> DataFrame:
 def code_window(t: Tables) -> DataFrame:
     lines = F.slice(F.split("text", "\n"), 2, 3)
     return t.documents.where(F.size(lines) > 0).select("doc_id", F.array_join(lines, "\n").alias("body"))
+
+
+_FOUND_SQL = ", ".join(f"len(list_filter(w, lambda x: list_contains({own!r}, x))) AS {code}" for code, own in COMMON_WORDS.items())
+_TOTAL_SQL = " + ".join([*COMMON_WORDS, "zh"])
+_LOCALE_SQL = " ".join(f"WHEN {c} >= {LEAST_CONFIDENCE}::DOUBLE * ({_TOTAL_SQL}) THEN '{c}'" for c in [*COMMON_WORDS, "zh"])
+
+
+@query("detect_locale", rf"""WITH t AS (SELECT doc_id, text, string_split_regex(lower(text), '[^\p{{L}}]+') AS w FROM documents),
+n AS (SELECT doc_id, {_FOUND_SQL}, length(regexp_replace(text, '[^\p{{Han}}]', '', 'g')) AS zh FROM t) SELECT doc_id, CASE WHEN {_TOTAL_SQL} = 0 THEN NULL {_LOCALE_SQL} END AS locale FROM n""")
+def detect_locale(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", locale_of(F.col("text")).alias("locale"))

@@ -40,13 +40,78 @@ def test_token_chunks_and_batches():
     assert C.greedy_batches([1, 1, 99, 1, 1], 2, 10) == [0, 0, 1, 2, 2]
 
 
+RUST = "//! Docs.\n\nuse std::fmt;\n\n/// Adds.\n/// More.\n#[inline]\npub fn add(a: i32) -> i32 {\n    a\n}\n\n#[cfg(test)]\nmod tests {\n    fn adds() { '{'; }\n}\n"
+SCRIPT = "// head\n\nimport { x } from './x';\n\n/** shape */\nexport interface Shape {\n  v: number;\n}\nconst a = {x: 1}\n@mark({a: 1})\nexport class D {}\n"
+VIEW = "// view\n\nexport function App() {\n  return <main>Don't</main>;\n}\n\nexport const label = 'app';\n"
+
+
+def test_structural_chunks_begin_at_items():
+    spans = lambda text, language: [c[:2] for c in C.structural_chunks(text, language)]
+    assert spans(RUST, "rust") == [(1, 4), (5, 11), (12, 15)]
+    assert spans(SCRIPT, "typescript") == [(1, 4), (5, 8), (9, 9), (10, 11)]
+    assert spans(VIEW, "tsx") == [(1, 6), (7, 7)]
+    assert C.item_starts("fn a() {", "rust") is None and spans("fn a() {\n", "rust") == [(1, 1)] and spans("", "rust") == [] and spans("a\nb", "cobol") == [(1, 2)]
+    large = "pub fn large() {\n" + "".join(f"    let v{i} = {i};\n" for i in range(90)) + "}\nstruct B;\n"
+    got = C.structural_chunks(large, "rust", 512, 20)
+    assert "".join(c[2] for c in got) == large and all(len(c[2]) <= 512 and c[1] - c[0] < 20 for c in got) and got[-1][:2] == (93, 93)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="a{}()[];#@/*\"'`=!\n \u2028\x0c", max_size=120), st.sampled_from(["rust", "typescript", "tsx", "sql"]))
+def test_structural_chunks_rejoin(text, language):
+    got = C.structural_chunks(text, language, 32, 4)
+    assert "".join(c[2] for c in got) == text
+    assert sorted({n for a, b, _ in got for n in range(a, b + 1)}) == list(range(1, len(C.lines_of(text)) + 1))
+
+
+def test_bounded_token_chunks():
+    text = " ".join(f"w{i}" for i in range(100))
+    got = C.bounded_chunks(text, C.word_tokens, C.ChunkBudget(10, 3, "tokens_v2"))
+    assert all(len(c.split()) <= 10 for c in got) and got[0].split()[-3:] == got[1].split()[:3] and got[-1].endswith("w99")
+    twice = lambda t: C.word_tokens(t) * 2 if len(t) < 60 else C.word_tokens(t)  # noqa: E731  a text alone has more tokens than in its place
+    assert [len(c.split()) for c in C.bounded_chunks(text, twice, C.ChunkBudget(8, 0))][0] == 4
+    assert C.bounded_chunks("", C.word_tokens, C.ChunkBudget()) == []
+
+
+def test_budget_identities():
+    for budget in (C.ChunkBudget(), C.ChunkBudget(10, 3, "tokens"), C.ChunkBudget(10, 0, "tokens_v2", "o200k_base")):
+        assert C.ChunkBudget.parse(budget.identity) == budget
+    for wrong in ("", "chars:0:0", "chars:5:5", "tokens:5:1", "words:5:1", "chars:5:1:x"):
+        with pytest.raises(ValueError):
+            C.ChunkBudget.parse(wrong)
+
+
+def test_file_tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    pytest.importorskip("tokenizers")
+    text = "the cat sat on the mat. " * 40
+    got = C.bounded_chunks(text, C.file_tokens(public.path("byte_bpe_50k.json")), C.ChunkBudget(16, 4, "tokens_v2"))
+    assert len(got) > 1 and all(len(C.file_tokens(public.path("byte_bpe_50k.json"))(c)) <= 16 for c in got)
+
+
+def test_languages_and_locales(spark):
+    from quillspark.functions.locale import detect_locale
+    from quillspark.functions.paths import language_of
+
+    paths = {"a/Dockerfile": "dockerfile", "x.rs": "rust", "x.R": "r", "x.RS": "unknown", ".bashrc": "unknown", ".env": "dotenv", "a.b/c": "unknown", "m/CMakeLists.txt": "cmake", "": "unknown"}
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r[0]: r[1] for r in df.select("path", language_of(F.col("path"))).collect()} == paths
+    texts = {"the cat and the dog": "en", "le chat et les chiens": "fra", "der Hund und die Katze": "deu", "el perro y los gatos": "spa", "有效内容": "zh", "the le": None, "": None}
+    df = spark.createDataFrame([(x,) for x in [*texts, None]], "text string")
+    assert {r[0]: r[1] for r in df.select("text", detect_locale(F.col("text"))).collect()} == texts | {None: None}
+
+
 def test_globs_and_selection(spark):
     rows = [("src/main.rs", 5), ("config.yml", 5), ("a/node_modules/x.rs", 5), ("k.pem", 1), ("Cargo.lock", 1), ("a.min.js", 1), ("b.png", 1), ("big.md", 10**8), ("docs/skip.md", 1), ("Cargo.toml", 1)]
     df = spark.createDataFrame(rows, "path string, size long")
     got = [r[0] for r in df.select(selection(F.col("path"), F.col("size"), ("docs/*",))).collect()]
-    assert got == ["eligible", "not_included", "excluded_directory", "secret", "lockfile", "minified", "binary", "too_large", "excluded", "eligible"]
+    assert got == ["eligible", "not_included", "excluded_directory", "secret", "lockfile", "minified", "binary", "too_large", "excluded_by_user", "eligible"]
+    more = {"a/target": "excluded_directory", ".env.local": "secret", "a/ID_RSA": "secret", "x.lock": "lockfile", "x.js.map": "source_map", "x.JSX": "eligible", "vendor/x.rs": "eligible"}
+    got = spark.createDataFrame([(p,) for p in more], "path string").select("path", selection(F.col("path"), F.lit(1))).collect()
+    assert {r[0]: r[1] for r in got} == more
     import re
 
+    assert re.search(glob_regex("docs/**"), "docs/a/b") and re.search(glob_regex("/docs/**"), "docs") and not re.search(glob_regex(""), "a") and not re.search(glob_regex("x" * 600), "x" * 600)
     assert re.search(glob_regex("src/**/x?.rs"), "src/a/b/x1.rs") and not re.search(glob_regex("src/*.rs"), "src/a/b.rs") and re.search(glob_regex("*.md"), "a/b.md")
 
 
