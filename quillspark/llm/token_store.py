@@ -45,6 +45,8 @@ MOST_WORDS = 800_000
 LINE_WORDS, BLOCK_WORDS = 100, 4_000
 #: Bytes of text whose distinct words are looked up together.
 SLICE_BYTES = 2 << 20
+#: The codec of staged and stored chunks: packed ids gain little from more effort.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: Documents under one inner node of a part's Merkle tree.
 FANOUT = 1024
 _U = np.uint64
@@ -249,10 +251,10 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
     schema = f"id {kind}, n_tokens long, root binary, keys array<binary>, chunks array<binary>"
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     staged = f"{path}/staged"
-    rows.mapInArrow(_encoded(tokenizer, end_id), schema).write.parquet(staged)
+    rows.mapInArrow(_encoded(tokenizer, end_id), schema).write.options(**PACKED).parquet(staged)
     encoded = spark.read.schema(schema).parquet(staged)
     pairs = encoded.select(F.explode(F.arrays_zip("keys", "chunks")).alias("c")).select(F.col("c.keys").alias("key"), F.col("c.chunks").alias("ids"))
-    pairs.groupBy("key").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    pairs.groupBy("key").agg(F.first("ids").alias("ids")).write.options(**PACKED).parquet(f"{path}/chunks")
     recipes = encoded.select("id", "n_tokens", "root", "keys").repartitionByRange("id", "root").sortWithinPartitions("id", "root")
     recipes = recipes.mapInArrow(_numbered, f"id {kind}, n_tokens long, root binary, keys array<binary>, row long, local_start long")
     recipes.withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/recipes")
