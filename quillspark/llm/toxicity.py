@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of its distinct hashed words; a document's is
-the noisy-or of its sentences', 1 - prod(1 - p). Weights are trained from document labels alone, by gradient steps on the
-documents' log loss, and so locate the offending sentences too.
+A document is a bag of sentences. A sentence's score is a logistic function of its distinct hashed words, and 0 if none of
+them has a weight; a document's is the noisy-or of one leak, the same for every document, and of the scores of its offending
+sentences (those of OFFENDING and more), 1 - (1 - leak) * prod(1 - p). Weak sentences are no evidence, however many a long
+text has. Weights, bias and leak are trained from document labels alone, by gradient steps on the documents' log loss, and
+so locate the offending sentences too; the first half of the steps counts weak sentences, from which the weights set out.
 
 The model is fitted on a bounded sample: at most ``most_labelled`` labelled documents, those of the smallest hashes of
 their ids, whole texts. Scoring passes over all rows without a shuffle.
@@ -54,15 +56,20 @@ def sentence_words(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 class ToxicityModel:
     weights: np.ndarray
     bias: float
+    leak: float
 
     def sentences(self, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, extent in bytes and score of each sentence."""
         row, extent, sentence, word = sentence_words(s)
-        z = self.bias + np.bincount(sentence, self.weights[word], len(row))
-        return row, extent, 1 / (1 + np.exp(-z))
+        weight = self.weights[word]
+        z = self.bias + np.bincount(sentence, weight, len(row))
+        return row, extent, np.where(np.bincount(sentence, weight != 0, len(row)) > 0, 1 / (1 + np.exp(-z)), 0.0)
 
     def documents(self, row: np.ndarray, p: np.ndarray, n_rows: int) -> np.ndarray:
-        return np.abs(np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), n_rows)))
+        """Score of each row; one without a sentence has no leak."""
+        bad = p >= OFFENDING
+        clean = np.bincount(row[bad], np.log1p(-np.minimum(p[bad], 1 - 1e-12)), n_rows) + np.where(np.bincount(row, minlength=n_rows) > 0, np.log1p(-self.leak), 0.0)
+        return np.abs(np.expm1(clean))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +97,7 @@ def fit_toxicity(
     sample = rows.join(F.broadcast(named), "id").select("text", "label")  # at most most_labelled rows of two numbers
     bags = sample.mapInArrow(_bags, "label int, sentence array<int>, word array<int>").toArrow().combine_chunks()
     y = bags.column("label").to_numpy() > 0
-    model = ToxicityModel(np.zeros(1 << BITS, np.float32), -30.0)
+    model = ToxicityModel(np.zeros(1 << BITS, np.float32), -30.0, 0.0)
     if not y.any():
         return model
     sizes = bags.column("word").combine_chunks().value_lengths().to_numpy()
@@ -106,26 +113,25 @@ def fit_toxicity(
     kept = np.flatnonzero((n >= LEAST_DOCUMENTS) & (bound >= LEAST_SHARE))
     number = np.full(1 << BITS, -1)
     number[kept] = np.arange(len(kept))
-    _, place = np.unique(doc.astype(np.int64) << 32 | sentence, return_inverse=True)
-    owner = np.zeros(place.max() + 1, np.int64)
-    owner[place] = doc
     known = number[word] >= 0
-    place, feature = place[known], number[word[known]]
+    owner, place = np.unique(doc[known].astype(np.int64) << 32 | sentence[known], return_inverse=True)
+    owner, feature = owner >> 32, number[word[known]]
     # Adam on the mean log loss of documents.
-    w, b = np.zeros(len(kept)), -5.0
-    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    w, b, c = np.zeros(len(kept)), -5.0, -5.0
+    m, v = np.zeros(len(kept) + 2), np.zeros(len(kept) + 2)
     for t in range(1, STEPS + 1):
         z = b + np.bincount(place, w[feature], len(owner))
-        p = 1 / (1 + np.exp(-z))
-        clean = np.exp(-np.bincount(owner, np.logaddexp(0, z), len(y)))  # prod(1 - p)
+        p, leak = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-c))
+        counted = (p >= OFFENDING) | (t <= STEPS // 2)
+        clean = np.exp(-np.bincount(owner, np.where(counted, np.logaddexp(0, z), 0.0), len(y)) - np.logaddexp(0, c))  # (1 - leak) * prod(1 - p)
         pull = np.where(y, -clean / np.maximum(1 - clean, 1e-9), 1.0) / len(y)
-        dz = p * pull[owner]
-        g = np.append(np.bincount(feature, dz[place], len(kept)) + DECAY * w, dz.sum())
+        dz = np.where(counted, p, 0.0) * pull[owner]
+        g = np.concatenate([np.bincount(feature, dz[place], len(kept)) + DECAY * w, [dz.sum(), leak * pull.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        w, b = w - step[:-1], b - step[-1]
+        w, b, c = w - step[:-2], b - step[-2], c - step[-1]
     model.weights[kept] = w
-    model.bias = float(b)
+    model.bias, model.leak = float(b), float(min(1 / (1 + np.exp(-c)), 1 - 1e-12))
     return model
 
 

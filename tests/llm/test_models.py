@@ -70,3 +70,16 @@ def test_toxicity_locates_the_sentence(spark, planted):
     assert toxicity.keep_clean(odd, model).count() == 4 and toxicity.keep_clean(odd, model).columns == odd.columns
     none = toxicity.fit_toxicity(docs.limit(0), labels.limit(0))
     assert toxicity.score_toxicity(docs, none).agg(F.max("score")).first()[0] < 1e-6
+
+
+def test_toxicity_of_a_long_clean_text(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+    rows = duckdb.sql(f"select text from '{SF}/documents.parquet' join (select doc_id, max(toxic) as toxic from '{SF}/labels.parquet' group by 1) using (doc_id) where toxic = 0 order by doc_id").fetchall()
+    fine = spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "doc_id long, text string")
+    clean = [r.text for r in toxicity.keep_clean(fine, model).collect()]
+    long = spark.createDataFrame([(1, "\n".join(clean * 5)), (2, "quiet words here. " * 50_000)], "doc_id long, text string")
+    assert len(clean) > 0.9 * len(rows)
+    got = toxicity.score_toxicity(long, model).collect()
+    assert all(r.score < 0.5 and not r.offending for r in got)
+    assert toxicity.keep_clean(long, model).count() == 2
