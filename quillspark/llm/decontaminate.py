@@ -5,210 +5,414 @@ diagonals no more than k apart. So the filter counts, for each text, item and di
 overlapping by one, so that any k + 1 neighbouring diagonals lie in one band), the shared q-grams; regions that meet the
 bound are verified by an edit distance computed in a band around their diagonals. Nothing within the budget is lost.
 
+Phrases that many items share would make a text's hits grow with hits times items. As k edits destroy k * Q q-grams at
+most, an item is counted by its rare q-grams alone (those in no more than COMMON items' places) wherever their number
+exceeds k * Q. Other items are first held against windows of the text by short grams: a window that contains the item
+lacks at most k * n of the item's distinct n-grams (n of SHORTS), and that is one matrix product for many windows and
+items. Only what passes is counted. Regions pass the same test again. Windows and regions of equal contents are looked at
+once, many regions are verified side by side, and a region is left as soon as its least cost is over the budget. (What remains: a text that repeats a phrase making up some four
+fifths of many items has each place aligned with each of them.)
+
 Texts and items are compared in lower case with every run of characters other than letters and digits as one space.
 The benchmark is a query set against all rows: it is handled in blocks of at most ``block_chars`` characters, each sent to
 the tasks whole.
 
 Defined results: null or empty texts and items match nothing, nor do items without a letter or digit; items shorter than
-Q, or too short for the lemma to leave a shared q-gram, get a smaller edit budget, down to 0 (exact occurrence). Repeated
-rows of df each give their matches. An empty benchmark or table gives no rows.
+Q, or too short for the lemma to leave a shared q-gram, get a smaller edit budget, down to 0 (exact occurrence, for the
+shortest as whole words). Ids are of any type, null included. Repeated rows of df each give their matches, repeated items
+too. Of a text and an item, the region of the fewest edits is given, of those the first. An empty benchmark or table
+gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspark.llm.texts import mix, utf8, slices
+from quillspark.llm.texts import mix, slices, utf8
 
 Q = 10
 #: Edits allowed for each character of an item.
 EDIT_RATE = 0.08
 BLOCK_CHARS = 4_000_000
+#: Places in items that a q-gram may have to be rare.
+COMMON = 32
+#: Lengths of the window test's short grams, and the bits of a gram's place in the test's table.
+SHORTS, SHORT_BITS = (4, 2), 11
+#: Hits counted at a time, cells of a batch of alignments, and windows tested at a time.
+MOST_HITS, MOST_CELLS, MOST_WINDOWS = 1 << 20, 1 << 20, 512
 _U = np.uint64
 _BITS = 22
-_PLANE = 1 << 16
-_LOWER = np.arange(_PLANE, dtype=np.uint32)
-_ALNUM = np.zeros(_PLANE, bool)
-for _c in range(_PLANE):
-    _x = chr(_c)
-    _ALNUM[_c] = _x.isalnum()
-    if len(_x.lower()) == 1 and ord(_x.lower()) < _PLANE:
-        _LOWER[_c] = ord(_x.lower())
+_BASE = _U(0x9E3779B97F4A7C15)
+_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+
+
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point: is it a letter or digit, and its lower case."""
+    is_word = np.array([chr(c).isalnum() for c in range(0x110000)])
+    low = np.arange(0x110000, dtype=np.uint32)
+    for c in np.flatnonzero(is_word).tolist():
+        x = chr(c).lower()
+        if len(x) == 1:
+            low[c] = ord(x)
+    return is_word, low
 
 
 def normalize(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Compared form of code points, and the place of each of its characters."""
-    low = points.copy()
-    bmp = points < _PLANE
-    low[bmp] = _LOWER[points[bmp]]
-    word = np.ones(len(points), bool)
-    word[bmp] = _ALNUM[low[bmp]]
+    is_word, low = _letters()
+    word = is_word[points]
     keep = word.copy()
     keep[1:] |= word[:-1]
     at = np.flatnonzero(keep)
-    return np.where(word[at], low[at], 32).astype(np.uint32), at
+    return np.where(word[at], low[points[at]], 32).astype(np.uint32), at
+
 
+def grams(chars: np.ndarray, n: int = Q) -> np.ndarray:
+    """Hash of the n characters from each place on."""
+    out = np.zeros(max(0, len(chars) - n + 1), _U)
+    for i in range(n if len(out) else 0):
+        out = out * _BASE + chars[i : i + len(out)]
+    return mix(out + _U(n))
 
-def grams(chars: np.ndarray) -> np.ndarray:
-    """Hash of the Q characters from each place on."""
-    out = np.zeros(max(0, len(chars) - Q + 1), _U)
-    for i in range(Q if len(out) else 0):
-        out = out * _U(0x9E3779B97F4A7C15) + chars[i : i + len(out)]
-    return mix(out)
 
+def band_distances(
+    items: np.ndarray, lengths: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, low: np.ndarray, width: int, budget: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For many regions at once: least edits of the whole item against any stretch of its window, and the stretch's begin and end.
 
-def band_distance(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Least edits of the whole item against any stretch of text, its begin and end; diagonals (text - item) low..high only."""
-    width, n = high - low + 1, len(text)
-    far = len(item) + len(text) + 1
+    Row r aligns items[r, :lengths[r]] with the window text[starts[r] : starts[r] + sizes[r]] on the diagonals (window place minus
+    item place) low[r] to low[r] + width - 1. Rows come by falling length. A row over the budget gives a cost over it.
+    """
+    n, far = len(lengths), 1 << 30
     place = np.arange(width)
-    cost = np.where((low + place >= 0) & (low + place <= n), 0, far)  # an alignment may begin at any place
-    begin = low + place
-    for i in range(1, len(item) + 1):
-        j = i + low + place  # text characters used so far
-        fits = (j >= 1) & (j <= n)
-        differ = np.ones(width, np.int64)
-        differ[fits] = text[j[fits] - 1] != item[i - 1]
-        diagonal = np.where(fits, cost + differ, far)
-        above = np.append(cost[1:], far) + 1
+    begin = low[:, None] + place
+    cost = np.where((begin >= 0) & (begin <= sizes[:, None]), 0, far)  # an alignment may begin at any place
+    best = np.full((n, 3), far)
+    alive = np.arange(n)
+
+    def settle(done: np.ndarray) -> None:
+        if len(done):
+            k = cost[done].argmin(axis=1)
+            rows = alive[done]
+            best[rows] = np.stack([cost[done, k], begin[done, k], lengths[rows] + low[rows] + k], axis=1)
+
+    for i in range(1, int(lengths.max(initial=0)) + 1):
+        running = int(np.searchsorted(-lengths[alive], -i, "right"))
+        settle(np.arange(running, len(alive)))
+        alive, cost, begin = alive[:running], cost[:running], begin[:running]
+        if i % 8 == 0:
+            ok = np.flatnonzero(cost.min(axis=1) <= budget)
+            alive, cost, begin = alive[ok], cost[ok], begin[ok]
+        if not len(alive):
+            break
+        j = i + low[alive][:, None] + place  # characters of the window used so far
+        fits = (j >= 1) & (j <= sizes[alive][:, None])
+        at = np.where(fits, starts[alive][:, None] + j - 1, 0)
+        diagonal = np.where(fits, cost + (text[at] != items[alive, i - 1][:, None]), far)
+        above = np.full_like(cost, far)
+        above[:, :-1] = cost[:, 1:] + 1
         new, from_above = np.minimum(diagonal, above), above < diagonal
-        new[(j < 0) | (j > n)] = far
-        origin = np.where(from_above, np.append(begin[1:], 0), begin)
-        flat = new - place  # steps along the text cost one each: a running minimum
-        best = np.minimum.accumulate(flat)
-        source = np.maximum.accumulate(np.where(flat == best, place, 0))
-        cost, begin = best + place, origin[source]
-        cost[(j < 0) | (j > n)] = far
-    k = int(np.argmin(cost))
-    return int(cost[k]), int(begin[k]), len(item) + low + k
+        outside = (j < 0) | (j > sizes[alive][:, None])
+        new[outside] = far
+        origin = begin.copy()
+        origin[:, :-1] = np.where(from_above[:, :-1], begin[:, 1:], begin[:, :-1])
+        flat = new - place  # steps along the window cost one each: a running minimum
+        least = np.minimum.accumulate(flat, axis=1)
+        source = np.maximum.accumulate(np.where(flat == least, place, 0), axis=1)
+        cost, begin = least + place, np.take_along_axis(origin, source, axis=1)
+        cost[outside] = far
+    settle(np.arange(len(alive)))
+    return best[:, 0], best[:, 1], best[:, 2]
+
+
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1 ... of n[i] numbers each, one after another."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _short(chars: np.ndarray, n: int) -> np.ndarray:
+    """Table places of the n-grams of the window test."""
+    return (grams(chars, n) >> _U(64 - SHORT_BITS)).astype(np.int64)
+
+
+class Contents:
+    """Hashes of stretches of a text, and which short grams they have."""
+
+    def __init__(self, chars: np.ndarray):
+        self.short = [_short(chars, n) for n in SHORTS]
+        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(chars * np.cumprod(np.full(len(chars), _BASE), dtype=_U), dtype=_U)])
+        self.down = np.cumprod(np.full(len(chars) + 1, _INVERSE), dtype=_U)
+
+    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[begin]) * self.down[begin]).astype(np.int64)
+
+    def tables(self, begin: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
+        """For each length of SHORTS: [stretch, place], 1 where the stretch has such a gram."""
+        for n, places in zip(SHORTS, self.short):
+            count = np.maximum(0, end - begin - n + 1)
+            out = np.zeros((len(begin), 1 << SHORT_BITS), np.float32)
+            out[np.repeat(np.arange(len(begin)), count), places[_ranges(begin, count)]] = 1
+            yield out
 
 
 class Index:
-    """The q-grams of some items, by hash."""
+    """The q-grams of some items, by hash. Items without a letter or digit are left out."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float = EDIT_RATE):
-        self.ids, self.items, self.budgets, self.needs, self.short = [], [], [], [], []
-        hashes, owner, offset = [], [], []
+        self.ids, self.items = [], []
         for item_id, text in items:
-            chars, _ = normalize(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+            chars, _ = normalize(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32))
             chars = chars[1:] if len(chars) and chars[0] == 32 else chars
             chars = chars[:-1] if len(chars) and chars[-1] == 32 else chars
-            if not len(chars):
-                continue
-            m = len(chars)
-            k = max(0, min(int(rate * m), (m - Q) // Q))
-            self.ids.append(item_id)
-            self.items.append(chars)
-            self.budgets.append(k)
-            self.needs.append(m - Q + 1 - k * Q)
-            if m < Q:
-                self.short.append(len(self.items) - 1)
-                continue
-            g = grams(chars)
-            hashes.append(g)
-            owner.append(np.full(len(g), len(self.items) - 1))
-            offset.append(np.arange(len(g)))
-        h = np.concatenate([np.empty(0, _U), *hashes])
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owner = np.concatenate([np.empty(0, np.int64), *owner]).astype(np.int64)[order]
-        self.offset = np.concatenate([np.empty(0, np.int64), *offset]).astype(np.int64)[order]
+            if len(chars):
+                self.ids.append(item_id)
+                self.items.append(chars)
+        size = np.array(list(map(len, self.items)), np.int64)
+        self.budgets = np.maximum(0, np.minimum((rate * size).astype(np.int64), (size - Q) // Q))
+        self.sizes, self.width = size, self.budgets + 1
+        long = np.flatnonzero(size >= Q)
+        own = [grams(self.items[i]) for i in long]
+        h = np.concatenate([np.empty(0, _U), *own])
+        owner = np.repeat(long, list(map(len, own))) if len(long) else np.empty(0, np.int64)
+        offset = np.concatenate([np.empty(0, np.int64), *(np.arange(len(g)) for g in own)])
+        _, inverse, places = np.unique(h, return_inverse=True, return_counts=True)
+        rare = places[inverse] <= COMMON if len(h) else np.empty(0, bool)
+        n_rare = np.bincount(owner[rare], minlength=len(size))
+        lost = self.budgets * Q
+        by_rare = n_rare > lost
+        self.needs = np.where(by_rare, n_rare, size - Q + 1) - lost
+        self.rare = self._sorted(h, owner, offset, rare & by_rare[owner])
+        self.crowded = np.flatnonzero((size >= Q) & ~by_rare)
+        common = ~by_rare[owner] if len(h) else rare
+        self.common = np.unique(h[common])
+        key = self._pair(h[common], owner[common])
+        order = np.argsort(key, kind="stable")
+        self.by_pair = key[order], offset[common][order]
         self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[self.hashes >> _U(64 - _BITS)] = True
+        self.seen[np.concatenate([self.rare[0], self.common]) >> _U(64 - _BITS)] = True
+        self.reach = int((size + self.budgets).max(initial=0)) + Q
+        # The window test: the table places of each item's distinct short grams, and how many of them a window must have.
+        self.places = [[np.unique(_short(x, n)) if len(x) >= Q else np.empty(0, np.int64) for x in self.items] for n in SHORTS]
+        self.least = [np.array(list(map(len, p)), np.int64) - n * self.budgets for n, p in zip(SHORTS, self.places)]
+        short = np.flatnonzero(size < Q)
+        self.short = {m: short[size[short] == m] for m in np.unique(size[short]).tolist()}
+
+    @staticmethod
+    def _sorted(h: np.ndarray, owner: np.ndarray, offset: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.flatnonzero(keep)[np.argsort(h[keep], kind="stable")]
+        return h[order], owner[order].astype(np.int64), offset[order].astype(np.int64)
+
+    @staticmethod
+    def _pair(h: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Key of a q-gram in an item."""
+        return mix(h ^ mix(item.astype(_U) + _U(1)))
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(row, item, begin, end, edits) of the best region of each row and item; places are code points of the text."""
         sizes = np.array([len(t) for t in texts])
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         chars, at = normalize(points)
         first = np.searchsorted(at, bounds)  # where each row's compared characters begin
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for row, item, low, high in self._regions(chars, first):
-            own = chars[first[row] : first[row + 1]]
-            got = self._verify(own, item, low, high)
-            if got and got < found.get((row, item), (1 << 60, 0, 0)):
-                found[row, item] = got
-        for item in self.short:
-            needle = self.items[item].tobytes()
-            for row in range(len(texts)):
-                own = np.concatenate([[32], chars[first[row] : first[row + 1]], [32]]).astype(np.uint32)
-                hay, place = own.tobytes(), -1
-                wanted = np.uint32(32).tobytes() + needle + np.uint32(32).tobytes()
-                while (place := hay.find(wanted, place + 1)) >= 0 and place % 4:
-                    pass
-                if place >= 0:
-                    found[row, item] = (0, place // 4, place // 4 + len(needle) // 4)
+        found = np.concatenate([self._verified(chars, first, self._regions(chars, first)), self._short_matches(chars, first)])
+        # row, item, edits, begin, end: the first of each row and item in this order is the best
+        found = found[np.lexsort((found[:, 4], found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:, :2] != found[:-1, :2]).any(axis=1)
         out = []
-        for (row, item), (edits, begin, end) in sorted(found.items()):
+        for row, item, edits, begin, end in found[new].tolist():
             place = at[first[row] : first[row + 1]] - bounds[row]
             out.append((row, item, int(place[begin]), int(place[end - 1]) + 1, edits))
         return out
 
-    def _regions(self, chars: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Row, item, first and last diagonal of every band with enough shared q-grams."""
+    def _short_matches(self, chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """row, item, 0, begin, end of the first occurrence, as whole words, of each item shorter than Q."""
+        out = [np.empty((0, 5), np.int64)]
+        edge = np.zeros(len(chars) + 1, bool)
+        edge[first] = True
+        for m, own in self.short.items():
+            h = grams(chars, m)
+            known = np.array([grams(self.items[i], m)[0] for i in own], _U)
+            order = np.argsort(known)
+            hit = np.flatnonzero(np.isin(h, known))
+            before = edge[hit] | (chars[np.maximum(hit - 1, 0)] == 32)
+            after = edge[hit + m] | (chars[np.minimum(hit + m, len(chars) - 1)] == 32)
+            row = np.searchsorted(first, hit, "right") - 1
+            ok = before & after & (hit + m <= first[row + 1])
+            hit, row = hit[ok], row[ok]
+            left, right = (np.searchsorted(known[order], h[hit], side) for side in ("left", "right"))
+            n = right - left
+            item = own[order[_ranges(left, n)]]
+            begin = np.repeat(hit - first[row], n)
+            out.append(np.stack([np.repeat(row, n), item, np.zeros_like(begin), begin, begin + m], axis=1))
+        return np.concatenate(out)
+
+    def _regions(self, chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """row, item, first and last diagonal of every band with enough shared q-grams, each once."""
         g = grams(chars)
-        hit = np.flatnonzero(self.seen[g >> _U(64 - _BITS)])
-        left, right = np.searchsorted(self.hashes, g[hit]), np.searchsorted(self.hashes, g[hit], "right")
-        n = right - left
-        hit, left, n = hit[n > 0], left[n > 0], n[n > 0]
+        out = [np.empty((0, 4), np.int64)]
+        h, owner, offset = self.rare
+        known = np.flatnonzero(self.seen[g >> _U(64 - _BITS)])
+        hit = known = known[known + Q <= first[np.searchsorted(first, known, "right")]]
+        left, right = np.searchsorted(h, g[hit]), np.searchsorted(h, g[hit], "right")
+        some = right > left
+        hit, left, n = hit[some], left[some], (right - left)[some]
+        for a, b in self._parts(hit, n):
+            entry = _ranges(left[a:b], n[a:b])
+            out.append(self._bands(np.repeat(hit[a:b], n[a:b]), owner[entry], offset[entry], first))
+        if len(self.crowded):
+            out += self._crowded_bands(chars, g, known[np.isin(g[known], self.common)], first)
+        return np.unique(np.concatenate(out), axis=0)
+
+    def _parts(self, hit: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of hits of some MOST_HITS entries; each begins early enough that a region ending in it lies in it whole."""
+        if not len(hit):
+            return
+        total = np.cumsum(n)
+        cut = 0
+        while cut < len(hit):
+            end = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + MOST_HITS, "right")))
+            yield int(np.searchsorted(hit, hit[cut] - self.reach)), end
+            cut = end
+
+    def _crowded_bands(self, chars: np.ndarray, g: np.ndarray, hit: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """The bands of crowded items, in windows of the text that have enough of the item's short grams."""
         row = np.searchsorted(first, hit, "right") - 1
-        whole = hit + Q <= first[row + 1]
-        hit, left, n, row = hit[whole], left[whole], n[whole], row[whole]
-        entry = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, row = self.owner[entry], np.repeat(row, n)
-        # An item that shares too few q-grams with the whole text has no region in it.
-        needs, width = np.array(self.needs, np.int64), np.array(self.budgets, np.int64) + 1
-        pair = row * len(self.items) + item
-        _, inverse, total = np.unique(pair, return_inverse=True, return_counts=True)
-        enough = total[inverse] >= needs[item]
-        item, row, entry = item[enough], row[enough], entry[enough]
-        place = np.repeat(hit, n)[enough] - first[row]
-        diagonal = place - self.offset[entry]
-        band = np.floor_divide(diagonal, width[item])
-        rows, items, bands = np.tile(row, 2), np.tile(item, 2), np.concatenate([band, band - 1])
-        order = np.lexsort((bands, items, rows))
-        rows, items, bands = rows[order], items[order], bands[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]) | (items[1:] != items[:-1]) | (bands[1:] != bands[:-1])
-        starts = np.flatnonzero(new)
-        counts = np.diff(np.append(starts, len(rows)))
-        for s in starts[counts >= needs[items[starts]]].tolist():
-            w = int(width[items[s]])
-            yield int(rows[s]), int(items[s]), int(bands[s]) * w, int(bands[s]) * w + 2 * w - 1
-
-    def _verify(self, own: np.ndarray, item: int, low: int, high: int) -> tuple[int, int, int] | None:
-        """Edits, begin and end (in the row's compared characters) if the region is within the budget."""
-        want, k = self.items[item], self.budgets[item]
-        begin, end = max(0, low - k), min(len(own), high + len(want) + k)
-        window = own[begin:end]
-        exact = window.tobytes().find(want.tobytes())
-        while exact >= 0 and exact % 4:
-            exact = window.tobytes().find(want.tobytes(), exact + 1)
-        if exact >= 0:
-            return 0, begin + exact // 4, begin + exact // 4 + len(want)
-        edits, a, b = band_distance(want, window, low - k - begin, high + k - begin)
-        return (edits, begin + a, begin + b) if edits <= k and b > a else None
-
-
-def _matched(index: Index) -> Callable:
+        # A region lies whole in the window of the stretch in which it begins; a hit is looked at in each window it may belong to.
+        reach = int((self.sizes + self.budgets)[self.crowded].max()) + Q
+        stretch = (hit - first[row]) // reach
+        if not len(hit):
+            return []
+        most = int(stretch.max()) + 2
+        windows = np.unique(np.concatenate([row * most + stretch + 1, row * most + stretch]))
+        row, stretch = windows // most, windows % most - 1
+        row, stretch = row[stretch >= 0], stretch[stretch >= 0]
+        begin = first[row] + stretch * reach
+        end = np.minimum(begin + 2 * reach, first[row + 1])
+        content = Contents(chars)
+        order = np.lexsort((begin, content.hashes(begin, end), row))
+        same = np.stack([row, content.hashes(begin, end)])[:, order]
+        order = np.sort(order[np.append(True, (same[:, 1:] != same[:, :-1]).any(axis=0))])
+        begin, end = begin[order], end[order]
+        out = []
+        for a in range(0, len(begin), MOST_WINDOWS):
+            b, e = begin[a : a + MOST_WINDOWS], end[a : a + MOST_WINDOWS]
+            there = list(content.tables(b, e))
+            for c in range(0, len(self.crowded), MOST_WINDOWS):
+                own = self.crowded[c : c + MOST_WINDOWS]
+                passed = np.ones((len(b), len(own)), bool)
+                for have, places, least in zip(there, self.places, self.least):
+                    table = np.zeros((1 << SHORT_BITS, len(own)), np.float32)
+                    table[np.concatenate([places[i] for i in own]), np.repeat(np.arange(len(own)), [len(places[i]) for i in own])] = 1
+                    passed &= have @ table >= least[own]
+                window, which = np.nonzero(passed)
+                out += self._counted(g, hit, own[which], b[window], e[window], first)
+        return out
+
+    def _counted(self, g: np.ndarray, hit: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+        """The bands of each item in its window of the text, some MOST_HITS hits at a time."""
+        low, high = np.searchsorted(hit, begin), np.searchsorted(hit, end)
+        n = high - low
+        total, cut = np.cumsum(n), 0
+        while cut < len(n):
+            stop = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + MOST_HITS, "right")))
+            own, wanted = hit[_ranges(low[cut:stop], n[cut:stop])], np.repeat(item[cut:stop], n[cut:stop])
+            key = self._pair(g[own], wanted)
+            left, right = np.searchsorted(self.by_pair[0], key), np.searchsorted(self.by_pair[0], key, "right")
+            # Hits that two windows share are counted once.
+            n_items, longest = len(self.items), int(self.sizes.max())
+            where = np.repeat(own * n_items + wanted, right - left)
+            once = np.unique(where * longest + self.by_pair[1][_ranges(left, right - left)])
+            where = once // longest
+            yield self._bands(where // n_items, where % n_items, once % longest, first)
+            cut = stop
+
+    def _bands(self, hit: np.ndarray, item: np.ndarray, offset: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """row, item, first and last diagonal of the bands in which the hits are enough."""
+        row = np.searchsorted(first, hit, "right") - 1
+        # An item that shares too few q-grams with the text has no region in it.
+        pairs, inverse, total = np.unique(row * len(self.items) + item, return_inverse=True, return_counts=True)
+        enough = total[inverse] >= self.needs[item] if len(item) else np.empty(0, bool)
+        hit, item, row, offset, pair = hit[enough], item[enough], row[enough], offset[enough], inverse[enough]
+        if not len(hit):
+            return np.empty((0, 4), np.int64)
+        band = np.floor_divide(hit - first[row] - offset, self.width[item])
+        least = int(band.min()) - 1
+        span = int(band.max()) - least + 1
+        bands, counts = np.unique(np.concatenate([pair * span + band - least, pair * span + band - 1 - least]), return_counts=True)
+        row, item = np.divmod(pairs[bands // span], len(self.items))
+        good = counts >= self.needs[item]
+        row, item, low = row[good], item[good], (bands[good] % span + least) * self.width[item[good]]
+        return np.stack([row, item, low, low + 2 * self.width[item] - 1], axis=1)
+
+    def _plausible(self, contents: Contents, item: np.ndarray, at: np.ndarray, size: np.ndarray, region: np.ndarray) -> np.ndarray:
+        """The regions that pass the window test."""
+        passed = np.ones(len(item), bool)
+        for have, places, least in zip(contents.tables(at, at + size), self.places, self.least):
+            n = np.array([len(places[i]) for i in item], np.int64)
+            which = np.repeat(np.arange(len(item)), n)
+            passed &= np.bincount(which, have[which, np.concatenate([np.empty(0, np.int64), *(places[i] for i in item)])], len(item)) >= least[item]
+        return region[passed]
+
+    def _verified(self, chars: np.ndarray, first: np.ndarray, regions: np.ndarray) -> np.ndarray:
+        """row, item, edits, begin and end (in the row's compared characters) of the regions within the budget."""
+        if not len(regions):
+            return np.empty((0, 5), np.int64)
+        row, item, low, high = regions.T
+        k, m = self.budgets[item], self.sizes[item]
+        begin = np.maximum(0, low - k)
+        size = np.minimum(first[row + 1] - first[row], high + m + k) - begin
+        diagonal = low - k - begin
+        # Of regions of equal contents within a row, the first stands for all.
+        at = first[row] + begin
+        contents = Contents(chars)
+        order = np.lexsort((begin, diagonal, hashes := contents.hashes(at, at + size), size, item, row))
+        same = np.stack([row, item, size, hashes, diagonal])[:, order]
+        kept = order[np.append(True, (same[:, 1:] != same[:, :-1]).any(axis=0))]
+        kept = np.concatenate([self._plausible(contents, item[x], at[x], size[x], x) for x in np.array_split(kept, 1 + len(kept) // MOST_WINDOWS)])
+        kept = kept[np.lexsort((-m[kept], k[kept]))]
+        out = []
+        cut = 0
+        while cut < len(kept):
+            budget = int(k[kept[cut]])
+            width = 4 * budget + 2  # two bands' diagonals and k on either side
+            stop = min(int(np.searchsorted(k[kept], budget, "right")), cut + max(1, MOST_CELLS // max(width, int(m[kept[cut]]))))
+            own = kept[cut:stop]
+            items = np.zeros((len(own), int(m[own[0]])), np.uint32)
+            for r, i in enumerate(item[own].tolist()):
+                items[r, : len(self.items[i])] = self.items[i]
+            edits, a, b = band_distances(items, m[own], chars, at[own], size[own], diagonal[own], width, budget)
+            good = (edits <= budget) & (b > a)
+            out.append(np.stack([row[own], item[own], edits, begin[own] + a, begin[own] + b], axis=1)[good])
+            cut = stop
+        return np.concatenate(out)
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    data, offsets = utf8(column)
+    for a, b in slices(offsets):
+        yield a, b, [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(a, b)]
+
+
+def _matched(index: Index, id_kind: pa.DataType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets):
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(a, b)]
+            for a, _, texts in _texts(batch.column(1)):
                 found = index.matches(texts)
                 if found:
                     row, item, begin, end, edits = zip(*found)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).take(pa.array([a + r for r in row])), pa.array([index.ids[i] for i in item], pa.int64()),
-                            *(pa.array(x, pa.int64()) for x in (begin, end, edits)),
-                            pa.array([index.budgets[i] for i in item], pa.int64()),
+                            batch.column(0).take(pa.array([a + r for r in row])), pa.array([index.ids[i] for i in item], id_kind),
+                            *(pa.array(x, pa.int64()) for x in (begin, end, edits)), pa.array([int(index.budgets[i]) for i in item], pa.int64()),
                         ],
                         names=["id", "item_id", "start", "stop", "edits", "budget"],
                     )
@@ -217,10 +421,10 @@ def _matched(index: Index) -> Callable:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text: str, rate: float, block_chars: int) -> Iterator[Index]:
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
+    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     n = 1 + (items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars
     for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t")
+        block = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("i", "t")
         yield Index([(r.i, r.t) for r in block.collect()], rate)
 
 
@@ -229,12 +433,13 @@ def contaminations(
     rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """A row for each row of df and benchmark item found in it: id, item_id, start, stop, edits, budget."""
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, item_id long, start long, stop long, edits long, budget long"
+    longs = [T.StructField(c, T.LongType()) for c in ("start", "stop", "edits", "budget")]
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType), *longs])
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
     out = df.sparkSession.createDataFrame([], schema)
     for index in _blocks(benchmark, item_col, item_text, rate, block_chars):
-        out = out.union(rows.mapInArrow(_matched(index), schema))
+        out = out.union(rows.mapInArrow(_matched(index, kind), schema))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -248,10 +453,8 @@ def keep_uncontaminated(
     def without(index: Index) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = utf8(batch.column(at))
                 keep = np.ones(batch.num_rows, bool)
-                for a, b in slices(offsets):
-                    texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(a, b)]
+                for a, _, texts in _texts(batch.column(at)):
                     keep[[a + m[0] for m in index.matches(texts)]] = False
                 yield batch.filter(pa.array(keep))
 

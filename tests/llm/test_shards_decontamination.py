@@ -85,3 +85,66 @@ def test_decontamination_matches_brute_force(spark):
 @pytest.mark.parametrize("text", ["", "a", "x" * 9])
 def test_index_of_tiny_items(text):
     assert Index([(1, text)]).matches(["", "x" * 9, "b"]) == ([(1, 0, 0, 9, 0)] if text == "x" * 9 else [])
+
+
+def pairs_of(index, texts):
+    return {(row, item, edits) for row, item, _, _, edits in index.matches(texts)}
+
+
+@pytest.mark.parametrize("length", [14, 60, 110, 240])
+def test_items_that_share_a_stem(length):
+    """Many items begin alike and texts repeat that beginning: all matches are found, none else, and without a blow-up."""
+    rng = random.Random(length)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    stem = "what is the answer to this odd question of "[: length * 2 // 3]
+    items = [(i, (stem + some(60))[:length].strip()) for i in range(80)]
+    index = Index(items)
+    texts = [stem * 30, " ".join(stem + some(4) for _ in range(30)), "", "\U0001f600" + items[3][1] + "\U0001f600\U0001f600 ", some(30)]
+    for i, (_, item) in enumerate(items[:12]):
+        chars = list(item)
+        for _ in range(i % 6):
+            chars[rng.randrange(len(chars))] = "z"
+        texts.append(stem + some(3) + " " + "".join(chars) + " " + stem)
+    want = set()
+    for row, text in enumerate(texts):
+        for i, (_, item) in enumerate(items):
+            edits = least_edits(plain(item), plain(text))
+            if edits <= index.budgets[i]:
+                want.add((row, i, edits))
+    assert len(want) >= 3 and pairs_of(index, texts) == want
+
+
+def test_stem_in_a_long_text_is_quick():
+    import time
+
+    rng = random.Random(5)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    stem = "what is the right answer to this odd question of "
+    index = Index([(i, stem + some(14)) for i in range(1000)])
+    began = time.time()
+    assert index.matches([stem * 20_000]) == []
+    text = " ".join(stem + some(9) for _ in range(10_000))
+    mine = "".join(map(chr, index.items[7]))
+    assert pairs_of(index, [text + " " + mine]) == {(0, 7, 0)}
+    assert time.time() - began < 60
+
+
+def test_ids_of_any_type_and_symbols(spark):
+    docs = spark.createDataFrame([("a", "\U0001f600\U0001f600 the quick brown fox jumps"), (None, "THE quick,brown fox jumps!"), ("c", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([("x", "the quick brown fox jumps"), (None, "quick brown"), ("y", "\U0001f600")], "item_id string, text string")
+    got = {tuple(r) for r in contaminations(docs, bench).collect()}
+    assert {(r[0], r[1]) for r in got} == {("a", "x"), ("a", None), (None, "x"), (None, None)} and ("a", "x", 3, 28, 0, 1) in got
+
+
+def test_whole_query_against_its_operator_and_brute_force(spark):
+    from quillspark.llm.queries import op3_decontamination
+
+    sf = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in op3_decontamination(spark, sf).collect()}
+    said = [(d.doc_id, plain(d.text or "")) for d in docs]
+    exact = {(i, b.item_id) for i, t in said for b in bench if b.text and f" {plain(b.text)} " in f" {t} "}
+    assert exact <= got
+    near = got - exact
+    own, items = dict(said), {b.item_id: plain(b.text) for b in bench}
+    assert all(least_edits(items[b], own[i]) <= max(0, min(int(0.08 * len(items[b])), (len(items[b]) - Q) // Q)) for i, b in list(near)[:20])
