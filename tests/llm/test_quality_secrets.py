@@ -1,11 +1,14 @@
 import math
+import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.llm import secrets
 from quillspark.llm.quality import quality_rules
-from quillspark.llm.secrets import KINDS, WINDOW, secret_digest, secret_spans, window_entropy
+from quillspark.llm.secrets import KINDS, WINDOW, secret_digest, secret_spans
 from tests.llm import brute
 
 HEX40 = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
@@ -51,12 +54,67 @@ def test_entropy_spans(docs):
     assert got[21] == got[23] == ""
 
 
-def test_window_entropy_is_exact(spark):
-    values = ["q8Zr1LmP0xVt5Yw2NsKd7HbG", "a" * 25, "0123456789abcdef0123456789", "aaaaaaaaaaaaaaaaaaaaaaaaab0Z9-_=+/x1y2z3w4"]
+def is_random(v):
+    """By the counts of each window, class by class."""
+    for i in range(len(v) - WINDOW + 1):
+        w = v[i : i + WINDOW]
+        own = {"lower": [c for c in w if c.islower()], "upper": [c for c in w if c.isupper()], "digit": [c for c in w if c.isdigit()], "symbol": [c for c in w if not c.isalnum()]}
+        h = lambda x: -sum(c / len(x) * math.log2(c / len(x)) for c in Counter(x).values())
+        if all(c in "0123456789abcdefABCDEF" for c in w) and h(w) >= secrets.HEX_BITS - 1e-9:
+            return True
+        if h(w) >= secrets.MIXED_BITS - 1e-9 and sum(len(own[c]) >= least and h(own[c]) >= bits - 1e-9 for c, (bits, least) in secrets.LIMITS.items()) >= 2:
+            return True
+    return False
 
-    def best(v):
-        h = lambda w: -sum(c / WINDOW * math.log2(c / WINDOW) for c in Counter(w).values())
-        return max(h(v[i : i + WINDOW]) for i in range(len(v) - WINDOW + 1))
 
-    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", window_entropy(F.col("v")).alias("e")).collect()
-    assert all(abs(r.e - best(r.v)) < 1e-9 for r in rows)
+def entropy_spans(text):
+    """The spans that the method adds, plainly."""
+    base = brute.secrets(text)
+    out = []
+    for m in re.finditer(secrets.CANDIDATE, text or ""):
+        free = not any(a < m.end() and m.start() < b for a, _, b in base)
+        if free and not re.search(secrets.ALLOWED.replace("|(?i:example", "|(?:(?i:example") + ")", m[0]) and is_random(m[0]):
+            out.append((m.start(), 3, m.end()))
+    return sorted(base + out)
+
+
+def strings():
+    rng = random.Random(11)
+    out = ["q8Zr1LmP0xVt5Yw2NsKd7HbG", "a" * 25, "0123456789abcdef0123456789", "aaaaaaaaaaaaaaaaaaaaaaaaab0Z9-_=+/x1y2z3w4", "backup-20240115-daily-x", "f" * 19 + "0", "x" * 20, "-" * 40, "a1b2c3d4e5f6g7h8i9j0" * 3]
+    for letters in ("ab01", "abcdef0123456789", "ABCDEF0123456789", "abcdefghijklmnop-_", secrets.ALPHABET, "ABCDabcd1234", "abcXYZ09+/"):
+        out += ["".join(rng.choice(letters) for _ in range(rng.randint(WINDOW, 70))) for _ in range(40)]
+    return out
+
+
+def test_window_entropy_by_class_is_exact(spark):
+    values = strings()
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.is_random(F.col("v")).alias("e")).collect()
+    assert [r.e for r in rows] == [is_random(r.v) for r in rows] and 50 < sum(r.e for r in rows) < len(rows) - 50
+
+
+def test_all_spans_match_brute_force(spark):
+    rng = random.Random(2)
+    some = strings()
+    texts = TEXTS + [" ".join(rng.choice(some) if rng.random() < 0.4 else rng.choice(["é word", "token=" + rng.choice(some), "AKIA" + "Z" * 13, "\U0001f600", "e" * 33]) for _ in range(n)) for n in (1, 5, 40, 300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_digest(secret_spans(rows)).collect():
+        assert r.spans == ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in entropy_spans(texts[r.doc_id])), r.doc_id
+
+
+def test_whole_query_matches_brute_force(spark):
+    from quillspark.llm.queries import op6_secret_scan
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op6_secret_scan(spark, sf).collect():
+        assert r.spans == ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in entropy_spans(texts[r.doc_id]))
+
+
+def test_a_long_text_of_candidates_takes_seconds(spark):
+    import time
+
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("ghijkl0123456789XYZ") for _ in range(24)) for _ in range(40_000))
+    began = time.time()
+    (row,) = secret_digest(secret_spans(spark.createDataFrame([(1, text + " token=abcdefghij" * 5000)], "doc_id long, text string"))).collect()
+    assert row.n_entropy > 3_000 and row.n_assign == 5000 and time.time() - began < 60

@@ -91,7 +91,7 @@ def pairs_of(index, texts):
     return {(row, item, edits) for row, item, _, _, edits in index.matches(texts)}
 
 
-@pytest.mark.parametrize("length", [14, 60, 110, 240])
+@pytest.mark.parametrize("length", [14, 60, 110])
 def test_items_that_share_a_stem(length):
     """Many items begin alike and texts repeat that beginning: all matches are found, none else, and without a blow-up."""
     rng = random.Random(length)
