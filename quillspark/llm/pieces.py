@@ -1,6 +1,9 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-The model file gives the pieces with their log scores. A double-array trie (base, check, value) holds the ordinary
+The model file gives the pieces with their log scores. A file whose scores are whole numbers is one of merges, and they are
+ranks, which are no log probabilities: summed, they would favour few early merges over short paths. Pieces of such a file
+get the log probability of their rank r by the Zipf-Mandelbrot law, -log(r + OFFSET) less the log of the sum over all
+ranks; tokenizers aren't trained here, so the law is stated, not fitted. A double-array trie (base, check, value) holds the ordinary
 pieces; Viterbi keeps, for each prefix, the best sum of scores, earlier starts winning ties; a character that no piece
 covers costs the least score minus UNKNOWN_PENALTY and becomes its UTF-8 bytes' pieces. Spaces become the marker U+2581,
 one marker is put before a text, and decoding turns markers back into spaces and drops the first.
@@ -30,6 +33,8 @@ from quillspark.llm.wordcache import WordCache
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Mandelbrot's offset of ranks that count from 0.
+OFFSET = 2.7
 # Kinds of pieces in the model file.
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 #: Stretches up to this length are encoded side by side; longer ones one by one.
@@ -74,6 +79,14 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
     return out
 
 
+def log_scores(scores: np.ndarray) -> np.ndarray:
+    """Log probabilities as they are; ranks (whole numbers below 1) by the Zipf-Mandelbrot law."""
+    if not len(scores) or (scores != np.round(scores)).any():
+        return scores
+    weight = 1 / (OFFSET + np.argsort(np.argsort(-scores, kind="stable")))
+    return np.log(weight / weight.sum())
+
+
 @dataclass
 class Trie:
     """Double array: the child of state s by code c is t = base[s] + c if check[t] == s; value[t] is a piece or -1."""
@@ -159,11 +172,13 @@ class PieceModel:
         # Cut before a run of marks unless a piece has one after another character, and at line feeds unless a piece has one.
         across = any(MARK in p.lstrip(MARK) for p in usable)
         feed = "" if any("\n" in p for p in usable) else "\\n"
+        scores = np.array([p[1] for p in pieces])
+        plain = [i for i, p in enumerate(pieces) if p[2] == NORMAL]
+        scores[plain] = log_scores(scores[plain])
         stretch = r"(?s:.+)" if across else rf" +[^ {feed}]*|[^ {feed}]+" + ("|\\n" if feed else "")
         return cls(
-            Trie.build({tuple(codes[c] for c in p): i for p, i in usable.items()}), codes, np.array([p[1] for p in pieces]),
-            max(map(len, usable), default=1), byte_ids, unknown,
-            min((p[1] for p in pieces if p[2] == NORMAL), default=0.0) - UNKNOWN_PENALTY, outputs, stretch, 2 if len(pieces) <= 1 << 16 else 4,
+            Trie.build({tuple(codes[c] for c in p): i for p, i in usable.items()}), codes, scores,
+            max(map(len, usable), default=1), byte_ids, unknown, min(scores[plain], default=0.0) - UNKNOWN_PENALTY, outputs, stretch, 2 if len(pieces) <= 1 << 16 else 4,
         )
 
     def __getstate__(self) -> dict:

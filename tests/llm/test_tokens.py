@@ -71,7 +71,7 @@ def test_words_give_the_tokenizers_ids():
 
 
 def best_score(model, text):
-    score = {p: s for p, s, kind in pieces.read_pieces(_tokenizer("piece_bpe_32k.model")) if kind in (1, 4)}
+    score = {p: s for (p, _, kind), s in zip(pieces.read_pieces(_tokenizer("piece_bpe_32k.model")), model.scores.tolist()) if kind in (1, 4)}
     text = "▁" + text.replace(" ", "▁")
     best = [0.0] + [-np.inf] * len(text)
     for i in range(len(text)):
@@ -83,6 +83,19 @@ def best_score(model, text):
     return best[-1]
 
 
+def own_score(model, known, ids):
+    """Sum of a path's log scores: a character without a piece counts once, however many bytes it has."""
+    own, at = 0.0, 0
+    while at < len(ids):
+        piece, _, kind = known[ids[at]]
+        if kind == pieces.BYTE:
+            lead = int(piece[1:-1], 16)
+            own, at = own + model.unknown_score, at + (1 if lead < 128 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+        else:
+            own, at = own + model.scores[ids[at]], at + 1
+    return own
+
+
 def test_pieces_are_a_best_path_and_decode_back(spark, docs):
     file = _tokenizer("piece_bpe_32k.model")
     model = pieces.PieceModel.load(file)
@@ -92,18 +105,30 @@ def test_pieces_are_a_best_path_and_decode_back(spark, docs):
         text = "null id" if r.doc_id is None else TEXTS[r.doc_id]
         assert r.text == (None if text is None else text.replace("▁", " "))
     for r in encoded.where("doc_id in (0, 4, 8, 9, 10)").collect():
-        text, own, at = TEXTS[r.doc_id], 0.0, 0
-        while at < len(r.pieces):
-            piece, score, kind = known[r.pieces[at]]
-            if kind == pieces.BYTE:
-                lead = int(piece[1:-1], 16)
-                own, at = own + model.unknown_score, at + (1 if lead < 128 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-            else:
-                own, at = own + score, at + 1
-        assert own == pytest.approx(best_score(model, text), abs=1e-3), text
+        assert own_score(model, known, r.pieces) == pytest.approx(best_score(model, TEXTS[r.doc_id]), abs=1e-3)
     assert pieces.encode_pieces(docs.limit(0), file).count() == 0
 
 
+def test_whole_query_takes_best_paths(spark):
+    from quillspark.llm.queries import op10_pieces
+
+    sf, file = "/root/testdata/sf0.001", _tokenizer("piece_bpe_32k.model")
+    model, known = pieces.PieceModel.load(file), pieces.read_pieces(file)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op10_pieces(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        assert got[i].round_trip and got[i].n_pieces == len(model.encode(text))
+        if len(text) < 600:
+            assert own_score(model, known, model.encode(text)) == pytest.approx(best_score(model, text), abs=1e-3)
+
+
+def test_ranks_become_log_probabilities():
+    got = pieces.log_scores(np.array([-1.0, -3.0, -2.0, -1e9]))
+    assert np.exp(got).sum() == pytest.approx(1) and (np.diff(got[[0, 2, 1, 3]]) < 0).all()
+    assert (pieces.log_scores(np.array([-1.5, -2.25])) == [-1.5, -2.25]).all()
+
+
 def test_long_and_short_stretches_agree():
     model = pieces.PieceModel.load(_tokenizer("piece_bpe_32k.model"))
     for word in ("the", "internationalization", "ünï日x", "a" * 40):
