@@ -8,12 +8,17 @@ from quillspark.llm.decontaminate import Index, Q, contaminations, normalize
 from quillspark.llm.shuffle_shards import read_shards, shard_digest, write_shards
 from quillspark.session import new_table_path
 
-SCHEMA = "doc_id long, text string, _x string, offset long"
+SCHEMA = "doc_id long, text string, _x string, offset long, _Shard int, bucket string, place double, record array<int>"
 
 
 def shard_rows():
-    rows = [(i, f"text {i % 50} " * (i % 7), None, i) for i in range(400)]
-    return rows + [(5, "twice", None, 1), (5, "twice", None, 1), (None, "null id", None, 1), (None, None, None, None), (401, "long " * 100_000, None, 2)]
+    rest = (3, "b", 0.5, [1, 2])
+    rows = [(i, f"text {i % 50} " * (i % 7), None, i, *rest) for i in range(400)]
+    return rows + [(5, "twice", None, 1, *rest)] * 2 + [(None, "null id", None, 1, *rest), (None, None, None, None, None, None, None, None), (401, "long " * 100_000, None, 2, *rest)]
+
+
+def fixed(row):
+    return tuple(tuple(x) if isinstance(x, list) else x for x in row)
 
 
 def test_shards_hold_every_row_in_shuffled_gapless_slots(spark):
@@ -21,7 +26,8 @@ def test_shards_hold_every_row_in_shuffled_gapless_slots(spark):
     path = new_table_path(spark, "test")
     write_shards(spark.createDataFrame(rows, SCHEMA).repartition(3), path, bucket_bytes=20_000)
     back = read_shards(spark, path)
-    assert Counter(tuple(r) for r in back.select("doc_id", "text", "_x", "offset").collect()) == Counter(rows)
+    assert back.columns[-2:] == ["__shard", "_slot"]
+    assert Counter(fixed(r) for r in back.select(*SCHEMA.replace(",", " ").split()[::2]).collect()) == Counter(map(fixed, rows))
     got = shard_digest(back).collect()
     by_shard = defaultdict(list)
     for r in got:
@@ -37,6 +43,40 @@ def test_shards_hold_every_row_in_shuffled_gapless_slots(spark):
     assert Counter(map(tuple, shard_digest(read_shards(spark, again)).collect())) == Counter(map(tuple, got))
 
 
+@pytest.mark.parametrize("equal", [True, False])
+def test_rows_of_one_id_are_dealt_over_buckets(spark, equal):
+    from pyspark.sql import functions as F
+
+    path = new_table_path(spark, "test")
+    rows = [("hot", "t" * 100 if equal else f"{i} " * 30) for i in range(600)] + [(f"id {i}", "x" * 100) for i in range(100)]
+    write_shards(spark.createDataFrame(rows, "doc_id string, text string"), path, n_shards=2, bucket_bytes=2_000)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("shard", "bucket").count().collect()]
+    assert sum(sizes) == 700 and max(sizes) < 120
+    got = shard_digest(read_shards(spark, path), 2)
+    assert got.where("doc_id = 'hot'").agg(F.count_distinct("shard")).first()[0] == 1
+    assert got.groupBy("shard").agg((F.max("slot") + 1 == F.count_distinct("slot")).alias("ok")).where("ok").count() == 2
+    empty = new_table_path(spark, "test")
+    write_shards(spark.createDataFrame([], "doc_id string, text string"), empty)
+    assert shard_digest(read_shards(spark, empty)).count() == 0
+
+
+def test_whole_query_keeps_the_law(spark):
+    import zlib
+
+    from quillspark.llm.queries import op4_external_shuffle
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op4_external_shuffle(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    by_shard = defaultdict(list)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32) == (len(raw) + 1, zlib.crc32(raw)) and r.grown_shard in (r.shard, 16) and 0 <= r.shard < 16
+        by_shard[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by_shard.values())
+
+
 def least_edits(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
