@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.session import materialize
 
-MOST_ROUNDS = 50
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Join every node's neighbours (large: the greater, small: the smaller and itself) to its least neighbour."""
@@ -25,12 +23,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) edges to (node, component), the component being its least node. Nodes without an edge aren't listed.
 
-    Each round is written out and read back; no links are collected, and no node's neighbours meet in one task unless the
+    Rounds go on until nothing changes, as they must after some log(nodes) squared of them. Each is written out and read back; no links are collected, and no node's neighbours meet in one task unless the
     engine's partial aggregation and its splitting of skewed joins have shortened them.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = materialize(edges, "edges"), None
-    for _ in range(MOST_ROUNDS):
+    while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state.n:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -38,4 +36,3 @@ def components(edges: DataFrame) -> DataFrame:
             )
         before = state
         edges = materialize(_star(_star(edges, True), False), "edges")
-    raise RuntimeError("components did not settle")

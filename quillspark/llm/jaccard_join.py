@@ -5,12 +5,14 @@ Texts are sets of hashed SHINGLE-word shingles. Equal texts form one class, so o
 1. Every class gets HASHES MinHash values. Classes that agree on all ROWS values of one of the BANDS bands are candidates.
 2. A candidate pair's values are compared CHECK at a time; after n of them with m equal, the pair is dropped if the
    posterior probability that its similarity reaches the threshold, P(J >= t | m of n) under a uniform prior, is below
-   ``TOLERANCE``. Pairs that survive are only needed as groups (their components).
-3. Inside each group all pairs are compared exactly, by counting common shingles.
+   ``TOLERANCE``. The components of the pairs that survive are groups: no link leaves its group.
+3. Inside each group pairs are compared in the same way again, and those that survive are verified exactly, by counting
+   common shingles.
 
-A band's bucket or a group of more than BLOCK classes is dealt over block pairs, so no task holds more than two blocks;
-pairs never leave a task: out come each class's number of links and a spanning forest of the links. Components of those
-are the classes of near-duplicates.
+No task holds a whole bucket or group. Its classes are dealt into blocks, and each pair of blocks goes to one task; the pairs
+of a group go to successive tasks. In a group, blocks hold classes of about one size, and only blocks are paired whose sizes
+allow the threshold. Pairs never leave a task: out come each class's number of links and a spanning forest of the links.
+Components of those are the classes of near-duplicates.
 
 A pair at the threshold escapes all bands with probability (1 - t**ROWS)**BANDS, 7e-5 for t = 0.8, and the pruning with
 about 1e-5; more similar pairs far more rarely. What is reported is exact.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from math import comb
+from math import ceil, comb, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 CHECK, TOLERANCE = 20, 1e-4
-#: Classes of a bucket or group that one task holds; a pair of blocks has twice as many.
-BLOCK = 128
+#: Classes of a block, at least where there are as many and at most, and bytes of shingles at most (but for a single class).
+SMALL_BLOCK, LARGE_BLOCK, BLOCK_BYTES = 64, 4096, 8 << 20
+#: Classes on a side of the tiles in which a pair of blocks is compared; survivors of a tile up to which they are counted one by one.
+TILE, FEW = 512, 2000
 #: Pairs whose values are compared at a time, and cells of the matrix of classes by shingles.
 MOST_PAIRS, MOST_CELLS = 100_000, 1 << 22
 #: Rows that may be broadcast: of some 60 bytes each.
@@ -95,23 +99,26 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray | None, threshold: float, tolerance: float) -> np.ndarray:
     """Which of the pairs (a, b) the pruning leaves; a pair that an earlier band than ``band`` has too is left to that one."""
     need = least_matches(threshold, tolerance)
     alive, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
     for step in range(HASHES // CHECK):
         same = sig[a[alive], step * CHECK : (step + 1) * CHECK] == sig[b[alive], step * CHECK : (step + 1) * CHECK]
         equal[alive] += same.sum(axis=1)
-        whole = same.reshape(len(alive), CHECK // ROWS, ROWS).all(axis=2)
-        bands = step * (CHECK // ROWS) + np.arange(CHECK // ROWS)
-        seen = (whole & (bands < band[alive][:, None])).any(axis=1)
-        alive = alive[~seen & (equal[alive] >= need[step + 1])]
+        keep = equal[alive] >= need[step + 1]
+        if band is not None:
+            whole = same.reshape(len(alive), CHECK // ROWS, ROWS).all(axis=2)
+            bands = step * (CHECK // ROWS) + np.arange(CHECK // ROWS)
+            keep &= ~(whole & (bands < band[alive][:, None])).any(axis=1)
+        alive = alive[keep]
     return alive
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of n nodes in ascending order: the least node of each one's component."""
-    label = np.arange(n)
+def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Of n nodes in ascending order: the least node of each one's component, by the pairs (a, b) and an earlier answer."""
+    label = np.arange(n) if label is None else label
+    a, b = label[a], label[b]
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -151,96 +158,103 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.T
         yield table, starts
 
 
-def _pairs(starts: np.ndarray, ends: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs to compare in each run, some MOST_PAIRS at a time: across the sides if a run has two, else all."""
-    parts, n = [], 0
-    for s, e in zip(starts.tolist(), ends.tolist()):
-        if e - s < 2:
-            continue
-        if side[s] != side[e - 1]:
-            cut = s + int(np.searchsorted(side[s:e], side[e - 1]))
-            a, b = np.repeat(np.arange(s, cut), e - cut), np.tile(np.arange(cut, e), cut - s)
-        else:
-            i, j = np.triu_indices(e - s, 1)
-            a, b = i + s, j + s
-        parts.append((a, b))
-        n += len(a)
-        if n >= MOST_PAIRS:
-            yield tuple(map(np.concatenate, zip(*parts)))
-            parts, n = [], 0
-    if parts:
-        yield tuple(map(np.concatenate, zip(*parts)))
+def tiles(n_low: int, n_high: int, within: bool) -> Iterator[tuple[slice, slice]]:
+    """Pieces of the pairs to compare: of the low side with the high one, or of the low side with itself."""
+    for a in range(0, n_low, TILE):
+        for b in range(a if within else 0, n_low if within else n_high, TILE):
+            yield slice(a, a + TILE), slice(b, b + TILE)
+
+
+def tile_pairs(a: np.ndarray, b: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows a and b; within a side only those of a lesser and a greater row."""
+    x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+    return (x[x < y], y[x < y]) if within else (x, y)
+
+
+def _sides(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows of the low and the high side of each run, and whether it is a block with itself."""
+    role, within = table.column("role").to_numpy(), table.column("within").to_numpy(zero_copy_only=False)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+        cut = s + int(np.searchsorted(role[s:e], 1))
+        if within[s] or s < cut < e:
+            yield np.arange(s, cut), np.arange(cut, e), bool(within[s])
+
+
+def _signatures_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(table.num_rows, HASHES)
 
 
 def _pruned(threshold: float, tolerance: float) -> Callable:
-    """Rows (bucket, low, high, side, key, band, sig), sorted, to (key, root): a forest of the surviving pairs."""
+    """Rows (of, part, ordinal, within, role, key, band, sig), sorted, to (key, root): a forest of the surviving pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _runs(batches, 3):
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(table.num_rows, HASHES)
-            side, band = (table.column(c).to_numpy() for c in ("side", "band"))
-            found = []
-            for a, b in _pairs(starts, np.append(starts[1:], table.num_rows), side):
-                for i in range(0, len(a), MOST_PAIRS):
-                    x, y = a[i : i + MOST_PAIRS], b[i : i + MOST_PAIRS]
+            sig, band = _signatures_of(table), table.column("band").to_numpy()
+            label = np.arange(table.num_rows)
+            for low, high, within in _sides(table, starts):
+                for a, b in tiles(len(low), len(high), within):
+                    x, y = tile_pairs(low[a], (low if within else high)[b], within)
                     left = surviving(sig, x, y, band[x], threshold, tolerance)
-                    found.append((x[left], y[left]))
-            if found:
-                a, b = map(np.concatenate, zip(*found))
-                label = forest(table.num_rows, a, b)
-                at = np.flatnonzero(label != np.arange(table.num_rows))
-                keys = table.column("key").combine_chunks()
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), keys.take(pa.array(label[at]))], names=["u", "v"])
+                    label = forest(len(label), x[left], y[left], label)
+            at = np.flatnonzero(label != np.arange(table.num_rows))
+            keys = table.column("key").combine_chunks()
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), keys.take(pa.array(label[at]))], names=["u", "v"])
 
     return run
 
 
-def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """[i, j] common elements of sorted sets, exactly."""
-    flat = np.concatenate(sets)
-    value, code, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times > 1)
-    number = np.full(len(value), -1)
-    number[shared] = np.arange(len(shared))
-    owner, code = np.repeat(np.arange(len(sets)), list(map(len, sets))), number[code]
-    owner, code = owner[code >= 0], code[code >= 0]
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """[i, j] common elements of the sorted sets a[i] and b[j], exactly."""
+    flat = np.concatenate([*a, *b])
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(a) + len(b)), [*map(len, a), *map(len, b)])
+    number = np.cumsum(times > 1) - 1
+    some = times[code] > 1
+    owner, code = owner[some], number[code[some]]
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
-    out, width = np.zeros((len(sets), len(sets))), max(1, MOST_CELLS // len(sets))
-    for c in range(0, len(shared), width):
-        a, b = np.searchsorted(code, [c, c + width])
-        cells = np.zeros((len(sets), min(width, len(shared) - c)), np.float32)
-        cells[owner[a:b], code[a:b] - c] = 1
-        out += cells @ cells.T
+    shared, width = int((times > 1).sum()), max(1, MOST_CELLS // (len(a) + len(b)))
+    out = np.zeros((len(a), len(b)))
+    for c in range(0, shared, width):
+        x, y = np.searchsorted(code, [c, c + width])
+        cells = np.zeros((len(a) + len(b), min(width, shared - c)), np.float32)
+        cells[owner[x:y], code[x:y] - c] = 1
+        out += cells[: len(a)] @ cells[len(a) :].T
     return out
 
 
-def _verified(threshold: float) -> Callable:
-    """Rows (group, low, high, side, key, n, shingles), sorted, to (key, root, links) of the pairs that reach the threshold."""
+def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Common elements of the pairs (x, y)."""
+    if len(x) <= FEW:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x.tolist(), y.tolist())], np.float64)
+    a, p = np.unique(x, return_inverse=True)
+    b, q = np.unique(y, return_inverse=True)
+    return common_counts([sets[i] for i in a], [sets[j] for j in b])[p, q]
+
+
+def _verified(threshold: float, tolerance: float) -> Callable:
+    """Rows (of, part, ordinal, within, role, key, n, sig, shingles), sorted, to (key, root, links) of the pairs that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _runs(batches, 3):
-            keys, packed = table.column("key").to_pylist(), table.column("shingles").to_pylist()
-            side, copies = table.column("side").to_numpy(), table.column("n").to_numpy()
-            out: list[tuple[bytes, bytes, int]] = []
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
-                own = [i for i in range(s, e) if i == s or keys[i] != keys[i - 1]]  # a repeated row comes twice
-                if len(own) < 2:
-                    continue
-                sets = [np.frombuffer(packed[i], _U) for i in own]
-                size, common = np.array(list(map(len, sets)), np.float64), common_counts(sets)
-                link = common / (size[:, None] + size - common) >= threshold
-                np.fill_diagonal(link, False)
-                sides = side[own]
-                if sides[0] != sides[-1]:
-                    link &= sides[:, None] != sides
-                a, b = np.nonzero(link)
-                label = forest(len(own), a, b)
-                links = link @ copies[own]
-                out += [(keys[own[i]], keys[own[label[i]]], int(links[i])) for i in np.flatnonzero(links)]
-            if out:
-                u, v, n = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], names=["u", "v", "links"])
+            sig, copies = _signatures_of(table), table.column("n").to_numpy()
+            sets = [np.frombuffer(x, _U) for x in table.column("shingles").to_pylist()]
+            size = np.array(list(map(len, sets)), np.float64)
+            label, links = np.arange(table.num_rows), np.zeros(table.num_rows, np.int64)
+            for low, high, within in _sides(table, starts):
+                for a, b in tiles(len(low), len(high), within):
+                    x, y = tile_pairs(low[a], (low if within else high)[b], within)
+                    left = surviving(sig, x, y, None, threshold, tolerance)
+                    x, y = x[left], y[left]
+                    common = _common(sets, x, y)
+                    linked = common / (size[x] + size[y] - common) >= threshold
+                    x, y = x[linked], y[linked]
+                    np.add.at(links, x, copies[y])
+                    np.add.at(links, y, copies[x])
+                    label = forest(len(label), x, y, label)
+            at = np.flatnonzero(links)
+            keys = table.column("key").combine_chunks()
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), keys.take(pa.array(label[at])), pa.array(links[at])], names=["u", "v", "links"])
 
     return run
 
@@ -258,69 +272,117 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _in_block_pairs(df: DataFrame, of: str, size: Column, salt: int) -> DataFrame:
-    """Deal the rows of each ``of`` over blocks by a hash of their key, and each block to every pair it is part of."""
-    blocks = F.ceil(size / BLOCK).cast("int")
-    dealt = df.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64(F.lit(salt), "key"), F.col("blocks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "blocks")
+def _in_block_pairs(df: DataFrame, parts: DataFrame) -> DataFrame:
+    """Deal the rows of df (of, part, key ...) to pairs of blocks, sorted in their tasks by pair, side and key.
 
-
-def _gathered(df: DataFrame, of: str) -> DataFrame:
-    return df.repartition(of, "low", "high").sortWithinPartitions(of, "low", "high", "side", "key")
+    parts has (of, part, size, bytes) for each part of an ``of`` in df. A part's rows are dealt over its blocks by a hash of their
+    keys. Blocks of a part are paired with each other and with those of the next part. Pairs of one ``of`` have successive
+    ordinals and go to successive tasks.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = ceil(sqrt(2 * tasks))  # so many blocks make a pair for each task
+    blocks = F.greatest(F.ceil(F.col("size") / LARGE_BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.least(F.ceil(F.col("size") / SMALL_BLOCK), F.lit(spread))).cast("long")
+    sized = parts.select("of", "part", blocks.alias("blocks"))
+    beside = lambda by, name: sized.select("of", (F.col("part") + by).alias("part"), F.col("blocks").alias(name))
+    sized = sized.join(beside(1, "before"), ["of", "part"], "left").join(beside(-1, "after"), ["of", "part"], "left").na.fill(0, ["before", "after"])
+    dealt = df.join(sized, ["of", "part"]).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")))
+
+    def pair(part: Column, ordinal: Column, role: Column, within: Column) -> Column:
+        return F.struct(part.alias("part"), ordinal.alias("ordinal"), role.cast("int").alias("role"), within.alias("within"))
+
+    def own(other: Column) -> Column:
+        low, high = F.least(F.col("side"), other), F.greatest(F.col("side"), other)
+        return pair(F.col("part"), F.floor(low * F.col("blocks") - low * (low - 1) / 2) + high - low, F.col("side") > other, F.col("side") == other)
+
+    def cross(part: Column, low_blocks: Column, low: Column, high_blocks: Column, high: Column, role: int) -> Column:
+        return pair(part, F.floor(low_blocks * (low_blocks + 1) / 2) + low * high_blocks + high, F.lit(role), F.lit(False))
+
+    def each(n: Column, f) -> Column:
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)).otherwise(F.slice(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(0).cast("long")), f), 1, 0))
+
+    pairs = F.concat(
+        each(F.col("blocks"), own),
+        each(F.col("after"), lambda k: cross(F.col("part"), F.col("blocks"), F.col("side"), F.col("after"), k, 0)),
+        each(F.col("before"), lambda k: cross(F.col("part") - 1, F.col("before"), k, F.col("blocks"), F.col("side"), 1)),
+    )
+    rest = [c for c in df.columns if c not in ("of", "part")]
+    out = dealt.select("of", F.explode(pairs).alias("to"), *rest).select("of", "to.part", "to.ordinal", "to.within", "to.role", *rest)
+    task = F.pmod(F.xxhash64("of", "part") + F.col("ordinal"), F.lit(tasks)).cast("int")
+    return out.repartitionById(tasks, task).sortWithinPartitions("of", "part", "ordinal", "role", "key")
 
 
 def jaccard_classes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE
 ) -> DataFrame:
     """One row for each row of df: id, class_id, n_links."""
+    out = _classed(df, id_col, text_col, threshold, tolerance)
+    return out.select(F.col("id").alias(id_col), F.when(F.col("in_class"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"), "n_links")
+
+
+def _classed(df: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> DataFrame:
+    """id, key (of the text), in_class (a class of others too), class_id, class_key, n_links of each row of df.
+
+    The row of a class whose id is class_id and whose key is class_key stands for it.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"), text.alias("text"))
     signed = materialize(rows.mapInArrow(_signed, f"id {kind}, key binary, sig binary"), "signatures")
     classes = signed.where("sig is not null").groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("n"), F.first("sig").alias("sig"))
 
-    band = F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)])).alias("band", "bucket")
+    band = F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)])).alias("band", "of")
     banded = classes.select("key", band)
-    crowded = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    candidates = _in_block_pairs(banded.join(crowded, "bucket"), "bucket", F.col("size"), 1).drop("size").join(classes.select("key", "sig"), "key")
-    pruned = _gathered(candidates.select("bucket", "low", "high", "side", "key", "band", "sig"), "bucket").mapInArrow(_pruned(threshold, tolerance), "u binary, v binary")
+    crowded = banded.groupBy("of").agg(F.count("*").alias("size")).where("size > 1").select("of", F.lit(0).cast("long").alias("part"), "size", F.lit(0).alias("bytes"))
+    candidates = banded.join(crowded.select("of", "part"), "of").join(classes.select("key", "sig"), "key").select("of", "part", "key", "band", "sig")
+    pruned = _in_block_pairs(candidates, crowded).mapInArrow(_pruned(threshold, tolerance), "u binary, v binary")
     groups = materialize(components(pruned), "groups")
 
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "component").select(F.col("node").alias("key"), F.col("component").alias("group"), "size")
-    members = materialize(members.join(classes.select("key", "n", "least_id"), "key"), "members")
-    few = members.count() <= BROADCAST_ROWS
-    named = members.select(F.col("key").alias("member"), "group", "size", "n", "least_id")
-    mine = rows.join(F.broadcast(named) if few else named, F.expr("key = member and id <=> least_id"))
-    sets = mine.select("key", "text", "group", "size", "n").mapInArrow(_shingled, "key binary, shingles binary, group binary, size long, n long")
-    dealt = _in_block_pairs(sets, "group", F.col("size"), 2).select("group", "low", "high", "side", "key", "n", "shingles")
-    links = materialize(_gathered(dealt, "group").mapInArrow(_verified(threshold), "u binary, v binary, links long"), "links")
+    members = groups.select(F.col("node").alias("key"), F.col("component").alias("of"))
+    members = materialize(members.join(classes, "key"), "members")
+    n_members = members.count()
+    named = members.select(F.col("key").alias("member"), "of", "n", "sig", "least_id")
+    mine = rows.join(F.broadcast(named) if n_members <= BROADCAST_ROWS else named, F.expr("key = member and id <=> least_id"))
+    sets = materialize(mine.select("key", "text", "of", "n", "sig").mapInArrow(_shingled, "key binary, shingles binary, of binary, n long, sig binary"), "sets")
+    if sets.count() > n_members:  # rows that come again with the same id and text
+        sets = materialize(sets.dropDuplicates(["key"]), "sets")
+    # Sizes of one part are within a factor of 1 / threshold and a little more, so sets that may be linked are in the same or the next part.
+    part = F.floor(F.log(F.octet_length("shingles") / 8) / F.lit(log(1 / (threshold * 0.999)))).cast("long")
+    sets = sets.withColumn("part", part)
+    parts = sets.groupBy("of", "part").agg(F.count("*").alias("size"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    dealt = _in_block_pairs(sets.select("of", "part", "key", "n", "sig", "shingles"), parts)
+    links = materialize(dealt.mapInArrow(_verified(threshold, tolerance), "u binary, v binary, links long"), "links")
 
     linked = components(links.select("u", "v"))
     leasts = members.select(F.col("key").alias("node"), "least_id")
-    ids = linked.join(leasts, "node").groupBy("component").agg(F.min("least_id").alias("class_id"))
+    first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", F.col("node").alias("key"))).alias("first")
+    ids = linked.join(leasts, "node").groupBy("component").agg(first)
     counted = links.groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
-    classed = linked.join(ids, "component").select(F.col("node").alias("key"), "class_id")
+    classed = linked.join(ids, "component").select(F.col("node").alias("key"), F.col("first.least_id").alias("class_id"), F.col("first.key").alias("class_key"), F.lit(True).alias("linked"))
     known = classes.where("n > 1").select("key", "n", "least_id").join(counted.join(classed, "key", "full"), "key", "full")
-    known = known.select("key", (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "least_id").alias("class_id"), F.lit(True).alias("known"))
+    known = known.select(
+        "key", (F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("least_id")).alias("class_id"),
+        F.coalesce("class_key", "key").alias("class_key"), F.lit(True).alias("known"),
+    )
     out = signed.select("id", "key", F.col("sig").isNotNull().alias("some")).join(known, "key", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("known") & F.col("some"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
-        F.when(F.col("known") & F.col("some"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-    )
+    own = F.coalesce(F.col("known") & F.col("some"), F.lit(False))
+    return out.select("id", "key", own.alias("in_class"), "class_id", "class_key", F.when(own, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, whole, without those of a class that has a lesser id; repeated ids keep one row. Null ids stay."""
-    found = jaccard_classes(df, id_col, text_col, threshold)
-    losers = found.where(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("_loser")).distinct()
-    losers = materialize(losers, "losers")
-    losers = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
-    kept = df.join(losers, df[id_col] == losers["_loser"], "left_anti")
-    repeated = df.groupBy(id_col).agg(F.count("*").alias("_n")).where(f"_n > 1 and `{id_col}` is not null").select(F.col(id_col).alias("_twice"))
-    if not repeated.limit(1).count():
+    """The rows of df, whole, of which one of each class stays: one of its least id (of no id only if none has any) and, of several texts
+    with that id, of the least digest. Rows whose text has no word all stay."""
+    found = _classed(df, id_col, text_col, threshold, TOLERANCE).where("in_class")
+    found = materialize(found.groupBy("id", "key").agg(F.count("*").alias("n"), F.first(F.expr("id <=> class_id and key = class_key")).alias("stays")), "found")
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+    def of(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        which = which.select(F.col("id").alias("_known_id"), F.col("key").alias("_known_key"))
+        which = F.broadcast(which) if which.count() <= BROADCAST_ROWS else which
+        return rows.join(which, rows[id_col].eqNullSafe(which["_known_id"]) & (key == which["_known_key"]), how)
+
+    kept = of(df, found.where("not stays"), "left_anti")
+    again = found.where("stays and n > 1")
+    if not again.limit(1).count():
         return kept
-    once = kept.join(repeated, kept[id_col] == repeated["_twice"], "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, kept[id_col] == repeated["_twice"], "left_anti").unionByName(once)
+    once = of(kept, again, "left_semi").withColumn("_key", key)
+    return of(kept, again, "left_anti").unionByName(once.dropDuplicates([id_col, "_key"]).drop("_key"))
