@@ -145,7 +145,7 @@ def fit_languages(
     idf = np.log((1 + n.get(-1, 0)) / (1 + np.array([n.get(d, 0) for d in range(DIMENSIONS)]))) + 1
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language, as the model has
     order = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 31))
-    chosen = rows.join(F.broadcast(sizes), "lang").withColumn("order", order).where(F.col("order") * F.col("n") < F.lit(float(sample) * (1 << 31)))
+    chosen = rows.join(sizes, "lang").withColumn("order", order).where(F.col("order") * F.col("n") < F.lit(float(sample) * (1 << 31)))
     fitted = chosen.select("lang", "text", "order").groupBy("lang").applyInPandas(_cluster(idf, centroids), "lang string, j int, center array<float>, least double")
     found = sorted(fitted.collect(), key=lambda r: (r.lang, r.j))
     centers = np.array([r.center for r in found]).reshape(len(found), DIMENSIONS)

@@ -13,6 +13,9 @@ each part against the manifest. ``documents_ids`` rebuilds the id lists themselv
 The corpus's ids are shuffled once, to keep each chunk once. Reading back moves only a digest of each chunk: the CRC of a
 document follows from its chunks' CRCs and lengths.
 
+A text's ids are put together from those of its words where the tokenizer's file says that this is the same: its normalizer,
+pre-tokenizer, model and special tokens must be as stated in SEPARABLE. With any other file whole texts are encoded, more slowly.
+
 Defined results: a null or empty text has the end id alone; null ids come first; rows with equal ids are ordered by
 content and each gets its own stretch; an empty table gives empty files. Other columns are ignored.
 """
@@ -20,12 +23,14 @@ content and each gets its own stretch; an empty table gives empty files. Other c
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
+from pathlib import Path
 from unicodedata import is_normalized
 
 import numpy as np
@@ -50,20 +55,60 @@ PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: Documents under one inner node of a part's Merkle tree.
 FANOUT = 1024
 _U = np.uint64
+# What a tokenizer's file says if white space, and a comma or full stop after a letter, keep words apart, and
+# case does not matter outside special tokens, which all begin with SPECIAL.
+SEPARABLE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+SPECIAL = "<|"
+
+
+@lru_cache(2)
+def is_separable(path: str) -> bool:
+    """Whether the texts' ids are their words' ids."""
+    said = json.loads(Path(path).read_text("utf-8"))
+    model = said["model"]
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+    return plain and all(said.get(k) == v for k, v in SEPARABLE.items()) and all(t["content"].startswith(SPECIAL) for t in said.get("added_tokens", []))
+
+
+def packed_kind(path: str) -> np.dtype:
+    """What packed ids are."""
+    return np.dtype("<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4")
+
+
+@lru_cache(2)
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def encode_whole(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each with the end id, and where the texts begin and end."""
+    kind = packed_kind(path)
+    parts = [np.array([*x.ids, end_id], kind) for x in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    return np.concatenate([np.empty(0, kind), *parts]), np.concatenate([[0], np.cumsum(list(map(len, parts)), dtype=np.int64)])
 
 
 @lru_cache(2)
 def _encoder(path: str) -> tuple[WordCache, int]:
-    """A word cache over the tokenizer, and the bytes of a packed id.
+    """A word cache over a separable tokenizer, and the bytes of a packed id.
 
     The normalizer turns white space into spaces and the pre-tokenizer drops them, so a text's ids are its words' ids.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
-    code = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
-    kind = np.dtype(f"<u{array(code).itemsize}")
+    tokenizer, kind = _tokenizer(path), packed_kind(path)
+    code = "H" if kind.itemsize == 2 else "I"
     plain = lambda w: tokenizer.encode(w, add_special_tokens=False).ids
     bar = plain("|")
     # Words of small letters in normal form need no normalizer, and are one piece for the pre-tokenizer, whose last token
@@ -192,13 +237,16 @@ def encode_rows(data: np.ndarray, offsets: np.ndarray, begin: int, end: int, cac
 
 def _encoded(tokenizer: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, width = _encoder(tokenizer)
-        kind = np.dtype(f"<u{width}")
+        kind, cache = packed_kind(tokenizer), _encoder(tokenizer)[0] if is_separable(tokenizer) else None
+        width = kind.itemsize
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets, SLICE_BYTES):
                 counts, roots, keys, chunks, ends = [], [], [], [], [0]
-                ids, bounds = encode_rows(data, offsets, a, b, cache, kind, end_id)
+                if cache is None:
+                    ids, bounds = encode_whole([data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(a, b)], tokenizer, end_id)
+                else:
+                    ids, bounds = encode_rows(data, offsets, a, b, cache, kind, end_id)
                 packed, marked = ids.tobytes(), marks(ids)
                 firsts = np.searchsorted(marked, bounds, "right").tolist()
                 for row, (begin, end) in enumerate(pairwise(bounds.tolist())):
@@ -259,7 +307,7 @@ def write_store(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_co
     recipes = recipes.mapInArrow(_numbered, f"id {kind}, n_tokens long, root binary, keys array<binary>, row long, local_start long")
     recipes.withColumn("part", F.spark_partition_id()).write.parquet(f"{path}/recipes")
     drop_path(spark, staged)
-    _manifest(spark.read.parquet(f"{path}/recipes")).coalesce(1).write.parquet(f"{path}/manifest")
+    _manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
 @lru_cache(1)
@@ -351,7 +399,7 @@ def read_store(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     wrong = stored.join(spark.read.parquet(f"{path}/manifest").select("part", F.col("root").alias("said")), "part", "full").where("not(root <=> said)")
     if wrong.limit(1).count():
         raise ValueError("the manifest doesn't have its parts' Merkle roots")
-    width = _encoder(tokenizer)[1]
+    width = packed_kind(tokenizer).itemsize
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_chunk_digests(width), "key binary, size long, crc long")
     kind = spark.read.parquet(f"{path}/recipes").schema["id"].dataType.simpleString()
     # A document's start is its own: every document has the end id at least.

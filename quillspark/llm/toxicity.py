@@ -28,8 +28,9 @@ from quillspark.llm.texts import IS_LEAD, Slice, slices, utf8
 BITS = 18
 MOST_LABELLED = 8_000
 #: A word gets a weight if this many documents of the sample have it, and the lower bound of its share of labelled-toxic
-#: ones (Wilson's, at BOUND_Z deviations) reaches LEAST_SHARE: labels are noisy, and rare words would learn the noise.
-LEAST_DOCUMENTS, LEAST_SHARE, BOUND_Z = 4, 0.35, 2.0
+#: ones (Wilson's, at BOUND_Z deviations) is above that of LIFT documents taken at random, one of them labelled toxic:
+#: 1 - (1 - rate) ** LIFT. Labels are noisy, and rare words would learn the noise.
+LEAST_DOCUMENTS, LIFT, BOUND_Z = 4, 3.5, 2.0
 STEPS, RATE, DECAY = 250, 0.15, 1e-5
 OFFENDING = 0.5
 
@@ -110,7 +111,7 @@ def fit_toxicity(
     share = k / np.maximum(n, 1)
     spread = z * np.sqrt(share * (1 - share) / np.maximum(n, 1) + z * z / (4 * np.maximum(n, 1) ** 2))
     bound = (share + z * z / (2 * np.maximum(n, 1)) - spread) / (1 + z * z / np.maximum(n, 1))
-    kept = np.flatnonzero((n >= LEAST_DOCUMENTS) & (bound >= LEAST_SHARE))
+    kept = np.flatnonzero((n >= LEAST_DOCUMENTS) & (bound > 1 - (1 - y.mean()) ** LIFT))
     number = np.full(1 << BITS, -1)
     number[kept] = np.arange(len(kept))
     known = number[word] >= 0

@@ -83,3 +83,89 @@ def test_toxicity_of_a_long_clean_text(spark):
     got = toxicity.score_toxicity(long, model).collect()
     assert all(r.score < 0.5 and not r.offending for r in got)
     assert toxicity.keep_clean(long, model).count() == 2
+
+
+def plain_language(model, text):
+    """The nearest centroid with the text's n-grams counted one by one."""
+    import numpy as np
+
+    from quillspark.llm.texts import mix
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    chars, out = [], np.zeros(language.DIMENSIONS)
+    for c in text + " ":
+        low = c.lower() if len(c.lower()) == 1 else c
+        if c.isalpha():
+            chars.append(low)
+        elif chars and chars[-1] != " ":
+            chars.append(" ")
+    for n in (1, 2, 3):
+        for i in range(len(chars) - n + 1):
+            code = 0
+            for c in chars[i : i + n]:
+                code = code * 0x110000 + ord(c)
+            out[int(mix(np.array([(code + n) % 2**64], np.uint64))[0] >> np.uint64(52))] += 1
+    v = np.where(out > 0, np.log1p(out), 0.0) * model.idf
+    similarity = model.centers @ (v / max(np.linalg.norm(v), 1e-12))
+    return model.languages[int(similarity.argmax())], float(np.clip(similarity.max(), 0, 1))
+
+
+def test_language_against_plain_counting(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit_languages(docs, learn=queries._remainder("id", 3) != 1)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op2_language_id(spark, sf).collect():
+        if len(texts[r.doc_id] or "") < 4000:
+            lang, score = plain_language(model, texts[r.doc_id])
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-5)
+
+
+def plain_toxicity(model, text):
+    """Noisy-or over sentences that are split and hashed one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillspark.llm.texts import Slice, utf8
+
+    clean, some, word = 1.0, False, []
+    sentences = [[]]
+    for b in (text or "").encode().lower() + b"\n":
+        if b >= 128 or chr(b).isalnum():
+            word.append(b)
+            continue
+        if word:
+            sentences[-1].append(bytes(word))
+            word = []
+        if b in b".!?\n":
+            sentences.append([])
+    for own in filter(None, sentences):
+        some = True
+        data, offsets = utf8(pa.array([b" ".join(own).decode("utf-8")]))
+        s = Slice(data, offsets, 0, 1)
+        codes = {int(h) >> (64 - toxicity.BITS) for h in s.hashes(s.words())}
+        weights = [float(model.weights[c]) for c in codes if model.weights[c] != 0]
+        p = 1 / (1 + np.exp(-(model.bias + sum(weights)))) if weights else 0.0
+        if p >= toxicity.OFFENDING:
+            clean *= 1 - p
+    return 1 - clean * (1 - model.leak) if some else 0.0
+
+
+def test_toxicity_against_plain_noisy_or(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"), learn=queries._remainder("id", 5) != 0)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.op9_toxicity(spark, sf).collect()
+    assert len(got) == len(texts) and all(r.score == pytest.approx(plain_toxicity(model, texts[r.doc_id]), abs=1e-6) for r in got)
+
+
+@pytest.mark.parametrize("every", [3, 40])
+def test_toxicity_is_learnt_at_any_rate(spark, every):
+    rng = random.Random(every)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst")
+    rows = [(i, " ".join(word() for _ in range(30)) + (" you vile person. " if i % every == 0 else " you fine person. ") + word(), int(i % every == 0)) for i in range(800)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert all((r.score >= 0.5) == bool(rows[r.doc_id][2]) for r in toxicity.score_toxicity(docs, model).collect())

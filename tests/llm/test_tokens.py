@@ -17,10 +17,13 @@ def docs(spark):
     return spark.createDataFrame(ROWS, "doc_id long, text string, keys string").repartition(3)
 
 
-def test_store_round_trip(spark, docs):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_store_round_trip(spark, docs, name):
+    """The second file keeps case and white space, so its words can't be told apart."""
     from tokenizers import Tokenizer
 
-    file = _tokenizer("word_bpe_49k.json")
+    file = _tokenizer(name)
+    assert token_store.is_separable(file) == (name == "word_bpe_49k.json")
     path = new_table_path(spark, "test")
     token_store.write_store(docs, path, file)
     got = {r.start: r for r in token_store.read_store(spark, path, file).collect()}
@@ -50,6 +53,20 @@ def test_store_of_an_empty_table(spark, docs):
     assert token_store.read_store(spark, path, _tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_whole_query_against_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    from quillspark.llm.queries import op8_token_store
+
+    sf, t = "/root/testdata/sf0.001", Tokenizer.from_file(_tokenizer("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got, at = {r.doc_id: r for r in op8_token_store(spark, sf).collect()}, 0
+    for i in sorted(texts):
+        want = np.array([*t.encode(texts[i], add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(want), zlib.crc32(want.tobytes()))
+        at += len(want)
+
+
 def test_words_give_the_tokenizers_ids():
     import pyarrow as pa
     from hypothesis import given, settings, strategies as st
