@@ -8,32 +8,63 @@ from pyspark.sql import Column, functions as F
 
 MOST_CHARS, MOST_SEGMENTS = 512, 64
 # What a snapshot leaves out and takes in.
-EXCLUDED_DIRECTORIES = ".git .hg .svn node_modules target dist build out .next .nuxt .svelte-kit coverage .venv venv __pycache__ .pytest_cache .mypy_cache .tox .gradle".split()
-BINARY_EXTENSIONS = """7z a avi bin bmp class dll dmg doc docx eot exe flac gif gz ico jar jpeg jpg m4a mkv mov mp3 mp4 o obj ogg otf pdf png pyc so sqlite
-sqlite3 tar tif tiff ttf wav webm webp woff woff2 xls xlsx xz zip zst""".split()
-LOCK_FILES = """bun.lock bun.lockb cargo.lock composer.lock deno.lock flake.lock gemfile.lock go.sum mix.lock package-lock.json pnpm-lock.yaml podfile.lock
-poetry.lock yarn.lock""".split()
-SECRET_NAMES = ".env .netrc .npmrc .pgpass .pypirc credentials credentials.json id_dsa id_ecdsa id_ed25519 id_rsa".split()
-SECRET_EXTENSIONS = "csr der jks key keystore p12 pem pfx".split()
-TEXT_EXTENSIONS = "rs ts tsx js jsx sql md mdx rst txt".split()
-DEFAULT_NAMES = "cargo.toml package.json".split()
+EXCLUDED_DIRECTORIES = [
+    ".git", ".hg", ".svn", "node_modules", "target", "dist", "build", "out", ".next", ".nuxt", ".svelte-kit", "coverage", ".venv", "venv",
+    "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", ".gradle",
+]
+BINARY_EXTENSIONS = [
+    "7z", "a", "avi", "bin", "bmp", "class", "dll", "dmg", "doc", "docx", "eot", "exe", "flac", "gif", "gz", "ico", "jar", "jpeg", "jpg",
+    "m4a", "mkv", "mov", "mp3", "mp4", "o", "obj", "ogg", "otf", "pdf", "png", "pyc", "so", "sqlite", "sqlite3", "tar", "tif", "tiff",
+    "ttf", "wav", "webm", "webp", "woff", "woff2", "xls", "xlsx", "xz", "zip", "zst",
+]
+LOCK_FILES = [
+    "bun.lock", "bun.lockb", "cargo.lock", "composer.lock", "deno.lock", "flake.lock", "gemfile.lock", "go.sum", "mix.lock",
+    "package-lock.json", "pnpm-lock.yaml", "podfile.lock", "poetry.lock", "yarn.lock",
+]
+SECRET_NAMES = [
+    ".env", ".netrc", ".npmrc", ".pgpass", ".pypirc", "credentials", "credentials.json", "id_dsa", "id_ecdsa", "id_ed25519", "id_rsa",
+]
+SECRET_EXTENSIONS = [
+    "csr", "der", "jks", "key", "keystore", "p12", "pem", "pfx",
+]
+TEXT_EXTENSIONS = [
+    "rs", "ts", "tsx", "js", "jsx", "sql", "md", "mdx", "rst", "txt",
+]
+DEFAULT_NAMES = [
+    "cargo.toml", "package.json",
+]
 # Languages by whole file name (in lower case), then by extension.
 LANGUAGE_NAMES = {
-    "dockerfile": "dockerfile containerfile", "makefile": "makefile gnumakefile justfile kbuild", "cmake": "cmakelists.txt", "groovy": "jenkinsfile",
-    "ruby": "rakefile gemfile podfile cartfile fastfile brewfile vagrantfile berksfile guardfile capfile thorfile appfile snapfile",
-    "gitconfig": ".gitignore .gitattributes .gitmodules", "editorconfig": ".editorconfig", "dotenv": ".env",
+    "dockerfile": "dockerfile", "containerfile": "dockerfile", "makefile": "makefile", "gnumakefile": "makefile", "justfile": "makefile",
+    "kbuild": "makefile", "cmakelists.txt": "cmake", "jenkinsfile": "groovy", "rakefile": "ruby", "gemfile": "ruby", "podfile": "ruby",
+    "cartfile": "ruby", "fastfile": "ruby", "brewfile": "ruby", "vagrantfile": "ruby", "berksfile": "ruby", "guardfile": "ruby",
+    "capfile": "ruby", "thorfile": "ruby", "appfile": "ruby", "snapfile": "ruby", ".gitignore": "gitconfig", ".gitattributes": "gitconfig",
+    ".gitmodules": "gitconfig", ".editorconfig": "editorconfig", ".env": "dotenv",
 }
 LANGUAGE_EXTENSIONS = {
-    "rust": "rs", "toml": "toml", "python": "py pyi", "ruby": "rb", "javascript": "js mjs cjs", "jsx": "jsx", "typescript": "ts mts cts", "tsx": "tsx",
-    "vue": "vue", "svelte": "svelte", "go": "go", "java": "java", "kotlin": "kt kts", "scala": "scala sc", "swift": "swift", "c": "c h",
-    "cpp": "cc cpp cxx hpp hxx", "csharp": "cs", "objc": "m", "objcpp": "mm", "php": "php", "perl": "pl pm", "lua": "lua", "r": "r R", "dart": "dart",
-    "elixir": "ex exs", "erlang": "erl hrl", "haskell": "hs", "ocaml": "ml mli", "fsharp": "fs fsx", "clojure": "clj cljs cljc", "groovy": "groovy",
-    "zig": "zig", "nim": "nim", "crystal": "cr", "solidity": "sol", "elm": "elm", "purescript": "purs", "reason": "re res", "gdscript": "gd", "sql": "sql",
-    "graphql": "graphql gql", "protobuf": "proto", "prisma": "prisma", "terraform": "tf tfvars tftpl", "hcl": "hcl", "nix": "nix", "yaml": "yaml yml",
-    "json": "json jsonc json5", "ini": "ini cfg conf properties", "xml": "xml xsd xsl", "html": "html htm", "css": "css", "scss": "scss sass", "less": "less",
-    "markdown": "md mdx", "restructuredtext": "rst", "text": "txt", "gettext": "po pot", "svg": "svg", "jupyter": "ipynb", "shell": "sh bash zsh ksh",
-    "fish": "fish", "powershell": "ps1 psm1", "batch": "bat cmd", "assembly": "asm s", "fortran": "f90 f95 f03", "pascal": "pas", "verilog": "v sv svh",
-    "vhdl": "vhd vhdl", "latex": "tex", "diff": "diff patch", "dotenv": "env", "makefile": "mk",
+    "rs": "rust", "toml": "toml", "py": "python", "pyi": "python", "rb": "ruby", "js": "javascript", "mjs": "javascript",
+    "cjs": "javascript", "jsx": "jsx", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "vue": "vue",
+    "svelte": "svelte", "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sc": "scala", "swift": "swift",
+    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "cs": "csharp", "m": "objc", "mm": "objcpp",
+    "php": "php", "pl": "perl", "pm": "perl", "lua": "lua", "r": "r", "R": "r", "dart": "dart", "ex": "elixir", "exs": "elixir",
+    "erl": "erlang", "hrl": "erlang", "hs": "haskell", "ml": "ocaml", "mli": "ocaml", "fs": "fsharp", "fsx": "fsharp", "clj": "clojure",
+    "cljs": "clojure", "cljc": "clojure", "groovy": "groovy", "zig": "zig", "nim": "nim", "cr": "crystal", "sol": "solidity", "elm": "elm",
+    "purs": "purescript", "re": "reason", "res": "reason", "gd": "gdscript", "sql": "sql", "graphql": "graphql", "gql": "graphql",
+    "proto": "protobuf", "prisma": "prisma", "tf": "terraform", "tfvars": "terraform", "tftpl": "terraform", "hcl": "hcl", "nix": "nix",
+    "yaml": "yaml", "yml": "yaml", "json": "json", "jsonc": "json", "json5": "json", "ini": "ini", "cfg": "ini", "conf": "ini",
+    "properties": "ini", "xml": "xml", "xsd": "xml", "xsl": "xml", "html": "html", "htm": "html", "css": "css", "scss": "scss",
+    "sass": "scss", "less": "less", "md": "markdown", "mdx": "markdown", "rst": "restructuredtext", "txt": "text", "po": "gettext",
+    "pot": "gettext", "svg": "svg", "ipynb": "jupyter", "sh": "shell", "bash": "shell", "zsh": "shell", "ksh": "shell", "fish": "fish",
+    "ps1": "powershell", "psm1": "powershell", "bat": "batch", "cmd": "batch", "asm": "assembly", "s": "assembly", "f90": "fortran",
+    "f95": "fortran", "f03": "fortran", "pas": "pascal", "v": "verilog", "sv": "verilog", "svh": "verilog", "vhd": "vhdl", "vhdl": "vhdl",
+    "tex": "latex", "diff": "diff", "patch": "diff", "env": "dotenv", "mk": "makefile",
+}
+# Kinds of library files by extension, and their media types.
+FILE_KINDS = {
+    "txt": ("text", "text/plain"), "md": ("text", "text/markdown"), "json": ("text", "application/json"), "csv": ("text", "text/csv"), "html": ("text", "text/html"),
+    "png": ("image", "image/png"), "jpg": ("image", "image/jpeg"), "jpeg": ("image", "image/jpeg"), "webp": ("image", "image/webp"),
+    "pdf": ("document", "application/pdf"), "docx": ("document", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    "xlsx": ("document", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"), "pptx": ("document", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
 }
 
 
@@ -80,7 +111,13 @@ def selection(path: Column, size: Column, excludes: tuple[str, ...] = (), includ
 
 def language_of(path: Column) -> Column:
     """Language by file name, else by extension (a leading dot begins none), else unknown."""
-    table = lambda t: F.create_map(*[F.lit(x) for language, keys in t.items() for k in keys.split() for x in (k, language)])
+    table = lambda t: F.create_map(*[F.lit(x) for pair in t.items() for x in pair])
     name = F.element_at(F.split(path, "/"), -1)
     extension = F.regexp_extract(name, r"^.+\.([^.]*)$", 1)
     return F.coalesce(F.try_element_at(table(LANGUAGE_NAMES), F.lower(name)), F.try_element_at(table(LANGUAGE_EXTENSIONS), extension), F.lit("unknown"))
+
+
+def file_kind(path: Column) -> Column:
+    """text, image or document by the extension, else invalid."""
+    extension = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, (kind, _) in FILE_KINDS.items() for x in (k, kind)]), extension), F.lit("invalid"))

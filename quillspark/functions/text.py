@@ -47,6 +47,13 @@ def query_terms(x: str) -> list[str]:
     return [t for t in re.split(rf"[\s{re.escape(string.punctuation)}]+", x.lower()) if t]
 
 
+def code_tokens(phrase: str) -> list[str]:
+    """Distinct code tokens of a phrase, as code_terms finds them in a column."""
+    import re
+
+    return list(dict.fromkeys(t for t in re.split(r"[^\w$:./-]+", phrase.lower()) if t))
+
+
 def code_terms(x: Column) -> Column:
     """Distinct code tokens, in order: letters, digits and _ $ : . / -"""
     return F.array_distinct(F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}_$:./-]+"), lambda t: t != ""))
@@ -62,3 +69,29 @@ def safe_filename(title: Column, extension: str) -> Column:
 def retry_seconds(attempt: Column) -> Column:
     """5, 10, 20 ... seconds, 300 at most."""
     return F.least(F.lit(300), (F.lit(5) * F.pow(F.lit(2.0), F.least(attempt, F.lit(30)) - 1)).cast("long"))
+
+
+def error_class(message: Column, rules: dict[str, str], other: str = "other") -> Column:
+    """The first class whose pattern the message has, in any case."""
+    out = F.lit(other)
+    for name, pattern in reversed(rules.items()):
+        out = F.when(F.lower(message).rlike(pattern), name).otherwise(out)
+    return out
+
+
+def one_line(x: Column, most: int = 512) -> Column:
+    """Control characters and white space as single spaces, at most so many characters."""
+    return F.substring(F.trim(F.regexp_replace(x, r"[\s\x00-\x1f\x7f]+", " ")), 1, most)
+
+
+def fingerprint(*parts: Column) -> Column:
+    """sha256 over the parts, each behind its length in bytes, so that no two lists of parts look alike; a null part differs from an empty one."""
+    framed = [F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-:")) for p in parts]
+    return F.sha2(F.concat(*framed), 256)
+
+
+def instant(x: Column, latest: str = "3000-01-01T00:00:00Z") -> Column:
+    """The instant of an RFC 3339 text, held between the epoch and ``latest``; null for other texts."""
+    bound = lambda t: F.lit(t).cast("timestamp")
+    known = F.when(x.rlike(r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"), F.upper(x).try_cast("timestamp"))
+    return F.when(known.isNotNull(), F.least(F.greatest(known, bound("1970-01-01T00:00:00Z")), bound(latest)))

@@ -307,7 +307,7 @@ def segment(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def plan_batches(df: DataFrame, key: list[str], order: list[str], text_col: str, requests: bool = False) -> DataFrame:
     """batch_id of each row within its key: 32 rows and 64 000 characters at most, or for requests 32 and 1 MiB of JSON."""
-    size = (lambda s: len(json.dumps(s).encode())) if requests else len
+    size = (lambda s: len(json.dumps(s, ensure_ascii=False).encode())) if requests else len
     most = (REQUEST_ITEMS, REQUEST_BYTES) if requests else (BATCH_ITEMS, BATCH_CHARS)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

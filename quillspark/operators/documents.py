@@ -36,3 +36,40 @@ def hashed_embedding(text: Column, dimension: int = 32) -> Column:
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)))
     return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("float"))
+
+
+def is_animated(content: Column) -> Column:
+    """Whether a PNG has an animation chunk before its data, or a WebP its animation flag or chunk."""
+    text = F.decode(content, "ISO-8859-1")
+    control, data = F.instr(text, "acTL"), F.instr(text, "IDAT")
+    png = (control > 0) & ((data == 0) | (control < data))
+    flags = F.conv(F.hex(F.substring(content, 21, 1)), 16, 10).cast("int")
+    webp = (F.substring(text, 13, 4) == "VP8X") & (flags.bitwiseAND(F.lit(2)) > 0) | (F.instr(text, "ANIM") > 0)
+    return F.coalesce(F.when(image_kind(content) == "png", png).when(image_kind(content) == "webp", webp), F.lit(False))
+
+
+BODY_SCHEMA = """struct<body:struct<children:array<struct<`$ref`:string>>>,
+texts:array<struct<text:string,children:array<struct<`$ref`:string>>>>,groups:array<struct<name:string,children:array<struct<`$ref`:string>>>>>"""
+
+
+def body_text(json: Column) -> Column:
+    """The body of a converter's JSON: its texts in the order of the body's references, those of groups in their place, by blank lines."""
+    doc = F.from_json(json, BODY_SCHEMA)
+    at = lambda ref, kind: F.regexp_extract(ref, rf"^#/{kind}/(\d+)$", 1).try_cast("int")
+    text = lambda ref: F.get(doc["texts"], at(ref, "texts"))["text"]
+    own = lambda ref: F.when(
+        ref.startswith("#/groups/"), F.transform(F.coalesce(F.get(doc["groups"], at(ref, "groups"))["children"], F.array().cast("array<struct<`$ref`:string>>")), lambda c: text(c["$ref"]))
+    ).otherwise(F.array(text(ref)))
+    parts = F.flatten(F.transform(doc["body"]["children"], lambda c: own(c["$ref"])))
+    return F.array_join(F.filter(parts, lambda t: F.trim(t) != ""), "\n\n")
+
+
+def localized(documents: DataFrame, translations: DataFrame, locale: str) -> DataFrame:
+    """document_id, content_locale, is_fallback, title, lines of every document: of its translation to the locale if that was made from
+    the document as it is (by record_hash), else of the original, which is a fallback."""
+    own = translations.where(F.col("target_locale") == locale).select("document_id", F.col("source_record_hash").alias("record_hash"), F.col("title").alias("_title"), F.col("lines").alias("_lines"))
+    rows = documents.join(own, ["document_id", "record_hash"], "left")
+    known = F.col("_lines").isNotNull()
+    return rows.select(
+        "document_id", F.when(known, locale).otherwise("original").alias("content_locale"), (~known).alias("is_fallback"), F.coalesce("_title", "title").alias("title"), F.coalesce("_lines", "lines").alias("lines")
+    )

@@ -33,6 +33,25 @@ class MetadataDef:
         return F.from_json(raw, f"array<{kind}>") if self.array else raw.try_cast(kind)
 
 
+def _entry(json_col: str, path: str) -> Column:
+    """The value at a path as JSON text in a variant; null if nothing is there."""
+    return F.try_variant_get(F.try_parse_json(F.col(json_col)), f"$.{path}", "variant")
+
+
+def json_type(json_col: str, path: str) -> Column:
+    """string, number, boolean, object, array or null; no value if nothing is there."""
+    kind = F.schema_of_variant(_entry(json_col, path))
+    return (
+        F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array")
+        .when(kind.isNotNull(), "number")
+    )
+
+
+def json_has(json_col: str, path: str) -> Column:
+    """Whether something, even null, is at the path."""
+    return _entry(json_col, path).isNotNull()
+
+
 @dataclass(frozen=True)
 class MetadataFilter:
     path: str

@@ -9,8 +9,47 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.text import query_terms
 
+# The most that keyword channels add up to, the constant of rank fusion, and the sizes of candidate windows.
 KEYWORD_CAP = 2.37
 RRF_CONSTANT = 60
+MOST_CANDIDATES, LEAST_CANDIDATES, FILTER_FACTOR, RERANK_CANDIDATES = 2_000, 80, 8, 40
+
+
+def candidate_window(requested: int, candidate_limit: int = RERANK_CANDIDATES, filtered: bool = False) -> tuple[int, bool]:
+    """How many candidates each channel gives for the first ``requested`` hits, and whether one beyond them can be looked for."""
+    can_probe = requested < MOST_CANDIDATES
+    fetch = max(requested + 1 if can_probe else requested, LEAST_CANDIDATES, candidate_limit, 1) * (FILTER_FACTOR if filtered else 1)
+    return min(fetch, MOST_CANDIDATES), can_probe
+
+
+def candidate_window_of(requested: Column, candidate_limit: Column, filtered: Column) -> tuple[Column, Column]:
+    """The same of columns, for a table of requests."""
+    can_probe = requested < MOST_CANDIDATES
+    fetch = F.greatest(F.when(can_probe, requested + 1).otherwise(requested), F.lit(LEAST_CANDIDATES), candidate_limit, F.lit(1))
+    return F.least(F.lit(MOST_CANDIDATES), fetch * F.when(filtered, FILTER_FACTOR).otherwise(1)), can_probe
+
+
+def window_state(collected: Column, requested: Column, can_probe: Column, capped: Column) -> Column:
+    """Struct of total, a lower bound, and has_more: unknown (null) if nothing could be looked for or a channel gave all it may."""
+    more = collected > requested
+    total = F.when(more, F.greatest(collected, requested + 1)).otherwise(collected)
+    return F.struct(total.alias("total"), F.when(more, True).when(~can_probe | capped, F.lit(None).cast("boolean")).otherwise(False).alias("has_more"))
+
+
+def may_match(text: Column, phrase: str) -> Column:
+    """False only for documents no part of which can match the phrase: every match holds each of its terms."""
+    return reduce(lambda a, b: a & b, [F.lower(text).contains(t) for t in query_terms(phrase)], F.lit(True))
+
+
+def searchable(originals: DataFrame, translated: DataFrame, documents: DataFrame, locale: str) -> DataFrame:
+    """Chunks to search for readers of a locale: all originals, as fallbacks, and those of translations that were made from the document
+    as it is (translated has source_record_hash, documents record_hash)."""
+    columns = ["document_id", "chunk_index", "title", "chunk_text"]
+    current = documents.select("document_id", F.col("record_hash").alias("source_record_hash"))
+    own = translated.where(F.col("target_locale") == locale).join(current, ["document_id", "source_record_hash"], "left_semi")
+    return originals.select(*columns, F.lit("original").alias("content_locale"), F.lit(True).alias("is_fallback")).unionByName(
+        own.select(*columns, F.col("target_locale").alias("content_locale"), F.lit(False).alias("is_fallback"))
+    )
 
 
 @dataclass(frozen=True)
@@ -41,7 +80,8 @@ def keyword_search(chunks: DataFrame, phrase: str, limit: int | None = 20, id_de
     if limit is None:
         return hits
     doc = F.col("document_id").desc() if id_desc else F.col("document_id").asc()
-    return hits.orderBy(F.desc("keyword_score"), doc, "chunk_index").limit(limit)
+    last = ["content_locale"] if "content_locale" in chunks.columns else []
+    return hits.orderBy(F.desc("keyword_score"), doc, "chunk_index", *last).limit(limit)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,7 +95,8 @@ def cosine(a: Column, b: Column) -> Column:
 def knn(vectors: DataFrame, target: list[float], k: int, where: Column | None = None) -> DataFrame:
     """The k most similar rows by cosine, exactly: the filter reaches the scan, each task keeps its k best."""
     rows = vectors if where is None else vectors.where(where)
-    score = F.round(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in target])), 6)
+    x, norm = F.col("embedding"), sum(float(v) * float(v) for v in target) ** 0.5
+    score = F.round(dot(x, F.array(*[F.lit(float(v)) for v in target])) / (F.sqrt(dot(x, x)) * F.lit(norm)), 6)
     return rows.withColumn("vector_score", score).orderBy(F.desc("vector_score"), "vec_id").limit(k)
 
 
@@ -64,19 +105,72 @@ def valid_vector(v: Column, dimension: int) -> Column:
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, phrase: str, weights: FusionWeights = FusionWeights()) -> DataFrame:
-    """Full outer merge of both channels by (document_id, chunk_index), with the local score."""
+    """Full outer merge of both channels by (document_id, chunk_index), with the local score and the reason.
+
+    A translation replaces the fallback to its original, whichever channel it comes from; scores are the channels' largest. The reason
+    is "semantic" with the vector channel, "title" or "keyword" by the keyword channel's reason, or both.
+    """
     keys = ["document_id", "chunk_index"]
-    both = vector.select(*keys, "title", "chunk_text", "vector_score", F.lit(None).cast("double").alias("keyword_score")).unionByName(
-        keyword.select(*keys, "title", "chunk_text", F.lit(None).cast("double").alias("vector_score"), "keyword_score")
-    )
-    merged = both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("title", "chunk_text", "vector_score", "keyword_score")])
+
+    def channel(df: DataFrame, number: int) -> DataFrame:
+        had = lambda c, default: F.col(c) if c in df.columns else default
+        return df.select(
+            *keys, "title", "chunk_text", had("vector_score", F.lit(None).cast("double")).alias("vector_score"), had("keyword_score", F.lit(None).cast("double")).alias("keyword_score"),
+            had("match_reason", F.lit(None).cast("string")).alias("mark"), had("content_locale", F.lit("original")).alias("content_locale"),
+            had("is_fallback", F.lit(True)).alias("is_fallback"), F.lit(number).alias("channel"),
+        )
+
+    both = channel(vector, 0).unionByName(channel(keyword, 1))
+    shown = F.min_by(F.struct("title", "chunk_text", "content_locale", "is_fallback"), F.struct("is_fallback", "channel", "content_locale")).alias("shown")
+    mark = F.min_by("mark", F.when(F.col("mark").isNotNull(), F.struct(-F.col("keyword_score"), "content_locale"))).alias("mark")
+    merged = both.groupBy(*keys).agg(F.max("vector_score").alias("vector_score"), F.max("keyword_score").alias("keyword_score"), shown, mark)
+    merged = merged.select(*keys, "shown.*", "vector_score", "keyword_score", "mark")
     low = phrase.strip().lower()
     title, body = F.lower(F.trim("title")), F.lower("chunk_text")
     tier = F.when(title == low, 1.8).when(title.contains(low), 1.4).when(body.contains(low), 1.0).otherwise(0.0)
     base = F.least(F.greatest(F.coalesce("vector_score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * weights.vector
     base += F.least(F.coalesce("keyword_score", F.lit(0.0)), F.lit(KEYWORD_CAP)) / KEYWORD_CAP * weights.keyword
-    reason = F.when(F.col("vector_score").isNotNull() & F.col("keyword_score").isNotNull(), "semantic+keyword").when(F.col("vector_score").isNotNull(), "semantic").otherwise("keyword")
-    return merged.withColumn("score", F.round(base + F.least(tier * weights.boost, 1 - base), 6)).withColumn("match_reason", reason)
+    said = F.concat_ws("+", F.when(F.col("vector_score").isNotNull(), "semantic"), F.when(F.col("mark").isin("title_exact", "title_phrase"), "title").when(F.col("mark").isNotNull(), "keyword"))
+    scored = merged.withColumn("score", F.round(base + F.least(tier * weights.boost, 1 - base), 6)).withColumn("match_reason", F.when(said == "", "keyword").otherwise(said))
+    return scored.drop("mark")
+
+
+def rerank_snapshot(hits: DataFrame, most: int = RERANK_CANDIDATES) -> DataFrame:
+    """The first hits in local order: what a reranker sees."""
+    return hits.orderBy(F.desc("score"), "document_id", "chunk_index").limit(most)
+
+
+def cached_scores(wanted: DataFrame, hot: DataFrame, persisted: DataFrame) -> DataFrame:
+    """(request, id, score): hot scores before persisted ones, only for requests of which every wanted (request, id) has one."""
+    both = hot.select("id", "score", F.lit(0).alias("tier")).unionByName(persisted.select("id", "score", F.lit(1).alias("tier")))
+    best = both.groupBy("id").agg(F.min_by("score", "tier").alias("score"))
+    rows = wanted.join(best, "id", "left")
+    lacking = rows.where("score is null").select("request").distinct()
+    return rows.join(lacking, "request", "left_anti").select("request", "id", "score")
+
+
+def code_search(chunks: DataFrame, active: DataFrame, phrase: str, limit: int, prefix: str | None = None, language: str | None = None) -> DataFrame:
+    """Chunks (generation, path, language, chunk_index, chunk_text) of active generations with the phrase in their path or text, or all its
+    code tokens in their text. Score: path equal 1.20 or containing 0.90, text containing 0.82, all tokens 0.30."""
+    from quillspark.functions.text import code_tokens
+
+    low, tokens = phrase.strip().lower(), code_tokens(phrase)
+    rows = chunks.join(active, "generation", "left_semi")
+    rows = rows if prefix is None else rows.where(F.col("path").startswith(prefix))
+    rows = rows if language is None else rows.where(F.col("language") == language)
+    path, body = F.lower("path"), F.lower("chunk_text")
+    in_path, in_body = path.contains(low), body.contains(low)
+    all_tokens = reduce(lambda a, b: a & b, [body.contains(t) for t in tokens]) if tokens else F.lit(False)
+    score = F.when(path == low, 1.20).when(in_path, 0.90).otherwise(0.0) + in_body.cast("int") * 0.82 + all_tokens.cast("int") * 0.30
+    hits = rows.where(in_path | in_body | all_tokens).withColumn("score", F.round(score, 6))
+    return hits.orderBy(F.desc("score"), "path", "chunk_index").limit(limit)
+
+
+def search_mode(is_configured: bool, is_vectorized: bool, identity: str | None, wanted_identity: str | None, failed: bool = False) -> tuple[str, str | None]:
+    """Whether code search goes by vectors or falls back to words, and why."""
+    checks = [("not_configured", not is_configured), ("not_vectorized", not is_vectorized), ("identity_mismatch", identity != wanted_identity), ("runtime", failed)]
+    reason = next((name for name, wrong in checks if wrong), None)
+    return ("lexical" if reason else "semantic", reason)
 
 
 def overlap_scores(hits: DataFrame, phrase: str) -> DataFrame:

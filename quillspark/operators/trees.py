@@ -1,36 +1,51 @@
-"""Trees of groups and folders by recursive SQL."""
+"""Trees of groups and folders by pointer doubling: as many rounds as the depth has binary digits, each written out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
 
-MOST_LEVELS = 64
+from pyspark.sql import DataFrame, functions as F
+
+from quillspark.session import materialize
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(node, ancestor, depth) of a (node, parent) table, every node its own ancestor at depth 0. Cycles end at MOST_LEVELS."""
-    return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-          SELECT node, node, 0 FROM {edges}
-          UNION ALL
-          SELECT up.node, e.parent, up.depth + 1 FROM up JOIN {edges} e ON e.node = up.ancestor
-          WHERE e.parent IS NOT NULL AND up.depth < %d)
-        SELECT DISTINCT node, ancestor, depth FROM up"""
-        % MOST_LEVELS,
-        edges=edges,
-    )
+    """(node, ancestor, depth) of a (node, parent) table of any depth, every node its own ancestor at depth 0.
+
+    Round k joins the ancestors at depth 2**k exactly with all up to there, so no pair is made twice. A cycle is an error.
+    """
+    edges = edges.select("node", "parent")
+    parts = [edges.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))]
+    step = materialize(edges.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "tree")
+    known, reach, n = step, 1, step.count()
+    parts.append(step)
+    while True:
+        if reach > n:
+            raise ValueError("the tree has a cycle")
+        jump = parts[-1].where(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"), F.col("depth").alias("there"))
+        onwards = known.select(F.col("node").alias("via"), "ancestor", F.col("depth").alias("more"))
+        new = materialize(jump.join(onwards, "via").select("node", "ancestor", (F.col("there") + F.col("more")).alias("depth")), "tree")
+        reach *= 2
+        parts.append(new)
+        if new.where(F.col("depth") == reach).isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        known = reduce(DataFrame.unionByName, parts[1:])
 
 
 def paths(edges: DataFrame) -> DataFrame:
-    """(node, full_path) of a (node, parent, name) table."""
-    return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE down(node, full_path, depth) AS (
-          SELECT node, name, 0 FROM {edges} WHERE parent IS NULL
-          UNION ALL
-          SELECT e.node, concat(d.full_path, '/', e.name), d.depth + 1 FROM down d JOIN {edges} e ON e.parent = d.node WHERE d.depth < %d)
-        SELECT node, full_path FROM down"""
-        % MOST_LEVELS,
-        edges=edges,
-    )
+    """(node, full_path) of a (node, parent, name) table: the names from the root on. Nodes that no root leads to have none."""
+    names = edges.select(F.col("node").alias("ancestor"), "name", F.col("parent").isNull().alias("is_root"))
+    rows = closure(edges).join(names, "ancestor")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "name"))), lambda s: s["name"])
+    return rows.groupBy("node").agg(F.array_join(ordered, "/").alias("full_path"), F.bool_or("is_root").alias("rooted")).where("rooted").drop("rooted")
+
+
+def assembled(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(node, depth, n_children, n_files, n_open): the listing of a tree, with the files below each node, itself included, and how many of
+    them are open. files has (node, is_open)."""
+    up = closure(edges)
+    per_node = files.groupBy("node").agg(F.count("*").alias("files"), F.count_if("is_open").alias("open"))
+    below = up.join(per_node, "node").groupBy(F.col("ancestor").alias("node")).agg(F.sum("files").alias("n_files"), F.sum("open").alias("n_open"))
+    depth = up.groupBy("node").agg(F.max("depth").alias("depth"))
+    children = edges.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
+    return depth.join(children, "node", "left").join(below, "node", "left").na.fill(0, ["n_children", "n_files", "n_open"])

@@ -4,35 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillspark.operators import documents as X, search as S, snapshots as D
-from quillspark.plans.corpus import CHUNKS_SQL, SNAPSHOT_SQL, baseline, chunks, target
+from quillspark.functions.text import error_class as class_of, fingerprint, instant, one_line
+from quillspark.operators import documents as X, metadata as M, search as S, snapshots as D
+from quillspark.plans.corpus import SNAPSHOT_SQL, baseline, target
 from quillspark.plans.registry import Tables, query
 from quillspark.plans.search_queries import _COSINE_SQL, _target
 
 
-@query("rebuild_verify", f"""WITH {SNAPSHOT_SQL} SELECT (SELECT count(*) FROM base) - (SELECT count(*) FROM target) AS count_gap,
-count(*) FILTER (WHERE t.path IS NULL) AS only_live, count(*) FILTER (WHERE b.path IS NULL) AS only_staged,
-count(*) FILTER (WHERE b.sha <> t.sha) AS hash_mismatch, count(*) FILTER (WHERE b.bytes <> t.bytes) AS size_mismatch FROM base b FULL JOIN target t USING (path)""")
-def rebuild_verify(t: Tables) -> DataFrame:
-    b, s = baseline(t), target(t).select("path", F.col("sha").alias("new"), F.col("bytes").alias("new_bytes"), F.lit(1).alias("staged"))
-    both = b.withColumn("live", F.lit(1)).join(s, "path", "full")
-    return both.agg(
-        (F.count("live") - F.count("staged")).alias("count_gap"), F.count_if(F.col("staged").isNull()).alias("only_live"), F.count_if(F.col("live").isNull()).alias("only_staged"),
-        F.count_if(F.col("sha") != F.col("new")).alias("hash_mismatch"), F.count_if(F.col("bytes") != F.col("new_bytes")).alias("size_mismatch"),
-    )
+@query("error_class", "SELECT CASE WHEN regexp_matches(lower(text), 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(lower(text), 'token|password') THEN 'credentials' WHEN regexp_matches(lower(text), 'license') THEN 'license' ELSE 'other' END AS class, count(*) AS n FROM documents GROUP BY 1")
+def error_class(t: Tables) -> DataFrame:
+    rules = {"timeout": "timeout|timed out", "credentials": "token|password", "license": "license"}
+    return t.documents.groupBy(class_of(F.col("text"), rules).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("page_proof", f"WITH {CHUNKS_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE chunk_text LIKE '%the%') AS differing FROM chunks WHERE (document_id > 10 OR (document_id = 10 AND chunk_index > 1)) AND (document_id < 40 OR (document_id = 40 AND chunk_index <= 2))")
-def page_proof(t: Tables) -> DataFrame:
-    page = chunks(t).where("(document_id > 10 or (document_id = 10 and chunk_index > 1)) and (document_id < 40 or (document_id = 40 and chunk_index <= 2))")
-    return page.agg(F.count("*").alias("n"), F.count_if(F.col("chunk_text").contains("the")).alias("differing"))
+@query("one_line_text", r"SELECT doc_id, trim(regexp_replace(text, '[\s\x00-\x1f\x7f]+', ' ', 'g'))[1:512] AS line FROM documents")
+def one_line_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", one_line(F.col("text")).alias("line"))
 
 
-@query("error_class", "SELECT CASE WHEN regexp_matches(lower(text), 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(lower(text), 'token|password') THEN 'credentials' WHEN regexp_matches(lower(text), 'license') THEN 'license' ELSE 'other' END AS class, count(*) AS n FROM documents GROUP BY 1")
-def error_class(t: Tables) -> DataFrame:
-    low = F.lower("text")
-    c = F.when(low.rlike("timeout|timed out"), "timeout").when(low.rlike("token|password"), "credentials").when(low.rlike("license"), "license").otherwise("other")
-    return t.documents.groupBy(c.alias("class")).agg(F.count("*").alias("n"))
+@query("framed_fingerprint", "SELECT doc_id, sha256(concat(coalesce(strlen(source) || ':' || source, '-:'), coalesce(strlen(CASE WHEN doc_id % 3 <> 0 THEN lang END) || ':' || lang, '-:'), strlen(text) || ':' || text)) AS fingerprint FROM documents")
+def framed_fingerprint(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", fingerprint(F.col("source"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")), F.col("text")).alias("fingerprint"))
+
+
+@query("instant_of_text", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN TIMESTAMP '1970-01-01' WHEN 1 THEN TIMESTAMP '3000-01-01' WHEN 2 THEN NULL ELSE date_trunc('second', ts) END AS at FROM events""")
+def instant_of_text(t: Tables) -> DataFrame:
+    shifted = F.concat(F.date_format(F.col("ts") + F.expr("interval 90 minutes"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:30"))
+    said = F.when(F.col("event_id") % 5 == 0, "1850-02-03T04:05:06Z").when(F.col("event_id") % 5 == 1, "4000-01-01T00:00:00+02:00").when(F.col("event_id") % 5 == 2, F.date_format("ts", "yyyy-MM-dd"))
+    return t.events.select("event_id", instant(said.when(F.col("event_id") % 5 == 3, shifted).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("at"))
+
+
+@query("json_type_tests", "SELECT event_id, json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE') AS is_number, json_exists(props, '$.k') AS has_k, json_exists(props, '$.other') AS has_other FROM events")
+def json_type_tests(t: Tables) -> DataFrame:
+    return t.events.select("event_id", (M.json_type("props", "k") == "number").alias("is_number"), M.json_has("props", "k").alias("has_k"), M.json_has("props", "other").alias("has_other"))
 
 
 @query("reorder_by_index", "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts, count(DISTINCT l_linenumber) = count(*) AS unique_index FROM lineitem GROUP BY 1")
@@ -41,13 +45,6 @@ def reorder_by_index(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.array_join(ordered, ",").alias("parts"), (F.count_distinct("l_linenumber") == F.count("*")).alias("unique_index"))
 
 
-@query("rerank_cache_merge", "WITH c AS (SELECT doc_id, quality AS score, 0 AS tier FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, toxic, 1 FROM labels) SELECT doc_id, arg_min(score, tier) AS score FROM c GROUP BY 1")
-def rerank_cache_merge(t: Tables) -> DataFrame:
-    hot = t.labels.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("score"), F.lit(0).alias("tier"))
-    both = hot.unionByName(t.labels.select("doc_id", F.col("toxic").alias("score"), F.lit(1).alias("tier")))
-    return both.groupBy("doc_id").agg(F.min_by("score", "tier").alias("score"))
-
-
 @query("latest_status", "SELECT DISTINCT ON (l_orderkey) l_orderkey, l_linestatus FROM lineitem ORDER BY l_orderkey, l_shipdate DESC, l_linenumber DESC, l_partkey DESC")
 def latest_status(t: Tables) -> DataFrame:
     return D.latest(t.lineitem, ["l_orderkey"], F.desc("l_shipdate"), F.desc("l_linenumber"), F.desc("l_partkey")).select("l_orderkey", "l_linestatus")
@@ -86,22 +83,12 @@ def image_search(t: Tables) -> DataFrame:
     return links.withColumn("rn", rn).where("rn <= 2").select("vec_id", "vector_score", "l_orderkey")
 
 
+@query("hash_embed_size", r"SELECT item_id, 32 AS dimension, len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))::DOUBLE AS total FROM benchmark")
+def hash_embed_size(t: Tables) -> DataFrame:
+    v = X.hashed_embedding(F.col("text"))
+    return t.benchmark.select("item_id", F.size(v).alias("dimension"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 @query("hash_embed")
 def hash_embed(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", X.hashed_embedding(F.col("text")).alias("embedding"))
-
-
-@query("sheet_sections")
-def sheet_sections(t: Tables) -> DataFrame:
-    cell = lambda c: F.struct(c.cast("string").alias("text"))
-    grid = F.array_sort(F.collect_list(F.array(cell(F.col("n_nationkey")), cell(F.col("n_name")), cell(F.col("n_name")))))
-    made = t.nation.groupBy("n_regionkey").agg(grid.alias("grid"))
-    ref = F.array(F.struct(F.lit("#/tables/0").alias("$ref")))
-    doc = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("sheet: R"), F.col("n_regionkey").cast("string")).alias("name"), ref.alias("children"))).alias("groups"), F.array(F.struct(F.struct("grid").alias("data"))).alias("tables")))
-    return X.sheet_sections(made.select(F.col("n_regionkey").alias("doc_id"), doc.alias("json")), "doc_id", "json")
-
-
-@query("image_kind_sniff")
-def image_kind_sniff(t: Tables) -> DataFrame:
-    head = F.when(F.col("p_partkey") % 3 == 0, F.unhex(F.lit("89504E470D0A1A0A00000000"))).when(F.col("p_partkey") % 3 == 1, F.unhex(F.lit("FFD8FFE000104A4649460001")))
-    return t.part.select("p_partkey", X.image_kind(F.coalesce(head, F.encode("p_name", "UTF-8"))).alias("kind"))

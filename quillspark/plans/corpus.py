@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.functions.text import normalized_lines
+from quillspark.operators.search import may_match, searchable
 from quillspark.plans.registry import Tables
 
 #: SQL of the same views.
@@ -21,9 +22,41 @@ target AS (SELECT concat(source, '/', doc_id, '.', lang) AS path,
 """
 
 
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """The meaningful lines of documents, with the first one as title and a hash of the record."""
+    lines = docs.select(F.col("doc_id").alias("document_id"), "lang", "source", F.md5("text").alias("record_hash"), normalized_lines(F.col("text")).alias("lines"))
+    return lines.select("document_id", "lang", "source", "record_hash", F.element_at("lines", 1).alias("title"), F.posexplode("lines").alias("chunk_index", "chunk_text"))
+
+
 def chunks(t: Tables) -> DataFrame:
-    lines = t.documents.select(F.col("doc_id").alias("document_id"), "lang", "source", normalized_lines(F.col("text")).alias("lines"))
-    return lines.select("document_id", "lang", "source", F.element_at("lines", 1).alias("title"), F.posexplode("lines").alias("chunk_index", "chunk_text"))
+    return chunks_of(t.documents).drop("record_hash")
+
+
+#: Chunks for readers of English: all originals and the translations of other languages, every third of which is out of date.
+SEARCHABLE_SQL = """
+searchable AS (
+  SELECT document_id, chunk_index, title, chunk_text, 'original' AS content_locale, true AS is_fallback FROM chunks
+  UNION ALL SELECT document_id, chunk_index, concat('In English: ', title), concat(chunk_text, ' (translated)'), 'en', false FROM chunks WHERE lang <> 'en' AND document_id % 3 <> 0)
+"""
+
+
+def records(t: Tables) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("document_id"), F.md5("text").alias("record_hash"))
+
+
+def translated_chunks(docs: DataFrame) -> DataFrame:
+    rows = chunks_of(docs.where("lang <> 'en'"))
+    source = F.when(F.col("document_id") % 3 == 0, F.md5("record_hash")).otherwise(F.col("record_hash"))
+    return rows.select(
+        "document_id", "chunk_index", F.concat(F.lit("In English: "), "title").alias("title"), F.concat("chunk_text", F.lit(" (translated)")).alias("chunk_text"),
+        F.lit("en").alias("target_locale"), source.alias("source_record_hash"),
+    )
+
+
+def searchable_chunks(t: Tables, phrase: str) -> DataFrame:
+    """What may match the phrase: documents that can't are left out before their lines are looked at."""
+    docs = t.documents.where(may_match(F.col("text"), phrase))
+    return searchable(chunks_of(docs), translated_chunks(docs), docs.select(F.col("doc_id").alias("document_id"), F.md5("text").alias("record_hash")), "en")
 
 
 def _files(docs: DataFrame, sha) -> DataFrame:

@@ -57,13 +57,6 @@ def metadata_merge(t: Tables) -> DataFrame:
     return t.events.select("event_id", merged["k"].alias("k"), merged["kind"].alias("kind"))
 
 
-@query("acl_filter", "SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey % 2 = 0 OR c_nationkey IN (1, 3)")
-def acl_filter(t: Tables) -> DataFrame:
-    groups = F.broadcast(t.nation)  # 25 rows
-    rows = t.customer.join(groups, F.col("n_nationkey") == F.col("c_nationkey"))
-    return rows.where((F.col("n_regionkey") % 2 == 0) | F.col("c_nationkey").isin(1, 3)).select("c_custkey")
-
-
 @query("published_range", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-07'")
 def published_range(t: Tables) -> DataFrame:
     return t.events.where("ts >= timestamp'2024-01-05' and ts <= timestamp'2024-01-07'").select("event_id")
@@ -74,12 +67,6 @@ def locale_filter(t: Tables) -> DataFrame:
     return t.documents.where(F.col("lang").isin("fr", "original", "") | F.col("lang").isNull()).select("doc_id")
 
 
-@query("registry_exclusions", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')")
-def registry_exclusions(t: Tables) -> DataFrame:
-    gone = t.events.where("event_type = 'error'").select(F.col("event_id").alias("doc_id"))
-    return t.documents.join(gone, "doc_id", "left_anti").select("doc_id")
-
-
 @query("glob_match", "SELECT concat(source, '/', doc_id, '.', lang) AS path FROM documents WHERE regexp_full_match(concat(source, '/', doc_id, '.', lang), 'src1[^/]/.*\\.en')")
 def glob_match(t: Tables) -> DataFrame:
     from quillspark.functions.paths import glob_regex
@@ -92,26 +79,8 @@ def line_window(t: Tables) -> DataFrame:
     return chunks(t).where("chunk_index + 1 >= 3 and chunk_index + 1 <= 5").select("document_id", "chunk_index")
 
 
-@query("due_sources", "SELECT user_id FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 1 DAY <= TIMESTAMP '2024-01-30' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-29')")
-def due_sources(t: Tables) -> DataFrame:
-    busy = t.events.where("event_type = 'purchase' and ts >= timestamp'2024-01-29'").select("user_id").distinct()
-    due = t.events.groupBy("user_id").agg(F.max("ts").alias("last")).where("last + interval 1 day <= timestamp'2024-01-30'")
-    return due.join(busy, "user_id", "left_anti").select("user_id")
-
-
-@query("snapshot_limits", "SELECT count(*) <= 16384 AS files_fit, count(DISTINCT md5(text)) <= 16384 AS blobs_fit FROM documents")
-def snapshot_limits(t: Tables) -> DataFrame:
-    return t.documents.agg((F.count("*") <= 16384).alias("files_fit"), (F.count_distinct(F.md5("text")) <= 16384).alias("blobs_fit"))
-
-
 # joins
 
-@query("valid_translation_join", "SELECT a.doc_id, b.doc_id AS other FROM documents a JOIN documents b ON a.doc_id + 1 = b.doc_id AND a.lang = b.lang")
-def valid_translation_join(t: Tables) -> DataFrame:
-    b = t.documents.select(F.col("doc_id").alias("other"), (F.col("doc_id") - 1).alias("doc_id"), "lang")
-    return t.documents.select("doc_id", "lang").join(b, ["doc_id", "lang"]).select("doc_id", "other")
-
-
 @query("left_sort_join", "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality DESC NULLS LAST, doc_id LIMIT 100")
 def left_sort_join(t: Tables) -> DataFrame:
     return t.documents.join(t.labels, "doc_id", "left").orderBy(F.col("quality").desc_nulls_last(), "doc_id").select("doc_id", "quality").limit(100)
@@ -127,11 +96,6 @@ def missing_versions(t: Tables) -> DataFrame:
     return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id")
 
 
-@query("tombstone_anti", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
-def tombstone_anti(t: Tables) -> DataFrame:
-    return t.orders.join(t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").select("o_orderkey")
-
-
 @query("latest_per_key", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def latest_per_key(t: Tables) -> DataFrame:
     return D.latest(t.events, ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type")
@@ -161,17 +125,6 @@ def status_rollup(t: Tables) -> DataFrame:
     return _items(t).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.count_if(F.col("status") == "succeeded").alias("n_succeeded"))
 
 
-@query("task_status_projection", f"""WITH r AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE {_STATUS} = 'failed') AS f, count(*) FILTER (WHERE {_STATUS} = 'succeeded') AS s,
-  min(l_linenumber) FILTER (WHERE {_STATUS} = 'running') AS current FROM lineitem GROUP BY 1)
-SELECT l_orderkey, current, CASE WHEN f > 0 THEN 'failed' WHEN s = n THEN 'succeeded' ELSE 'running' END AS status FROM r""")
-def task_status_projection(t: Tables) -> DataFrame:
-    r = _items(t).groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("f"), F.count_if(F.col("status") == "succeeded").alias("s"),
-        F.min(F.when(F.col("status") == "running", F.col("l_linenumber"))).alias("current"),
-    )
-    return r.select("l_orderkey", "current", F.when(F.col("f") > 0, "failed").when(F.col("s") == F.col("n"), "succeeded").otherwise("running").alias("status"))
-
-
 @query("health_rollup", "SELECT count(*) FILTER (WHERE event_type = 'error') AS n_errors, min(ts) FILTER (WHERE event_type = 'error') AS oldest_error, max(ts) AS newest FROM events")
 def health_rollup(t: Tables) -> DataFrame:
     return t.events.agg(F.count_if(F.col("event_type") == "error").alias("n_errors"), F.min(F.when(F.col("event_type") == "error", F.col("ts"))).alias("oldest_error"), F.max("ts").alias("newest"))
@@ -216,18 +169,6 @@ def folder_counts(t: Tables) -> DataFrame:
     return joined.select("n_nationkey", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_customers", "n_suppliers")])
 
 
-@query("sync_outcome", f"WITH {SNAPSHOT_SQL} SELECT count(*) AS seen, count(*) FILTER (WHERE b.sha IS DISTINCT FROM t.sha) AS changed FROM target t LEFT JOIN base b USING (path)")
-def sync_outcome(t: Tables) -> DataFrame:
-    _, changes = D.upsert(baseline(t), target(t), ["path"], "sha")
-    return changes.agg(F.count("*").alias("seen"), F.count_if("changed").alias("changed"))
-
-
-@query("monthly_usage", "SELECT event_type, ts, event_id, sum(value) OVER (PARTITION BY event_type, date_trunc('month', ts) ORDER BY ts, event_id) <= 20000 AS within FROM events")
-def monthly_usage(t: Tables) -> DataFrame:
-    w = Window.partitionBy("event_type", F.date_trunc("month", "ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_type", "ts", "event_id", (F.sum("value").over(w) <= 20000).alias("within"))
-
-
 @query("byte_budget", "SELECT source, sum(strlen(text)) AS bytes, sum(strlen(text)) <= 67108864 AS fits FROM documents GROUP BY 1")
 def byte_budget(t: Tables) -> DataFrame:
     total = F.sum(F.octet_length("text"))
@@ -239,14 +180,6 @@ def retention_rank(t: Tables) -> DataFrame:
     return t.orders.select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))).alias("rank"))
 
 
-@query("cleanup_candidates", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rank FROM orders)
-SELECT o_orderkey FROM r WHERE rank > 3 AND o_orderstatus = 'F' UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'""")
-def cleanup_candidates(t: Tables) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
-    old = t.orders.withColumn("rank", rank).where("rank > 3 and o_orderstatus = 'F'").select("o_orderkey")
-    return old.union(t.orders.where("o_orderstatus = 'P'").select("o_orderkey")).distinct()
-
-
 # order and paging
 
 _SORT = [("quality", "desc"), ("lang", "asc")]
@@ -274,11 +207,6 @@ def has_more_probe(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus = 'P'").limit(101).agg((F.count("*") > 100).alias("has_more"))
 
 
-@query("search_window", "SELECT greatest(count(*) + 1, 80, 40) * 8 AS fetch FROM benchmark")
-def search_window(t: Tables) -> DataFrame:
-    return t.benchmark.agg((F.greatest(F.count("*") + 1, F.lit(80), F.lit(40)) * 8).alias("fetch"))
-
-
 @query("dynamic_sort", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
 def dynamic_sort(t: Tables) -> DataFrame:
     allowed = {"name": F.col("c_name"), "balance": F.col("c_acctbal")}
@@ -417,11 +345,6 @@ def upsert_change_detect(t: Tables) -> DataFrame:
     return D.upsert(baseline(t), target(t), ["path"], "sha")[1].select("path", "changed")
 
 
-@query("publish_next_state", f"WITH {SNAPSHOT_SQL} SELECT path, sha FROM target UNION ALL SELECT path, sha FROM base WHERE path NOT IN (SELECT path FROM target)")
-def publish_next_state(t: Tables) -> DataFrame:
-    return D.upsert(baseline(t), target(t), ["path"], "sha")[0].select("path", "sha")
-
-
 @query("version_history", f"WITH {SNAPSHOT_SQL} SELECT path, sha FROM base UNION SELECT path, sha FROM target")
 def version_history(t: Tables) -> DataFrame:
     new = target(t).join(baseline(t), ["path", "sha"], "left_anti").select("path", "sha")
@@ -445,17 +368,6 @@ def manifest_dup_check(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.md5("text").alias("sha")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("version_audit", "SELECT conv_id, count(*) AS n, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS body_hash, CASE WHEN NOT (min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*)) THEN 'non_contiguous_or_duplicate' WHEN trim(string_agg(text, '' ORDER BY turn)) = '' THEN 'blank_body' ELSE 'ok' END AS verdict FROM conversations GROUP BY 1")
-def version_audit(t: Tables) -> DataFrame:
-    return D.version_audit(t.conversations, "conv_id", "turn", "text")
-
-
-@query("reassemble_segments", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
-def reassemble_segments(t: Tables) -> DataFrame:
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
-    return t.conversations.groupBy("conv_id").agg(F.array_join(parts, "\n").alias("body"))
-
-
 @query("src_incremental_keyset", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10' OR (ts = TIMESTAMP '2024-01-10' AND event_id > 5) ORDER BY ts, event_id LIMIT 500")
 def src_incremental_keyset(t: Tables) -> DataFrame:
     from quillspark.sources.keyset import incremental_batch
@@ -489,18 +401,6 @@ def reference_count(t: Tables) -> DataFrame:
     return ids.groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("claimable_items", f"SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE {_STATUS} = 'running' GROUP BY 1")
-def claimable_items(t: Tables) -> DataFrame:
-    return _items(t).where("status = 'running'").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("l_linenumber"))
-
-
-@query("consistency_check", "WITH r AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce(n, 0) AS n, coalesce(n, 0) IS DISTINCT FROM o_orderkey % 5 AS differs FROM orders LEFT JOIN r ON l_orderkey = o_orderkey")
-def consistency_check(t: Tables) -> DataFrame:
-    rollup = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    rows = t.orders.select("o_orderkey").join(rollup, "o_orderkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return rows.withColumn("differs", ~F.col("n").eqNullSafe(F.col("o_orderkey") % 5))
-
-
 @query("batch_verify", f"WITH {SNAPSHOT_SQL} SELECT count(*) FILTER (WHERE t.path IS NULL) AS missing, count(*) FILTER (WHERE t.path IS NOT NULL AND t.sha <> b.sha) AS differing FROM base b LEFT JOIN target t USING (path)")
 def batch_verify(t: Tables) -> DataFrame:
     s = D.compare(baseline(t), target(t))
@@ -512,13 +412,6 @@ def dedup_deliveries(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query("next_free_name", "WITH n AS (SELECT p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k, p_partkey FROM part) SELECT p_partkey, CASE WHEN k = 1 THEN p_name ELSE concat(p_name, ' (', k, ')') END AS name FROM n")
-def next_free_name(t: Tables) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))
-    named = t.part.select("p_partkey", "p_name", k.alias("k"))
-    return named.select("p_partkey", F.when(F.col("k") == 1, F.col("p_name")).otherwise(F.format_string("%s (%d)", "p_name", "k")).alias("name"))
-
-
 @query("safe_filename", r"""SELECT page_id, concat(trim(regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '_', 'g'), '[\x00-\x1f\x7f]', ' ', 'g')), '.html') AS name FROM pages WHERE url NOT LIKE '%.html'""")
 def safe_filename(t: Tables) -> DataFrame:
     from quillspark.functions.text import safe_filename as name
@@ -526,11 +419,6 @@ def safe_filename(t: Tables) -> DataFrame:
     return t.pages.where("url not like '%.html'").select("page_id", name(F.col("url"), "html").alias("name"))
 
 
-@query("url_normalize", "SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages")
-def url_normalize(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.lower(F.parse_url("url", F.lit("HOST"))).alias("host"), F.coalesce(F.parse_url("url", F.lit("PATH")), F.lit("")).alias("path"))
-
-
 @query("image_parent_hydrate", "SELECT l_partkey, l_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS rn FROM lineitem) JOIN orders ON o_orderkey = l_orderkey WHERE rn <= 2")
 def image_parent_hydrate(t: Tables) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey"))
@@ -538,13 +426,6 @@ def image_parent_hydrate(t: Tables) -> DataFrame:
     return top.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select("l_partkey", "l_orderkey", "o_orderdate")
 
 
-@query("localized_read", "SELECT d.doc_id, coalesce(l.quality::VARCHAR, d.lang) AS locale, l.doc_id IS NULL AS is_fallback FROM documents d LEFT JOIN labels l USING (doc_id)")
-def localized_read(t: Tables) -> DataFrame:
-    labels = t.labels.select("doc_id", F.col("quality").cast("string").alias("q"), F.lit(True).alias("known"))
-    rows = t.documents.join(labels, "doc_id", "left")
-    return rows.select("doc_id", F.coalesce("q", "lang").alias("locale"), F.col("known").isNull().alias("is_fallback"))
-
-
 @query("order_by_group_min", "SELECT o_custkey, min(o_orderdate) AS first FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 ORDER BY first, o_custkey LIMIT 20")
 def order_by_group_min(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first")).orderBy("first", "o_custkey").limit(20)

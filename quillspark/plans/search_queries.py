@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import search as S
-from quillspark.plans.corpus import CHUNKS_SQL, LINES_SQL, chunks
+from quillspark.plans.corpus import CHUNKS_SQL, LINES_SQL, SEARCHABLE_SQL, chunks, chunks_of, records, searchable_chunks
 from quillspark.plans.registry import Tables, query
 
 PHRASE = "the and"
 PHRASE_SQL = "'the and'"
 _SCORE_SQL = f"""
-hits AS (
-  SELECT document_id, chunk_index, title, chunk_text,
+{SEARCHABLE_SQL}, hits AS (
+  SELECT document_id, chunk_index, title, chunk_text, content_locale, is_fallback,
     round((lower(title) = {PHRASE_SQL})::INT * 1.20 + (lower(title) LIKE '%the and%')::INT * 1.00 + (lower(chunk_text) LIKE '%the and%')::INT * 0.82 + 0.35, 6)::DOUBLE AS keyword_score,
     CASE WHEN lower(title) = {PHRASE_SQL} THEN 'title_exact' WHEN lower(title) LIKE '%the and%' THEN 'title_phrase'
       WHEN lower(chunk_text) LIKE '%the and%' THEN 'chunk_phrase' ELSE 'all_terms' END AS match_reason
-  FROM chunks
+  FROM searchable
   WHERE lower(title) LIKE '%the and%' OR lower(chunk_text) LIKE '%the and%'
     OR (contains(lower(concat(title, ' ', chunk_text)), 'the') AND contains(lower(concat(title, ' ', chunk_text)), 'and')))
 """
@@ -66,19 +66,19 @@ def chunk_uuid(t: Tables) -> DataFrame:
     return chunks(t).select("document_id", "chunk_index", X.uuid5_url(name).alias("chunk_id"))
 
 
-@query("kw_search", f"WITH {CHUNKS_SQL}, {_SCORE_SQL} SELECT document_id, chunk_index, keyword_score, match_reason FROM hits ORDER BY keyword_score DESC, document_id DESC, chunk_index LIMIT 20")
+@query("kw_search", f"WITH {CHUNKS_SQL}, {_SCORE_SQL} SELECT document_id, chunk_index, content_locale, keyword_score, match_reason FROM hits ORDER BY keyword_score DESC, document_id DESC, chunk_index, content_locale LIMIT 20")
 def kw_search(t: Tables) -> DataFrame:
-    return S.keyword_search(chunks(t), PHRASE).select("document_id", "chunk_index", "keyword_score", "match_reason")
+    return S.keyword_search(searchable_chunks(t, PHRASE), PHRASE).select("document_id", "chunk_index", "content_locale", "keyword_score", "match_reason")
 
 
-@query("kw_score", f"WITH {CHUNKS_SQL}, {_SCORE_SQL} SELECT document_id, chunk_index, keyword_score FROM hits")
+@query("kw_score", f"WITH {CHUNKS_SQL}, {_SCORE_SQL} SELECT document_id, chunk_index, content_locale, keyword_score FROM hits")
 def kw_score(t: Tables) -> DataFrame:
-    return S.keyword_search(chunks(t), PHRASE, None).select("document_id", "chunk_index", "keyword_score")
+    return S.keyword_search(searchable_chunks(t, PHRASE), PHRASE, None).select("document_id", "chunk_index", "content_locale", "keyword_score")
 
 
-@query("kw_reason", f"WITH {CHUNKS_SQL}, {_SCORE_SQL} SELECT match_reason, count(*) AS n FROM hits GROUP BY 1")
+@query("kw_reason", f"WITH {CHUNKS_SQL}, {_SCORE_SQL} SELECT match_reason, content_locale, count(*) AS n FROM hits GROUP BY 1, 2")
 def kw_reason(t: Tables) -> DataFrame:
-    return S.keyword_search(chunks(t), PHRASE, None).groupBy("match_reason").agg(F.count("*").alias("n"))
+    return S.keyword_search(searchable_chunks(t, PHRASE), PHRASE, None).groupBy("match_reason", "content_locale").agg(F.count("*").alias("n"))
 
 
 @query("all_terms_filter", f"WITH {CHUNKS_SQL} SELECT document_id, chunk_index FROM chunks WHERE contains(lower(concat(title, ' ', chunk_text)), 'the') AND contains(lower(concat(title, ' ', chunk_text)), 'with')")
@@ -145,35 +145,46 @@ def vector_mode(t: Tables) -> DataFrame:
     return best.select("vec_id", "lang", "vector_score")
 
 
+WINDOW, _ = S.candidate_window(16)
+
+
 def _vector_channel(t: Tables) -> DataFrame:
-    first = chunks(t).where("chunk_index = 0").withColumn("vec_id", F.col("document_id"))
-    return S.knn(t.embeddings.join(first, "vec_id"), _target(t), 40)
+    """The nearest documents' first chunks: only the best are hydrated."""
+    eligible = t.documents.where(F.col("text").rlike(X.MEANINGFUL)).select(F.col("doc_id").alias("vec_id"))
+    best = S.knn(t.embeddings.join(eligible, "vec_id", "left_semi"), _target(t), WINDOW).select(F.col("vec_id").alias("doc_id"), "vector_score")
+    rows = chunks_of(t.documents.join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi")).where("chunk_index = 0")  # WINDOW rows
+    return rows.join(F.broadcast(best.withColumnRenamed("doc_id", "document_id")), "document_id")
 
 
 def _hybrid(t: Tables) -> DataFrame:
-    return S.fuse(_vector_channel(t), S.keyword_search(chunks(t), PHRASE, 40), PHRASE)
+    return S.fuse(_vector_channel(t), S.keyword_search(searchable_chunks(t, PHRASE), PHRASE, WINDOW), PHRASE)
 
 
 _HYBRID_SQL = f"""WITH {CHUNKS_SQL}, {_SCORE_SQL},
-kw AS (SELECT * FROM hits ORDER BY keyword_score DESC, document_id DESC, chunk_index LIMIT 40),
-vec AS (SELECT document_id, chunk_index, title, chunk_text, {_COSINE_SQL} FROM chunks c JOIN embeddings e ON e.vec_id = c.document_id WHERE chunk_index = 0 ORDER BY vector_score DESC, vec_id LIMIT 40),
-merged AS (SELECT document_id, chunk_index, coalesce(v.title, k.title) AS title, coalesce(v.chunk_text, k.chunk_text) AS chunk_text, vector_score, keyword_score
-  FROM vec v FULL JOIN kw k USING (document_id, chunk_index)),
+kw AS (SELECT * FROM hits ORDER BY keyword_score DESC, document_id DESC, chunk_index, content_locale LIMIT 80),
+vec AS (SELECT document_id, chunk_index, title, chunk_text, {_COSINE_SQL} FROM chunks c JOIN embeddings e ON e.vec_id = c.document_id WHERE chunk_index = 0 ORDER BY vector_score DESC, vec_id LIMIT 80),
+both_ AS (SELECT document_id, chunk_index, title, chunk_text, 'original' AS content_locale, true AS is_fallback, vector_score, NULL::DOUBLE AS keyword_score, NULL AS mark, 0 AS channel FROM vec
+  UNION ALL SELECT document_id, chunk_index, title, chunk_text, content_locale, is_fallback, NULL, keyword_score, match_reason, 1 FROM kw),
+merged AS (SELECT document_id, chunk_index, arg_min(title, (is_fallback, channel, content_locale)) AS title, arg_min(chunk_text, (is_fallback, channel, content_locale)) AS chunk_text,
+  arg_min(content_locale, (is_fallback, channel, content_locale)) AS content_locale, max(vector_score) AS vector_score, max(keyword_score) AS keyword_score,
+  arg_min(mark, (-keyword_score, content_locale)) FILTER (WHERE mark IS NOT NULL) AS mark FROM both_ GROUP BY 1, 2),
 scored AS (SELECT *, least(greatest(coalesce(vector_score, 0), 0), 1) * 0.55::DOUBLE + least(coalesce(keyword_score, 0), 2.37::DOUBLE) / 2.37::DOUBLE * 0.35::DOUBLE AS base,
   CASE WHEN lower(trim(title)) = {PHRASE_SQL} THEN 1.8::DOUBLE WHEN contains(lower(trim(title)), {PHRASE_SQL}) THEN 1.4::DOUBLE WHEN contains(lower(chunk_text), {PHRASE_SQL}) THEN 1.0::DOUBLE ELSE 0 END AS tier FROM merged),
-final AS (SELECT document_id, chunk_index, round(base + least(tier * 0.1::DOUBLE, 1 - base), 6) AS score,
-  CASE WHEN vector_score IS NOT NULL AND keyword_score IS NOT NULL THEN 'semantic+keyword' WHEN vector_score IS NOT NULL THEN 'semantic' ELSE 'keyword' END AS match_reason FROM scored)
+final AS (SELECT document_id, chunk_index, content_locale, chunk_text, round(base + least(tier * 0.1::DOUBLE, 1 - base), 6) AS score,
+  concat_ws('+', CASE WHEN vector_score IS NOT NULL THEN 'semantic' END, CASE WHEN mark IN ('title_exact', 'title_phrase') THEN 'title' WHEN mark IS NOT NULL THEN 'keyword' END) AS match_reason,
+  vector_score IS NOT NULL AND keyword_score IS NOT NULL AS in_both FROM scored)
 """
 
 
-@query("hybrid_score", _HYBRID_SQL + "SELECT * FROM final")
+@query("hybrid_score", _HYBRID_SQL + "SELECT document_id, chunk_index, content_locale, score, match_reason FROM final")
 def hybrid_score(t: Tables) -> DataFrame:
-    return _hybrid(t).select("document_id", "chunk_index", "score", "match_reason")
+    return _hybrid(t).select("document_id", "chunk_index", "content_locale", "score", "match_reason")
 
 
-@query("hybrid_merge", _HYBRID_SQL + "SELECT count(*) AS n, count(*) FILTER (WHERE match_reason = 'semantic+keyword') AS n_both FROM final")
+@query("hybrid_merge", _HYBRID_SQL + "SELECT count(*) AS n, count(*) FILTER (WHERE in_both) AS n_both, count(*) FILTER (WHERE content_locale = 'en') AS n_translated FROM final")
 def hybrid_merge(t: Tables) -> DataFrame:
-    return _hybrid(t).agg(F.count("*").alias("n"), F.count_if(F.col("match_reason") == "semantic+keyword").alias("n_both"))
+    both = F.col("vector_score").isNotNull() & F.col("keyword_score").isNotNull()
+    return _hybrid(t).agg(F.count("*").alias("n"), F.count_if(both).alias("n_both"), F.count_if(F.col("content_locale") == "en").alias("n_translated"))
 
 
 @query("match_reason", _HYBRID_SQL + "SELECT match_reason, count(*) AS n FROM final GROUP BY 1")
@@ -181,27 +192,44 @@ def match_reason(t: Tables) -> DataFrame:
     return _hybrid(t).groupBy("match_reason").agg(F.count("*").alias("n"))
 
 
+@query("search_window", """WITH r AS (SELECT o_orderkey AS id, o_orderkey % 2100 AS requested, o_custkey % 90 AS candidate_limit, o_orderkey % 3 = 0 AS filtered, o_custkey % 4000 AS found FROM orders),
+w AS (SELECT *, requested < 2000 AS can_probe, least(2000, greatest(CASE WHEN requested < 2000 THEN requested + 1 ELSE requested END, 80, candidate_limit, 1) * CASE WHEN filtered THEN 8 ELSE 1 END) AS room FROM r),
+c AS (SELECT *, least(found, room) AS collected, found >= room AS capped FROM w)
+SELECT id, room, greatest(collected, CASE WHEN collected > requested THEN requested + 1 ELSE 0 END) AS total, CASE WHEN collected > requested THEN true WHEN NOT can_probe OR capped THEN NULL ELSE false END AS has_more FROM c""")
+def search_window(t: Tables) -> DataFrame:
+    r = t.orders.select(
+        F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2100).alias("requested"), (F.col("o_custkey") % 90).alias("candidate_limit"), (F.col("o_orderkey") % 3 == 0).alias("filtered"),
+        (F.col("o_custkey") % 4000).alias("found"),
+    )
+    fetch, can_probe = S.candidate_window_of(F.col("requested"), F.col("candidate_limit"), F.col("filtered"))
+    c = r.withColumn("room", fetch).withColumn("can_probe", can_probe)
+    state = S.window_state(F.least("found", "room"), F.col("requested"), F.col("can_probe"), F.col("found") >= F.col("room"))
+    return c.select("id", "room", state.alias("w")).select("id", "room", "w.total", "w.has_more")
+
+
 @query("page_slice", _HYBRID_SQL + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id, chunk_index) AS rn FROM final) SELECT document_id, chunk_index, score, rn FROM r WHERE rn > 8 AND rn <= 16")
 def page_slice(t: Tables) -> DataFrame:
     return S.ranked(_hybrid(t), F.desc("score"), F.col("document_id"), F.col("chunk_index")).where("rank > 8 and rank <= 16").select("document_id", "chunk_index", "score", F.col("rank").alias("rn"))
 
 
-@query("rerank_apply", _HYBRID_SQL + ", s AS (SELECT document_id, chunk_index, round((document_id % 17) / 17.0::DOUBLE, 6) AS rerank_score FROM final WHERE document_id % 3 = 0) SELECT document_id, chunk_index, score, rerank_score FROM final LEFT JOIN s USING (document_id, chunk_index) ORDER BY rerank_score DESC NULLS LAST, score DESC, document_id, chunk_index LIMIT 12")
+_SNAPSHOT_SQL = ", snapshot AS (SELECT * FROM final ORDER BY score DESC, document_id, chunk_index LIMIT 40)"
+
+
+@query("rerank_apply", _HYBRID_SQL + _SNAPSHOT_SQL + ", s AS (SELECT document_id, chunk_index, round((document_id % 17) / 17.0::DOUBLE, 6) AS rerank_score FROM snapshot WHERE document_id % 3 = 0) SELECT document_id, chunk_index, score, rerank_score FROM final LEFT JOIN s USING (document_id, chunk_index) ORDER BY rerank_score DESC NULLS LAST, score DESC, document_id, chunk_index LIMIT 12")
 def rerank_apply(t: Tables) -> DataFrame:
     hits = _hybrid(t)
-    scores = hits.where("document_id % 3 = 0").select("document_id", "chunk_index", F.round(F.col("document_id") % 17 / 17.0, 6).alias("rerank_score"))
+    scores = S.rerank_snapshot(hits).where("document_id % 3 = 0").select("document_id", "chunk_index", F.round(F.col("document_id") % 17 / 17.0, 6).alias("rerank_score"))
     return S.apply_rerank(hits, scores, 12).select("document_id", "chunk_index", "score", "rerank_score")
 
 
 _TERMS_SQL = "[" + ", ".join(f"'{x}'" for x in sorted(set(X.query_terms(PHRASE)))) + "]"
 
 
-@query("rerank_overlap", _HYBRID_SQL + rf""", s AS (SELECT document_id, chunk_index, round(len(list_filter({_TERMS_SQL}, lambda x: list_contains(string_split_regex(lower(chunk_text), '[\s[:punct:]]+'), x))) / len({_TERMS_SQL})::DOUBLE, 6) AS rerank_score
-FROM final JOIN chunks USING (document_id, chunk_index)) SELECT document_id, chunk_index, score, rerank_score FROM final JOIN s USING (document_id, chunk_index) ORDER BY rerank_score DESC, score DESC, document_id, chunk_index LIMIT 40""")
+@query("rerank_overlap", _HYBRID_SQL + _SNAPSHOT_SQL + rf""", s AS (SELECT document_id, chunk_index, round(len(list_filter({_TERMS_SQL}, lambda x: list_contains(string_split_regex(lower(chunk_text), '[\s[:punct:]]+'), x))) / len({_TERMS_SQL})::DOUBLE, 6) AS rerank_score
+FROM snapshot) SELECT document_id, chunk_index, score, rerank_score FROM final LEFT JOIN s USING (document_id, chunk_index) ORDER BY rerank_score DESC NULLS LAST, score DESC, document_id, chunk_index LIMIT 60""")
 def rerank_overlap(t: Tables) -> DataFrame:
     hits = _hybrid(t)
-    scores = S.overlap_scores(hits, PHRASE)
-    return S.apply_rerank(hits, scores, 40).select("document_id", "chunk_index", "score", "rerank_score")
+    return S.apply_rerank(hits, S.overlap_scores(S.rerank_snapshot(hits), PHRASE), 60).select("document_id", "chunk_index", "score", "rerank_score")
 
 
 @query("rrf_fusion", f"""WITH {CHUNKS_SQL}, {_SCORE_SQL},
@@ -209,22 +237,22 @@ kw AS (SELECT document_id AS id, row_number() OVER (ORDER BY max(keyword_score)
 v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_COSINE_SQL.removesuffix(' AS vector_score')} DESC, vec_id) AS rank FROM embeddings ORDER BY rank LIMIT 50)
 SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT * FROM kw UNION ALL SELECT * FROM v) GROUP BY id ORDER BY score DESC, id LIMIT 20""")
 def rrf_fusion(t: Tables) -> DataFrame:
-    kw = S.keyword_search(chunks(t), PHRASE, None).groupBy(F.col("document_id").alias("id")).agg(F.max("keyword_score").alias("s")).orderBy(F.desc("s"), "id").limit(50)
+    kw = S.keyword_search(searchable_chunks(t, PHRASE), PHRASE, None).groupBy(F.col("document_id").alias("id")).agg(F.max("keyword_score").alias("s")).orderBy(F.desc("s"), "id").limit(50)
     vec = S.knn(t.embeddings, _target(t), 50).withColumnRenamed("vec_id", "id")
     return S.reciprocal_rank_fusion(S.ranked(kw, F.desc("s"), F.col("id")), S.ranked(vec, F.desc("vector_score"), F.col("id")), "id", 20)
 
 
-@query("code_lexical", f"""WITH {CHUNKS_SQL}, c AS (SELECT concat(source, '/', document_id, '.', lang) AS path, chunk_index, lower(chunk_text) AS body FROM chunks),
-s AS (SELECT path, chunk_index, round(greatest((path = 'src1/1.en')::INT * 1.20, contains(path, 'src1/')::INT * 0.90, 0) + contains(body, 'the and')::INT * 0.82 + (contains(body, 'the') AND contains(body, 'and'))::INT * 0.30, 6)::DOUBLE AS score
-  FROM c WHERE starts_with(path, 'src1') AND (contains(body, 'the and') OR (contains(body, 'the') AND contains(body, 'and'))))
+@query("code_lexical", f"""WITH {CHUNKS_SQL}, c AS (SELECT concat(source, '/', document_id, '.', lang) AS path, lang, source, chunk_index, lower(chunk_text) AS body FROM chunks),
+s AS (SELECT path, chunk_index, round((CASE WHEN path = 'the and' THEN 1.20 WHEN contains(path, 'the and') THEN 0.90 ELSE 0 END)::DOUBLE + contains(body, 'the and')::INT * 0.82 + (contains(body, 'the') AND contains(body, 'and'))::INT * 0.30, 6)::DOUBLE AS score
+  FROM c WHERE starts_with(path, 'src1') AND lang = 'en' AND source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) % 2 = 0 OR min(doc_id) < 15) AND (contains(path, 'the and') OR contains(body, 'the and') OR (contains(body, 'the') AND contains(body, 'and'))))
 SELECT * FROM s ORDER BY score DESC, path, chunk_index LIMIT 20""")
 def code_lexical(t: Tables) -> DataFrame:
-    c = chunks(t).select(F.concat("source", F.lit("/"), F.col("document_id").cast("string"), F.lit("."), "lang").alias("path"), "chunk_index", F.lower("chunk_text").alias("body"))
-    phrase, terms = F.col("body").contains("the and"), F.col("body").contains("the") & F.col("body").contains("and")
-    in_path = F.greatest((F.col("path") == "src1/1.en").cast("int") * 1.20, F.col("path").contains("src1/").cast("int") * 0.90)
-    score = F.round(in_path + phrase.cast("int") * 0.82 + terms.cast("int") * 0.30, 6)
-    hits = c.where(F.col("path").startswith("src1") & (phrase | terms)).select("path", "chunk_index", score.alias("score"))
-    return hits.orderBy(F.desc("score"), "path", "chunk_index").limit(20)
+    docs = t.documents.where((F.col("lang") == "en") & F.col("source").startswith("src1"))  # the path begins with the source
+    active = t.documents.groupBy(F.col("source").alias("generation")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n % 2 = 0 or first < 15")
+    c = chunks_of(docs).select(
+        F.col("source").alias("generation"), F.concat("source", F.lit("/"), F.col("document_id").cast("string"), F.lit("."), "lang").alias("path"), F.col("lang").alias("language"), "chunk_index", "chunk_text"
+    )
+    return S.code_search(c, active, PHRASE, 20, "src1", "en").select("path", "chunk_index", "score")
 
 
 @query("rerank_text", rf"SELECT doc_id, concat('Title: ', {LINES_SQL}[1], chr(10), 'Source: ', source, chr(10), array_to_string({LINES_SQL}, chr(10))) AS rerank_text FROM documents")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.functions.locale import COMMON_WORDS, LEAST_CONFIDENCE, detect_locale as locale_of
-from quillspark.functions.paths import language_of, selection
+from quillspark.functions.paths import file_kind as kind_of, language_of, selection
 from quillspark.functions.text import normalize_body
 from quillspark.operators import chunking as C
+from quillspark.plans.corpus import CHUNKS_SQL, chunks
 from quillspark.plans.registry import Tables, query
 
 
@@ -41,17 +42,39 @@ def chunk_structural(t: Tables) -> DataFrame:
     return C.chunk_structure(t.nation.groupBy("n_regionkey").agg(source.alias("source")), "n_regionkey", "source", "rust")
 
 
-@query("segment_body")
+_SEGMENTS_SQL = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS last FROM documents WHERE text <> ''),
+m AS (SELECT doc_id, n, CASE WHEN n < last THEN line || chr(10) ELSE line END AS line, regexp_matches(line, '[^\\s]') AS filled, starts_with(ltrim(line), '```') AS fence FROM l WHERE NOT (n = last AND line = '')),
+o AS (SELECT *, sum(fence::INT) OVER w - fence::INT AS fences FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+q AS (SELECT *, filled AND NOT fence AND fences % 2 = 0 AS good FROM o),
+e AS (SELECT *, NOT good OR NOT coalesce(lag(good) OVER (PARTITION BY doc_id ORDER BY n), false) AS begins FROM q),
+g AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM e),
+blocks AS (SELECT doc_id, block, string_agg(line, '' ORDER BY n) AS text, bool_and(good) AS good FROM g GROUP BY 1, 2),
+cores AS (SELECT doc_id, block, good, CASE WHEN good THEN rtrim(text, chr(10)) ELSE text END AS core, text FROM blocks),
+parts AS (SELECT *, unnest(range(0, greatest(1, (length(core) + {C.MOST_SEGMENT_CHARS - 1}) // {C.MOST_SEGMENT_CHARS}))) AS k FROM cores)"""
+
+
+@query("segment_body", f"""WITH {_SEGMENTS_SQL}, s AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block, k) - 1)::INT AS chunk_index, core[k * {C.MOST_SEGMENT_CHARS} + 1:(k + 1) * {C.MOST_SEGMENT_CHARS}] AS segment_text,
+  CASE WHEN (k + 1) * {C.MOST_SEGMENT_CHARS} >= length(core) THEN text[length(core) + 1:] ELSE '' END AS suffix, good AS translatable FROM parts)
+SELECT doc_id, chunk_index, printf('body:%06d', chunk_index) AS segment_id, segment_text, suffix, translatable FROM s""")
 def segment_body(t: Tables) -> DataFrame:
     return C.segment(t.documents, "doc_id", "text")
 
 
-@query("batch_pack")
+def _packed_sql(rows: str, most_items: int, most_size: int) -> str:
+    """Batches by recursion over (key, i, size), i from 1."""
+    new = f"items = {most_items} OR total + r.size > {most_size}"
+    return f"""RECURSIVE {rows}, b AS (SELECT key, i, 0::BIGINT AS batch_id, 1 AS items, size::BIGINT AS total FROM r WHERE i = 1
+  UNION ALL SELECT b.key, r.i, batch_id + CASE WHEN {new} THEN 1 ELSE 0 END, CASE WHEN {new} THEN 1 ELSE items + 1 END, CASE WHEN {new} THEN r.size ELSE total + r.size END FROM b JOIN r ON r.key = b.key AND r.i = b.i + 1)"""
+
+
+@query("batch_pack", f"""WITH {_packed_sql(CHUNKS_SQL + ", r AS (SELECT source AS key, row_number() OVER (PARTITION BY source ORDER BY document_id, chunk_index) AS i, length(chunk_text) AS size, document_id, chunk_index FROM chunks)", C.BATCH_ITEMS, C.BATCH_CHARS)}
+SELECT key AS source, document_id, chunk_index, batch_id FROM b JOIN r USING (key, i)""")
 def batch_pack(t: Tables) -> DataFrame:
-    return C.plan_batches(chunk_chars(t), ["doc_id"], ["chunk_index"], "chunk_text")
+    return C.plan_batches(chunks(t), ["source"], ["document_id", "chunk_index"], "chunk_text")
 
 
-@query("embed_batch_plan")
+@query("embed_batch_plan", f"""WITH {_packed_sql("r AS (SELECT conv_id AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, strlen(to_json(text)) AS size, turn FROM conversations)", C.REQUEST_ITEMS, C.REQUEST_BYTES)}
+SELECT key AS conv_id, turn, batch_id FROM b JOIN r USING (key, i)""")
 def embed_batch_plan(t: Tables) -> DataFrame:
     return C.plan_batches(t.conversations, ["conv_id"], ["turn"], "text", requests=True)
 
@@ -81,8 +104,7 @@ def skip_summary(t: Tables) -> DataFrame:
 
 @query("file_kind", f"WITH p AS ({_PATH_SQL}) SELECT doc_id, CASE WHEN path LIKE '%.md' THEN 'text' WHEN path LIKE '%.png' THEN 'image' ELSE 'invalid' END AS kind FROM p")
 def file_kind(t: Tables) -> DataFrame:
-    kind = F.when(F.col("path").rlike(r"\.(txt|md|json)$"), "text").when(F.col("path").rlike(r"\.(png|jpe?g|webp)$"), "image").when(F.col("path").rlike(r"\.(pdf|docx|xlsx)$"), "document").otherwise("invalid")
-    return _paths(t).select("doc_id", kind.alias("kind"))
+    return _paths(t).select("doc_id", kind_of(F.col("path")).alias("kind"))
 
 
 @query("lang_from_path", f"WITH p AS ({_PATH_SQL}) SELECT doc_id, CASE WHEN path LIKE '%.rs' THEN 'rust' WHEN path LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.md' THEN 'markdown' WHEN path LIKE '%.yml' THEN 'yaml' ELSE 'unknown' END AS language FROM p")
@@ -90,12 +112,6 @@ def lang_from_path(t: Tables) -> DataFrame:
     return _paths(t).select("doc_id", language_of(F.col("path")).alias("language"))
 
 
-@query("safe_path", f"WITH p AS ({_PATH_SQL}) SELECT doc_id, len(string_split(path, '/')) <= 32 AND NOT regexp_matches(path, '(^|/)\\.\\.?(/|$)') AND NOT starts_with(path, '/') AS safe FROM p")
-def safe_path(t: Tables) -> DataFrame:
-    ok = (F.size(F.split("path", "/")) <= 32) & ~F.col("path").rlike(r"(^|/)\.\.?(/|$)|[\x00-\x1f]") & ~F.col("path").startswith("/")
-    return _paths(t).select("doc_id", ok.alias("safe"))
-
-
 @query("code_text_valid", "SELECT doc_id, strlen(text) <= 8388608 AS valid FROM documents")
 def code_text_valid(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", (F.is_valid_utf8("text") & ~F.col("text").contains("\x00") & (F.octet_length("text") <= 8 << 20)).alias("valid"))

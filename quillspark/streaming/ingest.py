@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions.text import normalize_body, normalized_lines, record_hash
+from quillspark.session import has_files
 
 
 def normalize(df: DataFrame) -> DataFrame:
@@ -25,10 +26,12 @@ def _write_batch(versions: str) -> Callable[[DataFrame, int], None]:
         spark = batch.sparkSession
         rows = normalize(batch).withColumn("epoch", F.lit(epoch))
         rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("record_hash")))).where("_rn = 1").drop("_rn")
-        try:
-            known = spark.read.parquet(versions).where(F.col("epoch") < epoch)
-        except Exception:  # noqa: BLE001  no version yet
-            known = spark.createDataFrame([], rows.schema)
+        if has_files(spark, versions):
+            # Only the batch's own documents are looked up; of the versions, two columns are read.
+            known = spark.read.schema(rows.schema).parquet(versions).where(F.col("epoch") < epoch).select("doc_id", "record_hash", "epoch")
+            known = known.join(rows.select("doc_id"), "doc_id", "left_semi")
+        else:
+            known = spark.createDataFrame([], rows.select("doc_id", "record_hash", "epoch").schema)
         latest = known.groupBy("doc_id").agg(F.max_by("record_hash", "epoch").alias("record_hash"))
         changed = rows.join(latest, ["doc_id", "record_hash"], "left_anti")
         changed.drop("epoch").write.mode("overwrite").parquet(f"{versions}/epoch={epoch}")
