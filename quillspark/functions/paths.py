@@ -59,13 +59,8 @@ LANGUAGE_EXTENSIONS = {
     "f95": "fortran", "f03": "fortran", "pas": "pascal", "v": "verilog", "sv": "verilog", "svh": "verilog", "vhd": "vhdl", "vhdl": "vhdl",
     "tex": "latex", "diff": "diff", "patch": "diff", "env": "dotenv", "mk": "makefile",
 }
-# Kinds of library files by extension, and their media types.
-FILE_KINDS = {
-    "txt": ("text", "text/plain"), "md": ("text", "text/markdown"), "json": ("text", "application/json"), "csv": ("text", "text/csv"), "html": ("text", "text/html"),
-    "png": ("image", "image/png"), "jpg": ("image", "image/jpeg"), "jpeg": ("image", "image/jpeg"), "webp": ("image", "image/webp"),
-    "pdf": ("document", "application/pdf"), "docx": ("document", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
-    "xlsx": ("document", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"), "pptx": ("document", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
-}
+# Kinds of library files by extension.
+FILE_KINDS = {"txt": "text", "md": "text", "json": "text", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "pdf": "document", "docx": "document", "xlsx": "document"}
 
 
 def glob_regex(pattern: str) -> str:
@@ -117,7 +112,9 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table(LANGUAGE_NAMES), F.lower(name)), F.try_element_at(table(LANGUAGE_EXTENSIONS), extension), F.lit("unknown"))
 
 
-def file_kind(path: Column) -> Column:
-    """text, image or document by the extension, else invalid."""
+def file_kind(path: Column, media_type: Column | None = None) -> Column:
+    """text, image or document by the extension, or text by a declared media type of text or JSON; else invalid."""
     extension = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, (kind, _) in FILE_KINDS.items() for x in (k, kind)]), extension), F.lit("invalid"))
+    by_name = F.try_element_at(F.create_map(*[F.lit(x) for pair in FILE_KINDS.items() for x in pair]), extension)
+    declared = F.lit(None).cast("string") if media_type is None else F.when(F.lower(media_type).rlike(r"^(text/|application/json(;|$))"), "text")
+    return F.coalesce(by_name, declared, F.lit("invalid"))

@@ -19,7 +19,7 @@ def closure(edges: DataFrame) -> DataFrame:
     step = materialize(edges.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "tree")
     known, reach, n = step, 1, step.count()
     parts.append(step)
-    while True:
+    while n:
         if reach > n:
             raise ValueError("the tree has a cycle")
         jump = parts[-1].where(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"), F.col("depth").alias("there"))
@@ -28,8 +28,9 @@ def closure(edges: DataFrame) -> DataFrame:
         reach *= 2
         parts.append(new)
         if new.where(F.col("depth") == reach).isEmpty():
-            return reduce(DataFrame.unionByName, parts)
+            break
         known = reduce(DataFrame.unionByName, parts[1:])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def paths(edges: DataFrame) -> DataFrame:

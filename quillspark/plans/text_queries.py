@@ -32,14 +32,14 @@ def chunk_tokens_v2(t: Tables) -> DataFrame:
     return C.chunk_text(t.documents, "doc_id", "text", C.ChunkBudget.parse("tokens_v2:words:1024:128"))
 
 
-@query("chunk_structural", """SELECT n_regionkey, (row_number() OVER w - 1)::INT AS chunk_index, (row_number() OVER w * 5 - 4)::INT AS start_line,
-(row_number() OVER w * 5)::INT AS end_line, concat('/// ', n_name, chr(10), '#[inline]', chr(10), 'pub fn n', n_nationkey, '() -> i32 {', chr(10), '    ', n_nationkey, chr(10), '}', chr(10)) AS chunk_text
-FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)""")
+@query("chunk_structural", """WITH i AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)
+SELECT l_orderkey, (k - 1)::INT AS chunk_index, (k * 5 - 4)::INT AS start_line, (k * 5)::INT AS end_line, concat('/// ', k, chr(10), '#[inline]', chr(10), 'pub fn n', l_partkey, '() -> i32 {', chr(10), '    ', l_partkey, chr(10), '}', chr(10)) AS chunk_text FROM i""")
 def chunk_structural(t: Tables) -> DataFrame:
-    key = F.col("n_nationkey").cast("string")
-    item = F.concat(F.lit("/// "), "n_name", F.lit("\n#[inline]\npub fn n"), key, F.lit("() -> i32 {\n    "), key, F.lit("\n}\n"))
-    source = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("item")))), lambda x: x["item"]), "")
-    return C.chunk_structure(t.nation.groupBy("n_regionkey").agg(source.alias("source")), "n_regionkey", "source", "rust")
+    """A source of each order, with a function for each of its lines."""
+    key = lambda x: x["l_partkey"].cast("string")
+    item = lambda x, k: F.concat(F.lit("/// "), (k + 1).cast("string"), F.lit("\n#[inline]\npub fn n"), key(x), F.lit("() -> i32 {\n    "), key(x), F.lit("\n}\n"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    return C.chunk_structure(lines.select("l_orderkey", F.array_join(F.transform("lines", item), "").alias("source")), "l_orderkey", "source", "rust")
 
 
 _SEGMENTS_SQL = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS last FROM documents WHERE text <> ''),

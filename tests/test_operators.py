@@ -9,9 +9,9 @@ from quillspark.streaming import ingest
 
 
 def test_char_chunks_of_known_texts():
-    assert C.char_chunks("abcdefghijklmnop", C.ChunkBudget(5, 2)) == ["abcde", "defgh", "ghijk", "jklmn", "mnop"]
-    assert C.char_chunks("a\n\n\n\n b ", C.ChunkBudget(50, 10)) == ["a\n\nb"] and C.char_chunks(" \n\n ") == []
-    assert len(C.char_chunks("a" * 700 + "\n\n" + "b" * 700, C.ChunkBudget(900, 100))) >= 2
+    assert C.char_chunks("0123456789", C.ChunkBudget(4, 1)) == ["0123", "3456", "6789"]
+    assert C.char_chunks("x\n\n\n\n yz ", C.ChunkBudget(30, 5)) == ["x\n\nyz"] and C.char_chunks(" \n\n ") == []
+    assert C.char_chunks("one two\n\nthree", C.ChunkBudget(9, 0)) == ["one two", "three"]
 
 
 @settings(max_examples=150, deadline=None)
@@ -40,20 +40,49 @@ def test_token_chunks_and_batches():
     assert C.greedy_batches([1, 1, 99, 1, 1], 2, 10) == [0, 0, 1, 2, 2]
 
 
-RUST = "//! Docs.\n\nuse std::fmt;\n\n/// Adds.\n/// More.\n#[inline]\npub fn add(a: i32) -> i32 {\n    a\n}\n\n#[cfg(test)]\nmod tests {\n    fn adds() { '{'; }\n}\n"
-SCRIPT = "// head\n\nimport { x } from './x';\n\n/** shape */\nexport interface Shape {\n  v: number;\n}\nconst a = {x: 1}\n@mark({a: 1})\nexport class D {}\n"
-VIEW = "// view\n\nexport function App() {\n  return <main>Don't</main>;\n}\n\nexport const label = 'app';\n"
+CRATE = """use std::collections::BTreeMap;
+
+/// A shelf of jars,
+/// by label.
+#[derive(Debug)]
+pub struct Shelf {
+    jars: BTreeMap<String, u32>,
+}
+
+impl Shelf {
+    fn count(&self) -> usize { self.jars.len() }
+}
+const DEPTH: u32 = 4;
+"""
+MODULE = """import { open } from './door';
+/** how wide */
+export type Width = { cm: number };
+
+@sealed
+class Room {
+  enter() { return open('{'); }
+}
+let rooms = [new Room()]
+"""
+PAGE = """import React from 'react';
+
+const Row = (props) => { return <li>{props.name}</li>; };
+
+export default function List() {
+  return <ul><Row name="it's" /></ul>;
+}
+"""
 
 
 def test_structural_chunks_begin_at_items():
     spans = lambda text, language: [c[:2] for c in C.structural_chunks(text, language)]
-    assert spans(RUST, "rust") == [(1, 4), (5, 11), (12, 15)]
-    assert spans(SCRIPT, "typescript") == [(1, 4), (5, 8), (9, 9), (10, 11)]
-    assert spans(VIEW, "tsx") == [(1, 6), (7, 7)]
-    assert C.item_starts("fn a() {", "rust") is None and spans("fn a() {\n", "rust") == [(1, 1)] and spans("", "rust") == [] and spans("a\nb", "cobol") == [(1, 2)]
-    large = "pub fn large() {\n" + "".join(f"    let v{i} = {i};\n" for i in range(90)) + "}\nstruct B;\n"
-    got = C.structural_chunks(large, "rust", 512, 20)
-    assert "".join(c[2] for c in got) == large and all(len(c[2]) <= 512 and c[1] - c[0] < 20 for c in got) and got[-1][:2] == (93, 93)
+    assert spans(CRATE, "rust") == [(1, 2), (3, 9), (10, 12), (13, 13)]
+    assert spans(MODULE, "typescript") == [(1, 1), (2, 4), (5, 8), (9, 9)]
+    assert spans(PAGE, "tsx") == [(1, 2), (3, 4), (5, 7)]
+    assert C.item_starts("mod a {", "rust") is None and spans("mod a {\n", "rust") == [(1, 1)] and spans("", "rust") == [] and spans("x\ny", "cobol") == [(1, 2)]
+    large = "fn wide() {\n" + "".join(f"    call_{i}();\n" for i in range(70)) + "}\ntype T = u8;\n"
+    got = C.structural_chunks(large, "rust", 400, 15)
+    assert "".join(c[2] for c in got) == large and all(len(c[2]) <= 400 and c[1] - c[0] < 15 for c in got) and got[-1][:2] == (73, 73)
 
 
 @settings(max_examples=150, deadline=None)
@@ -96,7 +125,7 @@ def test_languages_and_locales(spark):
     paths = {"a/Dockerfile": "dockerfile", "x.rs": "rust", "x.R": "r", "x.RS": "unknown", ".bashrc": "unknown", ".env": "dotenv", "a.b/c": "unknown", "m/CMakeLists.txt": "cmake", "": "unknown"}
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     assert {r[0]: r[1] for r in df.select("path", language_of(F.col("path"))).collect()} == paths
-    texts = {"the cat and the dog": "en", "le chat et les chiens": "fra", "der Hund und die Katze": "deu", "el perro y los gatos": "spa", "有效内容": "zh", "the le": None, "": None}
+    texts = {"the cat and the dog": "en", "le chat et les chiens": "fra", "der Hund und die Katze": "deu", "el perro y los gatos": "spa", "山上有一座小屋": "zh", "the le": None, "": None}
     df = spark.createDataFrame([(x,) for x in [*texts, None]], "text string")
     assert {r[0]: r[1] for r in df.select("text", detect_locale(F.col("text"))).collect()} == texts | {None: None}
 
@@ -116,16 +145,16 @@ def test_globs_and_selection(spark):
 
 
 def test_normalizer(spark):
-    df = spark.createDataFrame([("hello   world\n\n  second   line", ">\n\n---\n\n有效内容\n\n***")], "a string, b string")
-    assert tuple(df.select(X.normalize_body(F.col("a")), X.normalize_body(F.col("b"))).first()) == ("hello world\n\nsecond line", "有效内容")
+    df = spark.createDataFrame([("  two \t words\r\n\r\nand\u2003more  ", "~~\n== ==\nΔ 7\n...")], "a string, b string")
+    assert tuple(df.select(X.normalize_body(F.col("a")), X.normalize_body(F.col("b"))).first()) == ("two words\n\nand more", "Δ 7")
 
 
 def test_metadata_filters(spark):
-    docs = spark.createDataFrame([(1, '{"score":10,"tags":["a","b"],"at":"2026-07-23T10:00:00+01:00","p":{"n":"wire"}}'), (2, '{"score":null}'), (3, "{}")], "id long, metadata_json string")
+    docs = spark.createDataFrame([(1, '{"score":10,"tags":["a","b"],"at":"2019-03-05T23:15:00-03:00","p":{"n":"north"}}'), (2, '{"score":null}'), (3, "{}")], "id long, metadata_json string")
     defs = [M.MetadataDef("score", "integer"), M.MetadataDef("tags", "keyword", True), M.MetadataDef("at", "datetime"), M.MetadataDef("p.n", "keyword"), M.MetadataDef("new", "keyword", state="building")]
     ids = lambda *f: [r.id for r in docs.where(M.compile_filters(list(f), defs)).orderBy("id").collect()]
     assert ids(M.MetadataFilter("score", "exists", False)) == [2, 3]
-    assert ids(M.MetadataFilter("at", "eq", "2026-07-23T09:00:00Z")) == ids(M.MetadataFilter("p.n", "in", ["wire", "x"])) == ids(M.MetadataFilter("tags", "contains", "b")) == [1]
+    assert ids(M.MetadataFilter("at", "eq", "2019-03-06T02:15:00Z")) == ids(M.MetadataFilter("p.n", "in", ["north", "x"])) == ids(M.MetadataFilter("tags", "contains", "b")) == [1]
     assert ids(M.MetadataFilter("score", "in", [])) == ids(M.MetadataFilter("score", "eq", "ten")) == [] and ids(M.MetadataFilter("score", "range", min=9, max=10)) == [1]
     for path in ("other", "new"):
         with pytest.raises(ValueError):
@@ -150,10 +179,21 @@ def test_pages_join_to_the_whole_order(spark):
 
 def test_fusion_arithmetic(spark):
     cols = "document_id long, chunk_index int, title string, chunk_text string"
-    vec = spark.createDataFrame([(1, 0, "DeepSeek", "x", 1.0), (2, 0, "a", "b", 0.5)], cols + ", vector_score double")
-    kw = spark.createDataFrame([(1, 0, "DeepSeek", "x", 2.37), (3, 0, "DeepSeek rollout", "y", 3.0)], cols + ", keyword_score double")
-    got = {r.document_id: r.score for r in S.fuse(vec, kw, "deepseek").collect()}
-    assert got == {1: 1.0, 2: 0.275, 3: pytest.approx(0.49)}
+    vec = spark.createDataFrame([(1, 0, "Tide tables", "x", 1.0), (2, 0, "a", "b", 0.5), (4, 0, "Tide tables", "z", 0.5), (5, 1, "q", "old", 0.2)], cols + ", vector_score double")
+    kw = [(1, 0, "Tide tables", "x", 2.37, "title_exact", "original", True), (3, 0, "The tide tables of May", "y", 3.0, "title_phrase", "original", True), (4, 0, "Tide tables", "z", 0.82, "chunk_phrase", "original", True)]
+    kw += [(5, 1, "q2", "new", 0.35, "all_terms", "en", False), (5, 1, "q", "old", 1.0, "chunk_phrase", "original", True)]
+    kw = spark.createDataFrame(kw, cols + ", keyword_score double, match_reason string, content_locale string, is_fallback boolean")
+    got = {r.document_id: r for r in S.fuse(vec, kw, "tide TABLES").collect()}
+    assert {i: r.score for i, r in got.items() if i < 4} == {1: 1.0, 2: 0.275, 3: pytest.approx(0.49)}
+    assert {i: r.match_reason for i, r in got.items()} == {1: "semantic+title", 2: "semantic", 3: "title", 4: "semantic+keyword", 5: "semantic+keyword"}
+    assert (got[5].content_locale, got[5].chunk_text, got[5].keyword_score, got[5].vector_score) == ("en", "new", 1.0, 0.2)
+
+
+def test_candidate_windows():
+    assert S.candidate_window(8) == (80, True) and S.candidate_window(100) == (101, True) and S.candidate_window(8, 120) == (120, True)
+    assert S.candidate_window(8, filtered=True) == (640, True) and S.candidate_window(500, filtered=True) == (2000, True) and S.candidate_window(2000) == (2000, False)
+    assert S.search_mode(True, True, "a", "a") == ("semantic", None) and S.search_mode(True, False, "a", "b")[1] == "not_vectorized" and S.search_mode(False, True, "a", "a")[1] == "not_configured"
+    assert S.search_mode(True, True, "a", "b") == ("lexical", "identity_mismatch") and S.search_mode(True, True, "a", "a", failed=True) == ("lexical", "runtime")
 
 
 def test_streaming_ingest_is_incremental_and_replays_safely(spark, tmp_path):
@@ -172,8 +212,111 @@ def test_streaming_ingest_is_incremental_and_replays_safely(spark, tmp_path):
 def test_sheet_sections_and_image_kinds(spark):
     from quillspark.operators import documents as X
 
-    doc = '{"groups":[{"name":"sheet: Budget","children":[{"$ref":"#/tables/0"}]},{"name":"Risks","children":[]}],"tables":[{"data":{"grid":[[{"text":"Item"},{"text":"Amount"}],[{"text":"x"},{"text":"x"},{"text":""},{"text":"3"}]]}}]}'
+    doc = '{"groups":[{"name":"sheet: Stock","children":[{"$ref":"#/tables/0"},{"$ref":"#/tables/9"}]},{"name":"Notes","children":[]}],"tables":[{"data":{"grid":[[{"text":"Jar"},{"text":"Count"}],[{"text":"plum"},{"text":"plum"},{"text":""},{"text":"3"}]]}}]}'
     got = X.sheet_sections(spark.createDataFrame([(1, doc)], "id long, j string"), "id", "j").collect()
-    assert [(r.name, r.body) for r in got] == [("Budget", "Item | Amount\nx | 3"), ("Risks", "")]
+    assert [(r.name, r.body) for r in got] == [("Stock", "Jar | Count\nplum | 3"), ("Notes", "")]
     heads = spark.createDataFrame([(bytes.fromhex("89504e470d0a1a0a00"),), (b"RIFF\x00\x00\x00\x00WEBPVP8 ",), (b"plain",)], "b binary")
     assert [r[0] for r in heads.select(X.image_kind(F.col("b"))).collect()] == ["png", "webp", None]
+
+
+def test_converter_bodies_and_animated_images(spark):
+    from quillspark.operators import documents as X
+
+    doc = '{"body":{"children":[{"$ref":"#/texts/1"},{"$ref":"#/groups/0"},{"$ref":"#/texts/9"},{"$ref":"#/pictures/0"}]},"groups":[{"name":"g","children":[{"$ref":"#/texts/2"},{"$ref":"#/texts/0"}]}],"texts":[{"text":"last"},{"text":"first"},{"text":"middle"}]}'
+    df = spark.createDataFrame([(doc,), ("{}",), ("not json",)], "j string")
+    assert [r[0] for r in df.select(X.body_text(F.col("j"))).collect()][0] == "first\n\nmiddle\n\nlast"
+    png = bytes.fromhex("89504e470d0a1a0a")
+    rows = [(png + b"....acTL....IDAT", True), (png + b"IDAT acTL", False), (b"RIFF\x00\x00\x00\x00WEBPVP8X\x0a\x00\x00\x00\x02", True), (b"RIFF\x00\x00\x00\x00WEBPVP8X\x0a\x00\x00\x00\x10", False), (b"RIFF\x00\x00\x00\x00WEBPANIM", True), (b"\xff\xd8\xff acTL", False), (None, False)]
+    got = spark.createDataFrame(rows, "b binary, want boolean").select(X.is_animated(F.col("b")).alias("is"), "want").collect()
+    assert [r["is"] for r in got] == [r.want for r in got]
+
+
+def test_trees_of_any_depth(spark):
+    from quillspark.operators import trees as G
+
+    n = 300
+    chain = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(n)] + [(1000, 999, "dangling")], "node long, parent long, name string")
+    got = {(r.node, r.ancestor): r.depth for r in G.closure(chain).collect()}
+    assert got == {(i, j): i - j for i in range(n) for j in range(i + 1)} | {(1000, 1000): 0, (1000, 999): 1}
+    paths = {r.node: r.full_path for r in G.paths(chain).collect()}
+    assert paths[3] == "n0/n1/n2/n3" and len(paths) == n
+    with pytest.raises(ValueError):
+        G.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "node long, parent long"))
+    assert G.closure(spark.createDataFrame([], "node long, parent long")).count() == 0
+    wide = spark.range(200_000).selectExpr("id AS node", "CASE WHEN id > 0 THEN (id - 1) DIV 1000 END AS parent")
+    found = G.closure(wide)
+    assert found.count() == found.groupBy("node").agg((F.max("depth") + 1).alias("n")).agg(F.sum("n")).first()[0]
+
+
+def tasks_and_items(spark, tasks, items):
+    t = spark.createDataFrame(tasks, "task_id long, queue long, kind string, status string, pause_state string, created_at timestamp, next_attempt_at timestamp, is_deleted boolean, total_count long")
+    i = spark.createDataFrame(items, "task_id long, ordinal long, status string, attempts int, paused_attempts int, released_attempts int, waiting_reason string, dependency_key string, next_attempt_at timestamp, is_live boolean, failure_stage string")
+    return t, i
+
+
+def test_claims_and_gates(spark):
+    from datetime import datetime
+
+    from quillspark.operators import tasks as T
+
+    day = lambda d: datetime(2019, 12, d)
+    task = lambda i, q, kind="import", status="running", pause="unpaused", due=None, gone=False: (i, q, kind, status, pause, day(i % 28 + 1), due, gone, 3)
+    item = lambda t, o, status="queued", used=0, paused=0, reason=None, key=None, due=None, live=False: (t, o, status, used, paused, 0, reason, key, due, live, None)
+    later = datetime(2020, 2, 1)
+    tasks = [task(i, 0) for i in range(1, 9)] + [task(9, 0, pause="paused"), task(10, 0, due=later), task(11, 0, gone=True), task(12, 0, status="failed")]
+    items = [item(1, 1, "succeeded"), item(1, 2), item(1, 3), item(2, 1, "running"), item(2, 2), item(3, 1, used=5), item(4, 1, used=6, paused=2), item(5, 1, due=later)]
+    items += [item(6, 1, "waiting", reason="docling"), item(7, 1, "waiting", reason="dependency", key="vector_rebuild_paused"), item(8, 1, "waiting", reason="dependency", key="other")]
+    items += [item(i, 1) for i in (9, 10, 11, 12)]
+    # queue 1: a live rebuild; 2: a due rebuild behind live ordinary work; 3: two due rebuilds; 4: a rebuild that isn't due
+    tasks += [task(21, 1, T.REBUILD), task(22, 1), task(31, 2, T.REBUILD), task(32, 2), task(33, 2), task(41, 3, T.REBUILD), task(42, 3, T.REBUILD), task(43, 3), task(51, 4, T.REBUILD, due=later), task(52, 4)]
+    items += [item(21, 1, "running", live=True), item(22, 1), item(31, 1), item(32, 1, "running", live=True), item(33, 1), item(41, 1), item(42, 1), item(43, 1), item(51, 1), item(52, 1)]
+    got = {(r.task_id, r.ordinal, r.mode) for r in T.claimable(*tasks_and_items(spark, tasks, items), F.lit("2020-01-01").cast("timestamp")).collect()}
+    assert got == {(1, 2, "normal"), (4, 1, "normal"), (8, 1, "normal"), (41, 1, "rebuild"), (52, 1, "normal")}
+
+
+def test_projection_and_consistency(spark):
+    from quillspark.operators import tasks as T
+
+    task = lambda i, status, total: (i, 0, "import", status, "paused", None, None, i == 7, total)
+    item = lambda t, o, status, stage=None: (t, o, status, 0, 0, 0, "why" if status == "waiting" else None, None, None, False, stage)
+    tasks = [task(1, "running", 2), task(2, "running", 2), task(3, "cancelled", 2), task(4, "running", 2), task(5, "running", 3), task(6, "running", 4), task(7, "running", 1)]
+    items = [item(1, 1, "succeeded"), item(1, 2, "succeeded"), item(2, 1, "failed"), item(2, 2, "failed", "parse"), item(3, 1, "succeeded"), item(4, 1, "cancelled"), item(4, 2, "cancelled")]
+    items += [item(5, 2, "queued"), item(5, 1, "waiting"), item(5, 3, "succeeded"), item(6, 1, "succeeded"), item(7, 1, "queued")]
+    t, i = tasks_and_items(spark, tasks, items)
+    got = {r.task_id: r for r in T.project(t, i).collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "succeeded", 2: "failed", 3: "cancelled", 4: "cancelled", 5: "waiting", 6: "queued", 7: "queued"}
+    assert got[2].failure_stage == "parse" and got[5].current == 1 and got[5].waiting_reason == "why" and got[1].pause_state == "unpaused" and got[5].pause_state == "paused"
+    stored = T.rollup(i.where("not (task_id = 5 and ordinal = 3) and task_id <> 6"))
+    said = {(r.task_id, r.field, r.stored, r.actual) for r in T.consistency(t, stored, i).collect()}
+    assert {x for x in said if x[0] == 5} == {(5, "n_items", 2, 3), (5, "n_succeeded", 0, 1)} and {x[0] for x in said} == {5, 6} and (6, "n_items", None, 1) in said
+
+
+def test_free_names(spark):
+    from quillspark.operators.generations import free_names
+
+    new = [(1, "a", "x.txt"), (2, "a", "x.txt"), (3, "a", "x.txt"), (4, "a", "x (2).txt"), (5, "b", "x.txt"), (6, "a", ".env"), (7, "a", ".env"), (8, "a", "y.tar.gz"), (9, "a", "é"), (10, "a", "é")]
+    taken = [("a", "x.txt"), ("a", "x (3).txt"), ("a", "y.tar.gz"), ("a", "y.tar (2).gz"), ("b", "z")]
+    got = {r.id: r.free_name for r in free_names(spark.createDataFrame(new, "id long, folder string, name string"), spark.createDataFrame(taken, "folder string, name string")).collect()}
+    assert got == {1: "x (4).txt", 2: "x (5).txt", 3: "x (6).txt", 4: "x (2).txt", 5: "x.txt", 6: ".env", 7: ".env (2)", 8: "y.tar (3).gz", 9: "é", 10: "é (2)"}
+
+
+def test_quota_refuses_all_but_the_first(spark):
+    from quillspark.operators.snapshots import within_quota
+
+    rows = [("p", f"2020-01-0{d}", x, d) for d, x in enumerate([120.0, 1.0], 1)] + [("q", f"2020-0{1 + d // 4}-1{d}", x, d) for d, x in enumerate([60.0, 50.0, 40.0, 1.0, 5.0])]
+    rows += [("all", "2020-01-01", 90.0, 1), ("all", "2020-02-01", 20.0, 2), ("all", "2020-03-01", 10.0, 3)]
+    usage = spark.createDataFrame(rows, "provider string, day string, amount double, id long").withColumn("ts", F.to_timestamp("day")).drop("day")
+    got = {(r.provider, r.id): r.accepted for r in within_quota(usage, 100.0, "provider", "ts", "amount", "id", F.col("provider") == "all").collect()}
+    assert got == {("p", 1): True, ("p", 2): False, ("q", 0): True, ("q", 1): False, ("q", 2): True, ("q", 3): False, ("q", 4): True, ("all", 1): True, ("all", 2): False, ("all", 3): True}
+
+
+def test_validators(spark):
+    from quillspark.operators import access as A
+
+    paths = {"a/b.rs": True, "": False, "/a": False, "a//b": False, "a/../b": False, "./a": False, "a/": False, "a\\b": False, "a\tb": False, "/".join("x" * 32): True, "/".join("x" * 33): False, "..a/b": True}
+    refs = {"main": True, "feature/x-1": True, "a..b": False, "a/.b": False, "a.lock": False, "x.lock/y": False, "-a": False, "a b": False, "@": False, "a@{1}": False, "a/": False, "a.": False, "r" * 256: False}
+    shas = {"a" * 40: True, "0" * 64: True, "A" * 40: False, "a" * 41: False, "": False}
+    urls = {"https://host/a": True, "http://host/a": False, "https://u@host/": False, "https:///a": False, "HTTPS://h": True, "ftp://h": False}
+    for rule, want in ((A.safe_path, paths), (A.safe_ref, refs), (A.safe_sha, shas), (A.importable_url, urls)):
+        df = spark.createDataFrame([(x,) for x in want], "x string")
+        assert {r.x: r.ok for r in df.select("x", rule(F.col("x")).alias("ok")).collect()} == want
