@@ -100,6 +100,24 @@ def knn(vectors: DataFrame, target: list[float], k: int, where: Column | None =
     return rows.withColumn("vector_score", score).orderBy(F.desc("vector_score"), "vec_id").limit(k)
 
 
+def image_candidates(limit: int) -> int:
+    """How many vectors an image search looks at for ``limit`` images."""
+    return min(3 * limit, 200)
+
+
+def search_images(vectors: DataFrame, active: DataFrame, links: DataFrame, target: list[float], limit: int, parents: int, where: Column, *order: Column) -> DataFrame:
+    """(point_id, vector_score, document_id) of the ``limit`` best images and up to ``parents`` documents of each, by ``order`` over links.
+
+    vectors has (vec_id, point_id, embedding); a point counts once, by its best vector. Points that aren't in active (point_id) are
+    stale and left out. An image without a document has none (null).
+    """
+    best = knn(vectors, target, image_candidates(limit), where).groupBy("point_id").agg(F.max("vector_score").alias("vector_score"))
+    best = best.join(active.select("point_id"), "point_id", "left_semi").orderBy(F.desc("vector_score"), "point_id").limit(limit)
+    own = links.join(F.broadcast(best.select("point_id")), "point_id", "left_semi")  # ``limit`` rows
+    own = own.withColumn("_rn", F.row_number().over(Window.partitionBy("point_id").orderBy(*order))).where(F.col("_rn") <= parents).select("point_id", "document_id")
+    return best.join(own, "point_id", "left").select("point_id", "vector_score", "document_id")
+
+
 def valid_vector(v: Column, dimension: int) -> Column:
     return F.coalesce((F.size(v) == dimension) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 

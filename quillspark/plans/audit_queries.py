@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillspark.functions.text import error_class as class_of, fingerprint, instant, one_line
 from quillspark.operators import documents as X, metadata as M, search as S, snapshots as D
@@ -73,14 +73,16 @@ def vector_reuse(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.col("embedding").isNotNull().alias("reused"), F.coalesce(F.size("embedding"), F.lit(0)).alias("dims"))
 
 
-@query("image_search", f"""WITH b AS (SELECT vec_id, label, {_COSINE_SQL} FROM embeddings WHERE label <> 0 ORDER BY vector_score DESC, vec_id LIMIT 30),
+@query("image_search", f"""WITH c AS (SELECT vec_id // 2 AS point_id, {_COSINE_SQL} FROM embeddings WHERE label IN (1, 2, 3, 4, 5, 6) ORDER BY vector_score DESC, vec_id LIMIT 60),
+b AS (SELECT point_id, max(vector_score) AS vector_score FROM c WHERE point_id IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20),
 l AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_returnflag, l_linenumber, l_orderkey, l_suppkey) AS rn FROM lineitem)
-SELECT vec_id, vector_score, l_orderkey FROM b JOIN l ON l_partkey = vec_id WHERE rn <= 2""")
+SELECT point_id, vector_score, l_orderkey AS document_id FROM b LEFT JOIN l ON l_partkey = point_id AND rn <= 2""")
 def image_search(t: Tables) -> DataFrame:
-    best = S.knn(t.embeddings, _target(t), 30, F.col("label") != 0).select("vec_id", "vector_score")
-    links = t.lineitem.join(F.broadcast(best), F.col("l_partkey") == F.col("vec_id"))  # 30 rows
-    rn = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_returnflag", "l_linenumber", "l_orderkey", "l_suppkey"))
-    return links.withColumn("rn", rn).where("rn <= 2").select("vec_id", "vector_score", "l_orderkey")
+    vectors = t.embeddings.withColumn("point_id", F.floor(F.col("vec_id") / 2))
+    active = t.part.where("p_size > 10").select(F.col("p_partkey").alias("point_id"))
+    links = t.lineitem.withColumnsRenamed({"l_partkey": "point_id", "l_orderkey": "document_id"})
+    order = [F.col(c) for c in ("l_returnflag", "l_linenumber", "document_id", "l_suppkey")]
+    return S.search_images(vectors, active, links, _target(t), 20, 2, F.col("label").isin(1, 2, 3, 4, 5, 6), *order)
 
 
 @query("hash_embed_size", r"SELECT item_id, 32 AS dimension, len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))::DOUBLE AS total FROM benchmark")

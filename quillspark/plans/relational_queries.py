@@ -388,6 +388,15 @@ def sync_checkpoint(t: Tables) -> DataFrame:
     return checkpoint(t.events, "event_type", "ts", "event_id")
 
 
+@query("checkpoint_upsert", """WITH c AS (SELECT event_type, event_id % 2 AS half, max((ts, event_id)) AS last FROM events WHERE NOT (event_type = 'error' AND event_id % 2 = 0) GROUP BY 1, 2)
+SELECT event_type, max(last)[1] AS ts, max(last)[2] AS event_id FROM c GROUP BY 1""")
+def checkpoint_upsert(t: Tables) -> DataFrame:
+    from quillspark.sources.keyset import checkpoint, upsert_checkpoints
+
+    half = lambda k: checkpoint(t.events.where(F.col("event_id") % 2 == k).where(f"not (event_type = 'error' and {k} = 0)"), "event_type", "ts", "event_id")
+    return upsert_checkpoints(half(0), half(1), "event_type", "ts", "event_id")
+
+
 @query("orphans_multi_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_partkey NOT IN (SELECT s_suppkey FROM supplier) ORDER BY p_partkey LIMIT 100")
 def orphans_multi_anti(t: Tables) -> DataFrame:
     used = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))

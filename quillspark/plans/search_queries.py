@@ -299,7 +299,7 @@ def same_language(t: Tables) -> DataFrame:
     langs = t.documents.select("lang").distinct()
     other = langs.select(F.concat(F.upper("lang"), F.lit("-XX")).alias("b"))
     tag = lambda c: F.lower(F.split_part(c, F.lit("-"), F.lit(1)))
-    return langs.select(F.col("lang").alias("a")).crossJoin(F.broadcast(other)).withColumn("same", tag(F.col("a")) == tag(F.col("b")))
+    return langs.select(F.col("lang").alias("a")).crossJoin(other).withColumn("same", tag(F.col("a")) == tag(F.col("b")))
 
 
 @query("topn_per_group", "SELECT l_partkey, l_returnflag, l_linenumber, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_returnflag, l_linenumber, l_orderkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) WHERE rn <= 3")

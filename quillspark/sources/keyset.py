@@ -16,3 +16,9 @@ def incremental_batch(df: DataFrame, ts: str, key: str, after: tuple | None, lim
 def checkpoint(df: DataFrame, source: str, ts: str, key: str) -> DataFrame:
     """The last (ts, key) of each source."""
     return df.groupBy(source).agg(F.max(F.struct(ts, key)).alias("last")).select(source, f"last.{ts}", f"last.{key}")
+
+
+def upsert_checkpoints(stored: DataFrame, incoming: DataFrame, source: str, ts: str, key: str) -> DataFrame:
+    """The next checkpoints: each source's later one, so that a batch that comes again moves nothing back."""
+    both = stored.select(source, ts, key).unionByName(incoming.select(source, ts, key))
+    return checkpoint(both, source, ts, key)
