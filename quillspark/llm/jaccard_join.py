@@ -184,19 +184,76 @@ def _signatures_of(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(table.num_rows, HASHES)
 
 
+class Forest:
+    """Components of n rows, pairs being kept until there are many."""
+
+    def __init__(self, n: int):
+        self.label, self.held, self.size = np.arange(n), [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.held.append((x, y))
+        self.size += len(x)
+        if self.size >= MOST_PAIRS:
+            self.labels()
+
+    def labels(self) -> np.ndarray:
+        if self.held:
+            x, y = map(np.concatenate, zip(*self.held))
+            self.label, self.held, self.size = forest(len(self.label), x, y, self.label), [], 0
+        return self.label
+
+
+def _forests(table: pa.Table, starts: np.ndarray, linked: Callable, at_once: int, counted: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What links rows of each run: (own, label), an edge being needed from each row of which they differ to its label.
+
+    A block's links with itself come from its own run. So in a run of two blocks only the least rows of each block's components need
+    an edge, and edges do not grow with the number of blocks. linked(x, y) gives the places of the pairs that are linked, of some
+    ``at_once`` pairs or a tile; ``counted`` is told of those that the run is there for.
+    """
+    own, every = Forest(table.num_rows), Forest(table.num_rows)
+    held: list[tuple[np.ndarray, np.ndarray, bool]] = []
+
+    def settle() -> None:
+        x, y = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        inner = np.repeat([h[2] for h in held], [len(h[0]) for h in held])
+        held.clear()
+        left = linked(x, y)
+        x, y, inner = x[left], y[left], inner[left]
+        every.add(x, y)
+        own.add(x[inner], y[inner])
+        if counted:
+            counted(x[~inner], y[~inner])
+
+    size = 0
+    for low, high, within in _sides(table, starts):
+        for first, second, itself, inner in [(low, low, True, False)] if within else [(low, low, True, True), (high, high, True, True), (low, high, False, False)]:
+            for a, b in tiles(len(first), len(second), itself):
+                x, y = tile_pairs(first[a], second[b], itself)
+                held.append((x, y, inner))
+                size += len(x)
+                if size >= at_once:
+                    settle()
+                    size = 0
+    if held:
+        settle()
+    mine, label = own.labels(), every.labels().copy()
+    inner = np.flatnonzero(mine != np.arange(len(mine)))  # said by the blocks' own runs
+    label[inner] = mine[inner]
+    return mine, label
+
+
 def _pruned(threshold: float, tolerance: float) -> Callable:
     """Rows (of, part, ordinal, within, role, key, band, sig), sorted, to (key, root): a forest of the surviving pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _runs(batches, 3):
             sig, band = _signatures_of(table), table.column("band").to_numpy()
-            label = np.arange(table.num_rows)
-            for low, high, within in _sides(table, starts):
-                for a, b in tiles(len(low), len(high), within):
-                    x, y = tile_pairs(low[a], (low if within else high)[b], within)
-                    left = surviving(sig, x, y, band[x], threshold, tolerance)
-                    label = forest(len(label), x[left], y[left], label)
-            at = np.flatnonzero(label != np.arange(table.num_rows))
+
+            def survivors(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                return surviving(sig, x, y, band[x], threshold, tolerance)
+
+            own, label = _forests(table, starts, survivors, MOST_PAIRS)
+            at = np.flatnonzero(own != label)
             keys = table.column("key").combine_chunks()
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), keys.take(pa.array(label[at]))], names=["u", "v"])
 
@@ -233,28 +290,29 @@ def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _verified(threshold: float, tolerance: float) -> Callable:
-    """Rows (of, part, ordinal, within, role, key, n, sig, shingles), sorted, to (key, root, links) of the pairs that reach the threshold."""
+    """Rows (of, part, ordinal, within, role, key, n, sig, shingles), sorted, to (key, root or null, links) of the pairs that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _runs(batches, 3):
             sig, copies = _signatures_of(table), table.column("n").to_numpy()
             sets = [np.frombuffer(x, _U) for x in table.column("shingles").to_pylist()]
             size = np.array(list(map(len, sets)), np.float64)
-            label, links = np.arange(table.num_rows), np.zeros(table.num_rows, np.int64)
-            for low, high, within in _sides(table, starts):
-                for a, b in tiles(len(low), len(high), within):
-                    x, y = tile_pairs(low[a], (low if within else high)[b], within)
-                    left = surviving(sig, x, y, None, threshold, tolerance)
-                    x, y = x[left], y[left]
-                    common = _common(sets, x, y)
-                    linked = common / (size[x] + size[y] - common) >= threshold
-                    x, y = x[linked], y[linked]
-                    np.add.at(links, x, copies[y])
-                    np.add.at(links, y, copies[x])
-                    label = forest(len(label), x, y, label)
-            at = np.flatnonzero(links)
+            links = np.zeros(table.num_rows, np.int64)
+
+            def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                left = surviving(sig, x, y, None, threshold, tolerance)
+                common = _common(sets, x[left], y[left])
+                return left[common / (size[x[left]] + size[y[left]] - common) >= threshold]
+
+            def counted(x: np.ndarray, y: np.ndarray) -> None:
+                np.add.at(links, x, copies[y])
+                np.add.at(links, y, copies[x])
+
+            own, label = _forests(table, starts, linked, 1, counted)
+            at = np.flatnonzero((links > 0) | (own != label))
+            to = pa.array(label[at], mask=own[at] == label[at])
             keys = table.column("key").combine_chunks()
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), keys.take(pa.array(label[at])), pa.array(links[at])], names=["u", "v", "links"])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), keys.take(to), pa.array(links[at])], names=["u", "v", "links"])
 
     return run
 
@@ -280,12 +338,14 @@ def _in_block_pairs(df: DataFrame, parts: DataFrame) -> DataFrame:
     ordinals and go to successive tasks.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = ceil(sqrt(2 * tasks))  # so many blocks make a pair for each task
+    spread = ceil(sqrt(tasks))  # so many blocks make pairs for half the tasks: every further one adds edges for each row
     blocks = F.greatest(F.ceil(F.col("size") / LARGE_BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.least(F.ceil(F.col("size") / SMALL_BLOCK), F.lit(spread))).cast("long")
     sized = parts.select("of", "part", blocks.alias("blocks"))
     beside = lambda by, name: sized.select("of", (F.col("part") + by).alias("part"), F.col("blocks").alias(name))
     sized = sized.join(beside(1, "before"), ["of", "part"], "left").join(beside(-1, "after"), ["of", "part"], "left").na.fill(0, ["before", "after"])
-    dealt = df.join(sized, ["of", "part"]).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    sized = materialize(sized.where("blocks > 1 or before > 0 or after > 0"), "blocks")  # the others are one block without a neighbour
+    sized = F.broadcast(sized) if sized.count() <= BROADCAST_ROWS else sized
+    dealt = df.join(sized, ["of", "part"], "left").na.fill(1, ["blocks"]).na.fill(0, ["before", "after"]).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")))
 
     def pair(part: Column, ordinal: Column, role: Column, within: Column) -> Column:
         return F.struct(part.alias("part"), ordinal.alias("ordinal"), role.cast("int").alias("role"), within.alias("within"))
@@ -384,5 +444,8 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = found.where("stays and n > 1")
     if not again.limit(1).count():
         return kept
-    once = of(kept, again, "left_semi").withColumn("_key", key)
-    return of(kept, again, "left_anti").unionByName(once.dropDuplicates([id_col, "_key"]).drop("_key"))
+    name = "_key"
+    while name in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    once = of(kept, again, "left_semi").withColumn(name, key)
+    return of(kept, again, "left_anti").unionByName(once.dropDuplicates([id_col, name]).drop(name))
