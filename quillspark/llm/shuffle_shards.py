@@ -92,7 +92,7 @@ def write_shards(
         shard_of(F.col("key"), n_shards, seed).alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 1), "key", "hash", F.when(F.col("is_hot"), F.col("at"))), F.lit(buckets)).cast("int").alias("bucket"),
         "key", "hash", tie.alias("tie"), "record",
     )
-    tasks = max(1, min(ceil(total / TASK_BYTES), buckets * n_shards), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(buckets * n_shards, max(ceil(total / TASK_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     schema = T.StructType([*(placed.schema[c] for c in ("shard", "bucket")), T.StructField("place", T.LongType()), placed.schema["record"]])
     out = placed.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(_shuffled(seed), schema)
     if not total:  # a partitioned write of no rows leaves no file that tells the columns
