@@ -353,6 +353,14 @@ class Index:
         row, item, low = row[good], item[good], (bands[good] % span + least) * self.width[item[good]]
         return np.stack([row, item, low, low + 2 * self.width[item] - 1], axis=1)
 
+    def _exact(self, window: np.ndarray, item: int) -> int:
+        """Where the window first has the item as it is, or -1."""
+        raw, wanted = window.tobytes(), self.items[item].tobytes()
+        at = raw.find(wanted)
+        while at % 4 and at >= 0:
+            at = raw.find(wanted, at + 1)
+        return at // 4 if at >= 0 else -1
+
     def _plausible(self, contents: Contents, item: np.ndarray, at: np.ndarray, size: np.ndarray, region: np.ndarray) -> np.ndarray:
         """The regions that pass the window test."""
         passed = np.ones(len(item), bool)
@@ -378,8 +386,13 @@ class Index:
         same = np.stack([row, item, size, hashes, diagonal])[:, order]
         kept = order[np.append(True, (same[:, 1:] != same[:, :-1]).any(axis=0))]
         kept = np.concatenate([self._plausible(contents, item[x], at[x], size[x], x) for x in np.array_split(kept, 1 + len(kept) // MOST_WINDOWS)])
+        # Items that are there as they are need no alignment.
+        exact = np.array([self._exact(chars[a : a + n], i) for a, n, i in zip(at[kept].tolist(), size[kept].tolist(), item[kept].tolist())], np.int64)
+        same = kept[exact >= 0]
+        place = begin[same] + exact[exact >= 0]
+        out = [np.stack([row[same], item[same], np.zeros_like(same), place, place + m[same]], axis=1)]
+        kept = kept[exact < 0]
         kept = kept[np.lexsort((-m[kept], k[kept]))]
-        out = []
         cut = 0
         while cut < len(kept):
             budget = int(k[kept[cut]])
