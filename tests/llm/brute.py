@@ -51,3 +51,24 @@ def secrets(text):
 
 def digest(spans, names):
     return hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
+def runs(words, least_words=24, least_periods=3):
+    """Start, length and smallest period of every run, by trying all periods."""
+    out, n = [], len(words)
+    for q in range(1, n // least_periods + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            own = words[i : j + q]
+            if j > i and len(own) >= max(least_words, least_periods * q) and not any(own[d:] == own[:-d] for d in range(1, q)):
+                out.append((i, len(own), q))
+            i = max(j, i + 1)
+    return sorted(out)
+
+
+def collapsed(words, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
