@@ -1,7 +1,7 @@
 """Language identification by the nearest of several centroids per language.
 
 A text is a vector of its character 1- to 3-grams (letters in lower case, any run of other characters as one space),
-hashed to DIMENSIONS, weighted by (1 + log tf) * idf and normalised. Each language has up to ``centroids`` centroids from
+hashed to DIMENSIONS, weighted by log(1 + tf) * idf and normalised. Each language has up to ``centroids`` centroids from
 spherical k-means. The prediction is the language of the most similar centroid by cosine; a text farther from it than
 REJECT_DEVIATIONS deviations of the centroid's own members is marked as rejected.
 

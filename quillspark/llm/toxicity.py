@@ -1,17 +1,17 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of its distinct hashed words, and 0 if none of
-them has a weight; a document's is the noisy-or of one leak, the same for every document, and of the scores of its offending
-sentences (those of OFFENDING and more), 1 - (1 - leak) * prod(1 - p). Weak sentences are no evidence, however many a long
-text has. Weights, bias and leak are trained from document labels alone, by gradient steps on the documents' log loss, and
-so locate the offending sentences too; the first half of the steps counts weak sentences, from which the weights set out.
+them has a weight; a document's is the noisy-or of one leak, the same for every document, and of the scores of all its
+sentences, 1 - (1 - leak) * prod(1 - p). So weak sentences add up, but those without a weighted word never do, however many a
+long text has. Weights and leak are trained from document labels alone, by gradient steps on the log loss of just that
+score, and so locate the offending sentences too (those of OFFENDING and more).
 
 The model is fitted on a bounded sample: at most ``most_labelled`` labelled documents, those of the smallest hashes of
 their ids, whole texts. Scoring passes over all rows without a shuffle.
 
 Defined results: a null or empty text, or one without a word, has score 0 and no offending sentences; without labelled
-rows every score is 0. Of several labels of a document the largest counts. Rows of equal ids are all scored; columns
-other than id and text play no part.
+rows every score is 0. Of several labels of a document the largest counts. Rows of equal ids are all scored, and one of them
+is learnt from; columns other than id and text play no part.
 """
 
 from __future__ import annotations
@@ -31,8 +31,13 @@ MOST_LABELLED = 8_000
 #: ones (Wilson's, at BOUND_Z deviations) is above that of LIFT documents taken at random, one of them labelled toxic:
 #: 1 - (1 - rate) ** LIFT. Labels are noisy, and rare words would learn the noise.
 LEAST_DOCUMENTS, LIFT, BOUND_Z = 4, 3.5, 2.0
-STEPS, RATE, DECAY = 250, 0.15, 1e-5
+#: Gradient steps, their size, and how strongly a word is held to its own odds.
+STEPS, RATE, HOLD = 250, 0.15, 0.5
+#: A word of a lower score alone than this is left out: it would only add up in long texts.
+LEAST_ALONE = 0.5
 OFFENDING = 0.5
+#: Log odds of a sentence whose words say nothing; fixed, so that no weak word is carried by a high bias.
+BIAS = -5.0
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
@@ -68,8 +73,7 @@ class ToxicityModel:
 
     def documents(self, row: np.ndarray, p: np.ndarray, n_rows: int) -> np.ndarray:
         """Score of each row; one without a sentence has no leak."""
-        bad = p >= OFFENDING
-        clean = np.bincount(row[bad], np.log1p(-np.minimum(p[bad], 1 - 1e-12)), n_rows) + np.where(np.bincount(row, minlength=n_rows) > 0, np.log1p(-self.leak), 0.0)
+        clean = np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), n_rows) + np.where(np.bincount(row, minlength=n_rows) > 0, np.log1p(-self.leak), 0.0)
         return np.abs(np.expm1(clean))
 
 
@@ -95,44 +99,50 @@ def fit_toxicity(
     named = named.where(learn) if learn is not None else named
     named = named.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_labelled)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sample = rows.join(F.broadcast(named), "id").select("text", "label")  # at most most_labelled rows of two numbers
-    bags = sample.mapInArrow(_bags, "label int, sentence array<int>, word array<int>").toArrow().combine_chunks()
+    # The broadcast has at most most_labelled rows of two numbers; of rows with one id, that of the least hash is learnt from.
+    sample = rows.join(F.broadcast(named), "id").groupBy("id").agg(F.first("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")).select("text", "label")
+    return train(sample.mapInArrow(_bags, "label int, sentence array<int>, word array<int>").toArrow().combine_chunks())
+
+
+def train(bags: pa.Table) -> ToxicityModel:
+    """Of documents with a label, and the sentence and hash of each of their words."""
     y = bags.column("label").to_numpy() > 0
-    model = ToxicityModel(np.zeros(1 << BITS, np.float32), -30.0, 0.0)
+    model = ToxicityModel(np.zeros(1 << BITS, np.float32), BIAS, 0.0)
     if not y.any():
         return model
     sizes = bags.column("word").combine_chunks().value_lengths().to_numpy()
     sentence = bags.column("sentence").combine_chunks().flatten().to_numpy()
     word = bags.column("word").combine_chunks().flatten().to_numpy()
-    doc = np.repeat(np.arange(len(y)), sizes)
+    doc, rate = np.repeat(np.arange(len(y)), sizes), float(y.mean())
     pairs = np.unique(doc.astype(np.int64) << BITS | word)
     of, marked = pairs & (1 << BITS) - 1, y[pairs >> BITS]
     n, k, z = np.bincount(of, minlength=1 << BITS), np.bincount(of, marked, 1 << BITS), BOUND_Z
     share = k / np.maximum(n, 1)
     spread = z * np.sqrt(share * (1 - share) / np.maximum(n, 1) + z * z / (4 * np.maximum(n, 1) ** 2))
     bound = (share + z * z / (2 * np.maximum(n, 1)) - spread) / (1 + z * z / np.maximum(n, 1))
-    kept = np.flatnonzero((n >= LEAST_DOCUMENTS) & (bound > 1 - (1 - y.mean()) ** LIFT))
+    kept = np.flatnonzero((n >= LEAST_DOCUMENTS) & (bound > 1 - (1 - rate) ** LIFT))
     number = np.full(1 << BITS, -1)
     number[kept] = np.arange(len(kept))
     known = number[word] >= 0
     owner, place = np.unique(doc[known].astype(np.int64) << 32 | sentence[known], return_inverse=True)
     owner, feature = owner >> 32, number[word[known]]
-    # Adam on the mean log loss of documents.
-    w, b, c = np.zeros(len(kept)), -5.0, -5.0
-    m, v = np.zeros(len(kept) + 2), np.zeros(len(kept) + 2)
+    # Adam on the mean log loss of documents. A word sets out from its own odds and is held to them, so that words that come together share
+    # the credit.
+    c, own = BIAS, np.log(bound[kept] / (1 - bound[kept])) - BIAS
+    w = own.copy()
+    m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for t in range(1, STEPS + 1):
-        z = b + np.bincount(place, w[feature], len(owner))
+        z = BIAS + np.bincount(place, w[feature], len(owner))
         p, leak = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-c))
-        counted = (p >= OFFENDING) | (t <= STEPS // 2)
-        clean = np.exp(-np.bincount(owner, np.where(counted, np.logaddexp(0, z), 0.0), len(y)) - np.logaddexp(0, c))  # (1 - leak) * prod(1 - p)
+        clean = np.exp(-np.bincount(owner, np.logaddexp(0, z), len(y)) - np.logaddexp(0, c))  # (1 - leak) * prod(1 - p)
         pull = np.where(y, -clean / np.maximum(1 - clean, 1e-9), 1.0) / len(y)
-        dz = np.where(counted, p, 0.0) * pull[owner]
-        g = np.concatenate([np.bincount(feature, dz[place], len(kept)) + DECAY * w, [dz.sum(), leak * pull.sum()]])
+        g = np.concatenate([np.bincount(feature, (p * pull[owner])[place], len(kept)) + HOLD / len(y) * (w - own), [leak * pull.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        w, b, c = w - step[:-2], b - step[-2], c - step[-1]
-    model.weights[kept] = w
-    model.bias, model.leak = float(b), float(min(1 / (1 + np.exp(-c)), 1 - 1e-12))
+        w, c = w - step[:-1], c - step[-1]
+    live = 1 / (1 + np.exp(-BIAS - w)) > LEAST_ALONE
+    model.weights[kept[live]] = w[live]
+    model.leak = float(min(1 / (1 + np.exp(-c)), 1 - 1e-12))
     return model
 
 

@@ -117,9 +117,8 @@ def test_language_against_plain_counting(spark):
     model = language.fit_languages(docs, learn=queries._remainder("id", 3) != 1)
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in queries.op2_language_id(spark, sf).collect():
-        if len(texts[r.doc_id] or "") < 4000:
-            lang, score = plain_language(model, texts[r.doc_id])
-            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-5)
+        lang, score = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-5)
 
 
 def plain_toxicity(model, text):
@@ -147,8 +146,7 @@ def plain_toxicity(model, text):
         codes = {int(h) >> (64 - toxicity.BITS) for h in s.hashes(s.words())}
         weights = [float(model.weights[c]) for c in codes if model.weights[c] != 0]
         p = 1 / (1 + np.exp(-(model.bias + sum(weights)))) if weights else 0.0
-        if p >= toxicity.OFFENDING:
-            clean *= 1 - p
+        clean *= 1 - p
     return 1 - clean * (1 - model.leak) if some else 0.0
 
 
@@ -169,3 +167,59 @@ def test_toxicity_is_learnt_at_any_rate(spark, every):
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs, labels)
     assert all((r.score >= 0.5) == bool(rows[r.doc_id][2]) for r in toxicity.score_toxicity(docs, model).collect())
+
+
+def test_weak_sentences_add_up(spark):
+    import numpy as np
+
+    weights = np.zeros(1 << toxicity.BITS, np.float32)
+    import pyarrow as pa
+
+    from quillspark.llm.texts import Slice, utf8
+
+    data, offsets = utf8(pa.array(["meh"]))
+    s = Slice(data, offsets, 0, 1)
+    weights[int(s.hashes(s.words())[0]) >> (64 - toxicity.BITS)] = 3.0
+    model = toxicity.ToxicityModel(weights, -5.0, 0.001)
+    rows = [(n, "meh you. fine day. " * n) for n in (1, 3, 10, 50)] + [(0, "fine day. " * 10_000)]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    alone = 1 / (1 + np.exp(2.0))
+    assert all(got[n].score == pytest.approx(1 - 0.999 * (1 - alone) ** n) for n in (1, 3, 10, 50, 0))
+    assert got[0].score < 0.01 and got[50].score > 0.99 and not got[50].offending
+
+
+def test_a_labelled_id_that_comes_often_is_learnt_from_once(spark, planted):
+    docs, labels, rows = planted
+    often = docs.unionByName(spark.range(20_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("calm words here "), F.col("id").cast("string")).alias("text")))
+    seen = []
+    train = toxicity.train
+    toxicity.train = lambda bags: (seen.append(bags.num_rows), train(bags))[1]
+    try:
+        model = toxicity.fit_toxicity(often, labels)
+    finally:
+        toxicity.train = train
+    assert seen == [200]
+    assert all((r.score >= 0.5) == bool(rows[r.doc_id][2]) for r in toxicity.score_toxicity(docs, model).collect())
+
+
+def test_training_against_plain_gradients():
+    """The loss of the trained model is no worse than that of small changes to its weights."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choice("abcdefgh") for _ in range(6)) + (". you brute. " if i % 4 == 0 else ". you dear. ") + "x", int(i % 4 == 0) ^ (rng.random() < 0.05)) for i in range(400)]
+    batch = pa.record_batch([pa.array([t for t, _ in rows]), pa.array([y for _, y in rows], pa.int32())], names=["text", "label"])
+    model = toxicity.train(pa.Table.from_batches(list(toxicity._bags(iter([batch])))).combine_chunks())
+
+    def loss(weights):
+        changed = toxicity.ToxicityModel(weights, model.bias, model.leak)
+        s = np.clip([plain_toxicity(changed, t) for t, _ in rows], 1e-9, 1 - 1e-9)
+        return -np.mean([np.log(p if y else 1 - p) for p, (_, y) in zip(s, rows)])
+
+    best = loss(model.weights)
+    for k in np.flatnonzero(model.weights):
+        for step in (-1.0, 1.0):
+            other = model.weights.copy()
+            other[k] += step
+            assert loss(other) > best - 0.01
