@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-#: Bytes of text that a bucket should have: a task holds a few copies of one bucket. And those a task of pass two should read.
+#: Bytes of records that a bucket should have: a task holds a few copies of one bucket. And those a task of pass two should read.
 BUCKET_BYTES, TASK_BYTES = 16 << 20, 64 << 20
 #: Rows of the table of offsets, of some 30 bytes, up to which it is broadcast.
 BROADCAST_ROWS = 200_000
@@ -53,6 +53,19 @@ def record_hash(df: DataFrame) -> Column:
     return F.xxhash64(*parts)
 
 
+def record_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has: those of strings and binaries, of nested values those of their JSON, 8 for any other."""
+
+    def of(f: T.StructField) -> Column:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(F.col(f"`{f.name}`"))
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(f"`{f.name}`")))
+        return F.lit(8)
+
+    return sum((F.coalesce(of(f), F.lit(0)).cast("long") for f in df.schema), F.lit(1).cast("long"))
+
+
 def added_name(name: str, columns: list[str]) -> str:
     """The name, with as many more underscores as none of the columns has it (in any case)."""
     taken = {c.lower() for c in columns}
@@ -78,7 +91,7 @@ def write_shards(
 ) -> None:
     """Write df's records, shuffled, to ``path``/shard=N/; each has its bucket and its place there."""
     text = F.col(text_col)
-    keyed = df.select(key_of(F.col(id_col), text).alias("key"), record_hash(df).alias("hash"), size_of(text).alias("size"), F.struct(*df.columns).alias("record"))
+    keyed = df.select(key_of(F.col(id_col), text).alias("key"), record_hash(df).alias("hash"), record_bytes(df).alias("size"), F.struct(*df.columns).alias("record"))
     copies = keyed.groupBy("key", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))  # no text is shuffled
     total = copies.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, ceil(total / n_shards / bucket_bytes))
