@@ -10,8 +10,8 @@ most, an item is counted by its rare q-grams alone (those in no more than COMMON
 exceeds k * Q. Other items are first held against windows of the text by short grams: a window that contains the item
 lacks at most k * n of the item's distinct n-grams (n of SHORTS), and that is one matrix product for many windows and
 items. Only what passes is counted. Regions pass the same test again. Windows and regions of equal contents are looked at
-once, many regions are verified side by side, and a region is left as soon as its least cost is over the budget. (What remains: a text that repeats a phrase making up some four
-fifths of many items has each place aligned with each of them.)
+once, many regions are verified side by side, and a region is left as soon as its least cost is over the budget. Items that begin alike
+share the costs of what they share in a window, so a stem that makes up most of many items is aligned once for all of them.
 
 Texts and items are compared in lower case with every run of characters other than letters and digits as one space.
 The benchmark is a query set against all rows: it is handled in blocks of at most ``block_chars`` characters, each sent to
@@ -84,52 +84,71 @@ def grams(chars: np.ndarray, n: int = Q) -> np.ndarray:
 
 
 def band_distances(
-    items: np.ndarray, lengths: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, low: np.ndarray, width: int, budget: int
+    items: np.ndarray, lengths: np.ndarray, windows: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, low: np.ndarray, width: int, budget: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For many regions at once: least edits of the whole item against any stretch of its window, and the stretch's begin and end.
 
-    Row r aligns items[r, :lengths[r]] with the window text[starts[r] : starts[r] + sizes[r]] on the diagonals (window place minus
-    item place) low[r] to low[r] + width - 1. Rows come by falling length. A row over the budget gives a cost over it.
+    Row r aligns items[r, :lengths[r]] (zeros behind) with the window text[starts[r] : starts[r] + sizes[r]] on the diagonals (window place
+    minus item place) low[r] to low[r] + width - 1. Rows of one number in ``windows`` have windows of the same contents and diagonals; they are next to
+    one another, by the order of their items. Such rows are one group, with one line of costs, up to the character at which their items
+    part. A row over the budget gives a cost over it.
     """
     n, far = len(lengths), 1 << 30
     place = np.arange(width)
-    begin = low[:, None] + place
-    cost = np.where((begin >= 0) & (begin <= sizes[:, None]), 0, far)  # an alignment may begin at any place
     best = np.full((n, 3), far)
-    alive = np.arange(n)
-
-    def settle(done: np.ndarray) -> None:
-        if len(done):
-            k = cost[done].argmin(axis=1)
-            rows = alive[done]
-            best[rows] = np.stack([cost[done, k], begin[done, k], lengths[rows] + low[rows] + k], axis=1)
-
-    for i in range(1, int(lengths.max(initial=0)) + 1):
-        running = int(np.searchsorted(-lengths[alive], -i, "right"))
-        settle(np.arange(running, len(alive)))
-        alive, cost, begin = alive[:running], cost[:running], begin[:running]
+    # How many characters a row shares with the row before, -1 in another window: where it gets a group of its own.
+    shared = np.full(n, -1)
+    apart = items[1:] != items[:-1]
+    shared[1:] = np.where(windows[1:] == windows[:-1], np.where(apart.any(axis=1), apart.argmax(axis=1), items.shape[1]), -1)
+    by_shared, by_length = np.argsort(shared, kind="stable"), np.argsort(lengths, kind="stable")
+    opens, ends = np.searchsorted(shared[by_shared], np.arange(-1, items.shape[1] + 1)), np.searchsorted(lengths[by_length], np.arange(items.shape[1] + 2))
+    rows = np.sort(by_shared[: opens[1]])  # first rows of the groups
+    begin = low[rows][:, None] + place
+    cost = np.where((begin >= 0) & (begin <= sizes[rows][:, None]), 0, far)  # an alignment may begin at any place
+    alive = np.ones(len(rows), bool)
+    for i in range(1, items.shape[1] + 1):
+        more = np.sort(by_shared[opens[i] : opens[i + 1]])
+        if len(more):
+            parent = np.searchsorted(rows, more) - 1
+            keep = alive[parent]
+            at = np.searchsorted(rows, more)
+            rows, alive = np.insert(rows, at, more), np.insert(alive, at, keep)
+            cost, begin = np.insert(cost, at, cost[parent], axis=0), np.insert(begin, at, begin[parent], axis=0)
+        alive &= lengths[rows] >= i
         if i % 8 == 0:
-            ok = np.flatnonzero(cost.min(axis=1) <= budget)
-            alive, cost, begin = alive[ok], cost[ok], begin[ok]
-        if not len(alive):
-            break
-        j = i + low[alive][:, None] + place  # characters of the window used so far
-        fits = (j >= 1) & (j <= sizes[alive][:, None])
-        at = np.where(fits, starts[alive][:, None] + j - 1, 0)
-        diagonal = np.where(fits, cost + (text[at] != items[alive, i - 1][:, None]), far)
-        above = np.full_like(cost, far)
-        above[:, :-1] = cost[:, 1:] + 1
+            alive &= cost.min(axis=1) <= budget
+        if not alive.any():
+            if shared.max() < i or not (lengths > i).any():
+                break
+            continue
+        live = np.flatnonzero(alive)
+        own, c, b = rows[live], cost[live], begin[live]
+        j = i + low[own][:, None] + place  # characters of the window used so far
+        fits = (j >= 1) & (j <= sizes[own][:, None])
+        at = np.where(fits, starts[own][:, None] + j - 1, 0)
+        diagonal = np.where(fits, c + (text[at] != items[own, i - 1][:, None]), far)
+        above = np.full_like(c, far)
+        above[:, :-1] = c[:, 1:] + 1
         new, from_above = np.minimum(diagonal, above), above < diagonal
-        outside = (j < 0) | (j > sizes[alive][:, None])
+        outside = (j < 0) | (j > sizes[own][:, None])
         new[outside] = far
-        origin = begin.copy()
-        origin[:, :-1] = np.where(from_above[:, :-1], begin[:, 1:], begin[:, :-1])
+        origin = b.copy()
+        origin[:, :-1] = np.where(from_above[:, :-1], b[:, 1:], b[:, :-1])
         flat = new - place  # steps along the window cost one each: a running minimum
         least = np.minimum.accumulate(flat, axis=1)
         source = np.maximum.accumulate(np.where(flat == least, place, 0), axis=1)
-        cost, begin = least + place, np.take_along_axis(origin, source, axis=1)
-        cost[outside] = far
-    settle(np.arange(len(alive)))
+        c, b = least + place, np.take_along_axis(origin, source, axis=1)
+        c[outside] = far
+        if len(live) == len(rows):
+            cost, begin = c, b
+        else:
+            cost[live], begin[live] = c, b
+        done = by_length[ends[i] : ends[i + 1]]
+        if len(done):
+            group = np.searchsorted(rows, done, "right") - 1
+            done, group = done[alive[group]], group[alive[group]]
+            k = cost[group].argmin(axis=1)
+            best[done] = np.stack([cost[group, k], begin[group, k], lengths[done] + low[done] + k], axis=1)
     return best[:, 0], best[:, 1], best[:, 2]
 
 
@@ -178,6 +197,8 @@ class Index:
         size = np.array(list(map(len, self.items)), np.int64)
         self.budgets = np.maximum(0, np.minimum((rate * size).astype(np.int64), (size - Q) // Q))
         self.sizes, self.width = size, self.budgets + 1
+        self.order = np.empty(len(size), np.int64)  # the items' places in alphabetical order
+        self.order[sorted(range(len(size)), key=lambda i: self.items[i].astype(">u4").tobytes())] = np.arange(len(size))
         long = np.flatnonzero(size >= Q)
         own = [grams(self.items[i]) for i in long]
         h = np.concatenate([np.empty(0, _U), *own])
@@ -392,17 +413,21 @@ class Index:
         place = begin[same] + exact[exact >= 0]
         out = [np.stack([row[same], item[same], np.zeros_like(same), place, place + m[same]], axis=1)]
         kept = kept[exact < 0]
-        kept = kept[np.lexsort((-m[kept], k[kept]))]
+        # Rows of equal windows and diagonals come together, in the order of their items, so that they share what their items share.
+        kept = kept[np.lexsort((self.order[item[kept]], diagonal[kept], size[kept], hashes[kept], k[kept]))]
+        window = np.stack([hashes[kept], size[kept], diagonal[kept]])
+        window = np.cumsum(np.append(False, (window[:, 1:] != window[:, :-1]).any(axis=0))[: len(kept)])
         cut = 0
         while cut < len(kept):
             budget = int(k[kept[cut]])
             width = 4 * budget + 2  # two bands' diagonals and k on either side
-            stop = min(int(np.searchsorted(k[kept], budget, "right")), cut + max(1, MOST_CELLS // max(width, int(m[kept[cut]]))))
+            longest = max(width, int(m[kept[np.searchsorted(k[kept], budget) : np.searchsorted(k[kept], budget, "right")]].max()))
+            stop = min(int(np.searchsorted(k[kept], budget, "right")), cut + max(1, MOST_CELLS // longest))
             own = kept[cut:stop]
-            items = np.zeros((len(own), int(m[own[0]])), np.uint32)
+            items = np.zeros((len(own), int(m[own].max())), np.uint32)
             for r, i in enumerate(item[own].tolist()):
                 items[r, : len(self.items[i])] = self.items[i]
-            edits, a, b = band_distances(items, m[own], chars, at[own], size[own], diagonal[own], width, budget)
+            edits, a, b = band_distances(items, m[own], window[cut:stop], chars, at[own], size[own], diagonal[own], width, budget)
             good = (edits <= budget) & (b > a)
             out.append(np.stack([row[own], item[own], edits, begin[own] + a, begin[own] + b], axis=1)[good])
             cut = stop

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm.decontaminate import Index, Q, contaminations, normalize
 from quillspark.llm.shuffle_shards import read_shards, shard_digest, write_shards
@@ -60,6 +61,16 @@ def test_rows_of_one_id_are_dealt_over_buckets(spark, equal):
     assert shard_digest(read_shards(spark, empty)).count() == 0
 
 
+def test_buckets_are_sized_by_whole_records(spark):
+    """Short texts with wide other columns: strings, binaries and nested values all count."""
+    rows = [(i, "t", "w" * 2_000, bytes(500), [f"{i}" * 100] * 5) for i in range(300)]
+    path = new_table_path(spark, "test")
+    write_shards(spark.createDataFrame(rows, "doc_id long, text string, wide string, raw binary, tags array<string>"), path, n_shards=2, bucket_bytes=50_000)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("shard", "bucket").count().collect()]
+    assert sum(sizes) == 300 and len(sizes) >= 16 and max(sizes) < 50
+    assert shard_digest(read_shards(spark, path)).agg(F.sum("size")).first()[0] == 600
+
+
 def test_whole_query_keeps_the_law(spark):
     import zlib
 
