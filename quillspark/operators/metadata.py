@@ -7,6 +7,8 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal
 from functools import reduce
 from operator import and_, or_
 
@@ -22,6 +24,7 @@ class MetadataDef:
     kind: str
     array: bool = False
     state: str = "ready"
+    sortable: bool = True
 
     def __post_init__(self) -> None:
         if not (PATH.match(self.path) and len(self.path) <= 200 and self.kind in SPARK_TYPES):
@@ -67,10 +70,13 @@ def _literal(value: object, d: MetadataDef) -> Column:
 
 def compile_filter(f: MetadataFilter, d: MetadataDef, json_col: str = "metadata_json") -> Column:
     """A boolean column, never null: values that don't convert are no match."""
-    x = d.typed(json_col)
+    return compile_typed(f, d, d.typed(json_col), F.get_json_object(json_col, f"$.{f.path}").isNotNull())
+
+
+def compile_typed(f: MetadataFilter, d: MetadataDef, x: Column, present: Column | None = None) -> Column:
+    """The same over a typed value; what is there is what isn't null, or what ``present`` says."""
     if f.operator == "exists":
-        present = F.get_json_object(json_col, f"$.{f.path}").isNotNull()
-        return present == F.lit(True if f.value is None else bool(f.value))
+        return (x.isNotNull() if present is None else present) == F.lit(True if f.value is None else bool(f.value))
     if f.operator == "eq":
         want = F.array(*[_literal(v, d) for v in f.value]) if d.array else _literal(f.value, d)
         out = x == want
@@ -146,14 +152,29 @@ def page(df: DataFrame, keys: list[tuple[str, str]], id_col: str, limit: int, af
     return rows.orderBy(*typed_sort(keys, id_col)).limit(limit + 1)
 
 
+#: Types that JSON has no value for: how a cursor writes and reads them.
+_TAGS = {
+    "ts": (datetime, datetime.isoformat, datetime.fromisoformat), "date": (date, date.isoformat, date.fromisoformat), "dec": (Decimal, str, Decimal),
+}
+
+
+def _tagged(value: object) -> object:
+    return next(({tag: write(value)} for tag, (kind, write, _) in _TAGS.items() if isinstance(value, kind)), value)
+
+
+def _untagged(value: object) -> object:
+    return next((_TAGS[tag][2](x) for tag, x in value.items()), None) if isinstance(value, dict) else value
+
+
 def encode_cursor(request: dict, values: list, last_id: object) -> str:
     digest = hashlib.sha256(json.dumps(request, sort_keys=True, default=str).encode()).hexdigest()
-    return base64.urlsafe_b64encode(json.dumps({"v": 2, "query": digest, "values": values, "id": last_id}, default=str).encode()).decode()
+    said = {"v": 2, "query": digest, "values": list(map(_tagged, values)), "id": _tagged(last_id)}
+    return base64.urlsafe_b64encode(json.dumps(said).encode()).decode()
 
 
 def decode_cursor(request: dict, cursor: str) -> tuple[list, object]:
-    """Values and id of a cursor; one of another request is refused."""
+    """Values and id of a cursor, of the types they had; one of another request is refused."""
     got = json.loads(base64.urlsafe_b64decode(cursor))
     if got.get("v") != 2 or got["query"] != hashlib.sha256(json.dumps(request, sort_keys=True, default=str).encode()).hexdigest():
         raise ValueError("the cursor belongs to another query")
-    return got["values"], got["id"]
+    return list(map(_untagged, got["values"])), _untagged(got["id"])

@@ -41,25 +41,38 @@ def may_match(text: Column, phrase: str) -> Column:
     return reduce(lambda a, b: a & b, [F.lower(text).contains(t) for t in query_terms(phrase)], F.lit(True))
 
 
-def searchable(originals: DataFrame, translated: DataFrame, documents: DataFrame, locale: str) -> DataFrame:
-    """Chunks to search for readers of a locale: all originals, as fallbacks, and those of translations that were made from the document
-    as it is (translated has source_record_hash, documents record_hash)."""
-    columns = ["document_id", "chunk_index", "title", "chunk_text"]
-    current = documents.select("document_id", F.col("record_hash").alias("source_record_hash"))
-    own = translated.where(F.col("target_locale") == locale).join(current, ["document_id", "source_record_hash"], "left_semi")
-    return originals.select(*columns, F.lit("original").alias("content_locale"), F.lit(True).alias("is_fallback")).unionByName(
-        own.select(*columns, F.col("target_locale").alias("content_locale"), F.lit(False).alias("is_fallback"))
-    )
+def searchable(documents: DataFrame, translations: DataFrame | None, locale: str, phrase: str | None = None) -> DataFrame:
+    """Chunks to search for readers of a locale: those of all documents, as fallbacks, and of translations that were made from the document as it is.
+
+    documents: document_id, title, lines, record_hash; translations: document_id, target_locale, title, lines, source_record_hash. Versions are compared
+    by document, before any text is cut into chunks. With a phrase, each side's documents that can't match by their own text are left out.
+    """
+    columns = ["document_id", "title", "lines"]
+    sides = [documents.select(*columns, F.lit("original").alias("content_locale"), F.lit(True).alias("is_fallback"))]
+    if translations is not None:
+        current = documents.select("document_id", F.col("record_hash").alias("source_record_hash"))
+        own = translations.where(F.col("target_locale") == locale).join(current, ["document_id", "source_record_hash"], "left_semi")
+        sides.append(own.select(*columns, F.col("target_locale").alias("content_locale"), F.lit(False).alias("is_fallback")))
+    if phrase is not None:
+        sides = [side.where(may_match(F.concat_ws("\n", "title", "lines"), phrase)) for side in sides]
+    rows = reduce(DataFrame.unionByName, sides)
+    return rows.select("document_id", "title", "content_locale", "is_fallback", F.posexplode("lines").alias("chunk_index", "chunk_text"))
 
 
 @dataclass(frozen=True)
 class FusionWeights:
+    """Shares of the channels and, what is left, of the boost: the vector's is between 0 and 1, the keywords' no more than it leaves."""
+
     vector: float = 0.55
     keyword: float = 0.35
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "vector", min(max(self.vector, 0.0), 1.0))
+        object.__setattr__(self, "keyword", min(max(self.keyword, 0.0), 1.0 - self.vector))
+
     @property
     def boost(self) -> float:
-        return 1 - self.vector - self.keyword
+        return max(0.0, 1 - self.vector - self.keyword)
 
 
 def keyword_search(chunks: DataFrame, phrase: str, limit: int | None = 20, id_desc: bool = True) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.functions.text import normalized_lines
+from quillspark.functions.text import MEANINGFUL, normalized_lines
+from quillspark.operators.metadata import MetadataDef
+from quillspark.operators.requests import Corpus
 from quillspark.operators.search import may_match, searchable
 from quillspark.plans.registry import Tables
 
@@ -40,23 +42,37 @@ searchable AS (
 """
 
 
-def records(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("document_id"), F.md5("text").alias("record_hash"))
+def documents(t: Tables, phrase: str | None = None) -> DataFrame:
+    """Documents with their lines. With a phrase, those whose text and translation can't match it are left out before their lines are looked at."""
+    docs = t.documents
+    if phrase is not None:
+        docs = docs.where(may_match(F.concat(F.lit("In English: "), "text", F.lit(" (translated)")), phrase))
+    rows = docs.select(F.col("doc_id").alias("document_id"), "lang", "source", F.md5("text").alias("record_hash"), normalized_lines(F.col("text")).alias("lines"), "n_chars")
+    return rows.withColumn("title", F.try_element_at("lines", F.lit(1)))
 
 
-def translated_chunks(docs: DataFrame) -> DataFrame:
-    rows = chunks_of(docs.where("lang <> 'en'"))
+def translations(docs: DataFrame) -> DataFrame:
     source = F.when(F.col("document_id") % 3 == 0, F.md5("record_hash")).otherwise(F.col("record_hash"))
-    return rows.select(
-        "document_id", "chunk_index", F.concat(F.lit("In English: "), "title").alias("title"), F.concat("chunk_text", F.lit(" (translated)")).alias("chunk_text"),
+    return docs.where("lang <> 'en'").select(
+        "document_id", F.concat(F.lit("In English: "), "title").alias("title"), F.transform("lines", lambda x: F.concat(x, F.lit(" (translated)"))).alias("lines"),
         F.lit("en").alias("target_locale"), source.alias("source_record_hash"),
     )
 
 
 def searchable_chunks(t: Tables, phrase: str) -> DataFrame:
-    """What may match the phrase: documents that can't are left out before their lines are looked at."""
-    docs = t.documents.where(may_match(F.col("text"), phrase))
-    return searchable(chunks_of(docs), translated_chunks(docs), docs.select(F.col("doc_id").alias("document_id"), F.md5("text").alias("record_hash")), "en")
+    """What may match the phrase."""
+    docs = documents(t, phrase)
+    return searchable(docs, translations(docs), "en", phrase)
+
+
+def corpus(t: Tables, generation: int = 1) -> Corpus:
+    """The documents as a corpus: published on a day of 2024 by their id, with their language and length as metadata; vectors of first chunks."""
+    docs = documents(t)
+    metadata = F.to_json(F.struct(F.col("lang"), F.col("n_chars").alias("size")))
+    docs = docs.withColumn("published_at", F.expr("timestamp'2024-01-01' + make_dt_interval(cast(document_id % 366 as int))")).withColumn("metadata_json", metadata)
+    eligible = t.documents.where(F.col("text").rlike(MEANINGFUL)).select(F.col("doc_id").alias("vec_id"))
+    vectors = t.embeddings.join(eligible, "vec_id", "left_semi").select("vec_id", F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
+    return Corpus(docs, translations(docs), vectors, "tables", (MetadataDef("lang", "keyword"), MetadataDef("size", "integer")), generation)
 
 
 def _files(docs: DataFrame, sha) -> DataFrame:

@@ -454,3 +454,21 @@ def file_counts_window(t: Tables) -> DataFrame:
     page = t.lineitem.where(F.col("l_orderkey").between(100, 3000) & after & upto).select("l_orderkey")
     files = t.lineitem.where("l_orderkey between 100 and 3000 and l_returnflag = 'R'").groupBy("l_orderkey").agg(F.min("l_partkey").alias("file_id"))
     return page.join(files, "l_orderkey", "left").groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+_RECORDS_SQL = "SELECT doc_id::VARCHAR AS external_id, source || '/' || doc_id AS title, n_chars, TIMESTAMP '2024-01-01' + to_minutes((doc_id // 3)::INT) AS updated_at FROM documents"
+
+
+@query("connector_records", f"SELECT external_id, title, length(title) AS n_title, updated_at FROM ({_RECORDS_SQL}) WHERE updated_at > TIMESTAMP '2024-01-01 00:20:00' OR (updated_at = TIMESTAMP '2024-01-01 00:20:00' AND external_id > '61')")
+def connector_records(t: Tables) -> DataFrame:
+    """All records behind a checkpoint, by the connector data source over a relation of files."""
+    from quillspark.session import materialize
+    from quillspark.sources.connector import RecordSource
+
+    updated = F.expr("timestamp'2024-01-01' + make_dt_interval(0, 0, cast(doc_id div 3 as int))")
+    title = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("external_id"), title.alias("title"), F.col("text").alias("body_text"), F.concat(F.lit("doc://"), title).alias("source_uri"), updated.alias("updated_at"))
+    folder = materialize(rows, "records").inputFiles()[0].rpartition("/")[0]
+    t.spark.dataSource.register(RecordSource)
+    found = t.spark.read.format("records").options(path=folder, updated_at="2024-01-01T00:20:00", external_id="61").load()
+    return found.select("external_id", "title", F.length("title").alias("n_title"), "updated_at")

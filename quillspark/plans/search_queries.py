@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillspark.functions import text as X
-from quillspark.operators import search as S
-from quillspark.plans.corpus import CHUNKS_SQL, LINES_SQL, SEARCHABLE_SQL, chunks, chunks_of, records, searchable_chunks
+from quillspark.operators import metadata as M, requests as R, search as S
+from quillspark.plans.corpus import CHUNKS_SQL, LINES_SQL, SEARCHABLE_SQL, chunks, chunks_of, corpus, searchable_chunks
 from quillspark.plans.registry import Tables, query
 
 PHRASE = "the and"
@@ -306,3 +308,85 @@ def same_language(t: Tables) -> DataFrame:
 def topn_per_group(t: Tables) -> DataFrame:
     w = Window.partitionBy("l_partkey").orderBy("l_returnflag", "l_linenumber", "l_orderkey", "l_suppkey", "l_extendedprice")
     return t.lineitem.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("l_partkey", "l_returnflag", "l_linenumber", "l_orderkey")
+
+
+# whole requests
+
+_PAGE = 8
+_FILTERED = R.Filters(published_after="2024-02-01", published_before="2024-11-30", metadata=(M.MetadataFilter("size", "range", min=100),))
+
+
+def _request(cursor: str | None = None, filters: R.Filters = R.Filters()) -> R.SearchRequest:
+    return R.SearchRequest(PHRASE, _PAGE, cursor=cursor, filters=filters)
+
+
+def _shown(page: R.SearchPage) -> DataFrame:
+    more = F.lit(page.has_more).alias("has_more")
+    return page.items.select("rank", "document_id", "chunk_index", "content_locale", "score", "match_reason", more, F.lit(page.total).alias("total"))
+
+
+def _searched_sql(rank_from: int, rank_to: int) -> str:
+    return _HYBRID_SQL + f""", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, document_id, chunk_index) AS rank, (SELECT count(*) FROM final) AS n FROM final)
+SELECT rank, document_id, chunk_index, content_locale, score, match_reason, least(n, {rank_to + 1}) > {rank_to} AS has_more, least(n, {rank_to + 1}) AS total FROM r WHERE rank > {rank_from} AND rank <= {rank_to}"""
+
+
+@query("search_page", _searched_sql(0, _PAGE))
+def search_page(t: Tables) -> DataFrame:
+    """The first page of a composed search."""
+    return _shown(R.search(corpus(t), _request(), embed=lambda phrase: _target(t)))
+
+
+@query("search_next_page", _searched_sql(_PAGE, 2 * _PAGE))
+def search_next_page(t: Tables) -> DataFrame:
+    """The second page, by the first one's cursor."""
+    c, embed = corpus(t), lambda phrase: _target(t)
+    return _shown(R.search(c, _request(R.search(c, _request(), embed=embed).next_cursor), embed=embed))
+
+
+@query("search_reranked", _HYBRID_SQL + _SNAPSHOT_SQL + rf""", s AS (SELECT document_id, chunk_index, round(len(list_filter({_TERMS_SQL}, lambda x: list_contains(string_split_regex(lower(chunk_text), '[\s[:punct:]]+'), x))) / len({_TERMS_SQL})::DOUBLE, 6) AS rerank_score FROM snapshot),
+r AS (SELECT *, row_number() OVER (ORDER BY rerank_score DESC NULLS LAST, score DESC, document_id, chunk_index) AS rank FROM final LEFT JOIN s USING (document_id, chunk_index))
+SELECT rank, document_id, chunk_index, score, rerank_score FROM r WHERE rank <= {_PAGE}""")
+def search_reranked(t: Tables) -> DataFrame:
+    """The second stage of a streamed search: the same candidates, reranked."""
+    *_, (stage, page) = R.search_stream(corpus(t), _request(), embed=lambda phrase: _target(t), reranker=lambda hits: S.overlap_scores(hits, PHRASE))
+    return page.items.where(F.lit(stage == "reranked")).select("rank", "document_id", "chunk_index", "score", "rerank_score")
+
+
+@query("search_filtered", f"""WITH {CHUNKS_SQL}, {_SCORE_SQL},
+passing AS (SELECT doc_id AS document_id FROM documents WHERE doc_id % 366 BETWEEN 31 AND 334 AND n_chars >= 100)
+SELECT document_id, chunk_index, content_locale, keyword_score AS word_score FROM hits JOIN passing USING (document_id) ORDER BY keyword_score DESC, document_id DESC, chunk_index, content_locale LIMIT 640""")
+def search_filtered(t: Tables) -> DataFrame:
+    """The words' channel under all kinds of filters, as the fallback of a search without vectors takes it."""
+    c = corpus(t)
+    request = _request(filters=_FILTERED)
+    found = R.collect_candidates(c, request, R.SearchSettings(), None, None, S.candidate_window(_PAGE, filtered=True)[0])
+    words = found.rows.where("keyword_score is not null").select("document_id", "chunk_index", "content_locale", F.col("keyword_score").alias("word_score"))
+    return words
+
+
+# structured document queries
+
+_QUERY = R.DocumentQuery(R.Filters(published_after="2024-03-01", metadata=(M.MetadataFilter("size", "range", min=200), M.MetadataFilter("lang", "in", ["en", "fr"]))), (R.SortKey("size", True, True), R.SortKey("published_at")), 20)
+_QUERY_SQL = """WITH r AS (SELECT doc_id AS document_id, n_chars AS size, row_number() OVER (ORDER BY n_chars DESC, doc_id % 366, doc_id) AS place FROM documents
+  WHERE doc_id % 366 >= 60 AND n_chars >= 200 AND lang IN ('en', 'fr')) """
+
+
+def _documents_page(t: Tables, query_: R.DocumentQuery) -> R.DocumentPage:
+    c = corpus(t)
+    return R.query_documents(c.documents, query_, c.definitions)
+
+
+def _listed(page: R.DocumentPage) -> DataFrame:
+    return page.items.select("document_id", F.get_json_object("metadata_json", "$.size").cast("long").alias("size"), "place", F.lit(page.has_more).alias("has_more"))
+
+
+@query("documents_page", _QUERY_SQL + "SELECT document_id, size, place, (SELECT count(*) FROM r) > 20 AS has_more FROM r WHERE place <= 20")
+def documents_page(t: Tables) -> DataFrame:
+    """The first page of documents by typed filters and sort keys."""
+    return _listed(_documents_page(t, _QUERY))
+
+
+@query("documents_next_page", _QUERY_SQL + "SELECT document_id, size, place - 20 AS place, (SELECT count(*) FROM r) > 40 AS has_more FROM r WHERE place > 20 AND place <= 40")
+def documents_next_page(t: Tables) -> DataFrame:
+    """The second page, by the first one's cursor."""
+    return _listed(_documents_page(t, replace(_QUERY, cursor=_documents_page(t, _QUERY).next_cursor)))
