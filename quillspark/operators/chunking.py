@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MOST_CODE_BYTES, MOST_CODE_LINES, MOST_CODE_CHUNKS = 4096, 200, 4096
@@ -256,17 +257,27 @@ def segments(body: str) -> list[tuple[str, str, str, bool]]:
     return out
 
 
+class Packer:
+    """Batch numbers of one sequence of items after another; holds the open batch's counts alone."""
+
+    def __init__(self, most_items: int, most_size: int):
+        self.most_items, self.most_size = most_items, most_size
+        self.begin()
+
+    def begin(self) -> None:
+        self.batch, self.items, self.total = 0, 0, 0
+
+    def put(self, size: int) -> int:
+        """The item's batch; one larger than a batch is alone."""
+        if self.items and (self.items == self.most_items or self.total + size > self.most_size):
+            self.batch, self.items, self.total = self.batch + 1, 0, 0
+        self.items, self.total = self.items + 1, self.total + size
+        return self.batch
+
+
 def greedy_batches(sizes: Iterable[int], most_items: int, most_size: int) -> list[int]:
-    """Batch number of each item, in order; an item larger than a batch is alone."""
-    out, items, total = [], 0, 0
-    for n in sizes:
-        if items and (items == most_items or total + n > most_size):
-            items, total = 0, 0
-            out.append(out[-1] + 1)
-        else:
-            out.append(out[-1] if out else 0)
-        items, total = items + 1, total + n
-    return out
+    packer = Packer(most_items, most_size)
+    return list(map(packer.put, sizes))
 
 
 def _per_row(df: DataFrame, id_col: str, text_col: str, schema: str, rows: Callable[[str], list[tuple]]) -> DataFrame:
@@ -306,14 +317,31 @@ def segment(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def plan_batches(df: DataFrame, key: list[str], order: list[str], text_col: str, requests: bool = False) -> DataFrame:
-    """batch_id of each row within its key: 32 rows and 64 000 characters at most, or for requests 32 and 1 MiB of JSON."""
-    size = (lambda s: len(json.dumps(s, ensure_ascii=False).encode())) if requests else len
-    most = (REQUEST_ITEMS, REQUEST_BYTES) if requests else (BATCH_ITEMS, BATCH_CHARS)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows.assign(batch_id=greedy_batches([size(x) for x in rows[text_col]], *most))
-
-    kept = df.select(*dict.fromkeys([*key, *order, text_col]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", batch_id long"
-    return kept.groupBy(*key).applyInPandas(run, schema).drop(text_col)
+    """batch_id of each row within its key: 32 rows and 64 000 characters at most, or for requests 32 and 1 MiB of JSON.
+
+    Sizes are computed before the shuffle, so no text moves; a key's rows pass one task in order, which holds the open batch's counts alone. A request
+    that no batch can take has no batch_id and the error "oversize", and the others are packed as if it weren't there; without
+    ``requests`` it is alone. A null text has size 0 (as a request, 4).
+    """
+    text = F.col(text_col)
+    as_json = F.octet_length(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t")))) - len('{"t":}')
+    size = (F.when(text.isNull(), 4).otherwise(as_json) if requests else F.coalesce(F.length(text), F.lit(0))).cast("long")
+    most_items, most_size = (REQUEST_ITEMS, REQUEST_BYTES) if requests else (BATCH_ITEMS, BATCH_CHARS)
+    kept = df.select(*dict.fromkeys([*key, *order]), size.alias("_size"))
+    ordered = kept.repartition(*key).sortWithinPartitions(*key, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, own = Packer(most_items, most_size), object()
+        for batch in batches:
+            out = []
+            for mine, n in zip(zip(*(batch.column(c).to_pylist() for c in key), strict=True), batch.column("_size").to_pylist(), strict=True):
+                if mine != own:
+                    own = mine
+                    packer.begin()
+                out.append(None if requests and n > most_size else packer.put(n))
+            error = pa.array(["oversize" if b is None else None for b in out], pa.string())
+            names = [c for c in batch.schema.names if c != "_size"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.int64()), error], names=[*names, "batch_id", "error"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_size").schema) + ", batch_id long, error string"
+    return ordered.mapInArrow(run, schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspark.functions.text import collapse
+
 SHEET_SCHEMA = """struct<groups:array<struct<name:string,children:array<struct<`$ref`:string>>>>,
 tables:array<struct<data:struct<grid:array<array<struct<text:string>>>>>>>"""
 
@@ -38,30 +40,30 @@ def hashed_embedding(text: Column, dimension: int = 32) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("float"))
 
 
-def is_animated(content: Column) -> Column:
-    """Whether a PNG has an animation chunk before its data, or a WebP its animation flag or chunk."""
-    text = F.decode(content, "ISO-8859-1")
-    control, data = F.instr(text, "acTL"), F.instr(text, "IDAT")
-    png = (control > 0) & ((data == 0) | (control < data))
-    flags = F.conv(F.hex(F.substring(content, 21, 1)), 16, 10).cast("int")
-    webp = (F.substring(text, 13, 4) == "VP8X") & (flags.bitwiseAND(F.lit(2)) > 0) | (F.instr(text, "ANIM") > 0)
-    return F.coalesce(F.when(image_kind(content) == "png", png).when(image_kind(content) == "webp", webp), F.lit(False))
+BODY_SCHEMA = """struct<body:struct<children:array<struct<`$ref`:string>>>,
+groups:array<struct<children:array<struct<`$ref`:string>>>>,tables:array<struct<data:struct<grid:array<array<struct<text:string>>>>>>>"""
 
 
-BODY_SCHEMA = """struct<body:struct<children:array<struct<`$ref`:string>>>,
-texts:array<struct<text:string,children:array<struct<`$ref`:string>>>>,groups:array<struct<name:string,children:array<struct<`$ref`:string>>>>>"""
+def _table_text(table: Column) -> Column:
+    """Rows by lines, cells by bars; white space is collapsed, empty cells and repeats of the last filled cell are left out, then rows without a cell."""
+    cells = lambda row: F.aggregate(
+        F.filter(F.transform(F.coalesce(row, F.array().cast("array<struct<text:string>>")), lambda c: collapse(F.coalesce(c["text"], F.lit("")))), lambda x: x != ""),
+        F.array().cast("array<string>"), lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)) == x), a).otherwise(F.concat(a, F.array(x))),
+    )
+    rows = F.transform(F.coalesce(table["data"]["grid"], F.array().cast("array<array<struct<text:string>>>")), lambda r: F.array_join(cells(r), " | "))
+    return F.array_join(F.filter(rows, lambda r: r != ""), "\n")
 
 
 def body_text(json: Column) -> Column:
-    """The body of a converter's JSON: its texts in the order of the body's references, those of groups in their place, by blank lines."""
+    """The body of a converter's JSON: of the groups that its children name, in their order, the tables that the groups' children name, by blank lines. Children of other
+    kinds are ignored, a group with a child without a reference has no text. Null if nothing is found, or there is no body, or no groups."""
     doc = F.from_json(json, BODY_SCHEMA)
     at = lambda ref, kind: F.regexp_extract(ref, rf"^#/{kind}/(\d+)$", 1).try_cast("int")
-    text = lambda ref: F.get(doc["texts"], at(ref, "texts"))["text"]
-    own = lambda ref: F.when(
-        ref.startswith("#/groups/"), F.transform(F.coalesce(F.get(doc["groups"], at(ref, "groups"))["children"], F.array().cast("array<struct<`$ref`:string>>")), lambda c: text(c["$ref"]))
-    ).otherwise(F.array(text(ref)))
-    parts = F.flatten(F.transform(doc["body"]["children"], lambda c: own(c["$ref"])))
-    return F.array_join(F.filter(parts, lambda t: F.trim(t) != ""), "\n\n")
+    filled = lambda texts: F.filter(texts, lambda t: t.isNotNull() & (t != ""))
+    tables = lambda refs: F.transform(refs, lambda c: F.when(at(c["$ref"], "tables").isNotNull(), _table_text(F.get(doc["tables"], at(c["$ref"], "tables")))))
+    group = lambda g: F.when(~F.exists(g["children"], lambda c: c["$ref"].isNull()), F.array_join(filled(tables(g["children"])), "\n\n"))
+    parts = filled(F.transform(doc["body"]["children"], lambda c: F.when(at(c["$ref"], "groups").isNotNull(), group(F.get(doc["groups"], at(c["$ref"], "groups"))))))
+    return F.when(doc["groups"].isNotNull() & (F.size(parts) > 0), F.array_join(parts, "\n\n"))
 
 
 def localized(documents: DataFrame, translations: DataFrame, locale: str) -> DataFrame:

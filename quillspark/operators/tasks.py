@@ -91,3 +91,52 @@ def consistency(tasks: DataFrame, stored: DataFrame, items: DataFrame) -> DataFr
     rows = rows.na.fill(0, [f"{f}_now" for f in fields])
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("stored"), F.col(f"{f}_now").alias("actual")) for f in fields])
     return rows.select("task_id", F.explode(F.filter(pairs, lambda p: ~p["stored"].eqNullSafe(p["actual"]))).alias("p")).select("task_id", "p.field", "p.stored", "p.actual")
+
+
+#: What a task stores of its items, in the order in which mismatches are named. Absent and empty texts are the same.
+STORED = ("status", "total_count", *(f"{s}_count" for s in STATUSES), "stage", "waiting_reason", "dependency_key")
+NEARLY_EXHAUSTED = 4
+
+
+def facts(tasks: DataFrame, items: DataFrame, now: Column) -> DataFrame:
+    """Each task that isn't deleted with what its items say: counters, the current item, live, lapsed, nearly exhausted and claimable items, and the status they imply.
+
+    tasks also have stage, waiting_reason, dependency_key, the stored counters (queued_count ...), lease_until and started_at; items stage and lease_until.
+    A task without items counts as zeros.
+    """
+    is_open, running = F.col("status").isin(*OPEN), F.col("status") == "running"
+    used = F.col("attempts") - F.col("paused_attempts") - F.col("released_attempts")
+    lapsed = F.col("lease_until").isNull() | (F.col("lease_until") <= now)
+    counts = items.groupBy("task_id").agg(
+        F.count("*").alias("n_items"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES],
+        F.count_if(running & (F.col("lease_until").isNull() | (F.col("lease_until") > now))).alias("n_live"), F.count_if(running & lapsed).alias("n_lapsed"),
+        F.count_if(is_open & (used >= NEARLY_EXHAUSTED)).alias("n_near"), F.count_if(is_open & (used < MOST_ATTEMPTS)).alias("n_unspent"),
+        F.min_by(F.struct("ordinal", "status", "stage", "waiting_reason", "dependency_key"), F.when(is_open, F.col("ordinal"))).alias("current"),
+    )
+    rows = tasks.where(~F.col("is_deleted")).join(counts, "task_id", "left")
+    rows = rows.na.fill(0, [c for c in counts.columns if c.startswith("n_")])
+    return rows.withColumn("derived_status", _projected(F.col("total_count"))).withColumn("is_claimable", (F.col("n_unspent") > 0) & (F.col("pause_state") == "unpaused"))
+
+
+def verdicts(found: DataFrame) -> DataFrame:
+    """task_id and mismatch_fields of the rows of facts: the names of the stored fields that the items contradict. A queued task's stage is its entry stage, and isn't compared."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    differs = {"status": F.col("status") != F.col("derived_status"), "total_count": F.col("n_items") != F.col("total_count")}
+    differs |= {f"{s}_count": F.col(f"n_{s}") != F.col(f"{s}_count") for s in STATUSES}
+    differs |= {c: text(F.col(c)) != text(F.col(f"current.{c}")) for c in ("stage", "waiting_reason", "dependency_key")}
+    differs["stage"] &= F.col("status") != "queued"
+    return found.select("task_id", F.filter(F.array(*[F.when(differs[c], c) for c in STORED]), lambda x: x.isNotNull()).alias("mismatch_fields"))
+
+
+def gauges(found: DataFrame, now: Column) -> DataFrame:
+    """One row over the rows of facts: tasks, active ones, ones that wait for a dependency, running ones without a running item, live items, slots that nothing can
+    use, items near their last attempt, the oldest admission of a live slot, and tasks with mismatches."""
+    active, leased = F.col("status").isin(*OPEN), F.coalesce(F.col("lease_until") > now, F.lit(False))
+    orphan = active & leased & (F.col("n_live") == 0) & ((F.col("n_lapsed") > 0) | ~F.col("is_claimable"))
+    wrong = verdicts(found).where(F.size("mismatch_fields") > 0).select("task_id", F.lit(True).alias("_wrong"))
+    return found.join(wrong, "task_id", "left").agg(
+        F.count("*").alias("tasks"), F.count_if(active).alias("active"), F.count_if(F.col("current.waiting_reason") == "dependency").alias("waiting_for_dependency"),
+        F.count_if((F.col("status") == "running") & (F.col("n_running") == 0)).alias("running_without_item"), F.coalesce(F.sum("n_live"), F.lit(0)).alias("live_items"),
+        F.count_if(orphan).alias("orphaned_slots"), F.coalesce(F.sum("n_near"), F.lit(0)).alias("nearly_exhausted"),
+        F.min(F.when(active & leased, F.col("started_at"))).alias("oldest_admitted"), F.count_if("_wrong").alias("mismatched"),
+    )

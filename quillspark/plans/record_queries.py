@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.functions.signatures import hmac_sha256, signed
 from quillspark.functions.text import normalize_body, normalized_lines
-from quillspark.operators import access as A, documents as X, search as S, snapshots as D, trees as G
+from quillspark.operators import access as A, documents as X, images as I, search as S, snapshots as D, trees as G
 from quillspark.plans.corpus import CHUNKS_SQL, LINES_SQL, SNAPSHOT_SQL, baseline, chunks, target
 from quillspark.plans.registry import Tables, query
 from quillspark.plans.relational_queries import _UP_SQL, _edges
@@ -243,24 +246,26 @@ def sheet_sections(t: Tables) -> DataFrame:
     return X.sheet_sections(sheets.select(F.col("l_orderkey").alias("doc_id"), doc.alias("json")), "doc_id", "json")
 
 
-@query("converter_body", "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn % 2, turn, text) FILTER (WHERE trim(text) <> '') AS body FROM conversations GROUP BY 1")
+_CELL_SQL = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+
+
+@query("converter_body", f"""WITH r AS (SELECT conv_id, turn, text, CASE WHEN {_CELL_SQL} IN ('', role) THEN role ELSE role || ' | ' || {_CELL_SQL} END AS said FROM conversations)
+SELECT conv_id, string_agg(said, chr(10) || chr(10) ORDER BY -(turn % 2), turn, text, said) AS body FROM r GROUP BY 1""")
 def converter_body(t: Tables) -> DataFrame:
-    """Turns as texts, those of odd number in a group behind the others."""
-    rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((F.col("turn") % 2).alias("odd"), "turn", "text"))).alias("s"))
+    """Turns as tables (of an empty and of a repeated cell), those of odd number in the group that the body names first; texts are no part of it."""
+    rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct((F.col("turn") % 2).alias("odd"), "turn", "text", "role"))).alias("s"))
     ref = lambda kind, i: F.struct(F.concat(F.lit(f"#/{kind}/"), i.cast("string")).alias("$ref"))
-    places = F.transform("s", lambda x, i: F.struct(x["odd"].alias("odd"), ref("texts", i).alias("ref")))
-    own = lambda odd: F.transform(F.filter(places, lambda p: p["odd"] == odd), lambda p: p["ref"])
-    doc = F.to_json(
-        F.struct(
-            F.struct(F.concat(own(0), F.array(ref("groups", F.lit(0)))).alias("children")).alias("body"),
-            F.transform("s", lambda x: F.struct(x["text"].alias("text"))).alias("texts"), F.array(F.struct(F.lit("g").alias("name"), own(1).alias("children"))).alias("groups"),
-        )
-    )
+    cell = lambda x: F.struct(x.alias("text"))
+    tables = F.transform("s", lambda x: F.struct(F.struct(F.array(F.array(cell(x["role"]), cell(F.lit(" ")), cell(x["role"]), cell(x["text"]))).alias("grid")).alias("data")))
+    own = lambda odd: F.transform(F.filter(F.transform("s", lambda x, i: F.struct(x["odd"].alias("odd"), ref("tables", i).alias("ref"))), lambda p: p["odd"] == odd), lambda p: p["ref"])
+    group = lambda odd: F.struct(F.concat(own(odd), F.array(ref("pictures", F.lit(0)))).alias("children"))
+    children = F.array(ref("groups", F.lit(1)), ref("texts", F.lit(0)), ref("groups", F.lit(0)), ref("groups", F.lit(7)))
+    doc = F.to_json(F.struct(F.struct(children.alias("children")).alias("body"), F.array(group(0), group(1)).alias("groups"), tables.alias("tables"), F.array(cell(F.lit("no part"))).alias("texts")))
     return rows.select("conv_id", X.body_text(doc).alias("body"))
 
 
 _IMAGE_SQL = {
-    0: ("89504E470D0A1A0A", "acTL IDAT"), 1: ("89504E470D0A1A0A", "IDAT acTL"), 2: ("FFD8FFE0", "JFIF acTL"), 3: ("52494646000000005745425056503858", "    \x02 data"), 4: ("5249464600000000574542505650384C", "    \x02 data"), 5: ("", "acTL"),
+    0: ("89504E470D0A1A0A", "\x00\x00\x00\x00acTL\x00\x00\x00\x00    IDAT"), 1: ("89504E470D0A1A0A", "\x00\x00\x00\x00IDAT\x00\x00\x00\x00    acTL"), 2: ("FFD8FFE0", "JFIF acTL"), 3: ("52494646000000005745425056503858", "    \x02 data"), 4: ("5249464600000000574542505650384C", "    \x02 data"), 5: ("", "acTL"),
 }
 
 
@@ -269,7 +274,43 @@ def image_kind_sniff(t: Tables) -> DataFrame:
     image = F.lit(None).cast("binary")
     for k, (head, rest) in _IMAGE_SQL.items():
         image = F.when(F.col("p_partkey") % 6 == k, F.unhex(F.lit(head + rest.encode().hex()))).otherwise(image)
-    return t.part.select("p_partkey", X.image_kind(image).alias("kind"), X.is_animated(image).alias("animated"))
+    rows = t.part.select("p_partkey", image.alias("content"), F.lit("x").alias("name"), F.lit("").alias("media"))
+    return I.image_verdicts(rows, "p_partkey", "content", "name", "media").select("p_partkey", "kind", "animated")
+
+
+#: A PNG of a size by the part, with a text chunk that says acTL, and for some an animation chunk, a cut after 20 bytes, another name or media type.
+_SIDE_SQL = "CASE WHEN p_partkey % 10 = 3 THEN 9000 WHEN p_partkey % 10 = 4 THEN 8000 WHEN p_partkey % 10 = 5 THEN 0 ELSE p_size END"
+
+
+@query("image_verdicts", f"""SELECT p_partkey, CASE WHEN p_partkey % 10 <> 9 THEN 'png' END AS kind, CASE WHEN p_partkey % 10 NOT IN (2, 9) THEN ({_SIDE_SQL})::BIGINT END AS width, p_partkey % 10 = 1 AS animated,
+CASE p_partkey % 10 WHEN 0 THEN 'ok' WHEN 1 THEN 'animated' WHEN 2 THEN 'bad_header' WHEN 3 THEN 'too_wide' WHEN 4 THEN 'too_many_pixels' WHEN 5 THEN 'no_pixels' WHEN 6 THEN 'disagree' WHEN 7 THEN 'unsupported' WHEN 8 THEN 'other_kind' ELSE 'no_image' END AS verdict FROM part""")
+def image_verdicts(t: Tables) -> DataFrame:
+    k, side = F.col("p_partkey") % 10, F.expr(_SIDE_SQL)
+    chunk = lambda name, body, n: F.concat(F.lit(f"{n:08x}{name.encode().hex()}"), body, F.lit("00000000"))
+    number = F.lpad(F.lower(F.hex(side.cast("long"))), 8, "0")
+    whole = F.concat(
+        F.lit("89504e470d0a1a0a"), chunk("IHDR", F.concat(number, number, F.lit("0806000000")), 13), chunk("tEXt", F.lit(b"acTL".hex()), 4),
+        F.when(k == 1, chunk("acTL", F.lit("00" * 8), 8)).otherwise(""), chunk("IDAT", F.lit(""), 0),
+    )
+    content = F.unhex(F.when(k == 2, F.substring(whole, 1, 40)).when(k == 9, F.lit(b"plain text".hex())).otherwise(whole))
+    rows = t.part.select(
+        "p_partkey", content.alias("content"), F.when(k == 6, "a.jpg").when(k == 7, "a.gif").when(k == 8, "a.webp").otherwise("a.PNG").alias("name"), F.when(k == 8, "").when(k == 7, "").otherwise("image/png").alias("media")
+    )
+    return I.image_verdicts(rows, "p_partkey", "content", "name", "media").select("p_partkey", "kind", "width", "animated", "verdict")
+
+
+_SECRET = b"a key of the hook that is longer than one block of the hash, which is sixty-four bytes"
+
+
+@query("webhook_signed", f"""WITH h AS (SELECT event_id, sha256(unhex('{bytes(b ^ 0x5C for b in hashlib.sha256(_SECRET).digest().ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in hashlib.sha256(_SECRET).digest().ljust(64, bytes(1))).hex()}') || encode(props)))) AS mac FROM events)
+SELECT event_id, mac, event_id % 5 IN (0, 1) AS valid FROM h""")
+def webhook_signed(t: Tables) -> DataFrame:
+    """Events as bodies of a hook: rightly signed by either header, by both but one of them wrong, cut short, or not at all."""
+    mac = hmac_sha256(F.col("props"), _SECRET)
+    k = F.col("event_id") % 5
+    raw = F.when(k.isin(0, 2), F.upper(mac)).when(k == 3, F.substring(mac, 1, 63))
+    hub = F.when(k.isin(0, 1), F.concat(F.lit("sha256="), mac)).when(k == 2, F.concat(F.lit("sha256="), F.sha2("props", 256)))
+    return t.events.select("event_id", mac.alias("mac"), signed(F.col("props"), _SECRET, raw, hub).alias("valid"))
 
 
 @query("tree_assembly", _UP_SQL + """, f AS (SELECT 'c' || o_custkey AS node, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'F') AS o FROM orders GROUP BY 1)

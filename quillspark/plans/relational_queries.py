@@ -276,7 +276,14 @@ def tree_ancestors(t: Tables) -> DataFrame:
 
 @query("tree_descendants", _UP_SQL + " SELECT node FROM up WHERE ancestor = 'r1' AND node <> 'r1'")
 def tree_descendants(t: Tables) -> DataFrame:
-    return G.closure(_edges(t)).where("ancestor = 'r1' and node <> 'r1'").select("node")
+    return G.descendants(_edges(t), t.spark.createDataFrame([("r1",)], "node string")).where("node <> 'r1'")
+
+
+@query("tree_path_up", _UP_SQL + " SELECT node, ancestor, depth FROM up WHERE node IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 5000)")
+def tree_path_up(t: Tables) -> DataFrame:
+    """The ancestors of some nodes alone."""
+    rich = t.customer.where("c_acctbal > 5000").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return G.ancestors(_edges(t), rich)
 
 
 @query("tree_paths", f"WITH RECURSIVE {_EDGES_SQL}, down AS (SELECT node, name AS full_path FROM edges WHERE parent IS NULL UNION ALL SELECT e.node, full_path || '/' || e.name FROM down JOIN edges e ON e.parent = down.node) SELECT node, full_path FROM down")
@@ -288,13 +295,13 @@ _ROLE_SQL = "SELECT 'n' || n_nationkey AS node, n_nationkey % 3 + 1 AS role FROM
 
 
 def _roles(t: Tables) -> DataFrame:
-    own = t.nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("ancestor"), (F.col("n_nationkey") % 3 + 1).alias("role"))
-    return own.unionByName(t.spark.createDataFrame([("r1", 3)], "ancestor string, role int"))
+    own = t.nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), (F.col("n_nationkey") % 3 + 1).alias("role"))
+    return own.unionByName(t.spark.createDataFrame([("r1", 3)], "node string, role int"))
 
 
 @query("tree_roles", _UP_SQL + f" SELECT up.node, max(role) AS role FROM up JOIN ({_ROLE_SQL}) m ON m.node = up.ancestor GROUP BY 1")
 def tree_roles(t: Tables) -> DataFrame:
-    return G.closure(_edges(t)).join(_roles(t), "ancestor").groupBy("node").agg(F.max("role").alias("role"))
+    return G.inherited_maximum(_edges(t), _roles(t), "role")
 
 
 @query("effective_role", _UP_SQL + f" SELECT role, count(*) AS n FROM (SELECT up.node, max(role) AS role FROM up JOIN ({_ROLE_SQL}) m ON m.node = up.ancestor GROUP BY 1) GROUP BY 1")

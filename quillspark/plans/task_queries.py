@@ -90,6 +90,60 @@ def consistency_check(t: Tables) -> DataFrame:
     return T.consistency(_tasks(t), T.rollup(items.where("ordinal % 40 <> 0")), items)
 
 
+#: What the report looks at besides, both engines alike. A third of the tasks store what contradicts their items.
+_MORE_ITEM = {"stage": "CASE WHEN l_suppkey % 3 <> 0 THEN l_returnflag END", "lease_until": "CASE WHEN l_partkey % 4 <> 0 THEN l_shipdate END"}
+_MORE_TASK = {"lease_until": "CASE WHEN o_orderkey % 4 <> 1 THEN o_orderdate END", "started_at": "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END"}
+_REPORT_NOW = "TIMESTAMP '1996-01-01'"
+_STATUS_SQL = """CASE WHEN status = 'cancelled' AND n_queued + n_running + n_waiting = 0 OR n_cancelled = total_count THEN 'cancelled' WHEN n_succeeded + n_failed + n_cancelled = total_count
+  THEN CASE WHEN n_failed = 0 THEN 'succeeded' ELSE 'failed' END ELSE coalesce(now_status, 'queued') END"""
+_REPORT_SQL = f"""i AS (SELECT {', '.join(f'{v} AS {k}' for k, v in (_ITEM | _MORE_ITEM).items())} FROM lineitem),
+c AS (SELECT task_id, count(*) AS n_items, {_COUNTS}, count(*) FILTER (WHERE status = 'running' AND (lease_until IS NULL OR lease_until > {_REPORT_NOW})) AS n_live,
+  count(*) FILTER (WHERE status = 'running' AND (lease_until IS NULL OR lease_until <= {_REPORT_NOW})) AS n_lapsed,
+  count(*) FILTER (WHERE status IN ('queued', 'running', 'waiting') AND attempts - paused_attempts - released_attempts >= 4) AS n_near,
+  count(*) FILTER (WHERE status IN ('queued', 'running', 'waiting') AND attempts - paused_attempts - released_attempts < 5) AS n_unspent FROM i GROUP BY 1),
+u AS (SELECT DISTINCT ON (task_id) task_id, status AS now_status, stage AS now_stage, waiting_reason AS now_reason, dependency_key AS now_key FROM i WHERE status IN ('queued', 'running', 'waiting') ORDER BY task_id, ordinal),
+f AS (SELECT t.*, {', '.join(f'{v} AS {k}' for k, v in _MORE_TASK.items())}, {', '.join(f'coalesce({x}, 0) AS {x}' for x in ['n_items', *[f'n_{s}' for s in T.STATUSES], 'n_live', 'n_lapsed', 'n_near', 'n_unspent'])}, now_status, now_stage, now_reason, now_key
+  FROM (SELECT {', '.join(f'{v} AS {k}' for k, v in _TASK.items())}, orders.* FROM orders) t LEFT JOIN c USING (task_id) LEFT JOIN u USING (task_id) WHERE NOT is_deleted),
+d AS (SELECT *, {_STATUS_SQL} AS derived FROM f),
+s AS (SELECT *, CASE WHEN task_id % 3 = 0 THEN status ELSE derived END AS stored_status, total_count + CASE WHEN task_id % 17 = 0 THEN 1 ELSE 0 END AS stored_total,
+  CASE WHEN task_id % 6 = 1 THEN 'parse' ELSE now_stage END AS stored_stage, CASE WHEN task_id % 8 = 3 THEN '' ELSE now_reason END AS stored_reason, CASE WHEN task_id % 10 = 7 THEN 'other' ELSE now_key END AS stored_key,
+  {', '.join(f"n_{s} + CASE WHEN task_id % {19 + k} = 0 THEN 1 ELSE 0 END AS stored_{s}" for k, s in enumerate(T.STATUSES))} FROM d),
+w AS (SELECT * REPLACE (stored_status AS status, stored_total AS total_count) FROM s),
+v AS (SELECT *, {_STATUS_SQL} AS implied FROM w),
+m AS (SELECT *, concat_ws(',', CASE WHEN status <> implied THEN 'status' END, CASE WHEN n_items <> total_count THEN 'total_count' END, {', '.join(f"CASE WHEN n_{s} <> stored_{s} THEN '{s}_count' END" for s in T.STATUSES)},
+  CASE WHEN status <> 'queued' AND coalesce(stored_stage, '') <> coalesce(now_stage, '') THEN 'stage' END, CASE WHEN coalesce(stored_reason, '') <> coalesce(now_reason, '') THEN 'waiting_reason' END,
+  CASE WHEN coalesce(stored_key, '') <> coalesce(now_key, '') THEN 'dependency_key' END) AS fields FROM v)"""
+
+
+def _report(t: Tables) -> DataFrame:
+    """Facts of tasks that store what their items say, but for some."""
+    items = t.lineitem.select(*[F.expr(v).alias(k) for k, v in (_ITEM | _MORE_ITEM).items()])
+    times = t.orders.select(F.col("o_orderkey").alias("task_id"), *[F.expr(v).alias(k) for k, v in _MORE_TASK.items()])
+    bare = _tasks(t).join(times, "task_id").withColumns({c: F.lit(None).cast("string") for c in ("stage", "waiting_reason", "dependency_key")})
+    said = T.facts(bare, items, F.expr(_REPORT_NOW))
+    stored = said.select(
+        *[c for c in _TASK if c not in ("status", "total_count")], *_MORE_TASK, F.when(F.col("task_id") % 3 == 0, F.col("status")).otherwise(F.col("derived_status")).alias("status"),
+        (F.col("total_count") + (F.col("task_id") % 17 == 0).cast("int")).alias("total_count"), F.when(F.col("task_id") % 6 == 1, "parse").otherwise(F.col("current.stage")).alias("stage"),
+        F.when(F.col("task_id") % 8 == 3, "").otherwise(F.col("current.waiting_reason")).alias("waiting_reason"), F.when(F.col("task_id") % 10 == 7, "other").otherwise(F.col("current.dependency_key")).alias("dependency_key"),
+        *[(F.col(f"n_{s}") + (F.col("task_id") % (19 + k) == 0).cast("int")).alias(f"{s}_count") for k, s in enumerate(T.STATUSES)],
+    )
+    return T.facts(stored, items, F.expr(_REPORT_NOW))
+
+
+@query("consistency_verdicts", f"WITH {_REPORT_SQL} SELECT task_id, fields FROM m WHERE fields <> ''")
+def consistency_verdicts(t: Tables) -> DataFrame:
+    """Every task whose status, counters, stage or reasons contradict its items, and the fields that do."""
+    return T.verdicts(_report(t)).where(F.size("mismatch_fields") > 0).select("task_id", F.array_join("mismatch_fields", ",").alias("fields"))
+
+
+@query("consistency_gauges", f"""WITH {_REPORT_SQL} SELECT count(*) AS tasks, count(*) FILTER (WHERE status IN ('queued', 'running', 'waiting')) AS active, count(*) FILTER (WHERE now_reason = 'dependency') AS waiting_for_dependency,
+  count(*) FILTER (WHERE status = 'running' AND n_running = 0) AS running_without_item, sum(n_live)::BIGINT AS live_items,
+  count(*) FILTER (WHERE status IN ('queued', 'running', 'waiting') AND lease_until > {_REPORT_NOW} AND n_live = 0 AND (n_lapsed > 0 OR NOT (n_unspent > 0 AND pause_state = 'unpaused'))) AS orphaned_slots,
+  sum(n_near)::BIGINT AS nearly_exhausted, min(started_at) FILTER (WHERE status IN ('queued', 'running', 'waiting') AND lease_until > {_REPORT_NOW}) AS oldest_admitted, count(*) FILTER (WHERE fields <> '') AS mismatched FROM m""")
+def consistency_gauges(t: Tables) -> DataFrame:
+    return T.gauges(_report(t), F.expr(_REPORT_NOW))
+
+
 # generations
 
 _GENERATION = {

@@ -70,13 +70,13 @@ def _packed_sql(rows: str, most_items: int, most_size: int) -> str:
 @query("batch_pack", f"""WITH {_packed_sql(CHUNKS_SQL + ", r AS (SELECT source AS key, row_number() OVER (PARTITION BY source ORDER BY document_id, chunk_index) AS i, length(chunk_text) AS size, document_id, chunk_index FROM chunks)", C.BATCH_ITEMS, C.BATCH_CHARS)}
 SELECT key AS source, document_id, chunk_index, batch_id FROM b JOIN r USING (key, i)""")
 def batch_pack(t: Tables) -> DataFrame:
-    return C.plan_batches(chunks(t), ["source"], ["document_id", "chunk_index"], "chunk_text")
+    return C.plan_batches(chunks(t), ["source"], ["document_id", "chunk_index"], "chunk_text").drop("error")
 
 
 @query("embed_batch_plan", f"""WITH {_packed_sql("r AS (SELECT conv_id AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, strlen(to_json(text)) AS size, turn FROM conversations)", C.REQUEST_ITEMS, C.REQUEST_BYTES)}
 SELECT key AS conv_id, turn, batch_id FROM b JOIN r USING (key, i)""")
 def embed_batch_plan(t: Tables) -> DataFrame:
-    return C.plan_batches(t.conversations, ["conv_id"], ["turn"], "text", requests=True)
+    return C.plan_batches(t.conversations, ["conv_id"], ["turn"], "text", requests=True).drop("error")
 
 
 _PATH_SQL = "SELECT doc_id, concat(source, '/', CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' ELSE '' END, doc_id, CASE doc_id % 5 WHEN 0 THEN '.rs' WHEN 1 THEN '.min.js' WHEN 2 THEN '.png' WHEN 3 THEN '.md' ELSE '.yml' END) AS path, n_chars AS size FROM documents"

@@ -235,17 +235,15 @@ class _Read:
         self.start = (instant(told), self.options.get("external_id", "")) if told else None
         self.n, self.batch_rows = int(self.options.get("partitions", PARTITIONS)), int(self.options.get("batch_size", BATCH_ROWS))
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return self.connector.read(partition.after, partition.upto, self.batch_rows)
+    def read(self, partition: Range | None) -> Iterator[tuple]:
+        """Of an empty range Spark makes one partition, None."""
+        return iter(()) if partition is None else self.connector.read(partition.after, partition.upto, self.batch_rows)
 
 
 class RecordReader(_Read, DataSourceReader):
     def partitions(self) -> list[Range]:
         last = self.connector.last_key(self.start)  # what comes meanwhile belongs to the next read
-        return ranges(self.connector, self.start, last, self.n) if last else [Range(_END, _END)]
-
-
-_END: Key = (datetime(1, 1, 1, tzinfo=timezone.utc), "")
+        return ranges(self.connector, self.start, last, self.n) if last else []
 
 
 def offset_of(key: Key | None) -> dict:

@@ -1,3 +1,4 @@
+import json
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -219,16 +220,18 @@ def test_sheet_sections_and_image_kinds(spark):
     assert [r[0] for r in heads.select(X.image_kind(F.col("b"))).collect()] == ["png", "webp", None]
 
 
-def test_converter_bodies_and_animated_images(spark):
+def test_converter_bodies(spark):
     from quillspark.operators import documents as X
 
-    doc = '{"body":{"children":[{"$ref":"#/texts/1"},{"$ref":"#/groups/0"},{"$ref":"#/texts/9"},{"$ref":"#/pictures/0"}]},"groups":[{"name":"g","children":[{"$ref":"#/texts/2"},{"$ref":"#/texts/0"}]}],"texts":[{"text":"last"},{"text":"first"},{"text":"middle"}]}'
-    df = spark.createDataFrame([(doc,), ("{}",), ("not json",)], "j string")
-    assert [r[0] for r in df.select(X.body_text(F.col("j"))).collect()][0] == "first\n\nmiddle\n\nlast"
-    png = bytes.fromhex("89504e470d0a1a0a")
-    rows = [(png + b"....acTL....IDAT", True), (png + b"IDAT acTL", False), (b"RIFF\x00\x00\x00\x00WEBPVP8X\x0a\x00\x00\x00\x02", True), (b"RIFF\x00\x00\x00\x00WEBPVP8X\x0a\x00\x00\x00\x10", False), (b"RIFF\x00\x00\x00\x00WEBPANIM", True), (b"\xff\xd8\xff acTL", False), (None, False)]
-    got = spark.createDataFrame(rows, "b binary, want boolean").select(X.is_animated(F.col("b")).alias("is"), "want").collect()
-    assert [r["is"] for r in got] == [r.want for r in got]
+    cell = lambda *x: [{"text": t} for t in x]
+    ref = lambda *x: [{"$ref": r} for r in x]
+    tables = [{"data": {"grid": [cell("a", " a ", "", "a", "b \u00a0 c"), cell("", " "), cell("d")]}}, {"data": {}}, {"data": {"grid": [cell("e")]}}]
+    groups = [{"name": "x", "children": ref("#/tables/2", "#/texts/0", "#/tables/9")}, {"children": ref("#/tables/0", "#/tables/2")}, {"children": [{}, *ref("#/tables/0")]}, {"children": ref("#/tables/1")}]
+    whole = {"body": {"children": ref("#/groups/1", "#/texts/0", "#/groups/3", "#/groups/2", "#/groups/8") + [{}] + ref("#/groups/0")}, "groups": groups, "tables": tables, "texts": cell("ignored")}
+    docs = [whole, {**whole, "body": {"children": ref("#/texts/0", "#/groups/3")}}, {**whole, "groups": None}, {"groups": groups, "tables": tables}, {"body": {}, "groups": groups}, {}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(6, "not json"), (7, None)], "id long, j string")
+    got = {r.id: r.body for r in df.select("id", X.body_text(F.col("j")).alias("body")).collect()}
+    assert got == {0: "a | b c\nd\n\ne\n\ne"} | dict.fromkeys(range(1, 8))
 
 
 def test_trees_of_any_depth(spark):
