@@ -7,11 +7,14 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillspark.operators.tokenizers import Encode, json_tokens, tokenizer_of, word_tokens
+
 MOST_CODE_BYTES, MOST_CODE_LINES, MOST_CODE_CHUNKS = 4096, 200, 4096
 MOST_SEGMENT_CHARS = 8000
 BATCH_ITEMS, BATCH_CHARS = 32, 64_000
@@ -40,7 +43,7 @@ class ChunkBudget:
     @classmethod
     def parse(cls, identity: str) -> ChunkBudget:
         """The budget of an identity; anything else is an error."""
-        m = re.fullmatch(r"(?:(chars)|(tokens|tokens_v2):([\w./-]+)):([1-9][0-9]*):([0-9]+)", identity)
+        m = re.fullmatch(r"(?:(chars)|(tokens|tokens_v2):([\w./@-]+)):([1-9][0-9]*):([0-9]+)", identity)
         if not m or int(m[5]) >= int(m[4]):
             raise ValueError(f"not a chunk budget: {identity!r}")
         return cls(int(m[4]), int(m[5]), m[1] or m[2], m[3] or "words")
@@ -74,52 +77,93 @@ def char_chunks(text: str, budget: ChunkBudget = ChunkBudget()) -> list[str]:
     return out
 
 
-def token_chunks(text: str, encode: Callable[[str], list[tuple[int, int]]], budget: ChunkBudget) -> list[str]:
-    """Windows of at most ``most`` tokens; ``encode`` gives the tokens' extents. A window ends at its last paragraph break if it has one."""
-    most, overlap = budget.clamped
-    spans, out, at = encode(text), [], 0
-    while at < len(spans):
-        end = min(len(spans), at + most)
-        if end < len(spans):
-            cut = text.rfind("\n\n", spans[at][0], spans[end - 1][1])
-            later = next((k for k in range(end, at + overlap, -1) if spans[k - 1][1] <= cut), None) if cut > 0 else None
-            end = later or end
-        out.append(text[spans[at][0] : spans[end - 1][1]])
-        if end == len(spans):
-            break
-        at = max(at + 1, end - overlap)
-    return out
+#: Bytes of text that a token of the budget may have in a window, and more; how often a content is shortened, and a repeated end halved.
+WINDOW_BYTES, WINDOW_MORE, SHORTENINGS, HALVINGS = 8, 32, 4, 8
 
 
-def bounded_chunks(text: str, encode: Callable[[str], list[tuple[int, int]]], budget: ChunkBudget) -> list[str]:
-    """Chunks of the first of ``most``, 3/4, 1/2, 1/4 of it or 1 tokens whose text, encoded alone, has at most ``most``."""
-    most, overlap = budget.clamped
-    spans, out, at = encode(text), [], 0
-    while at < len(spans):
-        for take in (most, most * 3 // 4, most // 2, most // 4, 1):
-            end = min(len(spans), at + max(1, take))
-            piece = text[spans[at][0] : spans[end - 1][1]]
-            if len(encode(piece)) <= most:
-                break
-        out.append(piece)
-        if end == len(spans):
+def _last_tokens(text: str, encode: Encode, most: int) -> str:
+    """The end of a text that has at most so many tokens when encoded alone; empty if no cut tried does."""
+    spans = encode(text) if text and most else []
+    if len(spans) <= most:
+        return text if most else ""
+    take = most
+    for _ in range(HALVINGS):
+        if not take:
             break
-        at = end - min(overlap, end - at - 1)
+        if len(encode(piece := text[spans[-take][0] :])) <= most:
+            return piece
+        take //= 2
+    return ""
+
+
+def _first_tokens(window: str, encode: Encode, most: int, bounded: bool) -> str | None:
+    """The beginning of a window that has at most so many tokens when encoded alone: from ``most`` tokens on down one by one, or only the first of most, 3/4, 1/2, 1/4 of it and 1 that
+    fits. None if there is none."""
+    spans = encode(window)
+    if len(spans) <= most:
+        return window
+    for take in dict.fromkeys((most, most * 3 // 4, most // 2, most // 4, 1) if bounded else range(most, 0, -1)):
+        if take and (end := spans[take - 1][1]) and len(encode(window[:end])) <= most:
+            return window[:end]
+    return None
+
+
+def window_chunks(text: str, encode: Encode, budget: ChunkBudget, bounded: bool = False) -> list[str]:
+    """Chunks of at most ``most`` tokens each, encoded alone: the last ``overlap`` tokens of the content before, and the next content.
+
+    Paragraphs are stripped, empty ones dropped. Content is the beginning of a window of WINDOW_BYTES bytes for each token of the budget, up to the last paragraph break in
+    it if the window goes on. It is counted again with the overlap before it, and shortened by a token up to SHORTENINGS times. Where not even a character fits beside the overlap,
+    the overlap gives way. An error if a character alone exceeds the budget, or shortening doesn't help. The contents join to the paragraphs.
+    """
+    most, overlap = budget.clamped
+    body = "\n\n".join(filter(None, (p.strip() for p in text.split("\n\n"))))
+    out, at, filled, repeated = [], 0, 0, ""
+    while at < len(body):
+        limit = max(1, most - len(encode(repeated)))
+        room = WINDOW_BYTES * limit + WINDOW_MORE
+        end = min(len(body), at + room)
+        if len(body[at:end].encode()) > room:
+            end = at + len(body[at:end].encode()[:room].decode("utf-8", "ignore"))
+        if end < len(body) and body[end - 1 : end + 1] == "\n\n":
+            end -= 1  # a break isn't parted
+        filled = max(filled, end)
+        window, steps = body[at:filled], 0
+        while True:
+            prefix = _first_tokens(window, encode, limit, bounded)
+            if prefix is None:
+                alone = len(encode(window[0]))
+                if alone > most:
+                    raise ValueError(f"the character {window[0]!r} has {alone} tokens, the budget is {most}")
+                repeated = _last_tokens(repeated, encode, most - alone)
+                limit = max(1, most - len(encode(repeated)))
+            else:
+                cut = len(prefix) if len(prefix) == len(window) else found if (found := prefix.rfind("\n\n")) > 0 else len(prefix)
+                if len(encode(repeated + window[:cut])) <= most:
+                    break
+                limit = max(1, limit - 1)
+            steps += 1
+            if steps > SHORTENINGS:
+                if not repeated:
+                    raise ValueError(f"no chunk of {most} tokens can be cut")
+                repeated, steps, limit = "", 0, most  # better no overlap than no chunk
+        out.append(repeated + window[:cut])
+        repeated = _last_tokens(window[:cut], encode, overlap)
+        at += cut
     return out
 
 
-@lru_cache(4)
-def file_tokens(path: str) -> Callable[[str], list[tuple[int, int]]]:
-    """The tokenizer of a JSON file of the tokenizers library; the file must be at that path on every executor."""
-    from tokenizers import Tokenizer
+def token_chunks(text: str, encode: Encode, budget: ChunkBudget) -> list[str]:
+    return window_chunks(text, encode, budget)
 
-    tokenizer = Tokenizer.from_file(path)
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).offsets
 
+def bounded_chunks(text: str, encode: Encode, budget: ChunkBudget) -> list[str]:
+    return window_chunks(text, encode, budget, bounded=True)
 
-def word_tokens(text: str) -> list[tuple[int, int]]:
-    """A plain tokenizer: words and single other characters."""
-    return [m.span() for m in re.finditer(r"\w+|[^\w\s]", text)]
+
+@lru_cache(4)
+def file_tokens(path: str) -> Encode:
+    """The tokenizer of a JSON file of the tokenizers library; the file must be at that path on every executor."""
+    return json_tokens(Path(path).read_bytes())
 
 
 def lines_of(text: str) -> list[str]:
@@ -292,13 +336,14 @@ def _per_row(df: DataFrame, id_col: str, text_col: str, schema: str, rows: Calla
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, chunk_index int, {schema}").withColumnRenamed("id", id_col)
 
 
-def chunk_text(df: DataFrame, id_col: str, text_col: str, budget: ChunkBudget = ChunkBudget()) -> DataFrame:
-    """Chunks by characters, tokens (tokens_v2: by the bounded cut), of the words or of a tokenizer file. A null text has none."""
+def chunk_text(df: DataFrame, id_col: str, text_col: str, budget: ChunkBudget = ChunkBudget(), artifacts: str | None = None) -> DataFrame:
+    """Chunks by characters, or by tokens (tokens_v2: by the bounded cut) of a tokenizer by its name, a pinned one's file being in the folder ``artifacts``, or of a
+    tokenizer file by its path. A null text has none."""
 
     def cut(text: str) -> list[str]:
         if budget.unit == "chars":
             return char_chunks(text, budget)
-        encode = word_tokens if budget.tokenizer == "words" else file_tokens(budget.tokenizer)
+        encode = file_tokens(budget.tokenizer) if "/" in budget.tokenizer else tokenizer_of(budget.tokenizer, artifacts)
         return (bounded_chunks if budget.unit == "tokens_v2" else token_chunks)(text, encode, budget)
 
     return _per_row(df, id_col, text_col, "chunk_text string", lambda t: [(c,) for c in cut(t)])
