@@ -47,21 +47,25 @@ def manifest(old: DataFrame, new: DataFrame, key: list[str], owner: str) -> Data
     return old.join(fine.select(owner).distinct(), owner, "left_anti").unionByName(fine)
 
 
-def verify_rebuild(live: DataFrame, staged: DataFrame, chunks: DataFrame) -> DataFrame:
+def verify_rebuild(live: DataFrame, staged: DataFrame, chunks: DataFrame, translations: DataFrame | None = None) -> DataFrame:
     """One row of counters: staged documents that are gone or changed, whose chunk count is wrong, chunks of another hash than their
-    document's, staged documents, and live documents that aren't staged.
+    document's with translated chunks of another hash than the live document's, staged documents, and live documents that aren't staged.
 
-    live has (document_id, record_hash), staged also chunk_count, chunks (document_id, record_hash).
+    live has (document_id, record_hash), staged also chunk_count, chunks and the staged translations (document_id, record_hash).
     """
     per_document = chunks.join(staged.select("document_id", F.col("record_hash").alias("want")), "document_id").groupBy("document_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("record_hash") != F.col("want")).alias("wrong")
     )
     rows = staged.select("document_id", F.col("record_hash").alias("staged_hash"), "chunk_count").join(live, "document_id", "full").join(per_document, "document_id", "left")
+    if translations is not None:
+        stale = translations.join(live.select("document_id", F.col("record_hash").alias("_now")), "document_id").where("record_hash <> _now").groupBy("document_id").agg(F.count("*").alias("stale"))
+        rows = rows.join(stale, "document_id", "left")
+    wrong = F.coalesce("wrong", F.lit(0)) + (F.coalesce("stale", F.lit(0)) if translations is not None else F.lit(0))
     is_staged, is_live = F.col("chunk_count").isNotNull(), F.col("record_hash").isNotNull()
     return rows.agg(
         F.count_if(is_staged & (~is_live | (F.col("staged_hash") != F.col("record_hash")))).alias("document_hash_mismatch"),
         F.count_if(is_staged & (F.col("chunk_count") != F.coalesce("n", F.lit(0)))).alias("chunk_count_mismatch"),
-        F.coalesce(F.sum("wrong"), F.lit(0)).alias("chunk_hash_mismatch"),
+        F.coalesce(F.sum(wrong), F.lit(0)).alias("chunk_hash_mismatch"),
         F.count_if(is_staged).alias("staged_documents"),
         F.count_if(is_live & ~is_staged).alias("document_membership_mismatch"),
     )

@@ -237,3 +237,25 @@ def date_page(df: DataFrame, limit: int, after: tuple | None = None, ceiling: Co
         ts, last = after
         rows = rows.where((F.col("ts") < F.lit(ts)) | ((F.col("ts") == F.lit(ts)) & (F.col("id") > last)))
     return rows.orderBy(F.desc("ts"), "id").limit(limit)
+
+
+def date_walk(df: DataFrame, keep: Column, limit: int, after: tuple | None = None, ceiling: Column | None = None, windows: int = 64, window_rows: int = 4_096) -> tuple[DataFrame, tuple | None]:
+    """The next ``limit`` rows for which ``keep`` holds, newest first by (ts desc, id), and the key to go on behind, None at the end. Rows are looked at in windows, each of
+    which is complete to its last key; when the windows are used up, the page is what was found so far, and the walk goes on from there."""
+    found, parts = 0, []
+    for _ in range(windows):
+        window = date_page(df, window_rows, after, ceiling).withColumn("_keep", F.coalesce(keep, F.lit(False)))
+        seen = window.select("ts", "id", "_keep").collect()  # window_rows keys
+        fine = [(r.ts, r.id) for r in seen if r._keep][: limit - found]
+        found += len(fine)
+        end = fine[-1] if fine and found == limit else (seen[-1].ts, seen[-1].id) if seen else after
+        if fine:
+            kept = date_page(df, window_rows, after, ceiling).where(F.coalesce(keep, F.lit(False)))
+            parts.append(kept.where((F.col("ts") > F.lit(end[0])) | ((F.col("ts") == F.lit(end[0])) & (F.col("id") <= F.lit(end[1])))))
+        after = end
+        if found == limit or len(seen) < window_rows:
+            more = found == limit and not date_page(df, 1, after, ceiling).isEmpty()
+            after = after if more else None
+            break
+    rows = reduce(DataFrame.unionByName, parts) if parts else df.limit(0)
+    return rows.orderBy(F.desc("ts"), "id"), after

@@ -15,6 +15,17 @@ def compare(base: DataFrame, target: DataFrame) -> DataFrame:
     return both.select("path", "old", "new", status.alias("status"))
 
 
+def diffs(files: DataFrame, generations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(base, target, path, status) of every pair's changed paths. files has generation, path, sha; generations generation, status. A pair counts only if both its
+    generations are ready or superseded; unchanged paths are left out."""
+    usable = generations.where(F.col("status").isin("ready", "superseded")).select("generation")
+    both = pairs.join(usable.withColumnRenamed("generation", "base"), "base", "left_semi").join(usable.withColumnRenamed("generation", "target"), "target", "left_semi")
+    side = lambda c, sha: both.join(files.select(F.col("generation").alias(c), "path", F.col("sha").alias(sha)), c).select("base", "target", "path", sha, F.lit(True).alias(f"_{sha}"))
+    rows = side("base", "old").join(side("target", "new"), ["base", "target", "path"], "full")
+    status = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").when(~F.col("old").eqNullSafe(F.col("new")), "modified")
+    return rows.select("base", "target", "path", status.alias("status")).where("status is not null")
+
+
 def incremental_plan(base: DataFrame, target: DataFrame) -> DataFrame:
     action = F.when(F.col("status") == "unchanged", "seed").when(F.col("status") == "deleted", "delete").otherwise("fetch")
     return compare(base, target).select("path", action.alias("action"))

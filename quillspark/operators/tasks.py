@@ -17,14 +17,17 @@ MOST_ATTEMPTS = 5
 
 
 def rollup(items: DataFrame) -> DataFrame:
-    """Of each task: its item count, a counter for each status, the current item (the first open one) and the first failure's stage."""
-    open_ordinal = F.when(F.col("status").isin(*OPEN), F.col("ordinal"))
-    failed_ordinal = F.when((F.col("status") == "failed") & F.col("failure_stage").isNotNull(), F.col("ordinal"))
+    """Of each task: its item count, a counter for each status, the current item (the first open one), the first failure's stage and the first failure's message. Items may have stage and
+    error_message too."""
+    open_ordinal, is_failed = F.when(F.col("status").isin(*OPEN), F.col("ordinal")), F.col("status") == "failed"
+    failed_ordinal = F.when(is_failed & F.col("failure_stage").isNotNull(), F.col("ordinal"))
+    had = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
     return items.groupBy("task_id").agg(
         F.count("*").alias("n_items"),
         *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES],
-        F.min_by(F.struct("ordinal", "status", "waiting_reason", "dependency_key", "next_attempt_at"), open_ordinal).alias("current"),
+        F.min_by(F.struct("ordinal", "status", had("stage").alias("stage"), "waiting_reason", "dependency_key", "next_attempt_at"), open_ordinal).alias("current"),
         F.min_by("failure_stage", failed_ordinal).alias("failure_stage"),
+        F.min_by(had("error_message"), F.when(is_failed & had("error_message").isNotNull(), F.col("ordinal"))).alias("error_summary"),
     )
 
 
@@ -43,12 +46,12 @@ def _projected(total: Column) -> Column:
 
 def project(tasks: DataFrame, items: DataFrame) -> DataFrame:
     """The status, pause state and current item that each task with items should have."""
-    rows = tasks.join(rollup(items), "task_id")
+    rows = tasks.drop("stage", "waiting_reason", "dependency_key", "next_attempt_at").join(rollup(items), "task_id")
     done = F.col("n_succeeded") + F.col("n_failed") + F.col("n_cancelled") == F.col("total_count")
     ended = ((F.col("status") == "cancelled") & (F.col("n_queued") + F.col("n_running") + F.col("n_waiting") == 0)) | (F.col("n_cancelled") == F.col("total_count")) | done
     return rows.select(
-        "task_id", *[f"n_{s}" for s in STATUSES], "failure_stage", F.col("current.ordinal").alias("current"), F.col("current.waiting_reason").alias("waiting_reason"),
-        _projected(F.col("total_count")).alias("status"), F.when(ended, "unpaused").otherwise(F.col("pause_state")).alias("pause_state"),
+        "task_id", *[f"n_{s}" for s in STATUSES], "failure_stage", "error_summary", F.col("current.ordinal").alias("current"),
+        *[F.col(f"current.{c}").alias(c) for c in ("stage", "waiting_reason", "dependency_key", "next_attempt_at")], _projected(F.col("total_count")).alias("status"), F.when(ended, "unpaused").otherwise(F.col("pause_state")).alias("pause_state"),
     )
 
 

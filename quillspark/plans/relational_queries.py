@@ -326,6 +326,23 @@ def snapshot_diff(t: Tables) -> DataFrame:
     return D.compare(baseline(t), target(t)).where("status <> 'unchanged'").select("path", "status")
 
 
+_PAIRS_SQL = """g AS (SELECT * FROM (VALUES (1, 'ready'), (2, 'superseded'), (3, 'failed')) v(generation, status)),
+files AS (SELECT 1 AS generation, path, sha FROM base UNION ALL SELECT 2, path, sha FROM target UNION ALL SELECT 3, path, sha FROM target),
+pairs AS (SELECT a.generation AS b, c.generation AS t FROM g a JOIN g c ON a.generation <> c.generation AND a.status IN ('ready', 'superseded') AND c.status IN ('ready', 'superseded')),
+keys AS (SELECT DISTINCT b, t, path FROM pairs JOIN files ON generation IN (b, t))"""
+
+
+@query("snapshot_pairs", f"""WITH {SNAPSHOT_SQL}, {_PAIRS_SQL} SELECT k.b AS base, k.t AS target, k.path, CASE WHEN x.path IS NULL THEN 'added' WHEN y.path IS NULL THEN 'deleted' ELSE 'modified' END AS status
+FROM keys k LEFT JOIN files x ON x.generation = k.b AND x.path = k.path LEFT JOIN files y ON y.generation = k.t AND y.path = k.path WHERE x.sha IS DISTINCT FROM y.sha""")
+def snapshot_pairs(t: Tables) -> DataFrame:
+    """The changes between every two of three generations, one of which failed."""
+    of = lambda df, k: df.select(F.lit(k).alias("generation"), "path", "sha")
+    files = of(baseline(t), 1).unionByName(of(target(t), 2)).unionByName(of(target(t), 3))
+    generations = t.spark.createDataFrame([(1, "ready"), (2, "superseded"), (3, "failed")], "generation int, status string")
+    pairs = t.spark.createDataFrame([(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b], "base int, target int")
+    return D.diffs(files, generations, pairs)
+
+
 @query("incremental_plan", f"WITH {SNAPSHOT_SQL} SELECT path, CASE WHEN t.path IS NULL THEN 'delete' WHEN b.sha IS NOT DISTINCT FROM t.sha THEN 'seed' ELSE 'fetch' END AS action FROM base b FULL JOIN target t USING (path)")
 def incremental_plan(t: Tables) -> DataFrame:
     return D.incremental_plan(baseline(t), target(t))

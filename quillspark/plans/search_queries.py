@@ -270,6 +270,19 @@ def date_search(t: Tables) -> DataFrame:
     return S.date_page(rows, 50, ceiling=F.lit(ceiling))
 
 
+_WALK_SQL = "SELECT event_id AS id, ts, user_id FROM events WHERE user_id % 7 = 3 AND ts <= (SELECT max(ts) FROM events WHERE event_type = 'error') ORDER BY ts DESC, event_id LIMIT 60"
+
+
+@query("date_walk", _WALK_SQL)
+def date_walk(t: Tables) -> DataFrame:
+    """Sixty rows that a filter behind the order keeps, as two pages: the second goes on where the first ended."""
+    ceiling = F.lit(t.events.where("event_type = 'error'").agg(F.max("ts")).first()[0])
+    rows, keep = t.events.select(F.col("event_id").alias("id"), "ts", "user_id"), F.col("user_id") % 7 == 3
+    first, after = S.date_walk(rows, keep, 25, ceiling=ceiling, window_rows=128)
+    second, _ = S.date_walk(rows, keep, 35, after, ceiling, window_rows=128)
+    return first.unionByName(second)
+
+
 @query("date_ceiling", "SELECT event_type, max(ts) AS ceiling FROM events GROUP BY 1")
 def date_ceiling(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.max("ts").alias("ceiling"))

@@ -132,3 +132,23 @@ _LOCALE_SQL = " ".join(f"WHEN {c} >= {LEAST_CONFIDENCE}::DOUBLE * ({_TOTAL_SQL})
 n AS (SELECT doc_id, {_FOUND_SQL}, length(regexp_replace(text, '[^\p{{Han}}]', '', 'g')) AS zh FROM t) SELECT doc_id, CASE WHEN {_TOTAL_SQL} = 0 THEN NULL {_LOCALE_SQL} END AS locale FROM n""")
 def detect_locale(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", locale_of(F.col("text")).alias("locale"))
+
+
+_TRIGRAMS_SQL = r"""spaced AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS s FROM documents),
+letters AS (SELECT doc_id, lang, string_split(s, '') AS l FROM spaced),
+grams AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) AS t FROM letters)"""
+
+
+@query("language_identify", f"""WITH {_TRIGRAMS_SQL},
+counted AS (SELECT lang, t, count(*) AS n FROM grams WHERE doc_id % 3 <> 1 AND lang IS NOT NULL GROUP BY 1, 2),
+profile AS (SELECT lang, t, 301 - row_number() OVER (PARTITION BY lang ORDER BY n DESC, t) AS w FROM counted QUALIFY w > 0),
+scored AS (SELECT g.doc_id, p.lang, sum(w) AS s FROM (SELECT DISTINCT doc_id, t FROM grams) g JOIN profile p USING (t) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r, lead(s, 1, 0) OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS next FROM scored)
+SELECT d.doc_id, d.doc_id % 3 = 1 AS held_out, CASE WHEN round(r.s / greatest(r.s + r.next, 1)::DOUBLE, 6) >= 0.65 THEN r.lang END AS lang_found, coalesce(round(r.s / greatest(r.s + r.next, 1)::DOUBLE, 6), 0) AS lang_confidence
+FROM documents d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.r = 1""")
+def language_identify(t: Tables) -> DataFrame:
+    """Languages by trigrams learnt from two thirds of the documents."""
+    from quillspark.functions.language import learn_profiles
+
+    profiles = learn_profiles(t.documents.where("doc_id % 3 <> 1"), "text", "lang")
+    return profiles.identify(t.documents, "doc_id", "text").select("doc_id", (F.col("doc_id") % 3 == 1).alias("held_out"), "lang_found", "lang_confidence")
