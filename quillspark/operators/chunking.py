@@ -213,28 +213,122 @@ _BODIED = frozenset("fn struct enum union trait impl mod macro_rules function cl
 _HEADS = _BODIED | frozenset("import export const let var type declare abstract async".split())
 
 
+#: Words after which an operand comes, so that a slash begins a regular expression and a less-than sign an element.
+_BEFORE_OPERAND = frozenset("return typeof case in of delete void throw new do else await yield default extends".split())
+_PATTERN = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
+_TAG, _END_TAG = re.compile(r"<(?:[A-Za-z][\w.:-]*|(?=>))"), re.compile(r"</\s*[\w.:-]*\s*>")
+
+
+class Unclosed(ValueError):
+    """A template, a hole in one, or an element that the text doesn't close."""
+
+
+def tokens(text: str, language: str, at: int = 0) -> Iterator[tuple[str, str, int]]:
+    """Kind, text and place of the tokens from a place on. In TypeScript, a template with all that its ``${}`` hold, a regular expression and, in tsx, an element with all its
+    children is one string each; their holes are read by the same rules, however deep."""
+    pattern, before, word = _SYNTAX[language], "", ""  # the last token that is no comment
+    while found := pattern.search(text, at):
+        begin, end = found.start(), None
+        if language != "rust":
+            operand = before in ("", "open", "mark", "other") or before == "word" and word in _BEFORE_OPERAND
+            c = text[begin]
+            if c == "`":
+                end = _template_end(text, begin, language)
+            elif c == "/" and operand and text[begin + 1 : begin + 2] not in ("/", "*"):
+                end = m.end() if (m := _PATTERN.match(text, begin)) else None
+            elif c == "<" and operand and language == "tsx":
+                end = _element_end(text, begin)
+        if end is not None:
+            kind, token = "string", text[begin:end]
+        else:
+            kind, token, end = "string" if found.lastgroup == "bars" else found.lastgroup, found[0], found.end()
+        yield kind, token, begin
+        at = end
+        if kind != "comment":
+            before, word = kind, token
+
+
+def _hole_end(text: str, at: int, language: str) -> int:
+    """Behind the brace that closes the one before ``at``."""
+    depth = 0
+    for kind, token, begin in tokens(text, language, at):
+        if kind == "open":
+            depth += 1
+        elif kind == "close":
+            if not depth:
+                if token != "}":
+                    raise Unclosed
+                return begin + 1
+            depth -= 1
+    raise Unclosed
+
+
+def _template_end(text: str, at: int, language: str) -> int:
+    i = at + 1
+    while i < len(text):
+        if text[i] == "`":
+            return i + 1
+        if text.startswith("${", i):
+            i = _hole_end(text, i + 2, language)
+        else:
+            i += 2 if text[i] == "\\" else 1
+    raise Unclosed
+
+
+def _element_end(text: str, at: int) -> int | None:
+    """Behind the element that begins here, its children included; None if it is none."""
+    tag = _TAG.match(text, at)
+    if not tag:
+        return None
+    i = tag.end()
+    while i < len(text) and text[i] != ">":  # attributes
+        if text.startswith("/>", i):
+            return i + 2
+        if text[i] == "{":
+            i = _hole_end(text, i + 1, "tsx")
+        elif text[i] in "\"'":
+            i = text.find(text[i], i + 1) + 1
+            if not i:
+                raise Unclosed
+        elif text[i].isspace() or text[i].isalnum() or text[i] in "_$.:=-":
+            i += 1
+        else:
+            return None
+    i += 1
+    while i < len(text):  # children
+        if end := _END_TAG.match(text, i):
+            return end.end()
+        if text[i] == "<":
+            i = _element_end(text, i)
+            if i is None:
+                return None
+        else:
+            i = _hole_end(text, i + 1, "tsx") if text[i] == "{" else i + 1
+    raise Unclosed
+
+
 def item_starts(text: str, language: str) -> list[int] | None:
     """Where the lines of top-level items begin, the comments, attributes and decorators before an item included; the first is 0. None
-    if brackets don't pair or there are too many items. A scan of brackets, not a parse."""
+    if brackets don't pair or there are too many items. Tokens are read in their modes (templates, regular expressions, elements); items are told by their heads and
+    brackets, not by a whole grammar."""
     starts, stack = [0], []
     lead: int | None = None  # where comments and attributes that belong to the next item begin
     inside = mark = bodied = head = False
     seen, last = 0, ""
-    for m in _SYNTAX[language].finditer(text):
-        kind, token = m.lastgroup if m.lastgroup != "bars" else "string", m[0]
-        first_of_line = not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
+    for kind, token, place in tokens(text, language):
+        first_of_line = not text[text.rfind("\n", 0, place) + 1 : place].strip()
         if inside and not stack and language != "rust" and first_of_line and (token in _HEADS or kind == "mark") and last not in (",", "=", ":", "|", "&", "(", "."):
             inside = False
         if kind == "comment":
             if not stack and lead is None and (not inside or first_of_line):
-                lead = m.start()
+                lead = place
             continue
         if not inside and not mark:
             if kind == "mark":
-                lead, mark = m.start() if lead is None else lead, True
+                lead, mark = place if lead is None else lead, True
                 last = token
                 continue
-            begin = text.rfind("\n", 0, m.start() if lead is None else lead) + 1
+            begin = text.rfind("\n", 0, place if lead is None else lead) + 1
             if seen and begin > starts[-1]:
                 starts.append(begin)
             seen, inside, bodied, head, lead = seen + 1, True, False, True, None
@@ -267,7 +361,10 @@ def item_starts(text: str, language: str) -> list[int] | None:
 def structural_chunks(text: str, language: str, most_bytes: int = MOST_CODE_BYTES, most_lines: int = MOST_CODE_LINES) -> list[tuple[int, int, str]]:
     """(first line, last line, text) of each top-level item, larger ones cut like line_chunks; other languages and texts whose brackets
     don't pair are cut by lines."""
-    starts = item_starts(text, language) if text and language in _SYNTAX else None
+    try:
+        starts = item_starts(text, language) if text and language in _SYNTAX else None
+    except (Unclosed, RecursionError):
+        starts = None
     if starts is None:
         return line_chunks(text, most_bytes, most_lines)
     out, line = [], 1
