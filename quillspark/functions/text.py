@@ -48,17 +48,12 @@ def query_terms(x: str) -> list[str]:
 
 
 def code_tokens(phrase: str) -> list[str]:
-    """Distinct code tokens of a phrase, as code_terms finds them in a column."""
+    """Distinct code tokens of a phrase."""
     import re
 
     return list(dict.fromkeys(t for t in re.split(r"[^\w$:./-]+", phrase.lower()) if t))
 
 
-def code_terms(x: Column) -> Column:
-    """Distinct code tokens, in order: letters, digits and _ $ : . / -"""
-    return F.array_distinct(F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}_$:./-]+"), lambda t: t != ""))
-
-
 def safe_filename(title: Column, extension: str) -> Column:
     """Reserved characters become underscores, control characters spaces; the extension is set once."""
     name = F.trim(F.regexp_replace(F.regexp_replace(title, r'[<>:"/\\|?*]', "_"), r"[\x00-\x1f\x7f]", " "))

@@ -55,15 +55,6 @@ def deduplicate_content(df: DataFrame, key: list[str], id_col: str) -> DataFrame
     return df.withColumn("stored_id", F.min(id_col).over(Window.partitionBy(*key)))
 
 
-def version_audit(chunks: DataFrame, key: str, index: str, text: str) -> DataFrame:
-    """Verdict of each document's chunks: indexes must be 0..n-1 and the body not blank."""
-    n, distinct, low, high = F.count("*"), F.count_distinct(index), F.min(index), F.max(index)
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(index, text))), lambda s: s[text]), "\n\n")
-    checked = chunks.groupBy(key).agg(n.alias("n"), ((low == 0) & (high == n - 1) & (distinct == n)).alias("contiguous"), ordered.alias("body"))
-    verdict = F.when(~F.col("contiguous"), "non_contiguous_or_duplicate").when(F.trim("body") == "", "blank_body").otherwise("ok")
-    return checked.select(key, "n", F.sha2("body", 256).alias("body_hash"), verdict.alias("verdict"))
-
-
 def audit_documents(documents: DataFrame, chunks: DataFrame, hash_of) -> DataFrame:
     """(document_id, verdict) of documents (document_id, record_hash and what hash_of needs) by their chunks (document_id, chunk_index,
     chunk_text): zero_chunks, non_contiguous_or_duplicate, blank_body, hash_mismatch or eligible. hash_of(body) is the record hash of the

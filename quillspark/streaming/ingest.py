@@ -50,8 +50,3 @@ def current(spark: SparkSession, versions: str) -> DataFrame:
     rows = spark.read.parquet(versions)
     w = Window.partitionBy("doc_id").orderBy(F.desc("epoch"))
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
-def deduplicate_deliveries(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """Drop deliveries seen before within the watermark; the state is bounded by the delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
