@@ -24,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.llm.texts import mix, slices, utf8
+from quillspark.session import materialize
 
 DIMENSIONS = 4096
 CENTROIDS, SAMPLE, ROUNDS = 4, 1000, 12
+#: Languages up to which their counts are broadcast.
+FEW_LANGUAGES = 10_000
 REJECT_DEVIATIONS = 4.0
 #: Rows whose dense vectors a task holds at once.
 MOST_ROWS = 1000
@@ -143,7 +146,9 @@ def fit_languages(
     counted = rows.select("text").mapInArrow(_frequencies, "dimension long, n long").groupBy("dimension").agg(F.sum("n").alias("n")).collect()
     n = {r.dimension: r.n for r in counted}
     idf = np.log((1 + n.get(-1, 0)) / (1 + np.array([n.get(d, 0) for d in range(DIMENSIONS)]))) + 1
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language, as the model has
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")  # a row for each language, as the model has
+    # So few that no text need be shuffled by its language; any more are joined by it.
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_LANGUAGES else sizes
     order = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 31))
     chosen = rows.join(sizes, "lang").withColumn("order", order).where(F.col("order") * F.col("n") < F.lit(float(sample) * (1 << 31)))
     fitted = chosen.select("lang", "text", "order").groupBy("lang").applyInPandas(_cluster(idf, centroids), "lang string, j int, center array<float>, least double")
