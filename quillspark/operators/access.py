@@ -98,3 +98,31 @@ def url_file_name(url: Column) -> Column:
     """The last segment of the URL's path without query and fragment; null if it is empty."""
     path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[A-Za-z]+://[^/]*", "")
     return F.nullif(F.element_at(F.split(path, "/"), -1), F.lit(""))
+
+
+def remote_file_name(requested: Column, disposition: Column, url: Column) -> Column:
+    """The name of a download: the one asked for, else that of the Content-Disposition header, else the last filled segment of the URL's path; of that, what is behind the last
+    slash or backslash. Null if nothing usable is left; a header's empty name doesn't fall back to the URL."""
+    parts = F.transform(F.split(disposition, ";"), lambda p: F.trim(p))
+    named = F.try_element_at(F.filter(parts, lambda p: p.startswith("filename=")), F.lit(1))
+    header = F.regexp_replace(F.substring(named, 10, 1 << 20), r"""^["']+|["']+$""", "")
+    path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[A-Za-z]+://[^/]*", "")
+    segment = F.try_element_at(F.filter(F.split(path, "/"), lambda p: p != ""), F.lit(-1))
+    name = F.trim(F.regexp_extract(F.coalesce(F.nullif(F.trim(requested), F.lit("")), header, segment), r"([^/\\]*)$", 1))
+    return F.when(~name.isin("", ".", ".."), name)
+
+
+# Media types of the extensions that downloads may have.
+DOCUMENT_MEDIA = {
+    "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+}
+
+
+def media_fits(name: Column, media: Column) -> Column:
+    """Whether a download's media type fits its name: documents by their own type, Markdown and text by any text type, JSON by both; names without an extension by any of them, other
+    extensions by none."""
+    extension, is_text, json = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)), media.startswith("text/"), media == "application/json"
+    out = F.when(~name.contains("."), is_text | json | media.isin(*DOCUMENT_MEDIA.values())).when(extension.isin("md", "txt"), is_text).when(extension == "json", is_text | json)
+    for k, kind in DOCUMENT_MEDIA.items():
+        out = out.when(extension == k, media == kind)
+    return F.coalesce(out.otherwise(False), F.lit(False))

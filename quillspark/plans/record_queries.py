@@ -97,6 +97,22 @@ def url_normalize(t: Tables) -> DataFrame:
     )
 
 
+_GIVEN_SQL = "CASE WHEN page_id % 5 = 0 THEN concat(' up/', page_id, '.pdf ') WHEN page_id % 5 = 1 THEN ' ' END"
+_MEDIA_SQL = "CASE WHEN page_id % 2 = 0 THEN 'application/pdf' ELSE 'text/plain' END"
+
+
+@query("remote_file_names", rf"""WITH n AS (SELECT page_id, {_MEDIA_SQL} AS media, coalesce(CASE WHEN page_id % 5 = 0 THEN concat('up/', page_id, '.pdf') END,
+  CASE WHEN page_id % 3 = 0 THEN concat(page_id, '.txt') WHEN page_id % 7 = 1 THEN '' END, nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z]+://[^/]*/(?:.*/)?([^/]+)/*$', 1), '')) AS c FROM pages),
+m AS (SELECT page_id, media, CASE WHEN regexp_extract(c, '([^/]*)$', 1) NOT IN ('', '.', '..') THEN regexp_extract(c, '([^/]*)$', 1) END AS name FROM n)
+SELECT page_id, name, coalesce(CASE WHEN NOT contains(name, '.') OR name LIKE '%.json' THEN CASE WHEN name LIKE '%.json' THEN media = 'text/plain' ELSE true END WHEN name LIKE '%.pdf' THEN media = 'application/pdf'
+  WHEN name LIKE '%.txt' OR name LIKE '%.md' THEN media = 'text/plain' ELSE false END, false) AS fits FROM m""")
+def remote_file_names(t: Tables) -> DataFrame:
+    """Names of downloads by request, header and URL, and whether the media type fits them."""
+    header = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('attachment; filename="a\\'), F.col("page_id").cast("string"), F.lit('.txt"; size=3'))).when(F.col("page_id") % 7 == 1, 'inline; filename=""')
+    rows = t.pages.select("page_id", A.remote_file_name(F.expr(_GIVEN_SQL), header, F.col("url")).alias("name"), F.expr(_MEDIA_SQL).alias("media"))
+    return rows.select("page_id", "name", A.media_fits(F.col("name"), F.col("media")).alias("fits"))
+
+
 # validity and locales
 
 _TRANSLATIONS_SQL = f"""d AS (SELECT doc_id AS document_id, lang, md5(text) AS record_hash, {LINES_SQL} AS lines FROM documents),

@@ -150,3 +150,19 @@ def test_verdicts_and_gauges_of_every_field(spark):
     }
     none = T.facts(spark.createDataFrame([], TASK), spark.createDataFrame([], ITEM), F.lit(NOW))
     assert T.verdicts(none).count() == 0 and T.gauges(none, F.lit(NOW)).first().tasks == 0
+
+
+def test_names_and_types_of_downloads(spark):
+    from quillspark.operators import access as A
+
+    cases = [
+        (" a/b\\c.pdf ", "x; filename=y.txt", "https://h/p.md", "c.pdf"), ("  ", 'attachment; filename="y z.txt"; a=1', "https://h/p.md", "y z.txt"), (None, "filename='../up'", "https://h/p", "up"), (None, "inline", "https://h/d/p.md?x=/q", "p.md"),
+        (None, None, "https://h/d/e//", "e"), (None, 'filename=""', "https://h/p.md", None), (None, None, "https://h", None), ("..", None, "https://h/p.md", None), (None, "filename=a/", "https://h/p.md", None), (None, None, None, None),
+    ]
+    df = spark.createDataFrame(cases, "r string, d string, u string, want string")
+    got = df.select(A.remote_file_name(F.col("r"), F.col("d"), F.col("u")).alias("is"), "want").collect()
+    assert [r["is"] for r in got] == [r.want for r in got]
+    types = [("a.PDF", "application/pdf", True), ("a.pdf", "text/plain", False), ("a.md", "text/markdown", True), ("a.txt", "application/json", False), ("a.json", "application/json", True), ("a.json", "text/html", True), ("a.json", "application/pdf", False),
+             ("README", "text/x", True), ("README", "image/png", False), ("a.exe", "text/plain", False), ("a.xlsx", A.DOCUMENT_MEDIA["xlsx"], True), ("a.docx", A.DOCUMENT_MEDIA["xlsx"], False), (None, "text/plain", False), ("a.txt", None, False)]
+    got = spark.createDataFrame(types, "n string, m string, want boolean").select(A.media_fits(F.col("n"), F.col("m")).alias("is"), "want").collect()
+    assert [r["is"] for r in got] == [r.want for r in got]
