@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 #: Words remembered at once; beyond it a cache starts anew, so memory stays bounded on any vocabulary.
-MOST_WORDS = 300_000
+MOST_WORDS = 100_000
 
 
 class WordCache(dict):
