@@ -367,7 +367,8 @@ def search_reranked(t: Tables) -> DataFrame:
 
 @query("search_filtered", f"""WITH {CHUNKS_SQL}, {_SCORE_SQL},
 passing AS (SELECT doc_id AS document_id FROM documents WHERE doc_id % 366 BETWEEN 31 AND 334 AND n_chars >= 100)
-SELECT document_id, chunk_index, content_locale, keyword_score AS word_score FROM hits JOIN passing USING (document_id) ORDER BY keyword_score DESC, document_id DESC, chunk_index, content_locale LIMIT 640""")
+SELECT document_id, chunk_index, arg_min(content_locale, (is_fallback, content_locale)) AS content_locale, max(keyword_score) AS word_score
+FROM (SELECT * FROM hits JOIN passing USING (document_id) ORDER BY keyword_score DESC, document_id DESC, chunk_index, content_locale LIMIT 640) GROUP BY 1, 2""")
 def search_filtered(t: Tables) -> DataFrame:
     """The words' channel under all kinds of filters, as the fallback of a search without vectors takes it."""
     c = corpus(t)
