@@ -12,9 +12,10 @@ which nothing is known, and prose around a bracketed "at". Documents are split b
 ones each kind of proposal (contact, number) gets its own threshold, below the least score at which precision reaches
 PRECISION; a kind without such a score selects nothing. Selected spans overlap no base span; of overlapping ones the best score wins.
 
-The model is fitted on a bounded sample: of some ``most_documents`` documents, those of the smallest hashes of id and text,
-the distinct descriptions of candidates, at most half of ``most_candidates`` of each class by their hashes; copies of a
-document count once. If the sample lacks either class, only base spans are found.
+The model is fitted on all documents: on the distinct descriptions of their candidates, so copies of a document count once. Descriptions
+are coded by the bins of each feature, and equal codes are one row with their number; the rows stay distributed, and each
+level of a tree takes one aggregation of gradients by bin, in whole numbers, so that no order of summing changes the model.
+Thresholds come from all held-back descriptions, by narrow bins of scores. If the documents lack either class, only base spans are found.
 
 Defined results: a null text has no spans; texts of any length are scanned whole; rows of equal or null ids are all
 scanned; characters beyond ASCII are context only. Spans are in code points, end exclusive, ordered by start and kind.
@@ -31,6 +32,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.texts import slices, utf8
@@ -51,9 +53,11 @@ NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20()./-]{0,2}[0-9]){6,30}(
 #: Of the numbers, those of a national phone's form: an area code in brackets, or groups of three, three and four digits.
 NATIONAL = re.compile(r"\([0-9]{2,5}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{3,5}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}")
 
-#: Bounds of the fit: documents, candidates, and candidates of each class that one document gives.
-MOST_DOCUMENTS, MOST_CANDIDATES, MOST_OF_ONE = 20_000, 20_000, 200
+#: Candidates of each class that one document gives to a fit that is told to be bounded, and those handled at once and in one task of an aggregation.
+MOST_OF_ONE, BLOCK_ROWS, TASK_ROWS = 200, 4_096, 1 << 15
 TREES, DEPTH, SHRINK, LEAST_LEAF = 40, 3, 0.3, 10
+#: Bins of a feature, of a score, and parts of one that gradients are counted in.
+BINS, SCORE_BINS, UNIT = 32, 1 << 14, 1 << 24
 PRECISION = 0.99
 CONTEXT = 24
 _NO_DIGIT, _DIGITS, _WORDS = re.compile(r"[^0-9]+"), re.compile(r"[0-9]+"), re.compile(r"[a-z]+")
@@ -120,49 +124,92 @@ def features(text: str, start: int, end: int) -> list[float]:
     ]
 
 
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """How many edges of each feature are below a value."""
+    return np.stack([np.searchsorted(e, c) for c, e in zip(x.T, edges)], axis=1).astype(np.uint8)
+
+
+def nodes_of(codes: np.ndarray, feature: np.ndarray, at_bin: np.ndarray, level: int) -> np.ndarray:
+    """Each row's node of a level of a tree."""
+    node, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+    for d in range(level):
+        at = 2**d - 1 + node
+        node = 2 * node + ((feature[at] >= 0) & (codes[rows, feature[at]] > at_bin[at]))
+    return node
+
+
+def sums_of(block: tuple[np.ndarray, np.ndarray, np.ndarray], trees: BoostedTrees, feature: np.ndarray, at_bin: np.ndarray, level: int) -> np.ndarray:
+    """(node, feature, bin, what) sums over a block of codes, classes and numbers of rows."""
+    codes, y, n = block
+    out = np.zeros((2**level, codes.shape[1], BINS, 3), np.int64)
+    for a in range(0, len(y), BLOCK_ROWS):
+        part, own = codes[a : a + BLOCK_ROWS], n[a : a + BLOCK_ROWS]
+        p = 1 / (1 + np.exp(-trees.coded(part)))
+        values = [np.rint((p - y[a : a + BLOCK_ROWS]) * UNIT).astype(np.int64) * own, np.rint(p * (1 - p) * UNIT).astype(np.int64) * own, own]
+        node = nodes_of(part, feature, at_bin, level)
+        for f in range(codes.shape[1]):
+            at = (node * codes.shape[1] + f) * BINS + part[:, f]
+            for k, v in enumerate(values):
+                np.add.at(out.reshape(-1, 3)[:, k], at, v)
+    return out
+
+
 @dataclass
 class BoostedTrees:
     """Depth-limited regression trees on the log loss, each kept as arrays of a complete binary tree."""
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     start: float = 0.0
+    #: The bin of each cut, for rows of bins.
+    bins: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        rate = np.clip(y.mean(), 0.001, 0.999)
+    def grow(cls, edges: list[np.ndarray], rate: float, counted: Callable[[BoostedTrees, np.ndarray, np.ndarray, int], np.ndarray]) -> BoostedTrees:
+        """Trees from sums alone. ``counted`` gives, for the trees so far and the splits of the next one by feature and bin, (node, feature, bin) sums of gradients, curvatures (both
+        in parts of UNIT) and rows at a level."""
+        rate = float(np.clip(rate, 0.001, 0.999))
         out = cls([], float(np.log(rate / (1 - rate))))
-        edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
-        z = np.full(len(y), out.start)
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-z))
-            g, h = p - y, p * (1 - p)
-            feature, cut, leaf = np.full(2**DEPTH - 1, -1), np.zeros(2**DEPTH - 1), np.zeros(2**DEPTH)
-            node = np.zeros(len(y), np.int64)
+            feature, at_bin = np.full(2**DEPTH - 1, -1), np.zeros(2**DEPTH - 1, np.int64)
+            leaf = np.zeros(2**DEPTH)
             for level in range(DEPTH):
+                sums = counted(out, feature, at_bin, level)
                 for k in range(2**level):
-                    own = node == k
-                    best = (1e-6, -1, 0.0)
-                    total = g[own].sum() ** 2 / (h[own].sum() + 1.0)
+                    g, h, n = sums[k, 0, :, 0].sum() / UNIT, sums[k, 0, :, 1].sum() / UNIT, sums[k, 0, :, 2].sum()
+                    best = (1e-6, -1, 0)
                     for f, e in enumerate(edges):
-                        if not len(e) or own.sum() < 2 * LEAST_LEAF:
+                        if not len(e) or n < 2 * LEAST_LEAF:
                             continue
-                        bins = np.searchsorted(e, x[own, f])
-                        gs, hs, ns = (np.cumsum(np.bincount(bins, w, len(e) + 1))[:-1] for w in (g[own], h[own], np.ones(own.sum())))
-                        gain = gs**2 / (hs + 1.0) + (g[own].sum() - gs) ** 2 / (h[own].sum() - hs + 1.0) - total
-                        gain[(ns < LEAST_LEAF) | (own.sum() - ns < LEAST_LEAF)] = 0
+                        gs, hs, ns = np.cumsum(sums[k, f, : len(e)], axis=0).T
+                        gs, hs = gs / UNIT, hs / UNIT
+                        gain = gs**2 / (hs + 1.0) + (g - gs) ** 2 / (h - hs + 1.0) - g**2 / (h + 1.0)
+                        gain[(ns < LEAST_LEAF) | (n - ns < LEAST_LEAF)] = 0
                         b = int(gain.argmax())
                         if gain[b] > best[0]:
-                            best = (float(gain[b]), f, float(e[b]))
-                    feature[2**level - 1 + k], cut[2**level - 1 + k] = best[1], best[2]
-                at = 2**level - 1 + node
-                node = 2 * node + ((feature[at] >= 0) & (x[np.arange(len(y)), feature[at]] > cut[at]))
-            for k in range(2**DEPTH):
-                own = node == k
-                leaf[k] = -SHRINK * g[own].sum() / (h[own].sum() + 1.0)
-            z += leaf[node]
+                            best = (float(gain[b]), f, b)
+                    feature[2**level - 1 + k], at_bin[2**level - 1 + k] = best[1], best[2]
+                    if level == DEPTH - 1:
+                        left = sums[k, best[1], : best[2] + 1].sum(0) if best[1] >= 0 else sums[k, 0].sum(0)
+                        right = sums[k, 0].sum(0) - left
+                        leaf[2 * k : 2 * k + 2] = [-SHRINK * x[0] / UNIT / (x[1] / UNIT + 1.0) for x in (left, right)]
+            cut = np.array([edges[f][b] if f >= 0 else 0.0 for f, b in zip(feature, at_bin)])
             out.trees.append((feature, cut, leaf))
+            out.bins.append(at_bin)
         return out
 
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+        edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        block = (binned(x, edges), y, np.ones(len(y), np.int64))
+        return cls.grow(edges, y.mean(), lambda *at: sums_of(block, *at))
+
+    def coded(self, codes: np.ndarray) -> np.ndarray:
+        """Log odds of rows of bins."""
+        z = np.full(len(codes), self.start)
+        for (feature, _, leaf), at_bin in zip(self.trees, self.bins):
+            z += leaf[nodes_of(codes, feature, at_bin, DEPTH)]
+        return z
+
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.start)
         for feature, cut, leaf in self.trees:
@@ -278,45 +325,107 @@ def _few(found: Iterator[tuple], most: int = MOST_OF_ONE) -> list[tuple]:
     return [kept[k] for kept in own for k in sorted(kept)[:most]]
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for texts in _texts(batch.column(0)):
-            got = [(x, y, k, zlib.crc32(t.encode("utf-8", "replace")) % 4 == 0) for t in texts for x, y, k in _few(examples(t))]
-            x, y, label, held = zip(*got) if got else ((), (), (), ())
-            kinds = (pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip((x, y, label, held), kinds)], names=["x", "y", "label", "held"])
+def _examples(most: int | None = None) -> Callable:
+    """Descriptions of the candidates of texts; of all of each text, or of ``most`` of each class."""
+    kinds = (pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in _texts(batch.column(0)):
+                found = ((x, y, k, held) for t in texts for held in [zlib.crc32(t.encode("utf-8", "replace")) % 4 == 0] for x, y, k in (examples(t) if most is None else _few(examples(t), most)))
+                while got := list(islice(found, BLOCK_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*got), kinds)], names=["x", "y", "label", "held"])
+
+    return run
+
+
+def _coded(edges: list[np.ndarray]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0)
+            for a in range(0, len(x), BLOCK_ROWS):
+                own = x.slice(a, BLOCK_ROWS)
+                codes = binned(own.flatten().to_numpy().reshape(len(own), len(edges)), edges)
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codes], pa.binary()), *(batch.column(i).slice(a, BLOCK_ROWS) for i in (1, 2, 3))], names=["code", "y", "label", "held"])
+
+    return run
+
+
+def _blocks(width: int) -> Callable:
+    """Codes, classes, numbers, labels and whether held back, BLOCK_ROWS rows at a time."""
+
+    def run(rows: Iterator) -> Iterator[tuple]:
+        while got := list(islice(rows, BLOCK_ROWS)):
+            codes = np.frombuffer(b"".join(bytes(r.code) for r in got), np.uint8).reshape(len(got), width)
+            yield codes, np.array([r.y for r in got], float), np.array([r.n for r in got], np.int64), np.array([r.label for r in got]), np.array([r.held for r in got])
+
+    return run
+
+
+def _scored(block: tuple, trees: BoostedTrees) -> np.ndarray:
+    """(label, bin of the score): rows, those of class 1, and the least and the greatest score of held-back rows."""
+    codes, y, n, label, held = block
+    out = _no_scores()
+    score = 1 / (1 + np.exp(-trees.coded(codes[held])))
+    at = ((label[held] - 4) * SCORE_BINS + np.minimum((score * SCORE_BINS).astype(np.int64), SCORE_BINS - 1))
+    flat = out.reshape(-1, 4)
+    np.add.at(flat[:, 0], at, n[held])
+    np.add.at(flat[:, 1], at, n[held] * y[held])
+    np.minimum.at(flat[:, 2], at, score)
+    np.maximum.at(flat[:, 3], at, score)
+    return out
+
+
+def _no_scores() -> np.ndarray:
+    return np.tile(np.array([0.0, 0.0, 2.0, 0.0]), (2, SCORE_BINS, 1))
+
+
+def _both_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([a[..., :2] + b[..., :2], np.minimum(a[..., 2:3], b[..., 2:3]), np.maximum(a[..., 3:], b[..., 3:])], axis=-1)
 
 
-def _threshold(score: np.ndarray, truth: np.ndarray) -> float | None:
-    """Midway, 0.5 at least, between the least score from which on the precision is PRECISION and the next lower one; None if there is none."""
-    order = np.argsort(-score, kind="stable")
-    precision = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-    last = np.append(np.diff(score[order]) != 0, True)[: len(order)]  # equal scores are selected together
-    good = np.flatnonzero((precision >= PRECISION) & last)
+def _threshold(bins: np.ndarray) -> float | None:
+    """Midway, 0.5 at least, between the least score of the lowest bin from which on the precision is PRECISION and the next lower score; None if there is none. Scores of a bin
+    are selected together."""
+    own = bins[bins[:, 0] > 0][::-1]
+    good = np.flatnonzero(np.cumsum(own[:, 1]) >= PRECISION * np.cumsum(own[:, 0]))
     if not len(good):
         return None
-    ranked = np.append(score[order], 0.0)
-    return max(0.5, float(ranked[good[-1]] + ranked[good[-1] + 1]) / 2)
+    lower = own[good[-1] + 1, 3] if good[-1] + 1 < len(own) else 0.0
+    return max(0.5, float(own[good[-1], 2] + lower) / 2)
 
 
-def fit_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_documents: int = MOST_DOCUMENTS, most_candidates: int = MOST_CANDIDATES) -> PiiModel:
-    """Learn from the candidates of at most some ``most_documents`` documents with a digit or an at sign."""
+def fit_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_candidates: int | None = None) -> PiiModel:
+    """Learn from the candidates of all documents with a digit or an at sign. ``most_candidates`` bounds the distinct ones, half of each class, drawn by hash, for a model of a glance;
+    None: all."""
     text = F.col(text_col).cast("string")
-    rows = df.select(F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text")).where(F.col("text").rlike("[0-9@]"))
-    n = rows.count()
-    share = min(1.0, most_documents / max(n, 1))
-    sample = rows.where(F.pmod("h", F.lit(1 << 31)) < int(share * (1 << 31)))
-    distinct = materialize(sample.select("text").mapInArrow(_examples, "x array<double>, y int, label int, held boolean").distinct(), "candidates")
+    rows = df.select(text.alias("text")).where(F.col("text").rlike("[0-9@]"))
+    found = rows.mapInArrow(_examples(None if most_candidates is None else MOST_OF_ONE), "x array<double>, y int, label int, held boolean").distinct()
     by = ["x", "label", "held"]
-    # The first of each class by hash: a task keeps that many at most.
-    drawn = [distinct.where(F.col("y") == y).orderBy(F.xxhash64(*by), *by).limit(max(1, most_candidates // 2)) for y in (0, 1)]
-    got = drawn[0].union(drawn[1]).orderBy(F.xxhash64(*by), "y", *by).toArrow()
-    x, y = np.array(got.column("x").to_pylist()), got.column("y").to_numpy().astype(float)
-    label, held = got.column("label").to_numpy(), got.column("held").to_numpy()
-    if not 0 < y[~held].sum() < (~held).sum():
+    if most_candidates is not None:
+        first = [found.where(F.col("y") == y).orderBy(F.xxhash64(*by), *by).limit(max(1, most_candidates // 2)) for y in (0, 1)]
+        found = first[0].union(first[1])
+    distinct = materialize(found, "candidates")
+    taught = distinct.where("not held")
+    own = F.when(~F.col("held"), F.col("y"))
+    n_all, n, n_personal = distinct.agg(F.count("*"), F.count(own), F.coalesce(F.sum(own), F.lit(0))).first()
+    if not 0 < n_personal < n:
         return PiiModel(None, {})
-    trees = BoostedTrees.fit(x[~held], y[~held])
-    found = {k: _threshold(trees.score(x[own]), y[own]) for k in (4, 5) if len(own := np.flatnonzero(held & (label == k)))}
+    cuts = [float(q) for q in np.linspace(0, 1, BINS + 1)[1:-1]]
+    values = taught.select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(F.percentile_approx("v", cuts, 10_000).alias("e"))
+    edges = [np.unique(r.e) for r in values.orderBy("f").collect()]  # BINS - 1 of each feature
+    coded = distinct.mapInArrow(_coded(edges), "code binary, y int, label int, held boolean").groupBy("code", "y", "label", "held").agg(F.count("*").alias("n"))
+    blocks = coded.coalesce(-(-n_all // TASK_ROWS)).rdd.mapPartitions(_blocks(len(edges))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        def counted(trees: BoostedTrees, feature: np.ndarray, at_bin: np.ndarray, level: int) -> np.ndarray:
+            add = lambda out, b: out + sums_of((b[0][~b[4]], b[1][~b[4]], b[2][~b[4]]), trees, feature, at_bin, level)
+            return blocks.treeAggregate(np.zeros((2**level, len(edges), BINS, 3), np.int64), add, np.add)
+
+        trees = BoostedTrees.grow(edges, n_personal / n, counted)
+        bins = blocks.treeAggregate(_no_scores(), lambda out, b: _both_scores(out, _scored(b, trees)), _both_scores)
+    finally:
+        blocks.unpersist()
+    found = {k: _threshold(bins[k - 4]) for k in (4, 5)}
     return PiiModel(trees, {k: t for k, t in found.items() if t is not None})
 
 

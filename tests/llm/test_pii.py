@@ -131,3 +131,28 @@ def test_a_text_of_many_numbers_gives_few_candidates():
     found = pii._few(pii.examples(text), 20)
     assert 20 < len(found) <= 40 and len({repr(x) for x in found}) == len(found) and sum(y for _, y, _ in found) > 0
     assert found == pii._few(reversed(list(pii.examples(text))), 20)
+
+
+def test_every_document_teaches(spark, monkeypatch):
+    # A kind that one document in a hundred has, beyond any bound on candidates; the thresholds are those of all of them.
+    rows = [(i, f"row {i} has {i * 7919 % 1000:03d} 4{i:03d}77 12345{i % 10}") for i in range(1_500)] + [(6000 + i, f"call +1 (2{i:02d}) 555-77{i:02d}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    seen = []
+    monkeypatch.setattr(pii.BoostedTrees, "grow", classmethod(lambda cls, edges, rate, counted: seen.append(counted(cls([], 0.0), pii.np.full(7, -1), pii.np.zeros(7, int), 0)) or cls([], 0.0)))
+    pii.fit_pii(df)
+    want = {(tuple(x), y, k, held) for _, t in rows for held in [pii.zlib.crc32(t.encode()) % 4 == 0] for x, y, k in pii.examples(t)}
+    assert int(seen[0][0, 0, :, 2].sum()) == sum(not held for *_, held in want)
+
+
+def test_parts_of_the_sums_give_the_same_trees():
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(0, 9, (900, 5)).astype(float)
+    y = (x[:, 1] + x[:, 2] > 7).astype(float)
+    whole = pii.BoostedTrees.fit(x, y)
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
+    code = pii.binned(x, edges)
+    parts = [(code[i::7], y[i::7], np.ones(len(y[i::7]), int)) for i in range(7)]
+    again = pii.BoostedTrees.grow(edges, y.mean(), lambda *at: sum(pii.sums_of(p, *at) for p in parts))
+    assert all((a == b).all() for s, t in zip(whole.trees, again.trees) for a, b in zip(s, t))
+    assert np.allclose(whole.score(x), 1 / (1 + np.exp(-whole.coded(code))))
