@@ -69,3 +69,34 @@ def test_deep_and_broken_nesting_ends_quickly():
     for text in ("`${" * 3000, "<a>" * 3000, "`${" * 40 + "1" + "}`" * 40, "<a b=" * 2000 + ">", "x = <p>" + "{`" * 500):
         chunks = C.structural_chunks(text, "tsx")
         assert "".join(c for _, _, c in chunks) == text
+
+
+def test_rows_of_a_large_batch_come_in_parts(spark):
+    # Two thousand texts in one Arrow batch: a task gives out some OUT_CHARS characters at a time, not all at once.
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import chunking as C
+
+    text = ("word " * 200 + "\n\n") * 8
+    docs = spark.range(2_000, numPartitions=1).select("id", F.when(F.col("id") % 100 != 7, F.concat(F.col("id").cast("string"), F.lit(" " + text))).alias("text"))
+    seen = []
+    frame = type("Frame", (), {"schema": docs.schema, "select": lambda self, *c: self, "withColumnRenamed": lambda self, *n: self, "mapInArrow": lambda self, run, schema: seen.append(run) or self})()
+    C.chunk_code(frame, "id", "text")
+    parts = list(seen[0](docs.toArrow().combine_chunks().to_batches()))
+    assert len(parts) > 10 and max(sum(map(len, p.column(4).to_pylist())) for p in parts) <= C.OUT_CHARS + 4_096
+    want = [(d.id, k, *r) for d in docs.collect() if d.text is not None for k, r in enumerate(C.line_chunks(d.text))]
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == want == [tuple(r) for r in C.chunk_code(docs, "id", "text").collect()]
+
+
+def test_long_lines_are_cut_between_characters():
+    from quillspark.operators.chunking import line_chunks
+
+    line = "aé€😀" * 500
+    for most in (4, 5, 7, 64, 4_096):
+        want, piece = [], ""
+        for c in line:
+            if len((piece + c).encode()) > most:
+                want.append((2, 2, piece))
+                piece = ""
+            piece += c
+        assert line_chunks("x\n" + line, most) == [(1, 1, "x\n"), *want, (2, 2, piece)]
