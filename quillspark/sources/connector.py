@@ -28,6 +28,8 @@ SCHEMA = "external_id string, title string, body_text string, source_uri string,
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 REQUIRED = {"external_id": str, "title": str, "body_text": str, "source_uri": str, "updated_at": datetime}
 BATCH_ROWS, PARTITIONS = 1000, 8
+#: Bytes of a column of a file that are read at once.
+READ_BYTES = 1 << 20
 #: A key; either None for the beginning.
 Key = tuple[datetime, str]
 
@@ -78,6 +80,10 @@ class Connector:
             yield from batch
             after = key_of(batch[-1])
 
+    def read_batches(self, after: Key | None, upto: Key | None, batch_rows: int = BATCH_ROWS) -> Iterator:
+        """The same for Spark: tuples, or Arrow batches of COLUMNS."""
+        return self.read(after, upto, batch_rows)
+
 
 def key_of(record: tuple) -> Key:
     return record[COLUMNS.index("updated_at")], record[COLUMNS.index("external_id")]
@@ -116,15 +122,14 @@ class FileConnector(Connector):
         return out
 
     def first(self) -> dict | None:
-        data = self._dataset()
-        rows = data.head(1).to_pylist()
-        return rows[0] if rows else None
+        table = next(self._tables(None, None, 1, every=True), None)
+        return table.to_pylist()[0] if table is not None else None
 
     def times(self, after: Key | None, upto: Key | None) -> tuple[datetime, datetime] | None:
         import pyarrow.compute as pc
 
         data, found = self._dataset(), []
-        for batch in data.to_batches(columns=["updated_at"], filter=self._range(data, after, upto)):
+        for batch in data.to_batches(columns=["updated_at"], filter=self._range(data, after, upto), batch_readahead=1, fragment_readahead=1):
             if batch.num_rows:
                 found.append(pc.min_max(batch.column(0)).as_py())
         return (instant(min(x["min"] for x in found)), instant(max(x["max"] for x in found))) if found else None
@@ -150,10 +155,47 @@ class FileConnector(Connector):
 
     def read(self, after: Key | None, upto: Key | None, batch_rows: int = BATCH_ROWS) -> Iterator[tuple]:
         """One scan of the range; the order of a partition's records doesn't matter to Spark."""
+        for table in self._tables(after, upto, batch_rows):
+            yield from map(_record, table.to_pylist())
+
+    def _tables(self, after: Key | None, upto: Key | None, batch_rows: int, every: bool = False) -> Iterator:
+        """File by file, batch_rows rows of it at a time: no row group and no other file is held meanwhile. Row groups outside of the range aren't read. ``every``: all rows, without a look at their keys."""
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
         data = self._dataset()
-        columns = [c for c in COLUMNS if c in data.schema.names]
-        for batch in data.to_batches(columns=columns, filter=self._range(data, after, upto), batch_size=batch_rows):
-            yield from map(_record, batch.to_pylist())
+        columns, rows = [c for c in COLUMNS if c in data.schema.names], None if every else self._range(data, after, upto)
+        for fragment in data.get_fragments(filter=rows):
+            groups = [g.id for g in (fragment if every else fragment.subset(filter=rows)).row_groups]
+            if not groups:
+                continue
+            with fragment.filesystem.open_input_file(fragment.path) as source:
+                file = pq.ParquetFile(source, buffer_size=READ_BYTES, pre_buffer=False)
+                own = [c for c in columns if c in file.schema_arrow.names]
+                for batch in file.iter_batches(batch_rows, row_groups=groups, columns=own, use_threads=False):
+                    arrays = [(batch.column(c) if c in own else pa.nulls(len(batch))).cast(data.schema.field(c).type) for c in columns]
+                    table = pa.table(arrays, names=columns)
+                    table = table if every else table.filter(rows)
+                    if len(table):
+                        yield table
+
+    def read_batches(self, after: Key | None, upto: Key | None, batch_rows: int = BATCH_ROWS) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def column(table, name: str):
+            kind = pa.timestamp("us", "UTC") if name in ("updated_at", "published_at") else pa.string()
+            if name not in table.column_names:
+                own = pa.nulls(len(table), kind)
+            elif pa.types.is_timestamp(kind) and not pa.types.is_timestamp(table.schema.field(name).type):
+                own = pa.array([instant(v) for v in table.column(name).to_pylist()], kind)
+            else:
+                own = table.column(name).cast(kind, safe=False).combine_chunks()
+            return pc.fill_null(own, "{}") if name == "metadata_json" else own
+
+        for table in self._tables(after, upto, batch_rows):
+            arrays = [column(table, c) for c in COLUMNS]
+            yield from pa.table(arrays, names=COLUMNS).to_batches()
 
 
 class SqlConnector(Connector):
@@ -235,9 +277,9 @@ class _Read:
         self.start = (instant(told), self.options.get("external_id", "")) if told else None
         self.n, self.batch_rows = int(self.options.get("partitions", PARTITIONS)), int(self.options.get("batch_size", BATCH_ROWS))
 
-    def read(self, partition: Range | None) -> Iterator[tuple]:
+    def read(self, partition: Range | None) -> Iterator:
         """Of an empty range Spark makes one partition, None."""
-        return iter(()) if partition is None else self.connector.read(partition.after, partition.upto, self.batch_rows)
+        return iter(()) if partition is None else self.connector.read_batches(partition.after, partition.upto, self.batch_rows)
 
 
 class RecordReader(_Read, DataSourceReader):

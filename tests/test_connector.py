@@ -105,3 +105,22 @@ def test_relations_that_are_no_records(session, tmp_path):
     as_files(session, none, str(tmp_path / "e"))
     source = C.connector_of({"path": str(tmp_path / "e")})
     assert [r[0] for r in source.fetch_batch(None, 10)] == ["y"] == [r[0] for r in source.read(None, None)]
+
+
+def test_a_large_file_is_read_in_parts(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 20_000
+    times = pa.array([T0.replace(tzinfo=None) + timedelta(minutes=i) for i in range(n)], pa.timestamp("us"))
+    text = lambda p: pa.array([f"{p}{i:05d}" for i in range(n)])
+    rows = pa.table({"external_id": text("i"), "title": text("t"), "body_text": pa.array([f"{i} " * 1_000 for i in range(n)]), "source_uri": text("u"), "updated_at": times})
+    pq.write_table(rows, str(tmp_path / "one.parquet"), row_group_size=n)
+    source = C.connector_of({"path": str(tmp_path / "one.parquet")})
+    start = pa.total_allocated_bytes()
+    seen, most = 0, 0
+    for batch in source.read_batches((T0, "i00000"), None, 500):
+        seen, most = seen + len(batch), max(most, pa.total_allocated_bytes() - start)
+        assert isinstance(batch, pa.RecordBatch) and batch.schema.names == C.COLUMNS and len(batch) <= 500
+        assert set(batch.column(5).to_pylist()) == {"{}"} and batch.column(7).null_count == len(batch)
+    assert seen == n - 1 and most < rows.nbytes / 4
