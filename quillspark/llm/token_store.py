@@ -26,7 +26,6 @@ import hashlib
 import json
 import os
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -38,14 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.texts import Pieces, Slice, slices, utf8
-from quillspark.llm.wordcache import WordCache
+from quillspark.llm.wordcache import WordTable, stretches
 from quillspark.session import drop_path
 
 #: A cut needs WINDOW ids before it; a chunk has 2**CUT_BITS more on average, and MOST_IDS at most.
 WINDOW, CUT_BITS, MOST_IDS = 16, 8, 4096
 KEY_BYTES = 16
-#: Words whose ids a worker remembers, of about 200 bytes each.
-MOST_WORDS = 300_000
+#: Words whose ids a worker remembers, of about 60 bytes each.
+MOST_WORDS = 1_000_000
+#: Signs behind a word that are told from it.
+LONGEST_TAIL = 8
 #: New words that the tokenizer gets as one input, and in one call.
 LINE_WORDS, BLOCK_WORDS = 100, 4_000
 #: Bytes of text whose distinct words are looked up together.
@@ -100,15 +101,14 @@ def encode_whole(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray,
 
 
 @lru_cache(2)
-def _encoder(path: str) -> tuple[WordCache, int]:
-    """A word cache over a separable tokenizer, and the bytes of a packed id.
+def _encoder(path: str) -> tuple[WordTable, int]:
+    """A word table over a separable tokenizer, and the bytes of a packed id.
 
     The normalizer turns white space into spaces and the pre-tokenizer drops them, so a text's ids are its words' ids.
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer, kind = _tokenizer(path), packed_kind(path)
-    code = "H" if kind.itemsize == 2 else "I"
     plain = lambda w: tokenizer.encode(w, add_special_tokens=False).ids
     bar = plain("|")
     # Words of small letters in normal form need no normalizer, and are one piece for the pre-tokenizer, whose last token
@@ -122,32 +122,50 @@ def _encoder(path: str) -> tuple[WordCache, int]:
     own = [letters.encode(w, add_special_tokens=False).ids for w in trial]
     agree = own == list(map(plain, trial)) and all(is_end[ids].sum() == 1 and is_end[ids[-1]] for ids in own)
 
-    def lines(using: Tokenizer, words: list[str], between: str, after: str) -> np.ndarray:
-        joined = [between.join(words[i : i + LINE_WORDS]) + after for i in range(0, len(words), LINE_WORDS)]
+    def lines(using: Tokenizer, words: list[bytes], between: bytes, after: bytes) -> np.ndarray:
+        joined = [(between.join(words[i : i + LINE_WORDS]) + after).decode() for i in range(0, len(words), LINE_WORDS)]
         return np.concatenate([np.empty(0, kind), *(np.array(x.ids, kind) for x in using.encode_batch_fast(joined, add_special_tokens=False))])
 
-    def parts(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> Iterator[bytes]:
-        if len(ends) != n:
-            raise ValueError("the tokenizer didn't keep the words of a line apart")
-        packed, width = flat.tobytes(), kind.itemsize
-        return (packed[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist()))
+    def is_simple(word: bytes) -> bool:
+        w = word.decode()
+        return w.isalpha() and w == w.lower() and is_normalized("NFC", w)
 
-    def encode(words: list[bytes]) -> Iterator[bytes]:
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Words go in lines, kept apart by their end marks or by bars: an input's cost is then paid once a line."""
+        flats, counts = [np.empty(0, kind)], [np.empty(0, np.int64)]
         for at in range(0, len(words), BLOCK_WORDS):
-            block = [w.decode() for w in words[at : at + BLOCK_WORDS]]
-            simple = [agree and w.isalpha() and w == w.lower() and is_normalized("NFC", w) for w in block]
-            easy, hard = [w for w, x in zip(block, simple) if x], [w for w, x in zip(block, simple) if not x and "|" not in w]
-            flat = lines(letters, easy, " ", "")
-            ends = np.flatnonzero(is_end[flat]) + 1
-            of_easy = parts(flat, np.append(0, ends[:-1]), ends, len(easy))
-            flat = lines(tokenizer, hard, " | ", " |")
-            ends = np.flatnonzero(flat == bar[0]) if len(bar) == 1 else np.empty(0, np.int64)
-            of_hard = parts(flat, np.append(0, ends[:-1] + 1), ends, len(hard))
-            for w, x in zip(block, simple):
-                yield next(of_easy) if x else array(code, plain(w)).tobytes() if "|" in w else next(of_hard)
+            block = words[at : at + BLOCK_WORDS]
+            sizes = np.array(list(map(len, block)))
+            small = np.logical_and.reduceat(_SMALL[np.frombuffer(b"".join(block), np.uint8)], np.cumsum(sizes) - sizes)
+            how = ["letters" if agree and (s or is_simple(w)) else "alone" if b"|" in w else "bars" for w, s in zip(block, small.tolist())]
+            of = {k: [i for i, h in enumerate(how) if h == k] for k in ("letters", "bars", "alone")}
+            n, begin, parts, total = np.empty(len(block), np.int64), np.empty(len(block), np.int64), [], 0
+            for k, places in of.items():
+                if not places:
+                    continue
+                own = [block[i] for i in places]
+                if k == "letters":
+                    flat = lines(letters, own, b" ", b"")
+                    ends = np.flatnonzero(is_end[flat]) + 1
+                    starts = np.append(0, ends[:-1])
+                elif k == "bars":
+                    flat = lines(tokenizer, own, b" | ", b" |")
+                    ends = np.flatnonzero(flat == bar[0]) if len(bar) == 1 else np.empty(0, np.int64)
+                    starts = np.append(0, ends[:-1] + 1)
+                else:
+                    each = [np.array(plain(w.decode()), kind) for w in own]
+                    flat, ends = np.concatenate(each), np.cumsum(list(map(len, each)))
+                    starts = np.append(0, ends[:-1])
+                if len(ends) != len(places):
+                    raise ValueError("the tokenizer didn't keep the words of a line apart")
+                n[places], begin[places] = ends - starts, total + starts
+                parts.append(flat)
+                total += len(flat)
+            flats.append(stretches(np.concatenate(parts), begin, n))
+            counts.append(n)
+        return np.concatenate(flats), np.concatenate(counts)
 
-    return WordCache(encode, MOST_WORDS), kind.itemsize
+    return WordTable(encode, kind, MOST_WORDS), kind.itemsize
 
 
 @lru_cache(1)
@@ -199,17 +217,25 @@ def _key(chunk: bytes) -> bytes:
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _LETTER = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
+_SMALL = np.array([97 <= b <= 122 for b in range(256)])
+#: What the pre-tokenizer keeps together and apart from letters. Without the signs of special tokens, which it doesn't see.
+_SIGN = np.array([33 <= b <= 126 and not chr(b).isalnum() and chr(b) not in "<|>" for b in range(256)])
 
 
 def _words(s: Slice) -> Pieces:
-    """Words, a comma or full stop after a letter at the end being a word of its own: the pre-tokenizer cuts there too."""
+    """Words, up to LONGEST_TAIL signs after a letter at the end being a word of their own: the pre-tokenizer cuts there too."""
     w = s.words()
-    tail = s.data[w.ends - 1]
-    cut = np.flatnonzero(((tail == 44) | (tail == 46)) & _LETTER[s.data[np.maximum(w.ends - 2, w.starts)]])
-    return Pieces(np.insert(w.starts, cut + 1, w.ends[cut] - 1), np.insert(w.ends, cut, w.ends[cut] - 1), s.bounds)
+    tails = w.ends.copy()  # where the signs begin
+    at = np.arange(len(tails))
+    for _ in range(LONGEST_TAIL):
+        at = at[tails[at] - 1 > w.starts[at]]
+        at = at[_SIGN[s.data[tails[at] - 1]]]
+        tails[at] -= 1
+    cut = np.flatnonzero((tails < w.ends) & _LETTER[s.data[tails - 1]])
+    return Pieces(np.insert(w.starts, cut + 1, tails[cut]), np.insert(w.ends, cut, tails[cut]), s.bounds)
 
 
-def encode_rows(data: np.ndarray, offsets: np.ndarray, begin: int, end: int, cache: WordCache, kind: np.dtype, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_rows(data: np.ndarray, offsets: np.ndarray, begin: int, end: int, cache: WordTable, kind: np.dtype, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, each with the end id, and where the rows begin and end. Each distinct word of the slice is looked up once; numpy puts the ids in place."""
     raw = data[offsets[begin] : offsets[end]]
     if b"<|" not in raw.tobytes():  # special tokens are told by their case, all else is lowered by the tokenizer anyway
@@ -221,17 +247,10 @@ def encode_rows(data: np.ndarray, offsets: np.ndarray, begin: int, end: int, cac
     new = np.append(True, np.diff(hashes[order]) != 0)[: len(order)]
     first, inverse = order[new], np.empty(len(order), np.int64)
     inverse[order] = np.cumsum(new) - 1
-    text = raw.tobytes()
-    words = [text[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
-    packed = cache.of(words)
-    flat = np.frombuffer(b"".join(packed), kind)
-    sizes = np.array(list(map(len, packed)), np.int64) // kind.itemsize
-    n = sizes[inverse]
-    after = np.cumsum(n)
-    total = int(after[-1]) if len(n) else 0
-    place = np.int32 if total < 1 << 31 else np.int64
-    ids = flat[np.repeat(((np.cumsum(sizes) - sizes)[inverse] - (after - n)).astype(place), n) + np.arange(total, dtype=place)]
-    row_ends = np.concatenate([[0], after])[w.first[1:]]
+    flat, begins, counts = cache.of(raw, w.starts[first], w.ends[first], hashes[first])
+    n = counts[inverse]
+    ids = stretches(flat, begins[inverse], n)
+    row_ends = np.concatenate([[0], np.cumsum(n)])[w.first[1:]]
     return np.insert(ids, row_ends, end_id), np.concatenate([[0], row_ends + np.arange(1, len(row_ends) + 1)])
 
 

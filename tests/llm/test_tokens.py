@@ -87,6 +87,62 @@ def test_words_give_the_tokenizers_ids():
     check()
 
 
+def test_signs_behind_words_are_words_of_their_own():
+    """A word is then remembered once, whatever follows it; ids are the tokenizer's."""
+    import pyarrow as pa
+    from hypothesis import given, settings, strategies as st
+
+    from quillspark.llm.texts import Slice, utf8
+
+    data, offsets = utf8(pa.array(["hello&&& hello!! x !! a<|> dé** b" + 10 * "#", "<|endoftext|>'' 's'"]))
+    s = Slice(data, offsets, 0, 2)
+    w = token_store._words(s)
+    pieces_ = [data[a:b].tobytes().decode() for a, b in zip(w.starts, w.ends)]
+    assert pieces_ == ["hello", "&&&", "hello", "!!", "x", "!!", "a<|>", "dé**", "b" + 10 * "#", "<|endoftext|>''", "'s", "'"] and w.per_row.tolist() == [9, 3]
+    file = _tokenizer("word_bpe_49k.json")
+    whole, (cache, width) = token_store._tokenizer(file), token_store._encoder(file)
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.text(alphabet="abé s't!&#$%*_-~`\\\"()<|>1 \n\u0301Σ", max_size=30), min_size=1, max_size=4))
+    def check(texts):
+        data, offsets = utf8(pa.array(texts))
+        ids, bounds = token_store.encode_rows(data, offsets, 0, len(texts), cache, np.dtype(f"<u{width}"), 2)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+    check()
+
+
+def test_a_full_word_table_keeps_what_is_asked_for_again():
+    from quillspark.llm.wordcache import WordTable
+
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return np.frombuffer(b"".join(words), np.uint8).astype("<u2"), np.array(list(map(len, words)))
+
+    def look(table, words, hashes=None):
+        data, sizes = np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words)), np.int64)
+        ends = np.cumsum(sizes)
+        hashes = np.array([zlib.crc32(w) for w in words] if hashes is None else hashes, np.uint64)
+        flat, begins, counts = table.of(data, ends - sizes, ends, hashes)
+        assert [bytes(flat[a : a + n].astype(np.uint8)) for a, n in zip(begins, counts)] == words
+        assert len(table) <= table.most
+        new = asked[:]
+        asked.clear()
+        return new
+
+    table, often = WordTable(encode, np.dtype("<u2"), 10, 8), [b"the", b"and"]
+    assert look(table, often) == often and look(table, often) == []
+    for i in range(30):  # words seen once: they never drive out the others
+        once = [b"w%d" % (3 * i + k) for k in range(3)]
+        assert look(table, often[:1] + once + often[1:]) == once
+    assert look(table, [b"x" * 9]) == look(table, [b"x" * 9]) == [b"x" * 9]
+    many = [b"m%d" % i for i in range(25)]  # more at once than there is room for
+    assert look(table, many) == many and look(table, many[:10]) == []
+    assert look(table, [b"one"], [7]) == [b"one"] and look(table, [b"two"], [7]) == [b"two"]  # a hash alone makes no word
+
+
 def best_score(model, text):
     score = {p: s for (p, _, kind), s in zip(pieces.read_pieces(_tokenizer("piece_bpe_32k.model")), model.scores.tolist()) if kind in (1, 4)}
     text = "▁" + text.replace(" ", "▁")
