@@ -1,7 +1,7 @@
 """Whole requests over a corpus: composed search with pages and cursors, and structured document queries.
 
 ``search`` checks a request, filters documents, asks the vector and the keyword channel for the same window, merges and orders them and cuts the
-page out. Candidates are bounded (MOST_CANDIDATES for each channel) and written once; a page is a DataFrame over them. A cursor is bound to the
+page out. Candidates are bounded (MOST_CANDIDATES for each channel) and written once; a page is a DataFrame over them, and the next page can be given them. A cursor is bound to the
 query, the filters, the page size, the settings, the corpus's generation and the order (local or reranked) it was made in; any other is refused.
 ``search_stream`` gives the page in local order first and then, if a reranker changed the order, the reranked one, from the same candidates.
 
@@ -73,7 +73,8 @@ class SearchSettings:
 @dataclass(frozen=True)
 class Corpus:
     """documents: document_id, title, lines (array<string>), record_hash, source, published_at, metadata_json. translations: document_id, target_locale, title,
-    lines, source_record_hash. vectors: vec_id, document_id, chunk_index, embedding; identity names what made them."""
+    lines, source_record_hash. vectors: vec_id, document_id, chunk_index, embedding; identity names what made them. narrowed, if given, maps a phrase to
+    the documents and translations without those that can't match it, told before their lines are made."""
 
     documents: DataFrame
     translations: DataFrame | None = None
@@ -81,6 +82,7 @@ class Corpus:
     identity: str | None = None
     definitions: tuple[M.MetadataDef, ...] = ()
     generation: int = 0
+    narrowed: Callable[[str], tuple[DataFrame, DataFrame | None]] | None = None
 
 
 @dataclass
@@ -95,6 +97,7 @@ class SearchPage:
     prev_cursor: str | None
     fallback: str | None = None
     rerank_error: str | None = None
+    candidates: Candidates | None = None
 
 
 def _hash(value: object) -> str:
@@ -138,26 +141,31 @@ def _offset(request: SearchRequest, context: dict) -> tuple[int, str | None]:
     return decode_search_cursor(request.cursor, context) if request.cursor is not None else ((request.page - 1) * request.limit, None)
 
 
-def _filtered(corpus: Corpus, request: SearchRequest) -> DataFrame:
+def _filtered(documents: DataFrame, corpus: Corpus, request: SearchRequest) -> DataFrame:
     where = request.filters.column(corpus.definitions)
-    return corpus.documents if where is None else corpus.documents.where(where)
+    return documents if where is None else documents.where(where)
 
 
 @dataclass
 class Candidates:
+    """Both channels' rows, written once; ``made_for`` is the search they belong to."""
+
     rows: DataFrame
     hybrid: bool
     capped: bool
     fallback: str | None = None
+    made_for: tuple | None = None
 
 
 def _nearest(corpus: Corpus, request: SearchRequest, target: list[float], room: int) -> tuple[DataFrame, int]:
     """The best rows of the vector channel with their texts, and how many there were. Only the best are hydrated."""
     vectors = corpus.vectors
     if request.filters != Filters():
-        vectors = vectors.join(_filtered(corpus, request).select("document_id"), "document_id", "left_semi")
+        vectors = vectors.join(_filtered(corpus.documents, corpus, request).select("document_id"), "document_id", "left_semi")
     best = materialize(S.knn(vectors, target, room).select("document_id", "chunk_index", "vector_score"), "nearest")  # room rows
-    own = corpus.documents.join(F.broadcast(best), "document_id").select("document_id", "title", "chunk_index", F.try_element_at("lines", F.col("chunk_index") + 1).alias("chunk_text"), "vector_score")
+    # The ids reach the scan; behind a join, lines would be made of every document first.
+    ids = [r["document_id"] for r in best.select("document_id").distinct().collect()]
+    own = corpus.documents.where(F.col("document_id").isin(ids)).join(F.broadcast(best), "document_id").select("document_id", "title", "chunk_index", F.try_element_at("lines", F.col("chunk_index") + 1).alias("chunk_text"), "vector_score")
     return own.where(F.coalesce(F.col("chunk_text").rlike(MEANINGFUL), F.lit(False))), best.count()
 
 
@@ -176,7 +184,9 @@ def collect_candidates(corpus: Corpus, request: SearchRequest, settings: SearchS
         rows = near.select("document_id", "chunk_index", F.lit("original").alias("content_locale"), "title", "chunk_text", F.col("vector_score").alias("score"), "vector_score",
                            F.lit(None).cast("double").alias("keyword_score"), F.lit("semantic").alias("match_reason"))
         return Candidates(materialize(rows, "candidates"), False, n >= room)
-    words = materialize(S.keyword_search(S.searchable(_filtered(corpus, request), corpus.translations, request.locale, request.query), request.query, room), "keyword")
+    documents, translations = corpus.narrowed(request.query) if corpus.narrowed is not None else (corpus.documents, corpus.translations)
+    chunks = S.searchable(_filtered(documents, corpus, request), translations, request.locale, request.query)
+    words = materialize(S.keyword_search(chunks, request.query, room), "keyword")
     n_words = words.count()
     near, n = _nearest(corpus, request, target, room) if target is not None else (words.limit(0).select("document_id", "chunk_index", "title", "chunk_text", F.lit(0.0).alias("vector_score")), 0)
     fused = S.fuse(near, words, request.query, settings.weights).select(*ITEM)
@@ -192,7 +202,7 @@ def _page(found: Candidates, ranked: DataFrame, n: int, request: SearchRequest,
     cursor = lambda at: encode_search_cursor(at, reranked, context)
     return SearchPage(
         items, offset, request.limit, max(collected, requested + 1) if has_more else collected, has_more, reranked,
-        cursor(requested) if has_more and requested < S.MOST_CANDIDATES else None, cursor(max(0, offset - request.limit)) if offset else None, found.fallback, error,
+        cursor(requested) if has_more and requested < S.MOST_CANDIDATES else None, cursor(max(0, offset - request.limit)) if offset else None, found.fallback, error, found,
     )
 
 
@@ -203,14 +213,20 @@ def _local(rows: DataFrame) -> DataFrame:
 
 def search_stream(
     corpus: Corpus, request: SearchRequest, settings: SearchSettings = SearchSettings(), embed: Callable[[str], list[float]] | None = None,
-    reranker: Callable[[DataFrame], DataFrame] | None = None, identity: str | None = None,
+    reranker: Callable[[DataFrame], DataFrame] | None = None, identity: str | None = None, candidates: Candidates | None = None,
 ) -> Iterator[tuple[str, SearchPage]]:
     """("local", page), then ("reranked", page) if the reranker gave an order. The reranker maps the snapshot's chunks to (document_id, chunk_index, rerank_score);
-    if it fails, the local order stands. A cursor is checked against the order before any page is given."""
+    if it fails, the local order stands. A cursor is checked against the order before any page is given. ``candidates`` of an earlier page, found with the same
+    ``embed``, are taken if this page has the same search and window."""
     context = _context(corpus, request, settings)
     offset, order = _offset(request, context)
     room, _ = S.candidate_window(offset + request.limit, max(1, settings.candidate_limit), bool(request.filters.metadata))
-    found = collect_candidates(corpus, request, settings, embed, identity, room)
+    made_for = (context, room, identity, corpus.identity, embed is not None)
+    if candidates is not None and candidates.made_for == made_for and candidates.fallback is None:
+        found = candidates
+    else:
+        found = collect_candidates(corpus, request, settings, embed, identity, room)
+        found.made_for = made_for
     n, scores, error = found.rows.count(), None, None
 
     def rerank() -> tuple[DataFrame | None, str | None]:
@@ -239,10 +255,10 @@ def search_stream(
 
 def search(
     corpus: Corpus, request: SearchRequest, settings: SearchSettings = SearchSettings(), embed: Callable[[str], list[float]] | None = None,
-    reranker: Callable[[DataFrame], DataFrame] | None = None, identity: str | None = None,
+    reranker: Callable[[DataFrame], DataFrame] | None = None, identity: str | None = None, candidates: Candidates | None = None,
 ) -> SearchPage:
     """The last page that search_stream gives: reranked if the reranker gave an order, else local."""
-    return list(search_stream(corpus, request, settings, embed, reranker, identity))[-1][1]
+    return list(search_stream(corpus, request, settings, embed, reranker, identity, candidates))[-1][1]
 
 
 @dataclass(frozen=True)

@@ -44,19 +44,23 @@ def may_match(text: Column, phrase: str) -> Column:
 def searchable(documents: DataFrame, translations: DataFrame | None, locale: str, phrase: str | None = None) -> DataFrame:
     """Chunks to search for readers of a locale: those of all documents, as fallbacks, and of translations that were made from the document as it is.
 
-    documents: document_id, title, lines, record_hash; translations: document_id, target_locale, title, lines, source_record_hash. Versions are compared
-    by document, before any text is cut into chunks. With a phrase, each side's documents that can't match by their own text are left out.
+    documents: document_id, title, lines, record_hash; translations: document_id, target_locale, title, lines, source_record_hash. With a phrase,
+    translated chunks that don't match it are left out before versions are compared, so that no others are moved.
     """
-    columns = ["document_id", "title", "lines"]
-    sides = [documents.select(*columns, F.lit("original").alias("content_locale"), F.lit(True).alias("is_fallback"))]
+    columns = ["document_id", "title", "content_locale", "is_fallback"]
+
+    def cut(side: DataFrame, *more: str) -> DataFrame:
+        # Of an inner explode Spark infers a filter on the size of lines, and makes them once more for it.
+        return side.select(*columns, *more, F.posexplode_outer("lines").alias("chunk_index", "chunk_text")).where("chunk_index is not null")
+
+    rows = cut(documents.select("document_id", "title", "lines", F.lit("original").alias("content_locale"), F.lit(True).alias("is_fallback")))
     if translations is not None:
         current = documents.select("document_id", F.col("record_hash").alias("source_record_hash"))
-        own = translations.where(F.col("target_locale") == locale).join(current, ["document_id", "source_record_hash"], "left_semi")
-        sides.append(own.select(*columns, F.col("target_locale").alias("content_locale"), F.lit(False).alias("is_fallback")))
-    if phrase is not None:
-        sides = [side.where(may_match(F.concat_ws("\n", "title", "lines"), phrase)) for side in sides]
-    rows = reduce(DataFrame.unionByName, sides)
-    return rows.select("document_id", "title", "content_locale", "is_fallback", F.posexplode("lines").alias("chunk_index", "chunk_text"))
+        own = translations.where(F.col("target_locale") == locale).withColumn("content_locale", F.col("target_locale")).withColumn("is_fallback", F.lit(False))
+        own = cut(own, "source_record_hash")
+        own = own if phrase is None else own.where(matches(phrase))
+        rows = rows.unionByName(own.join(current, ["document_id", "source_record_hash"], "left_semi").drop("source_record_hash"))
+    return rows
 
 
 @dataclass(frozen=True)
@@ -75,19 +79,30 @@ class FusionWeights:
         return max(0.0, 1 - self.vector - self.keyword)
 
 
+def _ways(phrase: str) -> tuple[Column, Column, Column, Column]:
+    """The title is the phrase, or holds it; the text holds it; both together hold all its terms."""
+    low = phrase.strip().lower()
+    terms = query_terms(low)
+    title, body = F.lower("title"), F.lower("chunk_text")
+    like = f"%{low}%"
+    all_terms = reduce(lambda a, b: a & b, [F.concat_ws(" ", title, body).contains(t) for t in terms]) if terms else F.lit(False)
+    return title == low, title.like(like), body.like(like), all_terms
+
+
+def matches(phrase: str) -> Column:
+    """Whether a chunk is a hit of keyword_search."""
+    _, in_title, in_body, all_terms = _ways(phrase)
+    return in_title | in_body | all_terms
+
+
 def keyword_search(chunks: DataFrame, phrase: str, limit: int | None = 20, id_desc: bool = True) -> DataFrame:
     """Phrase or all-terms search over title and chunk_text.
 
     The phrase is a LIKE pattern, so % and _ in it are wildcards; once it has a term, every hit gets the terms' weight.
     One scan, one top-k: no shuffle but the k best rows of each task.
     """
-    low = phrase.strip().lower()
-    terms = query_terms(low)
-    title, body = F.lower("title"), F.lower("chunk_text")
-    like = f"%{low}%"
-    exact, in_title, in_body = title == low, title.like(like), body.like(like)
-    all_terms = reduce(lambda a, b: a & b, [F.concat_ws(" ", title, body).contains(t) for t in terms]) if terms else F.lit(False)
-    score = exact.cast("int") * 1.20 + in_title.cast("int") * 1.00 + in_body.cast("int") * 0.82 + F.lit(0.35 if terms else 0.0)
+    exact, in_title, in_body, all_terms = _ways(phrase)
+    score = exact.cast("int") * 1.20 + in_title.cast("int") * 1.00 + in_body.cast("int") * 0.82 + F.lit(0.35 if query_terms(phrase) else 0.0)
     reason = F.when(exact, "title_exact").when(in_title, "title_phrase").when(in_body, "chunk_phrase").otherwise("all_terms")
     hits = chunks.where(in_title | in_body | all_terms).withColumn("keyword_score", F.round(score, 6)).withColumn("match_reason", reason)
     if limit is None:

@@ -67,12 +67,15 @@ def searchable_chunks(t: Tables, phrase: str) -> DataFrame:
 
 def corpus(t: Tables, generation: int = 1) -> Corpus:
     """The documents as a corpus: published on a day of 2024 by their id, with their language and length as metadata; vectors of first chunks."""
-    docs = documents(t)
     metadata = F.to_json(F.struct(F.col("lang"), F.col("n_chars").alias("size")))
-    docs = docs.withColumn("published_at", F.expr("timestamp'2024-01-01' + make_dt_interval(cast(document_id % 366 as int))")).withColumn("metadata_json", metadata)
+
+    def records(phrase: str | None = None) -> tuple[DataFrame, DataFrame]:
+        docs = documents(t, phrase).withColumn("published_at", F.expr("timestamp'2024-01-01' + make_dt_interval(cast(document_id % 366 as int))")).withColumn("metadata_json", metadata)
+        return docs, translations(docs)
+
     eligible = t.documents.where(F.col("text").rlike(MEANINGFUL)).select(F.col("doc_id").alias("vec_id"))
     vectors = t.embeddings.join(eligible, "vec_id", "left_semi").select("vec_id", F.col("vec_id").alias("document_id"), F.lit(0).alias("chunk_index"), "embedding")
-    return Corpus(docs, translations(docs), vectors, "tables", (MetadataDef("lang", "keyword"), MetadataDef("size", "integer")), generation)
+    return Corpus(*records(), vectors, "tables", (MetadataDef("lang", "keyword"), MetadataDef("size", "integer")), generation, records)
 
 
 def _files(docs: DataFrame, sha) -> DataFrame:

@@ -351,9 +351,10 @@ def search_page(t: Tables) -> DataFrame:
 
 @query("search_next_page", _searched_sql(_PAGE, 2 * _PAGE))
 def search_next_page(t: Tables) -> DataFrame:
-    """The second page, by the first one's cursor."""
+    """The second page, by the first one's cursor, over the same candidates."""
     c, embed = corpus(t), lambda phrase: _target(t)
-    return _shown(R.search(c, _request(R.search(c, _request(), embed=embed).next_cursor), embed=embed))
+    first = R.search(c, _request(), embed=embed)
+    return _shown(R.search(c, _request(first.next_cursor), embed=embed, candidates=first.candidates))
 
 
 @query("search_reranked", _HYBRID_SQL + _SNAPSHOT_SQL + rf""", s AS (SELECT document_id, chunk_index, round(len(list_filter({_TERMS_SQL}, lambda x: list_contains(string_split_regex(lower(chunk_text), '[\s[:punct:]]+'), x))) / len({_TERMS_SQL})::DOUBLE, 6) AS rerank_score FROM snapshot),

@@ -179,3 +179,61 @@ def test_cursors_keep_types():
 def test_weights_are_clamped():
     w = S.FusionWeights(0.9, 0.5)
     assert (w.vector, w.keyword, w.boost) == (0.9, pytest.approx(0.1), pytest.approx(0.0)) and S.FusionWeights(2, -1) == S.FusionWeights(1, 0) and S.FusionWeights().boost == pytest.approx(0.1)
+
+
+def test_the_next_page_takes_the_candidates(corpus):
+    asked = []
+
+    def count(_):
+        asked.append(1)
+        return embed(_)
+
+    request = R.SearchRequest("red fox", 10)
+    first = R.search(corpus, request, embed=count)
+    again = replace(request, cursor=first.next_cursor)
+    plain = shown(R.search(corpus, again, embed=embed))
+    assert shown(R.search(corpus, again, embed=count, candidates=first.candidates)) == plain and len(asked) == 1
+    # Another search, corpus or window isn't given them; nor is one whose candidates were a fallback's.
+    other = replace(request, query="red hen")
+    assert shown(R.search(corpus, other, embed=count, candidates=first.candidates)) == shown(R.search(corpus, other, embed=embed)) and len(asked) == 2
+    R.search(replace(corpus, generation=5), request, embed=count, candidates=first.candidates)
+    R.search(corpus, replace(request, page=9), embed=count, candidates=first.candidates)
+    assert len(asked) == 4
+    failed = R.search(corpus, request, embed=broken)
+    assert failed.fallback == "runtime" and R.search(corpus, request, embed=embed, candidates=failed.candidates).fallback is None
+
+
+def test_the_second_page_searches_once(spark, monkeypatch):
+    from quillspark.plans import catalogue
+
+    calls, collect = [], R.collect_candidates
+    monkeypatch.setattr(R, "collect_candidates", lambda *a, **k: calls.append(1) or collect(*a, **k))
+    assert catalogue.QUERIES["search_next_page"](spark, "/root/testdata/sf0.001").count() == 8 and len(calls) == 1
+
+
+def test_only_the_nearest_documents_lines_are_made(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def lines(i):
+        made.add(1)
+        return [f"story {i}"]
+
+    documents = spark.range(500).select(F.col("id").alias("document_id"), F.lit("t").alias("title"), F.udf(lines, "array<string>")("id").alias("lines"))
+    vectors = spark.createDataFrame([(i, i, 0, [1.0, float(i), 1.0]) for i in range(500)], "vec_id long, document_id long, chunk_index int, embedding array<double>")
+    page = R.search(R.Corpus(documents, None, vectors, "m1"), R.SearchRequest("story", 10), R.SearchSettings(hybrid=False), embed=embed)
+    assert page.items.count() == 10 and made.value <= S.LEAST_CANDIDATES
+
+
+def test_each_sides_lines_are_made_once(spark):
+    """Lines once for the originals and once for the translations, no filter makes them anew; untranslated chunks aren't moved."""
+    from quillspark.plans.corpus import corpus as of
+    from quillspark.plans.registry import Tables
+
+    c = of(Tables(spark, "/root/testdata/sf0.001"))
+    rows = S.searchable(*c.narrowed("the and"), "en", "the and")
+    plan = S.keyword_search(rows, "the and", None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(text") == 2 and plan.count("posexplode(lines") == 2
+    whole = S.searchable(c.documents, c.translations, "en")
+    key = ["document_id", "chunk_index", "content_locale", "keyword_score", "match_reason"]
+    got, want = (sorted(map(tuple, S.keyword_search(x, "the and", None).select(*key).collect())) for x in (rows, whole))
+    assert got == want and {r[2] for r in got} == {"original", "en"}
